@@ -83,7 +83,7 @@ def curriculum(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
         words = F.least(size, F.floor(target) - begins)
         if whole_documents:
             words = F.when(2 * words >= size, size).otherwise(F.lit(0))
-        done = begins / target
+        done = F.try_divide(begins, target)
         which = F.col("__line.rank") % len(schedules)
         time = F.lit(None).cast("double")
         for k, knots in enumerate(schedules):
