@@ -79,8 +79,8 @@ def text_blocks(docs: DataFrame, id_col: str, text_col: str, flag: Column | None
         def row() -> pa.RecordBatch:
             ids = [x for part in held for x in part[0]]
             flags, sizes, body = (b"".join(part[k] for part in held) for k in (1, 2, 3))
-            packed = zstandard.ZstdCompressor(level=1).compress(body)
-            return pa.RecordBatch.from_arrays([pa.array([base + made]), pa.array([ids], pa.list_(pa.int64())), pa.array([flags], pa.binary()), pa.array([sizes], pa.binary()), pa.array([packed], pa.binary())], schema=schema)
+            small = zstandard.ZstdCompressor(level=3).compress(body)
+            return pa.RecordBatch.from_arrays([pa.array([base + made]), pa.array([ids], pa.list_(pa.int64())), pa.array([flags], pa.binary()), pa.array([sizes], pa.binary()), pa.array([small], pa.binary())], schema=schema)
 
         for batch in batches:
             raw, at = buffers(batch.column(1))
@@ -132,10 +132,12 @@ def dealt(keys: np.ndarray, n: int) -> tuple[np.ndarray, np.ndarray]:
 
 
 def packed(*arrays: np.ndarray) -> bytes:
+    """Arrays as one compressed byte string: first all lowest bytes of an array, then all next ones, which compresses better."""
     import zstandard
 
-    head = np.array([len(arrays), *(len(a.tobytes()) for a in arrays)], np.int64).tobytes()
-    return zstandard.ZstdCompressor(level=1).compress(head + b"".join(a.tobytes() for a in arrays))
+    head = np.array([len(arrays), *(len(a) for a in arrays)], np.int64).tobytes()
+    planes = [np.ascontiguousarray(a).view(np.uint8).reshape(len(a), a.itemsize).T.tobytes() if len(a) else b"" for a in arrays]
+    return zstandard.ZstdCompressor(level=1).compress(head + b"".join(planes))
 
 
 def unpacked(data: bytes, *kinds: type) -> list[np.ndarray]:
@@ -145,9 +147,11 @@ def unpacked(data: bytes, *kinds: type) -> list[np.ndarray]:
     n = int(np.frombuffer(raw[:8], np.int64)[0])
     sizes = np.frombuffer(raw[8 : 8 + 8 * n], np.int64)
     out, at = [], 8 + 8 * n
-    for kind, size in zip(kinds, sizes, strict=True):
-        out.append(np.frombuffer(raw, kind, int(size) // np.dtype(kind).itemsize, at))
-        at += int(size)
+    for kind, size in zip(kinds, sizes.tolist(), strict=True):
+        width = np.dtype(kind).itemsize
+        planes = np.frombuffer(raw, np.uint8, size * width, at).reshape(width, size)
+        out.append(np.ascontiguousarray(planes.T).view(kind).reshape(size))
+        at += size * width
     return out
 
 

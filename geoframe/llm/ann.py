@@ -135,7 +135,7 @@ def build_index(vectors: DataFrame, id_col: str, vector_col: str) -> DataFrame:
         def row(dim: int, shard: int) -> pa.RecordBatch:
             ids, vectors = (np.concatenate(x) for x in zip(*held.pop(dim), strict=True))
             t = Tree.build(ids, vectors)
-            data = packed(t.ids, np.ascontiguousarray(t.vectors), t.starts, t.low, t.high)
+            data = packed(t.ids, t.vectors.ravel(), t.starts, t.low.ravel(), t.high.ravel())
             return pa.RecordBatch.from_arrays([pa.array([shard]), pa.array([dim], pa.int32()), pa.array([data], pa.binary())], names=["shard", "dim", "tree"])
 
         for batch in batches:

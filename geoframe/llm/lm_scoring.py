@@ -10,10 +10,11 @@ A decision is predicted by the mixture that this recursion implies: from the
 deepest context up, each node mixes its own estimate with the prediction from
 below, by the weight KT / (2 Pw).  All depths take part.
 
-Texts are lower-cased (A-Z) UTF-8 bytes between bytes 0xFF, which UTF-8 never
-uses; the closing one is predicted too, so that probabilities of all texts add
-up to at most 1.  Counts come from the documents outside the held-out fold and
-are then fixed.
+What is scored is what the base score's tokens say: the words, lower-cased (A-Z),
+one space between them, and an end.  Their UTF-8 bytes stand between bytes 0xFF,
+which UTF-8 never uses; the closing one is predicted too, so that probabilities
+of all texts add up to at most 1.  Counts come from the documents outside the
+held-out fold and are then fixed.
 
 On the cluster: blocks of documents send their distinct (context, byte) strings
 with training counts to buckets, by the two nearest context bytes, so that a
@@ -38,14 +39,14 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from geoframe.llm import _shared as S
-from geoframe.llm.quality import word_hashes, word_spans
+from geoframe.llm.quality import SPACE, word_hashes, word_spans
 
-DEPTH, HELD_OUT = 5, 1
+DEPTH, HELD_OUT, BLOCK_BYTES = 6, 1, 10 << 20
 EDGE = 255
 LOG2 = float(np.log(2.0))
 END_WORD = np.uint64(2**64 - 1)
 TOP_SCHEMA = "node long, n0 double, n1 double, below double"
-SCHEMA = "id long, held_out boolean, n_tokens long, n_known long, train_tokens long, base_score double, score double, n_bytes long, bits_per_byte double"
+SCHEMA = "id long, held_out boolean, n_tokens long, n_known long, train_tokens long, base_score double, score double, scored_bytes long, bits_per_byte double"
 _TABLE = 1 << 16
 _HALVES = np.concatenate([[0.0], np.cumsum(np.log(np.arange(_TABLE) + 0.5))])
 _WHOLES = np.concatenate([[0.0], np.cumsum(np.log(np.arange(_TABLE) + 1.0))])
@@ -149,6 +150,22 @@ class TopLevels:
         return self.own0[prefix] * self.kt0[prefix] + (1 - self.own0[prefix]) * p
 
 
+def spaced_words(body: bytes, offsets: np.ndarray) -> tuple[bytes, np.ndarray]:
+    """Texts in lower case with one space between words and none around them."""
+    raw = np.frombuffer(body.lower(), np.uint8)
+    gap = SPACE[raw]
+    first = gap.copy()  # a gap that follows a word of the same text
+    first[1:] &= ~gap[:-1]
+    inner = offsets[(offsets < len(raw)) & (offsets >= 0)]
+    first[inner] = False
+    before = np.concatenate([[0], np.cumsum(~gap)])
+    rest = np.repeat(before[offsets[1:]], np.diff(offsets))
+    first &= before[:-1] < rest
+    keep = ~gap | first
+    kept = np.concatenate([[0], np.cumsum(keep)])
+    return np.where(gap, np.uint8(32), raw)[keep].tobytes(), kept[offsets]
+
+
 def gram_keys(body: bytes, offsets: np.ndarray, depth: int) -> np.ndarray:
     """A key per byte of every text and one for its end: the depth bytes before (nearest first), then the byte."""
     sizes = np.diff(offsets)
@@ -166,6 +183,12 @@ def gram_keys(body: bytes, offsets: np.ndarray, depth: int) -> np.ndarray:
     return keys[scored[depth:]]
 
 
+def rounded(x: np.ndarray) -> np.ndarray:
+    """To 16 significant bits (a relative error of at most 2**-17 for each byte of a text), which halves the replies."""
+    bits = x.astype(np.float32).view(np.uint32)
+    return ((bits + np.uint32(0x80)) & np.uint32(0xFFFFFF00)).view(np.float32)
+
+
 def _counted(keys: np.ndarray, training: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     """Sorted distinct keys and how often each occurs in training."""
     keys, training = (x[np.argsort(keys)] for x in (keys, training)) if keys.size and keys.max() >> np.uint64(63) else (keys, training)
@@ -182,7 +205,14 @@ def _words(body: bytes, offsets: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     """Hashes of all words of a block and the number of words of each text."""
     raw = np.frombuffer(body, np.uint8)
     starts, ends = word_spans(raw, offsets)
-    return np.minimum(word_hashes(raw, starts, ends), END_WORD - np.uint64(1)), np.diff(np.searchsorted(starts, offsets))
+    parts, first = [], 0
+    while first < len(starts):  # about a MB at a time
+        last = max(first + 1, int(np.searchsorted(ends, starts[first] + (1 << 20), "right")))
+        a, b = starts[first], ends[last - 1]
+        parts.append(word_hashes(raw[a:b], starts[first:last] - a, ends[first:last] - a))
+        first = last
+    hashes = np.concatenate(parts) if parts else np.zeros(0, np.uint64)
+    return np.minimum(hashes, END_WORD - np.uint64(1)), np.diff(np.searchsorted(starts, offsets))
 
 
 def _by_pair(keys: np.ndarray, depth: int) -> np.ndarray:
@@ -196,7 +226,7 @@ def _requests(blocks: DataFrame, buckets: int, depth: int) -> DataFrame:
         for batch in batches:
             for row in batch.to_pylist():
                 _, flags, offsets, body = S.unpack_block(row)
-                body = body.lower()
+                body, offsets = spaced_words(body, offsets)
                 out: list[tuple[int, bytes]] = []
                 hashes, per_text = _words(body, offsets)
                 words, counts = _counted(np.append(hashes, END_WORD), np.append(np.repeat(flags, per_text), 0))
@@ -211,7 +241,22 @@ def _requests(blocks: DataFrame, buckets: int, depth: int) -> DataFrame:
                 yield pa.RecordBatch.from_arrays([pa.array([b for b, _ in out], pa.int64()), pa.array([row["block"]] * len(out), pa.int64()), pa.array([x for _, x in out], pa.binary())], names=["bucket", "block", "data"])
 
     asked = blocks.mapInArrow(emit, S.REQUEST_SCHEMA)
-    return S.checkpointed(asked.repartition(S.partitions(blocks.sparkSession), "bucket"))
+    return S.checkpointed(asked.repartition(S.partitions(blocks.sparkSession), "bucket").sortWithinPartitions("bucket"))
+
+
+def _by_bucket(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.Table]:
+    """A table for each bucket of a partition of _requests(), which holds whole buckets one after the other."""
+    held: list[pa.RecordBatch] = []
+    for batch in batches:
+        buckets = batch.column(0).to_numpy()
+        cuts = [0, *(np.flatnonzero(buckets[1:] != buckets[:-1]) + 1).tolist(), len(buckets)]
+        for a, b in zip(cuts, cuts[1:], strict=False):
+            if held and a < b and held[-1].column(0)[0].as_py() != buckets[a]:
+                yield pa.Table.from_batches(held)
+                held = []
+            held += [batch.slice(a, b - a)] if a < b else []
+    if held:
+        yield pa.Table.from_batches(held)
 
 
 def _merged(table: pa.Table) -> tuple[np.ndarray, np.ndarray, list[np.ndarray]]:
@@ -236,7 +281,7 @@ def _fit(requests: DataFrame, buckets: int, depth: int) -> tuple[TopLevels, int,
             rows = [names, *(np.bincount(at, x, len(names)) for x in (n0, n1, below))]
         return pa.table({k: pa.array(v, pa.int64() if k == "node" else pa.float64()) for k, v in zip(("node", "n0", "n1", "below"), rows, strict=True)})
 
-    tops = requests.groupBy("bucket").applyInArrow(summarize, TOP_SCHEMA)
+    tops = requests.mapInArrow(lambda batches: (b for t in _by_bucket(batches) for b in summarize(t).to_batches()), TOP_SCHEMA)
     got = tops.groupBy("node").agg(*(F.sum(c).alias(c) for c in ("n0", "n1", "below"))).toPandas()
     words, got = got[got.node < 0], got[got.node >= 0]
     tokens, distinct = (int(words[c].sum()) for c in ("n0", "n1"))
@@ -244,12 +289,12 @@ def _fit(requests: DataFrame, buckets: int, depth: int) -> tuple[TopLevels, int,
 
 
 def text_scores(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", depth: int = DEPTH) -> DataFrame:
-    """A row per document: held_out, n_tokens, n_known, train_tokens, base_score, score, n_bytes, bits_per_byte."""
+    """A row per document: held_out, n_tokens, n_known, train_tokens, base_score, score, scored_bytes, bits_per_byte."""
     if not 2 <= depth <= 6:
         raise ValueError("depth is 2 to 6: a context and its byte fit into 64 bits with a mark")
     spark = docs.sparkSession
     buckets = 2 * S.partitions(spark)
-    blocks = S.text_blocks(docs, id_col, text_col, (S.id_remainder(id_col, 5) != HELD_OUT).cast("byte"))
+    blocks = S.text_blocks(docs, id_col, text_col, (S.id_remainder(id_col, 5) != HELD_OUT).cast("byte"), BLOCK_BYTES)
     requests = _requests(blocks, buckets, depth)
     top, tokens, distinct = _fit(requests, buckets, depth)
     shared = spark.sparkContext.broadcast(top)
@@ -259,7 +304,7 @@ def text_scores(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
         if table.column("bucket")[0].as_py() < buckets:
             values = np.minimum(counts, 2**32 - 1).astype(np.uint32)
         else:
-            values = ContextTree(keys, counts, depth).log_probability(keys, shared.value).astype(np.float32)
+            values = rounded(ContextTree(keys, counts, depth).log_probability(keys, shared.value))
         return pa.table({"block": table.column("block"), "bucket": table.column("bucket"), "data": pa.array([S.packed(values[p]) for p in parts], pa.binary())})
 
     def score(mine: pa.Table, theirs: pa.Table) -> pa.Table:
@@ -267,7 +312,7 @@ def text_scores(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
         out = []
         for row in mine.to_pylist():
             ids, flags, offsets, body = S.unpack_block(row)
-            body = body.lower()
+            body, offsets = spaced_words(body, offsets)
             hashes, per_text = _words(body, offsets)
             words, where = np.unique(np.append(hashes, END_WORD), return_inverse=True)
             known = _replied(words, words, [r for r in replies if r[0] < buckets], 0, buckets, np.uint32).astype(np.float64)
@@ -283,16 +328,16 @@ def text_scores(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
             grams = keys[fresh]
             log = _replied(grams, _by_pair(grams, depth), [r for r in replies if r[0] >= buckets], buckets, buckets, np.float32)
             per_byte = np.empty(len(keys), np.float32)
-            per_byte[order] = log[np.cumsum(fresh) - 1]
+            per_byte[order] = np.repeat(log, np.diff(np.append(np.flatnonzero(fresh), len(keys))))
             sizes = np.diff(offsets)
             natural = np.add.reduceat(per_byte, np.concatenate([[0], np.cumsum(sizes + 1)[:-1]]), dtype=np.float64)
             out.append(pa.table({
                 "id": pa.array(ids, pa.int64()), "held_out": flags == 0, "n_tokens": per_text + 1, "n_known": n_known.round().astype(np.int64), "train_tokens": np.full(len(ids), tokens),
-                "base_score": base_score, "score": natural / np.log(10.0), "n_bytes": sizes, "bits_per_byte": -natural / LOG2 / np.maximum(sizes, 1),
+                "base_score": base_score, "score": natural / np.log(10.0), "scored_bytes": sizes, "bits_per_byte": -natural / LOG2 / np.maximum(sizes, 1),
             }))
         return pa.concat_tables(out)
 
-    replies = requests.groupBy("bucket").applyInArrow(answer, S.REPLY_SCHEMA)
+    replies = requests.mapInArrow(lambda batches: (b for t in _by_bucket(batches) for b in answer(t).to_batches()), S.REPLY_SCHEMA)
     return blocks.groupBy("block").cogroup(replies.groupBy("block")).applyInArrow(score, SCHEMA).withColumnRenamed("id", id_col)
 
 

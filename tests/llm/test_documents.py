@@ -268,12 +268,12 @@ def plain_tree(samples, depth):
 
 def test_context_tree_scores(spark, no_docs):
     depth = 3
-    texts = [(k, t) for k, t in enumerate(["abab abc", "Abab", "", None, "ab\nab", "zé ab", "cab cab ca", "b", "abab abc", "baba"])]
+    texts = [(k, t) for k, t in enumerate(["abab abc", "Abab", "", None, " ab \n\tab\n", "zé ab", "cab cab ca", "b", "abab abc", "baba"])]
     docs = spark.createDataFrame(texts, "doc_id long, text string").repartition(2)
     got = {r.doc_id: r for r in lm_scoring.text_scores(docs, depth=depth).collect()}
 
     def samples(text):
-        b = [255] * depth + list((text or "").encode().lower()) + [255]
+        b = [255] * depth + list(b" ".join(plain_words(text))) + [255]
         return [(tuple(reversed(b[k - depth : k])), b[k]) for k in range(depth, len(b))]
 
     training = [(i, t) for i, t in texts if zlib.crc32(str(i).encode()) % 5 != 1]
