@@ -13,6 +13,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from geoframe.functions import geo
+from geoframe.functions.lineage import checkpointed
 from geoframe.operators import sensor
 
 L = ("l_line", "l_samp")
@@ -64,18 +65,17 @@ def affine_lsq(corr: DataFrame, by: str = "image_id") -> DataFrame:
 
 
 def _drawn(corr: DataFrame, by: str, size: int, hypotheses: int, seed: int) -> DataFrame:
-    """by, hyp and `size` points (as arrays) for each hypothesis: the points of least hash of (row, hypothesis).
+    """by, hyp and `size` distinct points for each hypothesis: those of least hash of (point, hypothesis).
 
     A point enters a hypothesis only under a hash threshold that leaves some 16
     points of each, so that drawing does not multiply the table.
     """
+    corr = corr.select(by, *L, *T).distinct()
     n = corr.groupBy(by).agg(F.count("*").alias("__n"))
     keyed = corr.withColumn("__h", F.xxhash64(*L, *T)).join(n, by)
     share = F.least(F.lit(1.0), F.lit(8.0 * size) / F.col("__n"))
-    # hypotheses of a row: all those whose hash is under the share
-    draw = F.transform(F.sequence(F.lit(0), F.lit(hypotheses - 1)), lambda k: F.struct(k.alias("hyp"), F.xxhash64(F.col("__h"), k, F.lit(seed)).alias("r")))
-    few = F.filter(draw, lambda s: (s["r"] / F.lit(2.0**64) + 0.5) < share)
-    points = keyed.select(by, *L, *T, F.explode(few).alias("s")).select(by, "s.hyp", "s.r", *L, *T)
+    tried = keyed.select(by, *L, *T, "__h", share.alias("__share"), F.explode(F.sequence(F.lit(0), F.lit(hypotheses - 1))).alias("hyp"))
+    points = tried.withColumn("r", F.xxhash64("__h", "hyp", F.lit(seed))).filter(F.col("r") / F.lit(2.0**64) + 0.5 < F.col("__share"))
     first = points.withColumn("__k", F.row_number().over(Window.partitionBy(by, "hyp").orderBy("r", *L, *T))).filter(F.col("__k") <= size)
     rows = first.groupBy(by, "hyp").agg(*(F.max(F.when(F.col("__k") == k + 1, F.col(c))).alias(f"{c}{k}") for k in range(size) for c in (*L, *T)), F.count("*").alias("__n"))
     return rows.filter(F.col("__n") == size).drop("__n")
@@ -100,26 +100,21 @@ def _miss() -> Column:
 
 
 def _vote(corr: DataFrame, maps: DataFrame, by: str, thr: Column) -> DataFrame:
-    """The map of each group with the most points under thr (the first of equal ones). maps: a bounded number per group, packed into one row."""
-    packed = maps.groupBy(by).agg(F.sort_array(F.collect_list(F.struct("hyp", *geo.AFFINE))).alias("__maps"))
+    """The map of each group with the most points under thr (the first of equal ones).
 
-    def votes(p: Column) -> Column:
-        dl = p["a00"] * F.col("l_line") + p["a01"] * F.col("l_samp") + p["a02"] - F.col("t_line")
-        ds = p["a10"] * F.col("l_line") + p["a11"] * F.col("l_samp") + p["a12"] - F.col("t_samp")
-        return F.sqrt(dl * dl + ds * ds) < thr
-
-    hits = corr.join(packed, by).select(by, F.explode(F.filter(F.col("__maps"), votes)).alias("m"))
-    counts = hits.groupBy(by, "m.hyp").agg(F.count("*").alias("votes"))
-    best = counts.groupBy(by).agg(F.min(F.struct((-F.col("votes")).alias("v"), "hyp")).alias("b"))
+    Every point meets its group's maps, a bounded number; votes are summed before they are shuffled.
+    """
+    votes = corr.join(maps.select(by, "hyp", *geo.AFFINE), by).groupBy(by, "hyp").agg(F.count_if(_miss() < thr).alias("votes"))
+    best = votes.groupBy(by).agg(F.min(F.struct((-F.col("votes")).alias("v"), "hyp")).alias("b"))
     return maps.select(by, "hyp", *geo.AFFINE).join(best.select(by, F.col("b.hyp").alias("hyp")), [by, "hyp"])
 
 
 def robust_affine(corr: DataFrame, by: str = "image_id", conf_thr: float = 0.7, slack: float = 5.0, hypotheses: int = 200, seed: int = 0) -> DataFrame:
     """Affine per image: confident points, trim, the hypothesis with most inliers, then least squares on them; with counts.
 
-    The points are read some ten times, so they are persisted, on disk where memory is short.
+    The points are read some ten times, so their columns are written to the checkpoint folder first.
     """
-    corr = corr.select(by, *L, *T, "conf").persist()
+    corr = checkpointed(corr.select(by, *L, *T, "conf"))
     total = corr.groupBy(by).agg(F.count("*").alias("n_total"))
     valid = _shift_distance(trim_residuals(keep_confident(corr, conf_thr), by), by)
     limit = valid.groupBy(by).agg((F.avg("d") + slack).alias("__thr"), F.count("*").alias("n_valid"))
