@@ -52,8 +52,8 @@ def token_ids(text: str, name: str) -> np.ndarray:
     encode, fallback = tokenizer(name)
     try:
         return np.asarray(encode(text), np.uint32)
-    except (ValueError, RuntimeError, BaseException) as error:  # a run that overflows the pattern's stack
-        if isinstance(error, (KeyboardInterrupt, SystemExit, MemoryError)):
+    except BaseException as error:  # a very long run overflows the pattern's stack, which is not an Exception
+        if isinstance(error, (KeyboardInterrupt, SystemExit, GeneratorExit, MemoryError)):
             raise
         return fallback(text)
 
