@@ -3,8 +3,16 @@
 from __future__ import annotations
 
 import tempfile
+import uuid
 
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, SparkSession
+
+
+def _checkpoint_folder(spark: SparkSession) -> str:
+    context = spark.sparkContext
+    if not context._jsc.sc().getCheckpointDir().isDefined():
+        context.setCheckpointDir(spark.conf.get("spark.checkpoint.dir", None) or tempfile.mkdtemp(prefix="spark-checkpoint-"))
+    return context._jsc.sc().getCheckpointDir().get()
 
 
 def checkpointed(df: DataFrame) -> DataFrame:
@@ -13,7 +21,10 @@ def checkpointed(df: DataFrame) -> DataFrame:
     For tables that a job reads many times, or whose plan would be planned anew for
     each.  Only where spark.checkpoint.dir is unset does a temporary folder serve.
     """
-    context = df.sparkSession.sparkContext
-    if not context._jsc.sc().getCheckpointDir().isDefined():
-        context.setCheckpointDir(df.sparkSession.conf.get("spark.checkpoint.dir", None) or tempfile.mkdtemp(prefix="spark-checkpoint-"))
+    _checkpoint_folder(df.sparkSession)
     return df.checkpoint(eager=True)
+
+
+def shared_folder(spark: SparkSession, name: str) -> str:
+    """A new folder for a job's files beside the checkpoints, which all executors reach."""
+    return f"{_checkpoint_folder(spark)}/{name}-{uuid.uuid4().hex}"

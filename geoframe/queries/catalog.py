@@ -351,13 +351,17 @@ def f8_drop_nonfinite(t: Tables) -> DataFrame:
     return metrics.drop_nonfinite(t.metric_log, ["epoch", "iter"])
 
 
-COMPLETE = "SELECT * FROM tie_points WHERE (image_id + point_id) % 4 <> 1 OR point_id % 3 = 0"
+KNOWN_TIES = "SELECT t.* FROM tie_points t JOIN residuals d ON d.image_id = t.image_id AND d.row = t.line AND d.col = t.samp WHERE d.value IS NOT NULL"
 
 
-@query(f"SELECT image_id, point_id, line, samp FROM ({COMPLETE}) WHERE point_id IN (SELECT point_id FROM ({COMPLETE}) GROUP BY point_id HAVING count(DISTINCT image_id) = 4)")
+def known_ties(t: Tables) -> DataFrame:
+    """Tie points on cells with a known residual; only two images have residuals."""
+    return raster.lookup(t.tie_points, metrics.known_residuals(t.residuals, None, ("value",)), name="residual").drop("residual")
+
+
+@query(f"SELECT image_id, point_id, line, samp FROM ({KNOWN_TIES}) WHERE point_id IN (SELECT point_id FROM ({KNOWN_TIES}) GROUP BY point_id HAVING count(DISTINCT image_id) = 2)")
 def f9_complete_groups(t: Tables) -> DataFrame:
-    some = t.tie_points.filter("(image_id + point_id) % 4 <> 1 OR point_id % 3 = 0")
-    return overlap.complete_groups(some, 4).select("image_id", "point_id", "line", "samp")
+    return overlap.complete_groups(known_ties(t), 2).select("image_id", "point_id", "line", "samp")
 
 
 BOTH = "FROM (SELECT a.row, a.col, a.value AS res1, b.value AS res2 FROM residuals a JOIN residuals b ON a.image_id = 0 AND b.image_id = 1 AND a.row = b.row AND a.col = b.col)"
@@ -425,12 +429,12 @@ def bilinear_sql(points: str, key: str, cells: str, h: str, w: str) -> str:
 
 
 HEIGHT = "(SELECT max(row) + 1 FROM dem)"
-FRACTIONAL = f"SELECT image_id, point_id, line + 37e-2 AS prow, samp * 101e-2 - 4e-1 AS pcol FROM tie_points WHERE line + 1 < {HEIGHT}"
+FRACTIONAL = "SELECT image_id, point_id, line + 37e-2 AS prow, samp * 101e-2 - 4e-1 AS pcol FROM tie_points"
 
 
 def fractional(t: Tables) -> tuple[DataFrame, int]:
     height = t.dem.agg(F.max("row") + 1).first()[0]
-    points = t.tie_points.filter(F.col("line") + 1 < height).selectExpr("image_id", "point_id", "line + 0.37D AS row", "samp * 1.01D - 0.4D AS col")
+    points = t.tie_points.selectExpr("image_id", "point_id", "line + 0.37D AS row", "samp * 1.01D - 0.4D AS col")
     return points, height
 
 
@@ -540,8 +544,8 @@ def j20_xy_to_image(t: Tables) -> DataFrame:
     return sensor.xy_to_image(points, t.sensor_models, t.dem, box.join(shape, "image_id"))
 
 
-@query(f"SELECT image_id, point_id, {r('value')} FROM ({bilinear_sql(f'SELECT image_id, point_id, line * (({HEIGHT} - 1) / CAST({HEIGHT} AS DOUBLE)) AS prow, samp * (99 / 100e0) AS pcol FROM tie_points WHERE line < {HEIGHT}', 'image_id, point_id', 'dem', HEIGHT, '100')})")
+@query(f"SELECT image_id, point_id, {r('value')} FROM ({bilinear_sql(f'SELECT image_id, point_id, line * (({HEIGHT} - 1) / CAST({HEIGHT} AS DOUBLE)) AS prow, samp * (99 / 100e0) AS pcol FROM tie_points', 'image_id, point_id', 'dem', HEIGHT, '100')})")
 def j21_sample_align_corners(t: Tables) -> DataFrame:
     height = t.dem.agg(F.max("row") + 1).first()[0]
-    points = t.tie_points.filter(F.col("line") < height).selectExpr("image_id", "point_id", "CAST(line AS DOUBLE) AS row", "CAST(samp AS DOUBLE) AS col")
+    points = t.tie_points.selectExpr("image_id", "point_id", "CAST(line AS DOUBLE) AS row", "CAST(samp AS DOUBLE) AS col")
     return raster.sample_align_corners(points, t.dem, ("image_id", "point_id"), (height, 100)).select("image_id", "point_id", "value")

@@ -7,9 +7,11 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from geoframe.functions import geo
+from geoframe.functions.lineage import shared_folder
 from geoframe.operators import fit, metrics, neighbors, overlap, raster, sensor, tiling
 from geoframe.plans import jobs
-from geoframe.queries.catalog import HEIGHT, SHIFTED, TRIMMED, Tables, pair_cells, query, r, tie_ground
+from geoframe.queries.catalog import HEIGHT, KNOWN_TIES, SHIFTED, TRIMMED, Tables, known_ties, pair_cells, query, r, tie_ground
+from geoframe.sources import files
 
 BLOCK = "CAST(row // {n} AS INTEGER) AS row, CAST(col // {n} AS INTEGER) AS col"
 
@@ -132,13 +134,13 @@ def a10_quantile_map(t: Tables) -> DataFrame:
 
 @query()
 def a12_inverse_models(t: Tables) -> DataFrame:
-    models = fit.inverse_models(t.sensor_models, 12, 6)
+    models = fit.inverse_models(t.sensor_models)
     return sensor.image_to_object(tie_ground(t).drop("lat", "lon"), models).select("image_id", "point_id", "lat", "lon")
 
 
 @query()
 def a13_round_trip(t: Tables) -> DataFrame:
-    return sensor.round_trip(fit.inverse_models(t.sensor_models, 12, 6), 7, 7, 3)
+    return sensor.round_trip(fit.inverse_models(t.sensor_models), 7, 7, 3)
 
 
 @query()
@@ -404,18 +406,18 @@ def s12_read_window(t: Tables) -> DataFrame:
     return raster.read_window(raster.with_tiles(t.dem), (2, 10, 5, 40)).select("image_id", "row", "col")
 
 
-@query("SELECT CAST(row_number() OVER (ORDER BY folder) - 1 AS INTEGER) AS image_id, folder, CAST(max(row) + 1 AS INTEGER) AS height, CAST(max(col) + 1 AS INTEGER) AS width, coalesce(any_value(n), 0) AS n_tie FROM (SELECT 'scene' || image_id AS folder, row, col FROM pixels WHERE row < 8 AND col < 8) LEFT JOIN (SELECT 'scene' || image_id AS folder, count(*) AS n FROM tie_points WHERE image_id <> 1 GROUP BY image_id) USING (folder) GROUP BY folder")
+@query(f"SELECT CAST(row_number() OVER (ORDER BY folder) - 1 AS INTEGER) AS image_id, folder, CAST(max(row) + 1 AS INTEGER) AS height, CAST(max(col) + 1 AS INTEGER) AS width, coalesce(any_value(n), 0) AS n_tie FROM (SELECT 'scene' || image_id AS folder, row, col FROM pixels WHERE row < 8 AND col < 8) LEFT JOIN (SELECT 'scene' || image_id AS folder, count(*) AS n FROM ({KNOWN_TIES}) GROUP BY image_id) USING (folder) GROUP BY folder")
 def s8_assemble_scenes(t: Tables) -> DataFrame:
-    from geoframe.sources import files
-
     named = lambda df: df.withColumn("folder", F.concat(F.lit("scene"), F.col("image_id").cast("string")))
-    return files.assemble_scenes(named(t.pixels), named(t.dem), named(t.sensor_models), named(t.tie_points.filter("image_id <> 1")), 8)
+    return files.assemble_scenes(named(t.pixels), named(t.dem), named(t.sensor_models), named(known_ties(t)), 8)
 
 
-@query("SELECT pair_id, row, col FROM (SELECT image_id AS pair_id, row, col, row % 2 = 0 AS train FROM residuals) WHERE train AND pair_id IN (SELECT quad_id FROM quads WHERE quad_id > 0)")
+@query("SELECT image_id AS pair_id, row, col FROM residuals WHERE value IS NOT NULL AND image_id IN (SELECT quad_id FROM quads)")
 def s13_read_pairs(t: Tables) -> DataFrame:
-    cells = t.residuals.filter("row % 2 = 0").select(F.col("image_id").alias("pair_id"), "row", "col")
-    return cells.join(t.quads.filter("quad_id > 0").select(F.col("quad_id").alias("pair_id")), "pair_id", "left_semi")
+    folder = shared_folder(t.spark, "pairs")
+    pairs = t.residuals.selectExpr("image_id AS pair_id", "row", "col", "IF(value IS NULL, 'test', 'train') AS split")
+    pairs.repartition("split", "pair_id").write.partitionBy("split").parquet(folder)
+    return files.read_pairs(t.spark, folder, "train", t.quads.select(F.col("quad_id").alias("pair_id"))).drop("split")
 
 
 # --- jobs --------------------------------------------------------------------

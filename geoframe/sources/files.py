@@ -65,9 +65,8 @@ def read_sensor_models(spark: SparkSession, path: str, layout: str = "keyed") ->
         array = lambda k: F.slice("v", 11 + 20 * k, 20)
         df = df.select("image_id", "name", *(F.col("v")[k].alias(n) for k, n in enumerate(ORDER)), *((array(k) if k < 4 else F.when(F.size("v") >= 170, array(k))).alias(n) for k, n in enumerate(ARRAYS)), *(F.coalesce(F.get("p", F.lit(k)), F.lit(0.0)).alias(f"p{k}") for k in range(6)))
         df = sensor.corrections_to_affine(df)
-    given = df.filter("latnum IS NOT NULL")
-    fitted = fit.inverse_models(df.filter("latnum IS NULL"), 20, 10)
-    return given.unionByName(fitted)
+    missing = df.filter("latnum IS NULL")
+    return df if missing.isEmpty() else df.filter("latnum IS NOT NULL").unionByName(fit.inverse_models(missing))
 
 
 def _keyed_text() -> Column:
