@@ -5,6 +5,10 @@ Boxes are minx, miny, maxx, maxy with y upwards.
 
 from __future__ import annotations
 
+import math
+from collections.abc import Iterator
+
+import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -85,34 +89,64 @@ def common_rectangle(corners: DataFrame) -> DataFrame:
     return inner.agg(F.max("l").alias("left"), F.min("r").alias("right"), F.min("t").alias("top"), F.max("b").alias("bottom"))
 
 
+Point = tuple[float, float]
+
+
+def clip_convex(polygon: list[Point], by: list[Point]) -> list[Point]:
+    """The part of a convex polygon inside another, whose corners may run either way round."""
+    turn = sum(p[0] * q[1] - q[0] * p[1] for p, q in zip(by, by[1:] + by[:1], strict=True))
+    for (ax, ay), (bx, by_) in zip(by, by[1:] + by[:1], strict=True):
+        length = math.hypot(bx - ax, by_ - ay)
+        if not length:
+            continue
+        # distances from the edge's line, positive inside; what is within a rounding error of it counts as on it
+        depth = [math.copysign(1.0, turn) * ((bx - ax) * (y - ay) - (by_ - ay) * (x - ax)) / length for x, y in polygon]
+        depth = [0.0 if abs(d) < 1e-9 * length else d for d in depth]
+        kept: list[Point] = []
+        for (p, d), (q, e) in zip(zip(polygon, depth, strict=True), zip(polygon[1:] + polygon[:1], depth[1:] + depth[:1], strict=True), strict=True):
+            if d >= 0:
+                kept.append(p)
+            if d * e < 0:
+                kept.append((p[0] + (q[0] - p[0]) * d / (d - e), p[1] + (q[1] - p[1]) * d / (d - e)))
+        polygon = kept
+    return polygon
+
+
 def common_polygon(quads: DataFrame, by: str | None = None) -> DataFrame:
     """Vertices of the intersection of convex quads, in order of angle about their centre; fewer than three: none.
 
-    quads: quad_id and corners x0, y0 .. x3, y3 in order.  Candidates are corners and
-    crossings of edges; those outside any half-plane go.  Groups (by) are small: the
-    images of one scene.
+    quads: corners x0, y0 .. x3, y3 in order.  Clipping is associative: every
+    partition clips its own quads to one polygon a group, and those meet.
     """
-    g = [by] if by else []
-    source = quads if by else quads.withColumn("__g", F.lit(1))
-    g = g or ["__g"]
-    area = sum((F.col(f"x{k}") * F.col(f"y{(k + 1) % 4}") - F.col(f"x{(k + 1) % 4}") * F.col(f"y{k}") for k in range(4)), F.lit(0.0))
-    turned = source.withColumn("__s", F.signum(area))
-    edge = F.explode(F.array(*(F.struct(F.lit(k).alias("k"), *(F.col(f"{a}{m}").cast("double").alias(n) for a, m, n in (("x", k, "ax"), ("y", k, "ay"), ("x", (k + 1) % 4, "bx"), ("y", (k + 1) % 4, "by")))) for k in range(4))))
-    edges = turned.select(*g, "quad_id", "__s", edge.alias("e")).select(*g, "quad_id", F.col("__s").alias("s"), "e.*")
-    corners = edges.select(*g, F.col("ax").alias("x"), F.col("ay").alias("y"))
-    p = edges.select(*g, F.col("quad_id").alias("q1"), *(F.col(c).alias(f"{c}1") for c in ("ax", "ay", "bx", "by")))
-    q = edges.select(*g, F.col("quad_id").alias("q2"), *(F.col(c).alias(f"{c}2") for c in ("ax", "ay", "bx", "by")))
-    c = F.col
-    ux, uy, vx, vy = c("bx1") - c("ax1"), c("by1") - c("ay1"), c("bx2") - c("ax2"), c("by2") - c("ay2")
-    det = ux * vy - uy * vx
-    t = F.try_divide((c("ax2") - c("ax1")) * vy - (c("ay2") - c("ay1")) * vx, det)
-    crossings = p.join(q, g).filter("q1 < q2").filter(det != 0).select(*g, (c("ax1") + t * ux).alias("x"), (c("ay1") + t * uy).alias("y"))
-    spots = corners.unionByName(crossings).select(*g, F.round("x", 6).alias("x"), F.round("y", 6).alias("y")).distinct()
-    side = c("s") * ((c("bx") - c("ax")) * (c("y") - c("ay")) - (c("by") - c("ay")) * (c("x") - c("ax")))
-    length = F.sqrt(F.pow(c("bx") - c("ax"), 2) + F.pow(c("by") - c("ay"), 2))
-    inside = spots.join(edges, g).groupBy(*g, "x", "y").agg(F.min(side / length).alias("__d")).filter("__d >= -1e-5").drop("__d")
-    centre = inside.groupBy(*g).agg(F.avg("x").alias("__x"), F.avg("y").alias("__y"), F.count("*").alias("__n")).filter("__n >= 3")
-    return inside.join(centre, g).withColumn("angle", F.atan2(c("y") - c("__y"), c("x") - c("__x"))).select(*([by] if by else []), "x", "y", "angle")
+    key = by or "__g"
+    source = quads.select(*([by] if by else [F.lit(1).alias("__g")]), *(F.col(f"{a}{k}").cast("double").alias(f"{a}{k}") for k in range(4) for a in "xy"))
+    schema = f"{key} {dict(source.dtypes)[key]}, xs array<double>, ys array<double>"
+
+    def fold(held: dict, group: object, polygon: list[Point]) -> None:
+        held[group] = clip_convex(held[group], polygon) if group in held else polygon
+
+    def table(held: dict) -> pd.DataFrame:
+        lists = [pd.Series([[p[k] for p in v] for v in held.values()], dtype=object) for k in range(2)]
+        return pd.DataFrame({key: list(held), "xs": lists[0], "ys": lists[1]})
+
+    def partial(parts: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        held: dict = {}
+        for pdf in parts:
+            for row in pdf.itertuples(index=False):
+                fold(held, row[0], [(row[1 + 2 * k], row[2 + 2 * k]) for k in range(4)])
+        yield table(held)
+
+    def whole(pdf: pd.DataFrame) -> pd.DataFrame:
+        held: dict = {}
+        for group, xs, ys in zip(pdf[key], pdf["xs"], pdf["ys"], strict=True):
+            fold(held, group, list(zip(xs, ys, strict=True)))
+        return table(held)
+
+    polygons = source.mapInPandas(partial, schema).groupBy(key).applyInPandas(whole, schema)
+    spots = polygons.select(key, F.explode(F.arrays_zip("xs", "ys")).alias("p")).select(key, F.round("p.xs", 6).alias("x"), F.round("p.ys", 6).alias("y")).distinct()
+    centre = spots.groupBy(key).agg(F.avg("x").alias("__x"), F.avg("y").alias("__y"), F.count("*").alias("__n")).filter("__n >= 3")
+    angle = F.atan2(F.col("y") - F.col("__y"), F.col("x") - F.col("__x"))
+    return spots.join(centre, key).select(*([by] if by else []), "x", "y", angle.alias("angle"))
 
 
 def complete_groups(tie: DataFrame, n_images: int) -> DataFrame:
