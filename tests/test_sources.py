@@ -9,7 +9,8 @@ from tests.test_geometry import cells, model_rows, models_df
 
 
 def test_model_files_round_trip(spark, tmp_path):
-    models = fit.inverse_models(models_df(spark, model_rows(3, 0.7)), 8, 5)
+    fitted = fit.inverse_models(models_df(spark, model_rows(3, 0.7)), 8, 5)
+    models = spark.createDataFrame(fitted.collect(), fitted.schema)  # fitted once: sums in another order give other, equally good, coefficients
     files.write_sensor_models(models, str(tmp_path / "m"))
     back = files.read_sensor_models(spark, str(tmp_path / "m"))
     got = {r.image_id: r for r in back.collect()}
