@@ -185,28 +185,29 @@ class Field:
             self.w += rate * g / (np.sqrt(total) + 1e-8)
         return self
 
-    def decode(self, region: Region) -> list[tuple[int, int, int]]:
-        """The best segmentation's spans as (first atom, kind, end atom)."""
-        scores = region.x @ self.w
-        kind = scores.argmax(axis=1) if len(scores) else []
-        best, back = [0.0], [None]
-        for j, rows in enumerate(self._by_end(region)):
-            if j == 0:
+    def decode(self, text: str) -> list[tuple[int, int, int]]:
+        """The best segmentation's spans of a region, as (start, kind, end); holds a few numbers per atom, however long the region."""
+        edges = [m.start() for m in ATOM.finditer(text)] + [len(text)]
+        best, back = [0.0] * len(edges), [None] * len(edges)
+        for j in range(1, len(edges)):
+            best[j], b = best[j - 1], edges[j]
+            if text[b - 1].isspace():
                 continue
-            top, how = best[j - 1], None
-            for r in rows:
-                value = best[region.spans[r][0]] + scores[r, kind[r]]
-                if value > top:
-                    top, how = value, r
-            best.append(top)
-            back.append(how)
-        out, j = [], region.n
+            for i in range(max(0, j - MAX_ATOMS), j):
+                a = edges[i]
+                if text[a].isspace() or not TRIGGER.search(text, a, b):
+                    continue
+                scores = self.w[span_features(text[a:b], text[a - 1 : a] or " ", text[b : b + 1] or " ")].sum(axis=0)
+                kind = int(scores.argmax())
+                if best[i] + scores[kind] > best[j]:
+                    best[j], back[j] = best[i] + float(scores[kind]), (i, kind)
+        out, j = [], len(edges) - 1
         while j > 0:
             if back[j] is None:
                 j -= 1
             else:
-                i = region.spans[back[j]][0]
-                out.append((i, int(kind[back[j]]), j))
+                i, kind = back[j]
+                out.append((edges[i], kind, edges[j]))
                 j = i
         return out[::-1]
 
@@ -279,8 +280,7 @@ def personal_data(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text
 
         @lru_cache(4096)
         def decoded(s: str) -> tuple:
-            region = Region(s)
-            return tuple((region.edges[i], k, region.edges[j]) for i, k, j in own.decode(region))
+            return tuple(own.decode(s))
 
         for batch in batches:
             out = []
