@@ -1,7 +1,9 @@
 """Licence scans: a trained paragraph classifier, confirmed by templates.
 
-A paragraph (a line) is a bag of word bigrams and trigrams, lower-case, without
-punctuation.  A softmax regression over the n-grams of the templates tells
+A paragraph is a line, or a run of adjacent lines where an n-gram of a template
+crosses each line break, so that a wrapped notice is read whole and notices on
+lines of their own stay apart; it is numbered by its first line.  It is a bag of
+word bigrams and trigrams, lower-case, without punctuation.  A softmax regression over the n-grams of the templates tells
 licence families, "unknown" (reads like a licence, but of no family here) and
 "none" apart.  Its probabilities are calibrated by a temperature fitted on texts
 kept out of training.  A family counts when its probability reaches SURE and a
@@ -50,22 +52,35 @@ SCHEMA = "id long, family string, probability double, similarity double, n_licen
 _PLAIN = bytes(c + 32 if 65 <= c <= 90 else c if 48 <= c <= 57 or 97 <= c <= 122 or c >= 128 or c == 10 else 32 for c in range(256))
 
 
-def _grams(raw: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
-    """n-gram hashes and the paragraph of each; of every text, the number of its first paragraph; of every newline, its place."""
+def _grams(raw: np.ndarray, offsets: np.ndarray, vocabulary: np.ndarray | None = None) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+    """n-gram hashes and the paragraph (its first line) of each; of every text, the number of its first line; of every newline, its place; of every line, whether the next one goes on with it."""
     breaks = np.flatnonzero(raw == 10)
     starts, ends = word_spans(raw, offsets)
     hashes = word_hashes(raw, starts, ends)
     doc = np.searchsorted(offsets, starts, "right") - 1
-    paragraph = np.searchsorted(breaks, starts) + doc
+    line = np.searchsorted(breaks, starts) + doc
+    goes_on = np.zeros(len(breaks) + len(offsets), bool)
+    near = (doc[1:] == doc[:-1]) & (line[1:] - line[:-1] <= 1)
     out, of = [], []
     with np.errstate(over="ignore"):
-        run = hashes
+        run, whole = hashes, np.ones(len(hashes), bool)
         for n in (2, 3):
             run = run[:-1] * np.uint64(0x9E3779B97F4A7C15) + hashes[n - 1 :] if len(hashes) >= n else run[:0]
-            same = paragraph[: len(run)] == paragraph[n - 1 :][: len(run)] if len(run) else np.zeros(0, bool)
-            out.append(run[same] ^ np.uint64(n))
-            of.append(paragraph[: len(run)][same])
-    return np.concatenate(out), np.concatenate(of), np.searchsorted(breaks, offsets[:-1]) + np.arange(len(offsets) - 1), breaks
+            whole = whole[: len(run)] & near[n - 2 :][: len(run)]
+            grams, first, last = run ^ np.uint64(n), line[: len(run)], line[n - 1 :][: len(run)]
+            same = whole & (first == last)
+            out.append(grams[same])
+            of.append(first[same])
+            if vocabulary is not None:
+                cross = np.flatnonzero(whole & (first != last))
+                cross = cross[np.isin(grams[cross], vocabulary)]
+                goes_on[first[cross]] = goes_on[last[cross] - 1] = True
+                out.append(grams[cross])
+                of.append(first[cross])
+    begun = np.arange(len(goes_on))
+    begun[1:][goes_on[:-1]] = 0
+    begun = np.maximum.accumulate(begun)
+    return np.concatenate(out), begun[np.concatenate(of)], np.searchsorted(breaks, offsets[:-1]) + np.arange(len(offsets) - 1), breaks, goes_on
 
 
 def plain(data: bytes) -> np.ndarray:
@@ -181,7 +196,7 @@ def document_licenses(docs: DataFrame, id_col: str = "doc_id", text_col: str = "
         for batch in batches:
             for first, last, raw, at in text_slices(batch, 1):
                 data = raw.tobytes()
-                grams, of, begins, breaks = _grams(plain(data), at)
+                grams, of, begins, breaks, goes_on = _grams(plain(data), at, model.vocabulary)
                 names, p = model.probabilities(grams, of)
                 finds: list[list[tuple]] = [[] for _ in range(last - first)]
                 for name, row in zip(names.tolist(), p, strict=True):
@@ -192,6 +207,8 @@ def document_licenses(docs: DataFrame, id_col: str = "doc_id", text_col: str = "
                     k = name - int(begins[doc])
                     nth = name - doc  # newlines before the paragraph
                     start = int(breaks[nth - 1]) + 1 if k else int(at[doc])
+                    while goes_on[nth + doc]:
+                        nth += 1
                     end = min(int(breaks[nth]) if nth < len(breaks) else len(data), int(at[doc + 1]))
                     family, chance = CLASSES[best], float(row[best])
                     text = data[start:end].decode("utf-8", "replace")

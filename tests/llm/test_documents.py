@@ -404,3 +404,14 @@ def test_licenses(spark, no_docs):
     got = {r.doc_id: (r.family, r.paragraphs) for r in license_scan.document_licenses(docs).collect()}
     assert got == {1: ("mit", "1:mit"), 2: (None, ""), 3: ("gpl", "0:gpl"), 4: (None, ""), 5: (None, ""), 6: ("unknown", "0:unknown"), 7: ("cc-by-nc", "2:cc-by-nc"), None: ("mit", "0:mit")}
     assert license_scan.document_licenses(no_docs).count() == 0
+
+
+def test_wrapped_licenses(spark):
+    gpl = "    This program is free software: you can redistribute it and/or modify\n    it under the terms of the GNU General Public License as published by\n    the Free Software Foundation, either version 3 of the License, or\n    (at your option) any later version."
+    mit = "Permission is hereby granted, free of charge, to any person obtaining a copy\nof this software and associated documentation files (the \"Software\"), to deal"
+    narrow = " * Redistribution and use\n * in source and\n * binary forms,\n * with or without\n * modification, are permitted"
+    texts = {1: gpl, 2: mit, 3: f"One line.\n{narrow}\nand more", 4: "Released under the MIT License.\nLicensed under CC BY 4.0.", 5: mit.replace("\nof", "\n\nof")}
+    docs = spark.createDataFrame(list(texts.items()), "doc_id long, text string").repartition(1)
+    got = {r.doc_id: (r.family, r.paragraphs) for r in license_scan.document_licenses(docs).collect()}
+    assert (got[1], got[2], got[3]) == (("gpl", "1:gpl"), ("mit", "0:mit"), ("bsd", "1:bsd"))
+    assert got[4][1] == "0:mit,1:cc-by" and got[5][0] == "unknown"
