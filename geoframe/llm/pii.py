@@ -1,7 +1,8 @@
 """Personal data: fixed patterns, and a semi-Markov conditional random field that adds what they miss.
 
-Every run of white-space separated tokens with a digit or "@" is a region, cut
-into atoms (runs of letters, runs of digits, single other characters).  The field
+Every run of tokens with a digit or "@", at most four blanks apart, is a region; a
+region that begins or ends with "@" takes the word beside it in.  It is cut into
+atoms (runs of letters, runs of digits, single other characters).  The field
 scores whole spans of up to MAX_ATOMS atoms for each kind by features of the
 span as a whole (numbers of digits and dots, octets, check digit, what stands
 before and after), and single atoms as outside.  Dynamic programming over the
@@ -40,7 +41,9 @@ IP = re.compile(r"[0-9]+(\.[0-9]+)(\.[0-9]+)(\.[0-9]+)")
 CARD = re.compile(r"[0-9]([\x20-]?[0-9])+")
 PHONE = re.compile(r"\+[0-9][\x20().0-9-]+[0-9]")
 TRIGGER = re.compile(r"[0-9@]")
-HOT_TOKEN = re.compile(r"[^\s]*[0-9@][^\s]*(?:\s[^\s]*[0-9@][^\s]*)*")
+HOT_TOKEN = re.compile(r"[^\s]*[0-9@][^\s]*(?:\s{1,4}[^\s]*[0-9@][^\s]*)*")
+MORE_HOT = re.compile(r"\s{1,4}(?=[^\s]*[0-9@])")
+WORD_AFTER, WORD_BEFORE = re.compile(r"\s{1,4}\S{1,254}(?!\S)"), re.compile(r"(?<!\S)\S{1,254}\s{1,4}\Z")
 ATOM = re.compile(r"[^\W\d_]+|[0-9]+|[\s\S]")
 DIGITS = re.compile(r"[0-9]")
 SCHEMA = "id long, n_email long, n_ip long, n_card long, n_phone long, base_sha256 string, spans string, n_added long"
@@ -111,7 +114,7 @@ def span_features(s: str, before: str, after: str) -> list[int]:
         "space": " " in signs, "hyphen": "-" in signs, "dot": "." in signs, "paren": "(" in signs and ")" in signs, "octets": small, "octets>255": octets and not small,
         "luhn long": 14 <= n <= 19 and not letters and luhn(digits), "luhn fails long": 14 <= n <= 19 and not letters and not luhn(digits), "other sign": bool(signs - set(" @.-()+_%")),
         "ends sign": not s[-1].isalnum(), "begins sign": not s[0].isalnum() and s[0] not in "+(", "word before": before.isalnum() or before in "@+-.", "word after": after.isalnum() or after == "@",
-        "digit groups": len(groups) > 1, "one group": len(groups) == 1, "@ spaced": " @ " in s, "ten in groups": n == 10 and [len(g) for g in groups] == [3, 3, 4], "slash or equals": bool(signs & set("/=:\"'")),
+        "digit groups": len(groups) > 1, "one group": len(groups) == 1, "@ spaced": bool(re.search(r"\s@\s", s)), "ten in groups": n == 10 and [len(g) for g in groups] == [3, 3, 4], "slash or equals": bool(signs & set("/=:\"'")),
         "letters digits mixed": bool(re.search(r"[A-Za-z][0-9]|[0-9][A-Za-z]", s)) and "@" not in s,
     }
     return [INDEX[name] for name, yes in holds.items() if yes]
@@ -214,14 +217,21 @@ class Field:
 
 def regions(text: str) -> Iterator[tuple[int, str]]:
     """Start and text of every region, found from each trigger outwards."""
-    at = TRIGGER.search(text)
+    at, low = TRIGGER.search(text), 0
     while at:
         start = at.start()
-        while start and not text[start - 1].isspace():
+        while start > low and not text[start - 1].isspace():
             start -= 1
-        found = HOT_TOKEN.match(text, start)
-        yield start, found.group()
-        at = TRIGGER.search(text, found.end())
+        end = HOT_TOKEN.match(text, start).end()
+        while text[end - 1] == "@" and (word := WORD_AFTER.match(text, end)):
+            end = word.end()
+            more = MORE_HOT.match(text, end)
+            end = HOT_TOKEN.match(text, more.end()).end() if more else end
+        if text[start] == "@":
+            before = WORD_BEFORE.search(text[max(low, start - 260) : start])
+            start -= len(before.group()) if before else 0
+        yield start, text[start:end]
+        at, low = TRIGGER.search(text, end), end
 
 
 def _gold(region: Region, spans: list[tuple[int, int, int]]) -> dict[tuple[int, int], int]:

@@ -415,3 +415,14 @@ def test_wrapped_licenses(spark):
     got = {r.doc_id: (r.family, r.paragraphs) for r in license_scan.document_licenses(docs).collect()}
     assert (got[1], got[2], got[3]) == (("gpl", "1:gpl"), ("mit", "0:mit"), ("bsd", "1:bsd"))
     assert got[4][1] == "0:mit,1:cc-by" and got[5][0] == "unknown"
+
+
+def test_taught_spellings_through_personal_data(spark):
+    names = ["anna", "ben.ody", "carl", "dora.lee", "emil", "fay.wu"]
+    seen = [f"Write to {n}@{h}.example.{e} soon, or call +1 ({200 + k}) 555-{1000 + 7 * k} at {k}." for k, (n, h, e) in enumerate((n, h, e) for n in names for h in ("mail", "post", "web") for e in ("com", "org"))]
+    spelled = {"john.smith @ example.com": "email", "john.smith  @  example.com": "email", "(654) 555-7485": "phone", "(654)  555-7485": "phone"}
+    texts = dict(enumerate([*seen, *(f"Please ask {s} about it" for s in spelled), "we met @ noon again"]))
+    got = {r.doc_id: r.spans for r in pii.personal_data(spark.createDataFrame(list(texts.items()), "doc_id long, text string")).collect()}
+    for k, (s, kind) in enumerate(spelled.items(), len(seen)):
+        assert got[k] == f"{kind}:11:{11 + len(s)}"
+    assert got[len(texts) - 1] == ""
