@@ -10,8 +10,8 @@ A decision is predicted by the mixture that this recursion implies: from the
 deepest context up, each node mixes its own estimate with the prediction from
 below, by the weight KT / (2 Pw).  All depths take part.
 
-What is scored is what the base score's tokens say: the words, lower-cased (A-Z),
-one space between them, and an end.  Their UTF-8 bytes stand between bytes 0xFF,
+What is scored are the lower-cased (A-Z) bytes as they stand and an end; with
+`spaced`, only the words with one space between them.  The text's UTF-8 bytes stand between bytes 0xFF,
 which UTF-8 never uses; the closing one is predicted too, so that probabilities
 of all texts add up to at most 1.  Counts come from the documents outside the
 held-out fold and are then fixed.
@@ -219,14 +219,14 @@ def _by_pair(keys: np.ndarray, depth: int) -> np.ndarray:
     return keys >> np.uint64(8 * (depth - 1))
 
 
-def _requests(blocks: DataFrame, buckets: int, depth: int) -> DataFrame:
+def _requests(blocks: DataFrame, buckets: int, depth: int, spaced: bool) -> DataFrame:
     """Words to buckets 0 to buckets - 1, context strings to the next as many."""
 
     def emit(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for row in batch.to_pylist():
                 _, flags, offsets, body = S.unpack_block(row)
-                body, offsets = spaced_words(body, offsets)
+                body, offsets = spaced_words(body, offsets) if spaced else (body.lower(), offsets)
                 out: list[tuple[int, bytes]] = []
                 hashes, per_text = _words(body, offsets)
                 words, counts = _counted(np.append(hashes, END_WORD), np.append(np.repeat(flags, per_text), 0))
@@ -288,14 +288,14 @@ def _fit(requests: DataFrame, buckets: int, depth: int) -> tuple[TopLevels, int,
     return TopLevels(*(got[c].to_numpy() for c in ("node", "n0", "n1", "below"))), tokens, distinct
 
 
-def text_scores(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", depth: int = DEPTH) -> DataFrame:
-    """A row per document: held_out, n_tokens, n_known, train_tokens, base_score, score, scored_bytes, bits_per_byte."""
+def text_scores(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", depth: int = DEPTH, spaced: bool = True) -> DataFrame:
+    """With spaced, of the words only; else of the whole text, in full precision.  A row per document: held_out, n_tokens, n_known, train_tokens, base_score, score, scored_bytes, bits_per_byte."""
     if not 2 <= depth <= 6:
         raise ValueError("depth is 2 to 6: a context and its byte fit into 64 bits with a mark")
     spark = docs.sparkSession
     buckets = 2 * S.partitions(spark)
     blocks = S.text_blocks(docs, id_col, text_col, (S.id_remainder(id_col, 5) != HELD_OUT).cast("byte"), BLOCK_BYTES)
-    requests = _requests(blocks, buckets, depth)
+    requests = _requests(blocks, buckets, depth, spaced)
     top, tokens, distinct = _fit(requests, buckets, depth)
     shared = spark.sparkContext.broadcast(top)
 
@@ -304,7 +304,8 @@ def text_scores(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
         if table.column("bucket")[0].as_py() < buckets:
             values = np.minimum(counts, 2**32 - 1).astype(np.uint32)
         else:
-            values = rounded(ContextTree(keys, counts, depth).log_probability(keys, shared.value))
+            values = ContextTree(keys, counts, depth).log_probability(keys, shared.value)
+            values = rounded(values) if spaced else values.astype(np.float32)
         return pa.table({"block": table.column("block"), "bucket": table.column("bucket"), "data": pa.array([S.packed(values[p]) for p in parts], pa.binary())})
 
     def score(mine: pa.Table, theirs: pa.Table) -> pa.Table:
@@ -312,7 +313,7 @@ def text_scores(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
         out = []
         for row in mine.to_pylist():
             ids, flags, offsets, body = S.unpack_block(row)
-            body, offsets = spaced_words(body, offsets)
+            body, offsets = spaced_words(body, offsets) if spaced else (body.lower(), offsets)
             hashes, per_text = _words(body, offsets)
             words, where = np.unique(np.append(hashes, END_WORD), return_inverse=True)
             known = _replied(words, words, [r for r in replies if r[0] < buckets], 0, buckets, np.uint32).astype(np.float64)

@@ -15,7 +15,7 @@ def _table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 
 
 def op1_context_tree_scores(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return lm_scoring.text_scores(_table(spark, sf_dir, "documents"))
+    return lm_scoring.text_scores(_table(spark, sf_dir, "documents"), spaced=False)
 
 
 def op2_license_scan(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -10,7 +10,7 @@ import numpy as np
 import pytest
 import xxhash
 
-from geoframe.llm import exact_dedup, license_scan, lm_scoring, mixing, packing, pii, quality, simhash, suffix_dedup
+from geoframe.llm import exact_dedup, license_scan, lm_scoring, mixing, packing, pii, quality, queries, simhash, suffix_dedup
 
 
 def plain_words(text):
@@ -426,3 +426,11 @@ def test_taught_spellings_through_personal_data(spark):
     for k, (s, kind) in enumerate(spelled.items(), len(seen)):
         assert got[k] == f"{kind}:11:{11 + len(s)}"
     assert got[len(texts) - 1] == ""
+
+
+def test_layout_is_scored(spark, tmp_path):
+    texts = ["ab cd", "ab\ncd", "ab  cd", " ab cd\n", "\n" * 50, ""]
+    spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string").write.parquet(str(tmp_path / "documents.parquet"))
+    got = {r.doc_id: r for r in queries.op1_context_tree_scores(spark, str(tmp_path)).collect()}
+    assert [got[k].scored_bytes for k in range(6)] == [len(t) for t in texts]
+    assert len({got[k].score for k in range(6)}) == 6
