@@ -8,7 +8,9 @@ of one row per position.
 
 from __future__ import annotations
 
+import re
 import tempfile
+import uuid
 from collections.abc import Callable, Iterator
 
 import numpy as np
@@ -22,20 +24,40 @@ BLOCK_SCHEMA = "block long, ids array<long>, flags binary, sizes binary, body bi
 
 
 def shared_folder(spark: SparkSession) -> str:
-    """The session's checkpoint folder; only where none is set (tests, a laptop) a temporary one takes its place."""
+    """The session's checkpoint folder; only on a local master, where none is set, a temporary one takes its place."""
     context = spark.sparkContext
     if not context._jsc.sc().getCheckpointDir().isDefined():
         folder = spark.conf.get("spark.checkpoint.dir", None)
+        if not folder and not re.match(r"local(\[|$)", context.master):
+            raise ValueError("set spark.checkpoint.dir to a folder that the driver and all executors share")
         context.setCheckpointDir(folder or tempfile.mkdtemp(prefix="spark-checkpoint-"))
     return context._jsc.sc().getCheckpointDir().get()
 
 
+def written(df: DataFrame) -> tuple[DataFrame, Callable[[], None]]:
+    """df as a table in the shared folder, and a function that deletes the table once nothing reads it any more."""
+    spark = df.sparkSession
+    folder = f"{shared_folder(spark)}/table-{uuid.uuid4().hex}"
+    df.write.parquet(folder)
+
+    def delete() -> None:
+        path = spark._jvm.org.apache.hadoop.fs.Path(folder)
+        path.getFileSystem(spark._jsc.hadoopConfiguration()).delete(path, True)
+
+    return spark.read.schema(df.schema).parquet(folder), delete
+
+
 def checkpointed(df: DataFrame) -> DataFrame:
     """Write df to the shared checkpoint folder and go on from there."""
     shared_folder(df.sparkSession)
     return df.checkpoint(eager=True)
 
 
+def renamed(docs: DataFrame, *names: str) -> tuple[DataFrame, list[str]]:
+    """docs with its columns called c0, c1, ... in their order, and what `names` are called now: no column of the user's can clash with an operator's own, and names may hold any sign."""
+    return docs.toDF(*(f"c{k}" for k in range(len(docs.columns)))), [f"c{docs.columns.index(n)}" for n in names]
+
+
 def partitions(spark: SparkSession) -> int:
     return int(spark.conf.get("spark.sql.shuffle.partitions"))
 
@@ -164,43 +186,10 @@ REQUEST_SCHEMA = "bucket long, block long, data binary"
 REPLY_SCHEMA = "block long, bucket long, data binary"
 
 
-def request_batches(block: int, keys: np.ndarray, values: np.ndarray, n: int) -> Iterator[pa.RecordBatch]:
-    """A block's sorted distinct keys with their values, one row for each bucket."""
-    order, ends = dealt(keys, n)
-    buckets, data = [], []
-    for b in range(n):
-        if ends[b + 1] > ends[b]:
-            own = order[ends[b] : ends[b + 1]]
-            buckets.append(b)
-            data.append(packed(delta(keys[own]), values[own]))
-    if buckets:
-        yield pa.RecordBatch.from_arrays([pa.array(buckets, pa.int64()), pa.array([block] * len(buckets), pa.int64()), pa.array(data, pa.binary())], names=["bucket", "block", "data"])
-
-
 def replied(keys: np.ndarray, replies: list[tuple[int, bytes]], kind: type, n: int) -> np.ndarray:
-    """The replies to request_batches(), in the order of keys."""
+    """The replies to a block's sorted keys, dealt to n buckets, in the order of keys."""
     order, ends = dealt(keys, n)
     out = np.zeros(len(keys), kind)
     for b, data in replies:
         out[order[ends[b] : ends[b + 1]]] = unpacked(data, kind)[0]
     return out
-
-
-def key_counts(requests: DataFrame, also: Callable | None = None) -> DataFrame:
-    """For each key that blocks ask about, the sum of its values (uint32) over all blocks, saturated.
-
-    A bucket holds at most one entry per block and key, however often a key occurs.
-    """
-
-    def reduce(table: pa.Table) -> pa.Table:
-        blocks, data = table.column("block").to_pylist(), table.column("data").to_pylist()
-        parts = [unpacked(x, np.uint64, np.uint32) for x in data]
-        keys = [np.cumsum(k, dtype=np.uint64) for k, _ in parts]
-        distinct, where = np.unique(np.concatenate(keys), return_inverse=True)
-        total = np.bincount(where, np.concatenate([v for _, v in parts]), len(distinct))
-        total = np.minimum(total, 2**32 - 1).astype(np.uint32)
-        ends = np.cumsum([len(k) for k in keys])[:-1]
-        out = [packed(total[part]) for part in np.split(where, ends)]
-        return pa.table({"block": pa.array(blocks, pa.int64()), "bucket": table.column("bucket"), "data": pa.array(out, pa.binary())})
-
-    return requests.groupBy("bucket").applyInArrow(reduce, REPLY_SCHEMA)

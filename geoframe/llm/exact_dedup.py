@@ -8,8 +8,9 @@ certain; those digests are grouped among themselves.
 
 Defined results: a null text counts as the empty text.  Of rows with equal text
 the largest id stays (a null id is below any other); of repeated rows with the
-same id and text exactly one is kept.  An empty table gives an empty result.
-Other columns, whatever their names, are not looked at.
+same id and text exactly one is kept.  A very long text is read once, by Spark's
+own SHA-256, and travels only where whole documents are returned.  An empty table
+gives an empty result.  Other columns, whatever their names, are not looked at.
 """
 
 from __future__ import annotations
@@ -19,7 +20,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from geoframe.llm._shared import mixed, partitions
+from geoframe.llm._shared import mixed, partitions, renamed
 
 INDEX_SCHEMA = "bucket long, sizes binary, bits binary, digests binary, winners binary, counts binary"
 NO_ID = np.iinfo(np.int64).min
@@ -35,12 +36,18 @@ def distinct_digests(rows: DataFrame, buckets: int) -> DataFrame:
     return grouped.withColumn("bucket", F.pmod(F.xxhash64("digest"), F.lit(buckets)))
 
 
+def _places(words: np.ndarray, level: int, size: int) -> np.ndarray:
+    """Where a level of `size` bits sends keys of one or more 64-bit words. Each level reads another word, so that keys part at some level if they differ anywhere."""
+    return (mixed(words[:, level % words.shape[1]] + np.uint64(level)) % np.uint64(size)).astype(np.int64)
+
+
 def _levels(keys: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """Sizes of the levels, their bits, and each key's slot: a minimal perfect hash of distinct keys."""
+    """Sizes of the levels, their bits, and each key's slot: a minimal perfect hash of distinct keys (rows of 64-bit words)."""
+    keys = keys[:, None] if keys.ndim == 1 else keys
     slot, rest, sizes, bits, used = np.zeros(len(keys), np.int64), np.arange(len(keys)), [], [], 0
     while len(rest):
         size = max(64, 2 * len(rest))
-        at = (mixed(keys[rest] + np.uint64(len(sizes))) % np.uint64(size)).astype(np.int64)
+        at = _places(keys[rest], len(sizes), size)
         alone = np.bincount(at, minlength=size) == 1
         done = alone[at]
         slot[rest[done]] = used + np.cumsum(alone)[at[done]] - 1
@@ -53,19 +60,19 @@ def _levels(keys: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
 
 def _slots(keys: np.ndarray, sizes: np.ndarray, bits: np.ndarray) -> np.ndarray:
     """The slot of each key, or -1 where no level has its bit."""
+    keys = keys[:, None] if keys.ndim == 1 else keys
     out, open_, first, rank = np.full(len(keys), -1, np.int64), np.arange(len(keys)), 0, np.cumsum(bits) - 1
-    for level, size in enumerate(sizes):
-        at = first + (mixed(keys[open_] + np.uint64(level)) % np.uint64(size)).astype(np.int64)
+    for level, size in enumerate(sizes.tolist()):
+        at = first + _places(keys[open_], level, size)
         hit = bits[at]
         out[open_[hit]] = rank[at[hit]]
-        open_, first = open_[~hit], first + int(size)
+        open_, first = open_[~hit], first + size
     return out
 
 
 def _keys(digests: np.ndarray) -> np.ndarray:
-    """64 bits of each digest; digests that share them are told apart by the next 64."""
-    words = digests.view(np.uint64).reshape(-1, 4)
-    return words[:, 0] ^ mixed(words[:, 1])
+    """The four 64-bit words of each digest."""
+    return np.ascontiguousarray(digests).view(np.uint64).reshape(-1, 4)
 
 
 def _digests(column: pa.ChunkedArray) -> np.ndarray:
@@ -127,22 +134,28 @@ def older_half(docs: DataFrame, id_col: str = "doc_id") -> Column:
 
 
 def exact_duplicates(docs: DataFrame, history: Column | None = None, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """A row per document: id, keep_id, group_size, kept, text_sha256."""
+    """A row per document: id, keep_id, group_size, kept, text_sha256.
+
+    Repeated (text, id) rows are numbered before the join on the text, by a shuffle
+    that spreads a common text over its ids; after the join no step needs a text's
+    rows together, so that a skewed join can be split.
+    """
     found = resolved_digests(docs, older_half(docs, id_col) if history is None else history, id_col, text_col)
-    rows = docs.select(F.col(id_col).alias(id_col), F.coalesce(F.col(id_col).cast("long"), F.lit(NO_ID)).alias("__id"), text_digest(text_col).alias("digest"))
-    nth = F.row_number().over(Window.partitionBy("digest", "__id").orderBy("__id"))
-    joined = rows.join(found, "digest").withColumn("__nth", nth)
+    rows = docs.select(F.col(id_col).alias("own"), F.coalesce(F.col(id_col).cast("long"), F.lit(NO_ID)).alias("id"), text_digest(text_col).alias("digest"))
+    nth = F.row_number().over(Window.partitionBy("digest", "id").orderBy("id"))
+    joined = rows.withColumn("nth", nth).join(found, "digest")
     return joined.select(
-        id_col, F.nullif("winner", F.lit(NO_ID)).alias("keep_id"), F.col("count").alias("group_size"),
-        ((F.col("__id") == F.col("winner")) & (F.col("__nth") == 1)).alias("kept"), F.lower(F.hex("digest")).alias("text_sha256"),
+        F.col("own").alias(id_col), F.nullif("winner", F.lit(NO_ID)).alias("keep_id"), F.col("count").alias("group_size"),
+        ((F.col("id") == F.col("winner")) & (F.col("nth") == 1)).alias("kept"), F.lower(F.hex("digest")).alias("text_sha256"),
     )
 
 
 def drop_exact_duplicates(docs: DataFrame, history: Column | None = None, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """docs with one row of each text, all columns as they were."""
     found = resolved_digests(docs, older_half(docs, id_col) if history is None else history, id_col, text_col)
-    winners = found.select(F.col("digest").alias("__digest"), F.col("winner").alias("__winner"))
-    rows = docs.withColumn("__digest", text_digest(text_col)).withColumn("__winner", F.coalesce(F.col(id_col).cast("long"), F.lit(NO_ID)))
-    nth = F.row_number().over(Window.partitionBy("__digest", "__winner").orderBy("__digest", "__winner"))
-    kept = rows.join(winners, ["__digest", "__winner"], "left_semi")
-    return kept.withColumn("__nth", nth).filter("__nth = 1").select(*docs.columns)
+    winners = found.select("digest", F.col("winner").alias("id"))
+    own, (at, text) = renamed(docs, id_col, text_col)
+    rows = own.withColumn("digest", text_digest(text)).withColumn("id", F.coalesce(F.col(at).cast("long"), F.lit(NO_ID)))
+    nth = F.row_number().over(Window.partitionBy("digest", "id").orderBy("digest", "id"))
+    kept = rows.join(winners, ["digest", "id"], "left_semi").withColumn("nth", nth).filter("nth = 1")
+    return kept.select(*own.columns).toDF(*docs.columns)

@@ -14,7 +14,9 @@ fingerprint zero, which links like any other; a text of fewer words than a
 shingle is one shingle.  Rows with equal ids are separate documents of one
 component if their texts are; where one document of a group is kept, all rows
 with its id are.  A null id takes part but is never a component_id, unless its
-component has no other id (then that is null).
+component has no other id (then that is null).  A very long text is hashed whole,
+in some 70 bytes of memory for each of its words; an empty table gives an empty
+result.  Other columns, whatever their names, are not looked at.
 """
 
 from __future__ import annotations
@@ -27,7 +29,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from geoframe.llm._shared import checkpointed
+from geoframe.llm._shared import checkpointed, renamed, written
 
 SHINGLE_WORDS, MAX_BITS, BLOCKS = 3, 3, 6
 
@@ -137,7 +139,8 @@ def components(edges: DataFrame) -> DataFrame:
 
     Alternating stars: each node's links are moved to the least node it knows of,
     which ends in stars around each component's least node after few rounds.
-    Rounds are cut by checkpoints; the rounds end when nothing moved.
+    Each round is written to the shared folder, where only the last one stays; the
+    rounds end when nothing moved.
     """
 
     def one_way(pairs: DataFrame) -> DataFrame:
@@ -146,7 +149,7 @@ def components(edges: DataFrame) -> DataFrame:
     def seen(pairs: DataFrame) -> tuple:
         return tuple(pairs.agg(F.count("*"), F.sum(F.xxhash64("a", "b").cast("decimal(38,0)"))).first())
 
-    now = checkpointed(one_way(edges))
+    now, delete = written(one_way(edges))
     state = seen(now)
     while True:
         both = now.unionByName(now.select(F.col("b").alias("a"), F.col("a").alias("b")))
@@ -154,7 +157,9 @@ def components(edges: DataFrame) -> DataFrame:
         large = one_way(both.filter("b > a").join(least, "a").select(F.col("b").alias("a"), F.col("m").alias("b")).unionByName(now.join(least, "a").select("a", F.col("m").alias("b"))))
         low = large.groupBy("a").agg(F.min("b").alias("m"))
         small = one_way(large.join(low, "a").select(F.col("b").alias("a"), F.col("m").alias("b")).unionByName(low.select("a", F.col("m").alias("b"))))
-        now = checkpointed(small)
+        now, used = written(small)
+        delete()
+        delete = used
         before, state = state, seen(now)
         if state == before:
             return now.select(F.col("a").alias("node"), F.col("b").alias("label"))
@@ -174,5 +179,6 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
 def drop_near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", words: int = SHINGLE_WORDS, differing: int = MAX_BITS) -> DataFrame:
     """docs with one document of each group: the one whose id is the component_id."""
     found = near_duplicates(docs, id_col, text_col, words, differing)
-    winners = found.filter(F.col(id_col).eqNullSafe(F.col("component_id"))).select(F.col(id_col).alias("__id")).distinct()
-    return docs.join(winners, F.col(id_col).eqNullSafe(F.col("__id")), "left_semi")
+    winners = found.filter(F.col(id_col).eqNullSafe(F.col("component_id"))).select(F.col(id_col).alias("id")).distinct()
+    own, (at,) = renamed(docs, id_col)
+    return own.join(winners, F.col(at).eqNullSafe(F.col("id")), "left_semi").toDF(*docs.columns)
