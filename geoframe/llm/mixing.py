@@ -18,8 +18,11 @@ holds a whole source.
 
 Defined results: a null text has size 0; sources rank by code point with null
 last and are one source if equal; rows with size 0 or of a source of size 0 are
-taken 0 times and have no position; repeated rows count as many documents; an
-empty table gives an empty result.  All other columns are kept as they are.
+taken 0 times and have no position; repeated rows count as many documents (equal
+rows stand side by side on the line, and which is which makes no difference); rows
+without an id are ordered by their text; a very long text is one document like any
+other and is never cut apart; an empty table gives an empty result.  All other
+columns are kept as they are, whatever their names.
 """
 
 from __future__ import annotations
@@ -27,6 +30,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from geoframe.llm._shared import renamed
+
 WEIGHTS, SHARE, CAP = (5, 2, 1), 1.5, 2
 #: By source rank, repeating: (time, weight) knots. The heaviest sources start high and make room for the lighter ones.
 SCHEDULES = (((0.0, 1.5), (0.5, 1.0), (1.0, 0.5)), ((0.0, 1.0), (1.0, 1.0)), ((0.0, 0.5), (0.5, 1.0), (1.0, 1.5)))
@@ -62,21 +67,22 @@ def inverse_demand(knots: tuple, done: Column) -> Column:
     return found.otherwise(F.lit(1.0))
 
 
-def curriculum(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", source_col: str = "source", weights: tuple = WEIGHTS, share: float = SHARE, cap: int = CAP, schedules: tuple = SCHEDULES, whole_documents: bool = False, slice_digits: int = 3) -> DataFrame:
-    """docs with struct __mix: size, source_size, target, taken, visits (array of position and words)."""
-    key = F.md5(F.coalesce(F.col(id_col).cast("string"), F.lit("")).cast("binary"))
-    rows = docs.withColumn("__size", F.regexp_count(F.coalesce(F.col(text_col), F.lit("")), F.lit(WORD)).cast("long")).withColumn("__key", key)
-    rows = rows.withColumn("__slice", F.substring("__key", 1, slice_digits)).withColumn("__source", F.struct(F.col(source_col).alias("source")))
-    slices = rows.groupBy("__source", "__slice").agg(F.sum("__size").alias("__sum"))
-    before = Window.partitionBy("__source").orderBy("__slice").rowsBetween(Window.unboundedPreceding, -1)
-    slices = slices.withColumn("__before", F.coalesce(F.sum("__sum").over(before), F.lit(0)))
-    targets = source_targets(slices.groupBy("__source").agg(F.sum("__sum").alias("source_size")).select("__source.source", "source_size"), weights, share, cap)
-    slices = slices.join(targets.withColumn("__source", F.struct("source")), "__source").drop("__sum", "source")
-    within = Window.partitionBy("__source", "__slice").orderBy("__key", id_col, "__size").rowsBetween(Window.unboundedPreceding, -1)
-    slices = slices.select("__source", "__slice", F.struct("__before", "source_size", "target", "rank").alias("__line"))
-    placed = rows.withColumn("__at", F.coalesce(F.sum("__size").over(within), F.lit(0))).join(slices, ["__source", "__slice"])
-    size, source_size, target = F.col("__size"), F.col("__line.source_size"), F.col("__line.target")
-    start = F.col("__line.__before") + F.col("__at")
+def _placed(docs: DataFrame, id_col: str, text_col: str, source_col: str, weights: tuple, share: float, cap: int, schedules: tuple, whole_documents: bool, slice_digits: int) -> DataFrame:
+    """docs with its columns called c0, c1, ... and a struct mix: size, source_size, target, taken, visits (array of position and words)."""
+    own, (id_, text, source) = renamed(docs, id_col, text_col, source_col)
+    body = F.coalesce(F.col(text), F.lit(""))
+    key = F.md5(F.coalesce(F.col(id_).cast("string"), F.md5(body.cast("binary"))).cast("binary"))
+    rows = own.withColumn("size", F.regexp_count(body, F.lit(WORD)).cast("long")).withColumn("key", key)
+    rows = rows.withColumn("slice", F.substring("key", 1, slice_digits)).withColumn("source", F.struct(F.col(source).alias("source")))
+    slices = rows.groupBy("source", "slice").agg(F.sum("size").alias("sum"))
+    before = Window.partitionBy("source").orderBy("slice").rowsBetween(Window.unboundedPreceding, -1)
+    slices = slices.withColumn("before", F.coalesce(F.sum("sum").over(before), F.lit(0)))
+    targets = source_targets(slices.groupBy("source").agg(F.sum("sum").alias("source_size")).select("source.source", "source_size"), weights, share, cap)
+    slices = slices.join(targets.withColumn("source", F.struct("source")), "source").select("source", "slice", F.struct("before", "source_size", "target", "rank").alias("line"))
+    within = Window.partitionBy("source", "slice").orderBy("key", id_, "size").rowsBetween(Window.unboundedPreceding, -1)
+    placed = rows.withColumn("at", F.coalesce(F.sum("size").over(within), F.lit(0))).join(slices, ["source", "slice"])
+    size, source_size, target = F.col("size"), F.col("line.source_size"), F.col("line.target")
+    start = F.col("line.before") + F.col("at")
 
     def visit(turn: Column) -> Column:
         begins = turn * source_size + start
@@ -84,19 +90,29 @@ def curriculum(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
         if whole_documents:
             words = F.when(2 * words >= size, size).otherwise(F.lit(0))
         done = F.try_divide(begins, target)
-        which = F.col("__line.rank") % len(schedules)
+        which = F.col("line.rank") % len(schedules)
         time = F.lit(None).cast("double")
         for k, knots in enumerate(schedules):
             time = F.when(which == k, inverse_demand(knots, done)).otherwise(time)
         return F.struct(time.alias("position"), words.alias("words"))
 
     visits = F.filter(F.transform(F.sequence(F.lit(0), F.lit(cap - 1)), visit), lambda v: v["words"] > 0)
-    taken = F.aggregate(F.col("__visits"), F.lit(0).cast("long"), lambda n, v: n + v["words"])
-    mix = F.struct(size.alias("size"), source_size.alias("source_size"), target.alias("target"), taken.alias("taken"), F.col("__visits").alias("visits"))
-    return placed.withColumn("__visits", visits).select(*docs.columns, mix.alias("__mix"))
+    taken = F.aggregate(F.col("visits"), F.lit(0).cast("long"), lambda n, v: n + v["words"])
+    mix = F.struct(size.alias("size"), source_size.alias("source_size"), target.alias("target"), taken.alias("taken"), F.col("visits").alias("visits"))
+    return placed.withColumn("visits", visits).select(*own.columns, mix.alias("mix"))
 
 
-def mixed_documents(docs: DataFrame, **options: object) -> DataFrame:
-    """A row for each time the mix takes a document whole, all columns as they were, range-sorted by training position."""
-    visits = curriculum(docs, whole_documents=True, **options).withColumn("__visit", F.explode("__mix.visits"))
-    return visits.repartitionByRange("__visit.position").sortWithinPartitions("__visit.position").select(*docs.columns)
+def curriculum(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", source_col: str = "source", weights: tuple = WEIGHTS, share: float = SHARE, cap: int = CAP, schedules: tuple = SCHEDULES, whole_documents: bool = False, slice_digits: int = 3) -> DataFrame:
+    """docs with struct __mix (with one more underscore in front for each such column of the user's): size, source_size, target, taken, visits (array of position and words)."""
+    name = "__mix"
+    while name in docs.columns:
+        name = f"_{name}"
+    return _placed(docs, id_col, text_col, source_col, weights, share, cap, schedules, whole_documents, slice_digits).toDF(*docs.columns, name)
+
+
+def mixed_documents(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", source_col: str = "source", weights: tuple = WEIGHTS, share: float = SHARE, cap: int = CAP, schedules: tuple = SCHEDULES, slice_digits: int = 3) -> DataFrame:
+    """A row for each time the mix takes a document whole, all columns as they were, range-sorted by training position; the id parts equal positions."""
+    placed = _placed(docs, id_col, text_col, source_col, weights, share, cap, schedules, True, slice_digits)
+    order = ["visit.position", f"c{docs.columns.index(id_col)}"]
+    visits = placed.withColumn("visit", F.explode("mix.visits")).repartitionByRange(*order).sortWithinPartitions(*order)
+    return visits.select(*placed.columns[:-1]).toDF(*docs.columns)

@@ -15,7 +15,7 @@ def _table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 
 
 def op1_context_tree_scores(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return lm_scoring.text_scores(_table(spark, sf_dir, "documents"), spaced=False)
+    return lm_scoring.text_scores(_table(spark, sf_dir, "documents"))
 
 
 def op2_license_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -31,7 +31,7 @@ def op4_mixing_curriculum(spark: SparkSession, sf_dir: str) -> DataFrame:
     mixed = mixing.curriculum(_table(spark, sf_dir, "documents")).select("doc_id", "__mix.*")
     first = F.round(F.get("visits", F.lit(0))["position"], 6)
     rows = mixed.select("doc_id", "size", "source_size", "target", "taken", first.alias("first_position"))
-    return rows.repartitionByRange("first_position").sortWithinPartitions("first_position")
+    return rows.repartitionByRange("first_position", "doc_id").sortWithinPartitions("first_position", "doc_id")
 
 
 def op5_suffix_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -61,7 +61,7 @@ def op10_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
 OP4_SQL = r"""
 WITH sized AS (
   SELECT doc_id, source, CAST(len(regexp_extract_all(coalesce(text, ''), '[^\x20\x09-\x0D]+')) AS BIGINT) AS size,
-         md5(coalesce(CAST(doc_id AS VARCHAR), '')) AS k
+         md5(coalesce(CAST(doc_id AS VARCHAR), md5(coalesce(text, '')))) AS k
   FROM documents),
 placed AS (
   SELECT *, CAST(coalesce(sum(size) OVER (PARTITION BY source ORDER BY k, doc_id, size ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS BIGINT) AS start
