@@ -5,27 +5,31 @@ region that begins or ends with "@" takes the word beside it in.  It is cut into
 atoms (runs of letters, runs of digits, single other characters).  The field
 scores whole spans of up to MAX_ATOMS atoms for each kind by features of the
 span as a whole (numbers of digits and dots, octets, check digit, what stands
-before and after), and single atoms as outside.  Dynamic programming over the
-atoms chooses boundaries and kinds jointly; work per atom is bounded.
+before and after), and single atoms as outside.  An entity has MAX_ATOMS atoms and
+MAX_CHARS characters at most.  Dynamic programming over the atoms chooses
+boundaries and kinds jointly; work per atom is bounded, and what is decided for
+certain leaves the memory, so that a region may be of any length.
 
 The field is trained on the driver by the exact gradient of its likelihood, on at
-most TRAIN_REGIONS regions of each kind from at most TRAIN_DOCUMENTS documents
-(the least by a hash of the id).  Labels are the patterns' own matches, plus the
+most TRAIN_REGIONS regions of each kind, of TRAIN_CHARS characters at most, from at
+most TRAIN_DOCUMENTS documents (the least by a hash of the id).  Labels are the patterns' own matches, plus the
 same regions written in ways that the patterns do not know (no country code, a
 spaced "@", dotted card numbers), which is what the field then adds.
 
 Pattern matches always stay; a span of the field is added where it overlaps none.
 
 Defined results: a null text counts as empty; documents are independent, so
-repeated rows give equal results; without training regions nothing is added; an
-empty table gives an empty result.  Other columns are not looked at.
+repeated rows give equal results; of two labellings with equal scores the one with
+less in it is chosen; a very long text is read whole, in time and memory in
+proportion to it; without training regions nothing is added; an empty table gives
+an empty result.  Other columns are not looked at.
 """
 
 from __future__ import annotations
 
 import hashlib
 import re
-from collections.abc import Iterator
+from collections.abc import Iterable, Iterator
 from functools import lru_cache
 
 import numpy as np
@@ -34,14 +38,16 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 KINDS = ("email", "ip", "card", "phone")
-TRAIN_DOCUMENTS, TRAIN_REGIONS, MAX_ATOMS, STEPS = 6000, 60, 16, 60
+TRAIN_DOCUMENTS, TRAIN_REGIONS, TRAIN_CHARS, MAX_ATOMS, MAX_CHARS, STEPS = 6000, 60, 200, 16, 320, 60
+FLUSH, CACHED_CHARS, SEEN = 4096, 512, 1 << 16
 LOCAL = frozenset("ABCDEFGHIJKLMNOPQRSTUVWXYZabcdefghijklmnopqrstuvwxyz0123456789._%+-")
-EMAIL = re.compile(r"[A-Za-z0-9._%+-]+@[A-Za-z0-9-]+(\.[A-Za-z0-9-]+)+")
-IP = re.compile(r"[0-9]+(\.[0-9]+)(\.[0-9]+)(\.[0-9]+)")
-CARD = re.compile(r"[0-9]([\x20-]?[0-9])+")
+#: The patterns give nothing back once they have matched (no search from within a run of digits, no way back into a group): the same matches in linear time.
+EMAIL = re.compile(r"[A-Za-z0-9._%+-]++@[A-Za-z0-9-]++(?:\.[A-Za-z0-9-]++)++")
+IP = re.compile(r"(?<![0-9])[0-9]++\.[0-9]++\.[0-9]++\.[0-9]++")
+CARD = re.compile(r"[0-9](?:[\x20-]?[0-9])++")
 PHONE = re.compile(r"\+[0-9][\x20().0-9-]+[0-9]")
 TRIGGER = re.compile(r"[0-9@]")
-HOT_TOKEN = re.compile(r"[^\s]*[0-9@][^\s]*(?:\s{1,4}[^\s]*[0-9@][^\s]*)*")
+HOT_TOKEN = re.compile(r"[^\s]*[0-9@][^\s]*(?:\s{1,4}[^\s]*[0-9@][^\s]*)*+")
 MORE_HOT = re.compile(r"\s{1,4}(?=[^\s]*[0-9@])")
 WORD_AFTER, WORD_BEFORE = re.compile(r"\s{1,4}\S{1,254}(?!\S)"), re.compile(r"(?<!\S)\S{1,254}\s{1,4}\Z")
 ATOM = re.compile(r"[^\W\d_]+|[0-9]+|[\s\S]")
@@ -57,6 +63,12 @@ def luhn(digits: str) -> bool:
     return total % 10 == 0
 
 
+def octet(digits: str) -> bool:
+    """Whether a run of digits, however long, is 255 at most."""
+    digits = digits.lstrip("0")
+    return len(digits) <= 3 and int(digits or "0") <= 255
+
+
 def _emails(text: str) -> Iterator[tuple[int, int]]:
     """The matches of EMAIL, found from each "@" backwards, so that text without one costs nothing."""
     at = text.find("@")
@@ -78,7 +90,7 @@ def base_spans(text: str) -> list[tuple[int, int, int]]:
         return []
     out = [(a, 0, b) for a, b in _emails(text)]
     for m in IP.finditer(text):
-        if all(len(x.lstrip("0")) <= 3 and int(x) <= 255 for x in m.group().split(".")):
+        if all(map(octet, m.group().split("."))):
             out.append((m.start(), 1, m.end()))
     for m in CARD.finditer(text):
         digits = m.group().replace(" ", "").replace("-", "")
@@ -106,7 +118,7 @@ def span_features(s: str, before: str, after: str) -> list[int]:
     n, letters = len(digits), any(c.isalpha() for c in s)
     groups = re.findall(r"[0-9]+", s)
     octets = bool(re.fullmatch(r"[0-9]+\.[0-9]+\.[0-9]+\.[0-9]+", s))
-    small = octets and all(int(x) <= 255 for x in groups)
+    small = octets and all(map(octet, groups))
     signs = {c for c in s if not c.isalnum()}
     holds = {
         "bias": True, "digits<10": 0 < n < 10, "digits10": n == 10, "digits11-13": 11 <= n <= 13, "digits14-19": 14 <= n <= 19, "digits>19": n > 19, "no digit": n == 0,
@@ -134,6 +146,8 @@ class Region:
                 continue
             for j in range(i + 1, min(self.n, i + MAX_ATOMS) + 1):
                 b = self.edges[j]
+                if b - a > MAX_CHARS:
+                    break
                 if text[b - 1].isspace() or not TRIGGER.search(text, a, b):
                     continue
                 self.spans.append((i, j))
@@ -148,6 +162,7 @@ class Field:
 
     def __init__(self) -> None:
         self.w = np.zeros((len(NAMES), len(KINDS)))
+        self.seen: dict[tuple, tuple[int, float]] = {}
         self.w[0] = -3.0
 
     def _by_end(self, region: Region) -> list[list[int]]:
@@ -188,30 +203,67 @@ class Field:
             self.w += rate * g / (np.sqrt(total) + 1e-8)
         return self
 
+    def _best(self, *span: str) -> tuple[int, float]:
+        """The best kind of a span and its score; kept for spans met again."""
+        if span not in self.seen:
+            if len(self.seen) >= SEEN:
+                self.seen.clear()
+            scores = self.w[span_features(*span)].sum(axis=0)
+            kind = int(scores.argmax())
+            self.seen[span] = kind, float(scores[kind])
+        return self.seen[span]
+
     def decode(self, text: str) -> list[tuple[int, int, int]]:
-        """The best segmentation's spans of a region, as (start, kind, end); holds a few numbers per atom, however long the region."""
-        edges = [m.start() for m in ATOM.finditer(text)] + [len(text)]
-        best, back = [0.0] * len(edges), [None] * len(edges)
-        for j in range(1, len(edges)):
-            best[j], b = best[j - 1], edges[j]
-            if text[b - 1].isspace():
-                continue
-            for i in range(max(0, j - MAX_ATOMS), j):
-                a = edges[i]
-                if text[a].isspace() or not TRIGGER.search(text, a, b):
-                    continue
-                scores = self.w[span_features(text[a:b], text[a - 1 : a] or " ", text[b : b + 1] or " ")].sum(axis=0)
-                kind = int(scores.argmax())
-                if best[i] + scores[kind] > best[j]:
-                    best[j], back[j] = best[i] + float(scores[kind]), (i, kind)
-        out, j = [], len(edges) - 1
+        return list(self.segments(text))
+
+    def segments(self, text: str) -> Iterator[tuple[int, int, int]]:
+        """The best segmentation's spans of a region, as (start, kind, end).
+
+        A forward pass over the atoms; whenever FLUSH of them wait, the part that the
+        best paths to all ends in reach have in common is given out and forgotten.
+        """
+        edges, best, back = [0], [0.0], [None]  # of the atoms' ends from the last sure one on
+        for atom in ATOM.finditer(text):
+            b, j = atom.end(), len(edges)
+            edges.append(b)
+            best.append(best[-1])
+            back.append(None)
+            if not text[b - 1].isspace():
+                for i in range(j - 1, max(0, j - MAX_ATOMS) - 1, -1):
+                    a = edges[i]
+                    if b - a > MAX_CHARS:
+                        break
+                    if text[a].isspace() or not TRIGGER.search(text, a, b):
+                        continue
+                    kind, score = self._best(text[a:b], text[a - 1 : a] or " ", text[b : b + 1] or " ")
+                    if best[i] + score > best[j]:
+                        best[j], back[j] = best[i] + score, (i, kind)
+            if j >= FLUSH and j % MAX_ATOMS == 0:
+                sure = set.intersection(*(set(self._path(back, k)) for k in range(j - MAX_ATOMS, j + 1)))
+                cut = max(sure)
+                if cut:
+                    yield from self._spans(edges, back, cut)
+                    edges, best, back = edges[cut:], best[cut:], [None, *((x and (x[0] - cut, x[1])) for x in back[cut + 1 :])]
+        yield from self._spans(edges, back, len(edges) - 1)
+
+    @staticmethod
+    def _path(back: list, j: int) -> Iterator[int]:
+        """The edges that the best path to edge j passes."""
         while j > 0:
-            if back[j] is None:
-                j -= 1
-            else:
+            yield j
+            j = back[j][0] if back[j] else j - 1
+        yield 0
+
+    @staticmethod
+    def _spans(edges: list[int], back: list, j: int) -> list[tuple[int, int, int]]:
+        out = []
+        while j > 0:
+            if back[j]:
                 i, kind = back[j]
                 out.append((edges[i], kind, edges[j]))
                 j = i
+            else:
+                j -= 1
         return out[::-1]
 
 
@@ -264,7 +316,7 @@ def fit_field(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -
             out = []
             for text in batch.column(0).to_pylist():
                 for _, s in regions(text):
-                    if len(s) <= 200:
+                    if len(s) <= TRAIN_CHARS:
                         spans = base_spans(s)
                         out.append((spans[0][1] if spans else len(KINDS), s))
             yield pa.RecordBatch.from_arrays([pa.array([k for k, _ in out], pa.int32()), pa.array([s for _, s in out], pa.string())], names=["kind", "region"])
@@ -279,6 +331,17 @@ def fit_field(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -
     return Field().fit(data) if data else Field()
 
 
+def _beside(base: list[tuple[int, int, int]], spans: Iterable[tuple[int, int, int]]) -> Iterator[tuple[int, int, int]]:
+    """The spans that overlap none of base; both are sorted and are read once."""
+    at, reach = 0, 0
+    for a, kind, b in spans:
+        while at < len(base) and base[at][0] < b:
+            reach = max(reach, base[at][2])
+            at += 1
+        if reach <= a:
+            yield a, kind, b
+
+
 def personal_data(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", field: Field | None = None) -> DataFrame:
     """A row per document: counts and digest of the patterns' matches, all spans, and how many the field added."""
     field = field or fit_field(docs, id_col, text_col)
@@ -289,19 +352,15 @@ def personal_data(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text
         own.w = weights
 
         @lru_cache(4096)
-        def decoded(s: str) -> tuple:
-            return tuple(own.decode(s))
+        def short(s: str) -> tuple:
+            return tuple(own.segments(s))
 
         for batch in batches:
             out = []
             for k in range(batch.num_rows):
                 text = batch.column(1)[k].as_py()
-                base, added = base_spans(text), []
-                for start, s in regions(text):
-                    for a, kind, b in decoded(s):
-                        a, b = a + start, b + start
-                        if not any(x < b and a < y for x, _, y in base):
-                            added.append((a, kind, b))
+                base = base_spans(text)
+                added = list(_beside(base, ((a + start, kind, b + start) for start, s in regions(text) for a, kind, b in (short(s) if len(s) <= CACHED_CHARS else own.segments(s)))))
                 counts = [sum(kind == n for _, kind, _ in base) for n in range(len(KINDS))]
                 out.append((batch.column(0)[k].as_py(), *counts, hashlib.sha256(shown(base).encode()).hexdigest(), shown(sorted(base + added)), len(added)))
             columns = list(zip(*out, strict=True)) if out else [[]] * 8
