@@ -10,28 +10,35 @@ A decision is predicted by the mixture that this recursion implies: from the
 deepest context up, each node mixes its own estimate with the prediction from
 below, by the weight KT / (2 Pw).  All depths take part.
 
-What is scored are the lower-cased (A-Z) bytes as they stand and an end; with
-`spaced`, only the words with one space between them.  The text's UTF-8 bytes stand between bytes 0xFF,
-which UTF-8 never uses; the closing one is predicted too, so that probabilities
-of all texts add up to at most 1.  Counts come from the documents outside the
-held-out fold and are then fixed.
+What is scored are the lower-cased (A-Z) bytes as they stand, layout included, and
+an end.  The text's UTF-8 bytes stand between bytes 0xFF, which UTF-8 never uses;
+the closing one is predicted too, so that probabilities of all texts add up to at
+most 1.  Counts come from the documents outside the held-out fold and are then
+fixed.
 
 On the cluster: blocks of documents send their distinct (context, byte) strings
-with training counts to buckets, by the two nearest context bytes, so that a
-bucket holds whole subtrees.  Buckets report what the two top depths need, at
-most 65,535 nodes in all, which are weighted on the driver and broadcast; then
-buckets reply a log-probability for each string of each block.  Word counts for
-the base score go the same way.
+with training counts to buckets.  A bucket holds whole subtrees: all strings that
+share their UNIT nearest context bytes, or more of them where a context is common.
+Which contexts are split is read off a bounded sample of strings (at most SAMPLE,
+from blocks and places spread evenly; it decides where work is done, not what
+comes out), at most SPLITS contexts in all.  Buckets report the nodes above their
+subtrees, at most 65,280 and 255 for each split context, which are weighted on the
+driver and broadcast; then buckets reply a log-probability for each string of each
+block, as a double.  Word counts for the base score go the same way.
+
+Contexts are at most 6 bytes deep: with the predicted byte they fill a 64-bit key
+but for the bit that marks training.
 
 Defined results: a null text counts as empty (its end is still predicted);
 repeated rows get equal scores; a null id has remainder 0; without training
-documents every decision has probability 1/2 and base counts are 0; an empty
+documents every decision has probability 1/2 and base counts are 0; a very long
+text is a block of its own, whose strings are made SLICE bytes at a time; an empty
 table gives an empty result.  Other columns are not looked at.
 """
 
 from __future__ import annotations
 
-from collections.abc import Iterator
+from collections.abc import Iterable, Iterator
 
 import numpy as np
 import pyarrow as pa
@@ -39,13 +46,14 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from geoframe.llm import _shared as S
-from geoframe.llm.quality import SPACE, word_hashes, word_spans
+from geoframe.llm.quality import word_hashes, word_spans
 
-DEPTH, HELD_OUT, BLOCK_BYTES = 6, 1, 10 << 20
+DEPTH, UNIT, HELD_OUT, BLOCK_BYTES, SLICE = 6, 2, 1, 10 << 20, 4 << 20
+SAMPLE, SPLITS, MERGED = 1 << 20, 1 << 12, 1 << 22
 EDGE = 255
 LOG2 = float(np.log(2.0))
 END_WORD = np.uint64(2**64 - 1)
-TOP_SCHEMA = "node long, n0 double, n1 double, below double"
+TOP_SCHEMA = "unit int, node long, n0 double, n1 double, below double"
 SCHEMA = "id long, held_out boolean, n_tokens long, n_known long, train_tokens long, base_score double, score double, scored_bytes long, bits_per_byte double"
 _TABLE = 1 << 16
 _HALVES = np.concatenate([[0.0], np.cumsum(np.log(np.arange(_TABLE) + 0.5))])
@@ -71,20 +79,20 @@ def _weigh(kt: np.ndarray, below: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
 
 
 class ContextTree:
-    """Depths 2 to `depth` over sorted distinct keys (nearest context byte first, predicted byte last) with counts."""
+    """Depths `unit` to `depth` over sorted distinct keys (nearest context byte first, predicted byte last) with counts."""
 
-    def __init__(self, keys: np.ndarray, counts: np.ndarray, depth: int):
-        self.depth, self.levels = depth, {}
+    def __init__(self, keys: np.ndarray, counts: np.ndarray, depth: int, unit: int = UNIT):
+        self.depth, self.unit, self.levels = depth, unit, {}
         sub, n = keys, counts.astype(np.int64)
         above = None
-        for d in range(depth, 1, -1):
+        for d in range(depth, unit - 1, -1):
             if d < depth:
                 shorter = (sub >> np.uint64(16) << np.uint64(8)) | (sub & np.uint64(255))
                 sub, above = np.unique(shorter, return_inverse=True)
                 n = np.bincount(above, n, len(sub)).astype(np.int64)
                 self.levels[d + 1]["above"] = above
             self.levels[d] = {"sub": sub, "bits": [self._nodes(sub, n, j) for j in range(8)]}
-        for d in range(depth, 1, -1):
+        for d in range(depth, unit - 1, -1):
             for j, node in enumerate(self.levels[d]["bits"]):
                 kt = log_kt(node["n0"], node["n1"])
                 if d == depth:
@@ -104,12 +112,11 @@ class ContextTree:
         return {"of": np.cumsum(fresh) - 1, "first": first, "n1": n1, "n0": np.add.reduceat(n, first) - n1}
 
     def top(self) -> tuple[np.ndarray, ...]:
-        """For the nodes of depth 1: node (context byte, bit prefix), n0, n1 and the sum of log Pw of the children here."""
+        """For the nodes of depth unit - 1: node (context bytes, bit prefix), n0, n1 and the sum of log Pw of the children here."""
         out = []
-        for j, node in enumerate(self.levels[2]["bits"]):
-            sub = self.levels[2]["sub"][node["first"]]
-            name = ((sub >> np.uint64(16)) << np.uint64(8)) | np.uint64(1 << j) | ((sub & np.uint64(255)) >> np.uint64(8 - j))
-            out.append((name.astype(np.int64), node["n0"], node["n1"], node["log"]))
+        for j, node in enumerate(self.levels[self.unit]["bits"]):
+            sub = self.levels[self.unit]["sub"][node["first"]]
+            out.append((node_names(sub, self.unit, self.unit - 1, j), node["n0"], node["n1"], node["log"]))
         return tuple(np.concatenate(x) for x in zip(*out, strict=True))
 
     def log_probability(self, keys: np.ndarray, top: TopLevels) -> np.ndarray:
@@ -117,76 +124,80 @@ class ContextTree:
         total = np.zeros(len(keys))
         for j in range(8):
             row, p = np.arange(len(keys)), None
-            for d in range(self.depth, 1, -1):
+            for d in range(self.depth, self.unit - 1, -1):
                 node = self.levels[d]["bits"][j]
                 at = node["of"][row]
                 kt = ((node["n1"] + 0.5) / (node["n0"] + node["n1"] + 1.0))[at]
                 own = node["own"][at]
                 p = kt if p is None else own * kt + (1 - own) * p
                 row = self.levels[d]["above"][row] if "above" in self.levels[d] else row
-            nearest = (keys >> np.uint64(8 * self.depth)).astype(np.int64)
-            prefix = (1 << j) | ((keys & np.uint64(255)) >> np.uint64(8 - j)).astype(np.int64)
-            p = top.mix(p, nearest, prefix)
+            p = top.mix(p, keys, self.depth, self.unit, j)
             one = ((keys >> np.uint64(7 - j)) & np.uint64(1)) == 1
             total += np.log(np.where(one, p, 1 - p))
         return total
 
 
-class TopLevels:
-    """Depths 0 and 1: 255 and 65,280 nodes at most."""
+def node_names(keys: np.ndarray, depth: int, d: int, j: int) -> np.ndarray:
+    """Of keys with `depth` context bytes, the node at depth d that decides bit j: context bytes, then a one and the bits before."""
+    context = (keys >> np.uint64(8 * (depth - d + 1))) << np.uint64(8)
+    return (context | np.uint64(1 << j) | ((keys & np.uint64(255)) >> np.uint64(8 - j))).astype(np.int64)
+
 
-    def __init__(self, node: np.ndarray, n0: np.ndarray, n1: np.ndarray, below: np.ndarray):
-        grid = lambda x: np.bincount(node, x, 65536).reshape(256, 256)
-        a, b, s = grid(n0), grid(n1), grid(below)
+class TopLevels:
+    """The depths above the buckets' subtrees: 0 and 1 (255 and 65,280 nodes at most) whole, deeper ones for split contexts (255 nodes each)."""
+
+    def __init__(self, node: np.ndarray, n0: np.ndarray, n1: np.ndarray, below: np.ndarray, unit: np.ndarray | None = None):
+        unit = np.full(len(node), UNIT) if unit is None else unit
+        self.deeper: dict[int, tuple[np.ndarray, np.ndarray, np.ndarray]] = {}
+        sums = (np.zeros(0, np.int64), np.zeros(0), np.zeros(0), np.zeros(0))  # what split contexts pass up: node, n0, n1, log Pw
+        for level in range(int(unit.max(initial=UNIT)), UNIT - 1, -1):
+            mine = unit == level
+            names, at = np.unique(np.concatenate([node[mine], sums[0]]), return_inverse=True)
+            a, b, s = (np.bincount(at, np.concatenate([x[mine], y]), len(names)) for x, y in zip((n0, n1, below), sums[1:], strict=True))
+            if level == UNIT:
+                break
+            log, own = _weigh(log_kt(a.astype(np.int64), b.astype(np.int64)), s)
+            self.deeper[level - 1] = names, own, (b + 0.5) / (a + b + 1)
+            sums = ((names >> 16 << 8) | (names & 255), a, b, log)
+        grid = lambda x: np.bincount(names, x, 65536).reshape(256, 256)
+        a, b, s = grid(a), grid(b), grid(s)
         log1, self.own1 = _weigh(log_kt(a.astype(np.int64), b.astype(np.int64)), s)
         self.kt1 = (b + 0.5) / (a + b + 1)
         a0, b0 = a.sum(axis=0), b.sum(axis=0)
         _, self.own0 = _weigh(log_kt(a0.astype(np.int64), b0.astype(np.int64)), log1.sum(axis=0))
         self.kt0 = (b0 + 0.5) / (a0 + b0 + 1)
 
-    def mix(self, p: np.ndarray, nearest: np.ndarray, prefix: np.ndarray) -> np.ndarray:
+    def mix(self, p: np.ndarray, keys: np.ndarray, depth: int, unit: int, j: int) -> np.ndarray:
+        """p, predicted from depth `unit` on for bit j of the keys' bytes, mixed with the estimates of all depths above."""
+        for d in range(unit - 1, UNIT - 1, -1):
+            names, own, kt = self.deeper[d]
+            at = np.searchsorted(names, node_names(keys, depth, d, j))
+            p = own[at] * kt[at] + (1 - own[at]) * p
+        nearest, prefix = np.divmod(node_names(keys, depth, 1, j), 256)
         own = self.own1[nearest, prefix]
         p = own * self.kt1[nearest, prefix] + (1 - own) * p
         return self.own0[prefix] * self.kt0[prefix] + (1 - self.own0[prefix]) * p
 
 
-def spaced_words(body: bytes, offsets: np.ndarray) -> tuple[bytes, np.ndarray]:
-    """Texts in lower case with one space between words and none around them."""
-    raw = np.frombuffer(body.lower(), np.uint8)
-    gap = SPACE[raw]
-    first = gap.copy()  # a gap that follows a word of the same text
-    first[1:] &= ~gap[:-1]
-    inner = offsets[(offsets < len(raw)) & (offsets >= 0)]
-    first[inner] = False
-    before = np.concatenate([[0], np.cumsum(~gap)])
-    rest = np.repeat(before[offsets[1:]], np.diff(offsets))
-    first &= before[:-1] < rest
-    keep = ~gap | first
-    kept = np.concatenate([[0], np.cumsum(keep)])
-    return np.where(gap, np.uint8(32), raw)[keep].tobytes(), kept[offsets]
+def gram_slices(body: bytes, offsets: np.ndarray, depth: int) -> Iterator[tuple[np.ndarray, np.ndarray]]:
+    """A key per byte of every text and one for its end (the depth bytes before, nearest first, then the byte), with its text's number, SLICE bytes at a time."""
+    edge, ends = bytes([EDGE]) * depth, offsets.tolist()
+    raw = np.frombuffer(edge + b"".join(body[a:b] + bytes([EDGE]) + edge for a, b in zip(ends[:-1], ends[1:], strict=True)), np.uint8)
+    first = offsets[:-1] + np.arange(len(ends) - 1) * (depth + 1) + depth  # where each text's keys begin
+    for a in range(depth, len(raw) - depth, SLICE):
+        b = min(a + SLICE, len(raw) - depth)
+        keys = raw[a:b].astype(np.uint64)
+        for k in range(1, depth + 1):
+            keys |= raw[a - k : b - k].astype(np.uint64) << np.uint64(8 * (depth + 1 - k))
+        low, high = int(np.searchsorted(first, a, "right")) - 1, int(np.searchsorted(first, b))
+        edges = np.clip(first[low:high], a, b)
+        of = np.repeat(np.arange(low, high), np.diff(np.append(edges, b)))
+        scored = np.arange(a, b) <= (first + np.diff(offsets))[of]
+        yield keys[scored], of[scored]
 
 
 def gram_keys(body: bytes, offsets: np.ndarray, depth: int) -> np.ndarray:
-    """A key per byte of every text and one for its end: the depth bytes before (nearest first), then the byte."""
-    sizes = np.diff(offsets)
-    raw = np.full(len(body) + len(sizes) * (depth + 1), EDGE, np.uint8)
-    shift = np.repeat(np.arange(1, len(sizes) + 1) * depth + np.arange(len(sizes)), sizes)
-    raw[np.arange(len(body)) + shift] = np.frombuffer(body, np.uint8)
-    scored = np.ones(len(raw), bool)
-    begin = offsets[:-1] + np.arange(len(sizes)) * (depth + 1)
-    for k in range(depth):
-        scored[begin + k] = False
-    n = len(raw) - depth
-    keys = raw[depth:].astype(np.uint64)
-    for k in range(1, depth + 1):
-        keys |= raw[depth - k : depth - k + n].astype(np.uint64) << np.uint64(8 * (depth + 1 - k))
-    return keys[scored[depth:]]
-
-
-def rounded(x: np.ndarray) -> np.ndarray:
-    """To 16 significant bits (a relative error of at most 2**-17 for each byte of a text), which halves the replies."""
-    bits = x.astype(np.float32).view(np.uint32)
-    return ((bits + np.uint32(0x80)) & np.uint32(0xFFFFFF00)).view(np.float32)
+    return np.concatenate([np.zeros(0, np.uint64), *(keys for keys, _ in gram_slices(body, offsets, depth))])
 
 
 def _counted(keys: np.ndarray, training: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
@@ -215,29 +226,86 @@ def _words(body: bytes, offsets: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     return np.minimum(hashes, END_WORD - np.uint64(1)), np.diff(np.searchsorted(starts, offsets))
 
 
-def _by_pair(keys: np.ndarray, depth: int) -> np.ndarray:
-    return keys >> np.uint64(8 * (depth - 1))
+def _gram_counts(body: bytes, offsets: np.ndarray, flags: np.ndarray, depth: int) -> tuple[np.ndarray, np.ndarray]:
+    """Sorted distinct keys of a block and how often each occurs in training, merged slice by slice."""
+    keys, counts = np.zeros(0, np.uint64), np.zeros(0, np.uint32)
+    for own, of in gram_slices(body, offsets, depth):
+        more, n = _counted(own, flags[of])
+        if len(keys):
+            keys, at = np.unique(np.concatenate([keys, more]), return_inverse=True)
+            counts = np.bincount(at, np.concatenate([counts, n]), len(keys)).astype(np.uint32)
+        else:
+            keys, counts = more, n
+    return keys, counts
+
+
+class Units:
+    """Which bucket a key belongs to: words first, then, for each number of context bytes that subtrees share, a range of `buckets` buckets."""
+
+    def __init__(self, sample: np.ndarray, buckets: int, depth: int):
+        self.buckets, self.depth, self.split = buckets, depth, {}
+        room = SPLITS
+        for d in range(UNIT, depth):
+            contexts = sample >> np.uint64(8 * (depth + 1 - d))
+            names, counts = np.unique(contexts, return_counts=True)
+            hot = np.flatnonzero(counts * 2 * buckets > max(len(sample), 2 * buckets * 64))
+            hot = hot[np.argsort(-counts[hot], kind="stable")[:room]]
+            if not len(hot):
+                break
+            self.split[d] = np.sort(names[hot])
+            room -= len(hot)
+            sample = sample[np.isin(contexts, self.split[d])]
+
+    def parts(self, keys: np.ndarray) -> Iterator[tuple[int, np.ndarray | slice, np.ndarray]]:
+        """For sorted keys: the first bucket of a range, which keys go there, and what they are dealt by."""
+        rest = np.arange(len(keys))
+        for d in range(UNIT, self.depth + 1):
+            contexts = keys[rest] >> np.uint64(8 * (self.depth + 1 - d))
+            deeper = np.isin(contexts, self.split[d]) if d in self.split else np.zeros(len(rest), bool)
+            yield (d - UNIT + 1) * self.buckets, rest[~deeper], contexts[~deeper]
+            rest = rest[deeper]
+            if not len(rest):
+                return
+
+    def unit(self, bucket: int) -> int:
+        return bucket // self.buckets - 1 + UNIT
+
+
+def _sampled(blocks: DataFrame, depth: int) -> np.ndarray:
+    """At most SAMPLE keys, from places spread evenly over evenly chosen blocks."""
+    every = -(-blocks.count() * 4096 // SAMPLE)
+
+    def some(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for row in batch.to_pylist():
+                _, _, offsets, body = S.unpack_block(row)
+                out = []
+                for keys, _ in gram_slices(body.lower(), offsets, depth):
+                    out.append(keys[:: -(-(len(body) + len(offsets)) // 4000)])
+                yield pa.RecordBatch.from_arrays([pa.array([np.concatenate(out).tobytes() if out else b""], pa.binary())], names=["keys"])
+
+    chosen = blocks.filter(F.pmod(F.xxhash64("block"), F.lit(max(every, 1))) == 0)
+    return np.frombuffer(b"".join(bytes(r["keys"]) for r in chosen.mapInArrow(some, "keys binary").toLocalIterator()), np.uint64)
 
 
-def _requests(blocks: DataFrame, buckets: int, depth: int, spaced: bool) -> DataFrame:
-    """Words to buckets 0 to buckets - 1, context strings to the next as many."""
+def _requests(blocks: DataFrame, units: Units) -> DataFrame:
+    """Distinct words and context strings with their training counts, by bucket."""
 
     def emit(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for row in batch.to_pylist():
                 _, flags, offsets, body = S.unpack_block(row)
-                body, offsets = spaced_words(body, offsets) if spaced else (body.lower(), offsets)
-                out: list[tuple[int, bytes]] = []
+                body, out = body.lower(), []
                 hashes, per_text = _words(body, offsets)
                 words, counts = _counted(np.append(hashes, END_WORD), np.append(np.repeat(flags, per_text), 0))
                 counts[-1] = flags.sum(dtype=np.uint32)
-                keys, grams = _counted(gram_keys(body, offsets, depth), np.repeat(flags, np.diff(offsets) + 1))
-                for first, by, k, v in ((0, words, words, counts), (buckets, _by_pair(keys, depth), keys, grams)):
-                    order, ends = S.dealt(by, buckets)
-                    for b in range(buckets):
-                        if ends[b + 1] > ends[b]:
-                            own = order[ends[b] : ends[b + 1]]
-                            out.append((first + b, S.packed(S.delta(k[own]), v[own])))
+                keys, grams = _gram_counts(body, offsets, flags, units.depth)
+                for first, own, by in ((0, np.arange(len(words)), words), *units.parts(keys)):
+                    k, v = (words, counts) if first == 0 else (keys, grams)
+                    order, ends = S.dealt(by, units.buckets)
+                    for b in np.flatnonzero(np.diff(ends)).tolist():
+                        at = own[order[ends[b] : ends[b + 1]]]
+                        out.append((first + b, S.packed(S.delta(k[at]), v[at])))
                 yield pa.RecordBatch.from_arrays([pa.array([b for b, _ in out], pa.int64()), pa.array([row["block"]] * len(out), pa.int64()), pa.array([x for _, x in out], pa.binary())], names=["bucket", "block", "data"])
 
     asked = blocks.mapInArrow(emit, S.REQUEST_SCHEMA)
@@ -259,92 +327,101 @@ def _by_bucket(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.Table]:
         yield pa.Table.from_batches(held)
 
 
-def _merged(table: pa.Table) -> tuple[np.ndarray, np.ndarray, list[np.ndarray]]:
-    """Distinct keys of a bucket, their counts over all blocks, and where each block's keys are among them."""
-    parts = [S.unpacked(x, np.uint64, np.uint32) for x in table.column("data").to_pylist()]
-    keys = [np.cumsum(k, dtype=np.uint64) for k, _ in parts]
-    distinct, where = np.unique(np.concatenate(keys), return_inverse=True)
-    counts = np.bincount(where, np.concatenate([v for _, v in parts]), len(distinct)).astype(np.int64)
-    return distinct, counts, np.split(where, np.cumsum([len(k) for k in keys])[:-1])
-
-
-def _fit(requests: DataFrame, buckets: int, depth: int) -> tuple[TopLevels, int, int]:
+def _merged(table: pa.Table) -> tuple[np.ndarray, np.ndarray]:
+    """Distinct keys of a bucket and their counts over all blocks, merged some blocks at a time."""
+    keys, counts = np.zeros(0, np.uint64), np.zeros(0, np.int64)
+    held, size = [], 0
+    data = table.column("data").to_pylist()
+    for k, x in enumerate(data):
+        own, n = S.unpacked(x, np.uint64, np.uint32)
+        held.append((np.cumsum(own, dtype=np.uint64), n.astype(np.int64)))
+        size += len(own)
+        if size >= max(MERGED, len(keys)) or k == len(data) - 1:
+            keys, at = np.unique(np.concatenate([keys, *(h[0] for h in held)]), return_inverse=True)
+            total = np.zeros(len(keys), np.int64)
+            np.add.at(total, at, np.concatenate([counts, *(h[1] for h in held)]))
+            counts, held, size = total, [], 0
+    return keys, counts
+
+
+def _fit(requests: DataFrame, units: Units) -> tuple[TopLevels, int, int]:
     """The top depths, the number of training tokens and of distinct ones."""
 
     def summarize(table: pa.Table) -> pa.Table:
-        keys, counts, _ = _merged(table)
-        if table.column("bucket")[0].as_py() < buckets:
+        keys, counts = _merged(table)
+        bucket = table.column("bucket")[0].as_py()
+        unit = units.unit(bucket)
+        if bucket < units.buckets:
             rows = [np.array([-1]), *(np.array([float(x)]) for x in (counts.sum(), (counts > 0).sum(), 0))]
         else:
-            node, n0, n1, below = ContextTree(keys, counts, depth).top()
+            node, n0, n1, below = ContextTree(keys, counts, units.depth, unit).top()
             names, at = np.unique(node, return_inverse=True)
             rows = [names, *(np.bincount(at, x, len(names)) for x in (n0, n1, below))]
-        return pa.table({k: pa.array(v, pa.int64() if k == "node" else pa.float64()) for k, v in zip(("node", "n0", "n1", "below"), rows, strict=True)})
+        columns = {k: pa.array(v, pa.int64() if k == "node" else pa.float64()) for k, v in zip(("node", "n0", "n1", "below"), rows, strict=True)}
+        return pa.table({"unit": pa.array(np.full(len(rows[0]), unit, np.int32)), **columns})
 
     tops = requests.mapInArrow(lambda batches: (b for t in _by_bucket(batches) for b in summarize(t).to_batches()), TOP_SCHEMA)
-    got = tops.groupBy("node").agg(*(F.sum(c).alias(c) for c in ("n0", "n1", "below"))).toPandas()
+    got = tops.groupBy("unit", "node").agg(*(F.sum(c).alias(c) for c in ("n0", "n1", "below"))).toPandas().sort_values(["unit", "node"])
     words, got = got[got.node < 0], got[got.node >= 0]
     tokens, distinct = (int(words[c].sum()) for c in ("n0", "n1"))
-    return TopLevels(*(got[c].to_numpy() for c in ("node", "n0", "n1", "below"))), tokens, distinct
+    return TopLevels(*(got[c].to_numpy() for c in ("node", "n0", "n1", "below", "unit"))), tokens, distinct
 
 
-def text_scores(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", depth: int = DEPTH, spaced: bool = True) -> DataFrame:
-    """With spaced, of the words only; else of the whole text, in full precision.  A row per document: held_out, n_tokens, n_known, train_tokens, base_score, score, scored_bytes, bits_per_byte."""
-    if not 2 <= depth <= 6:
+def text_scores(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", depth: int = DEPTH) -> DataFrame:
+    """A row per document: held_out, n_tokens, n_known, train_tokens, base_score, score, scored_bytes, bits_per_byte."""
+    if not UNIT <= depth <= 6:
         raise ValueError("depth is 2 to 6: a context and its byte fit into 64 bits with a mark")
     spark = docs.sparkSession
-    buckets = 2 * S.partitions(spark)
     blocks = S.text_blocks(docs, id_col, text_col, (S.id_remainder(id_col, 5) != HELD_OUT).cast("byte"), BLOCK_BYTES)
-    requests = _requests(blocks, buckets, depth, spaced)
-    top, tokens, distinct = _fit(requests, buckets, depth)
+    units = Units(_sampled(blocks, depth), 2 * S.partitions(spark), depth)
+    requests = _requests(blocks, units)
+    top, tokens, distinct = _fit(requests, units)
     shared = spark.sparkContext.broadcast(top)
 
-    def answer(table: pa.Table) -> pa.Table:
-        keys, counts, parts = _merged(table)
-        if table.column("bucket")[0].as_py() < buckets:
-            values = np.minimum(counts, 2**32 - 1).astype(np.uint32)
-        else:
-            values = ContextTree(keys, counts, depth).log_probability(keys, shared.value)
-            values = rounded(values) if spaced else values.astype(np.float32)
-        return pa.table({"block": table.column("block"), "bucket": table.column("bucket"), "data": pa.array([S.packed(values[p]) for p in parts], pa.binary())})
+    def answer(table: pa.Table) -> Iterator[pa.RecordBatch]:
+        keys, counts = _merged(table)
+        bucket = table.column("bucket")[0].as_py()
+        values = counts if bucket < units.buckets else ContextTree(keys, counts, depth, units.unit(bucket)).log_probability(keys, shared.value)
+        for block, data in zip(table.column("block").to_pylist(), table.column("data").to_pylist(), strict=True):
+            own = np.cumsum(S.unpacked(data, np.uint64, np.uint32)[0], dtype=np.uint64)
+            yield pa.RecordBatch.from_arrays([pa.array([block]), pa.array([bucket]), pa.array([S.packed(values[np.searchsorted(keys, own)])], pa.binary())], names=["block", "bucket", "data"])
 
     def score(mine: pa.Table, theirs: pa.Table) -> pa.Table:
-        replies = sorted(zip(theirs.column("bucket").to_pylist(), theirs.column("data").to_pylist(), strict=True))
+        replies = dict(zip(theirs.column("bucket").to_pylist(), theirs.column("data").to_pylist(), strict=True))
         out = []
         for row in mine.to_pylist():
             ids, flags, offsets, body = S.unpack_block(row)
-            body, offsets = spaced_words(body, offsets) if spaced else (body.lower(), offsets)
+            body = body.lower()
             hashes, per_text = _words(body, offsets)
             words, where = np.unique(np.append(hashes, END_WORD), return_inverse=True)
-            known = _replied(words, words, [r for r in replies if r[0] < buckets], 0, buckets, np.uint32).astype(np.float64)
+            known = _replied(len(words), [(0, np.arange(len(words)), words)], replies, units.buckets, np.int64).astype(np.float64)
             base = np.log10((known + 0.5) / (tokens + 0.5 * (distinct + 1)))
             ends = np.concatenate([[0], np.cumsum(per_text)])
             total = lambda x: np.diff(np.concatenate([[0.0], np.cumsum(x[where[:-1]])])[ends]) + x[where[-1]]  # noqa: E731, B023
             n_known, base_score = total((known > 0).astype(np.float64)), total(base)
             del hashes, where
-            keys = gram_keys(body, offsets, depth)
-            order = np.argsort(keys)
-            keys = keys[order]
-            fresh = np.concatenate([[True], keys[1:] != keys[:-1]]) if len(keys) else np.zeros(0, bool)
-            grams = keys[fresh]
-            log = _replied(grams, _by_pair(grams, depth), [r for r in replies if r[0] >= buckets], buckets, buckets, np.float32)
-            per_byte = np.empty(len(keys), np.float32)
-            per_byte[order] = np.repeat(log, np.diff(np.append(np.flatnonzero(fresh), len(keys))))
+            grams, _ = _gram_counts(body, offsets, flags, depth)
+            log = _replied(len(grams), units.parts(grams), replies, units.buckets, np.float64)
+            natural = np.zeros(len(ids))
+            for keys, of in gram_slices(body, offsets, depth):
+                first = np.flatnonzero(np.concatenate([[True], of[1:] != of[:-1]])) if len(of) else of
+                natural[of[first]] += np.add.reduceat(log[np.searchsorted(grams, keys)], first) if len(of) else 0.0
             sizes = np.diff(offsets)
-            natural = np.add.reduceat(per_byte, np.concatenate([[0], np.cumsum(sizes + 1)[:-1]]), dtype=np.float64)
             out.append(pa.table({
                 "id": pa.array(ids, pa.int64()), "held_out": flags == 0, "n_tokens": per_text + 1, "n_known": n_known.round().astype(np.int64), "train_tokens": np.full(len(ids), tokens),
                 "base_score": base_score, "score": natural / np.log(10.0), "scored_bytes": sizes, "bits_per_byte": -natural / LOG2 / np.maximum(sizes, 1),
             }))
         return pa.concat_tables(out)
 
-    replies = requests.mapInArrow(lambda batches: (b for t in _by_bucket(batches) for b in answer(t).to_batches()), S.REPLY_SCHEMA)
+    replies = requests.mapInArrow(lambda batches: (b for t in _by_bucket(batches) for b in answer(t)), S.REPLY_SCHEMA)
     return blocks.groupBy("block").cogroup(replies.groupBy("block")).applyInArrow(score, SCHEMA).withColumnRenamed("id", id_col)
 
 
-def _replied(keys: np.ndarray, by: np.ndarray, replies: list, first: int, buckets: int, kind: type) -> np.ndarray:
-    order, ends = S.dealt(by, buckets)
-    out = np.zeros(len(keys), kind)
-    for b, data in replies:
-        out[order[ends[b - first] : ends[b - first + 1]]] = S.unpacked(data, kind)[0]
+def _replied(n: int, parts: Iterable[tuple], replies: dict[int, bytes], buckets: int, kind: type) -> np.ndarray:
+    """The values that buckets sent for a block's n sorted keys, in their order."""
+    out = np.zeros(n, kind)
+    for first, own, by in parts:
+        order, ends = S.dealt(by, buckets)
+        for b in np.flatnonzero(np.diff(ends)).tolist():
+            out[own[order[ends[b] : ends[b + 1]]]] = S.unpacked(replies[first + b], kind)[0]
     return out

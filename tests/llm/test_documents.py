@@ -266,14 +266,23 @@ def plain_tree(samples, depth):
     return log_byte
 
 
-def test_context_tree_scores(spark, no_docs):
-    depth = 3
+@pytest.mark.parametrize("depth, split", [(3, False), (6, False), (6, True)])
+def test_context_tree_scores(spark, no_docs, monkeypatch, depth, split):
+    if split:  # contexts that the tree splits, whatever their number
+        init = lm_scoring.Units.__init__
+
+        def all_split(self, sample, buckets, depth):
+            init(self, sample[:0], buckets, depth)
+            keys = np.unique(sample)
+            self.split = {d: np.unique(keys >> np.uint64(8 * (depth + 1 - d)))[:: d - 1] for d in (2, 3, 4)}
+
+        monkeypatch.setattr(lm_scoring.Units, "__init__", all_split)
     texts = [(k, t) for k, t in enumerate(["abab abc", "Abab", "", None, " ab \n\tab\n", "zé ab", "cab cab ca", "b", "abab abc", "baba"])]
     docs = spark.createDataFrame(texts, "doc_id long, text string").repartition(2)
     got = {r.doc_id: r for r in lm_scoring.text_scores(docs, depth=depth).collect()}
 
     def samples(text):
-        b = [255] * depth + list(b" ".join(plain_words(text))) + [255]
+        b = [255] * depth + list((text or "").lower().encode()) + [255]
         return [(tuple(reversed(b[k - depth : k])), b[k]) for k in range(depth, len(b))]
 
     training = [(i, t) for i, t in texts if zlib.crc32(str(i).encode()) % 5 != 1]
@@ -283,7 +292,7 @@ def test_context_tree_scores(spark, no_docs):
     n, v = sum(counts.values()), len(counts)
     for i, t in texts:
         r, tokens = got[i], [*plain_words(t), None]
-        assert r.score == pytest.approx(sum(log_byte(*s) for s in samples(t)) / math.log(10), rel=1e-5)
+        assert r.score == pytest.approx(sum(log_byte(*s) for s in samples(t)) / math.log(10), rel=1e-12)
         assert r.base_score == pytest.approx(sum(math.log10((counts[w] + 0.5) / (n + 0.5 * (v + 1))) for w in tokens))
         assert (r.n_tokens, r.n_known, r.train_tokens) == (len(tokens), sum(counts[w] > 0 for w in tokens), n)
         assert r.held_out == (zlib.crc32(str(i).encode()) % 5 == 1)
