@@ -3,20 +3,32 @@
 A paragraph is a line, or a run of adjacent lines where an n-gram of a template
 crosses each line break, so that a wrapped notice is read whole and notices on
 lines of their own stay apart; it is numbered by its first line.  It is a bag of
-word bigrams and trigrams, lower-case, without punctuation.  A softmax regression over the n-grams of the templates tells
-licence families, "unknown" (reads like a licence, but of no family here) and
-"none" apart.  Its probabilities are calibrated by a temperature fitted on texts
-kept out of training.  A family counts when its probability reaches SURE and a
-template of the family is contained in the paragraph (share of its bigrams at
-least CONTAINED); otherwise a licence-like paragraph is "unknown".
-
-Training texts are the templates with words dropped, replaced and added, among
-ordinary paragraphs of at most TRAIN_DOCUMENTS documents (the least by a hash of
-the id) that share no trigram with a template.
+word bigrams and trigrams, lower-case, without punctuation.  A softmax regression
+over the n-grams of the templates tells licence families, "unknown" (reads like a
+licence, but of no family here) and "none" apart.  A family counts when its
+probability reaches SURE and a template of the family is contained in the paragraph
+(share of its bigrams at least CONTAINED); otherwise a licence-like paragraph is
+"unknown", with the probability of not being "none".
+
+Probabilities are calibrated by a temperature.  It is fitted on wordings and whole
+families that FOLDS models trained for this have not met: a kept-out wording is its
+family's, a kept-out family is "unknown", kept-out ordinary lines are "none".
+
+Training texts, a bounded sample:
+* the templates, with words dropped, replaced and added;
+* at most TRAIN_LINES lines that mention a licence, of all documents (the least by
+  a hash), of the family whose template they contain; "unknown" if they only share
+  a trigram with one;
+* ordinary lines, at most TRAIN_PARAGRAPHS, of at most TRAIN_DOCUMENTS documents
+  (the least by a hash of the id) that share no trigram with a template.
+Lines of more than TRAIN_CHARS characters are not trained on.  Scanning reads every
+paragraph whole.
 
 Defined results: a null text counts as empty and has no licence; repeated rows
-give equal results; an empty table gives an empty result.  Other columns are not
-looked at.
+give equal results; of equally likely finds of a document the first counts, of
+equally likely families the first in TEMPLATES; a very long text is read whole, in
+some hundred bytes of memory for each of its words; an empty table gives an empty
+result.  Other columns are not looked at.
 """
 
 from __future__ import annotations
@@ -32,21 +44,46 @@ from geoframe.llm.quality import text_slices, word_hashes, word_spans
 
 #: Usual wordings of public licence notices, by family.
 TEMPLATES = {
-    "apache-2.0": ["licensed under the apache license version 2 0", "you may not use this file except in compliance with the license", "released under the apache 2 0 license"],
-    "bsd": ["released under the bsd license", "redistribution and use in source and binary forms with or without modification are permitted", "licensed under the 3 clause bsd license"],
-    "cc-by": ["licensed under cc by 4 0", "this work is licensed under a creative commons attribution 4 0 international license"],
+    "apache-2.0": [
+        "licensed under the apache license version 2 0",
+        "you may not use this file except in compliance with the license",
+        "released under the apache 2 0 license",
+        "unless required by applicable law or agreed to in writing software distributed under the license is distributed on an as is basis",
+    ],
+    "bsd": [
+        "released under the bsd license",
+        "redistribution and use in source and binary forms with or without modification are permitted",
+        "licensed under the 3 clause bsd license",
+        "redistributions of source code must retain the above copyright notice this list of conditions and the following disclaimer",
+    ],
+    "cc-by": ["licensed under cc by 4 0", "this work is licensed under a creative commons attribution 4 0 international license", "available under the creative commons attribution license"],
     "cc-by-nc": ["licensed under cc by nc 4 0", "this work is licensed under a creative commons attribution noncommercial 4 0 international license"],
     "cc-by-sa": ["licensed under cc by sa 4 0", "this work is licensed under a creative commons attribution sharealike 4 0 international license"],
     "cc0": ["released under cc0 1 0 universal", "dedicated to the public domain under the creative commons zero license"],
-    "gpl": ["this work is licensed under the gnu general public license version 3", "under the terms of the gnu general public license as published by the free software foundation", "licensed under the gnu general public license version 2"],
-    "lgpl": ["licensed under the gnu lesser general public license version 3", "under the terms of the gnu lesser general public license as published by the free software foundation"],
-    "mit": ["released under the mit license", "licensed under the mit license", "permission is hereby granted free of charge to any person obtaining a copy of this software and associated documentation files"],
+    "gpl": [
+        "this work is licensed under the gnu general public license version 3",
+        "under the terms of the gnu general public license as published by the free software foundation",
+        "licensed under the gnu general public license version 2",
+        "you should have received a copy of the gnu general public license along with this program",
+    ],
+    "lgpl": [
+        "licensed under the gnu lesser general public license version 3",
+        "under the terms of the gnu lesser general public license as published by the free software foundation",
+        "you should have received a copy of the gnu lesser general public license along with this library",
+    ],
+    "mit": [
+        "released under the mit license",
+        "licensed under the mit license",
+        "permission is hereby granted free of charge to any person obtaining a copy of this software and associated documentation files",
+        "the above copyright notice and this permission notice shall be included in all copies or substantial portions of the software",
+    ],
     "mpl-2.0": ["licensed under the mozilla public license version 2 0", "this source code form is subject to the terms of the mozilla public license v 2 0"],
     "unknown": ["all rights reserved", "licensed under the terms of our own license agreement", "released under a proprietary license", "no permission to copy or redistribute is granted", "this work is licensed under the license below"],
 }
 NONE = "none"
 CLASSES = [*TEMPLATES, NONE]
-TRAIN_DOCUMENTS, TRAIN_PARAGRAPHS, COPIES, STEPS = 400, 1500, 60, 120
+TRAIN_DOCUMENTS, TRAIN_PARAGRAPHS, TRAIN_LINES, TRAIN_CHARS, COPIES, STEPS, FOLDS = 400, 1500, 2000, 2000, 60, 120, 3
+MENTIONS = r"(?i)licen[cs]e|permission|all rights|public domain|redistribut"
 SURE, CONTAINED = 0.5, 0.75
 SCHEMA = "id long, family string, probability double, similarity double, n_license_paragraphs long, paragraphs string"
 _PLAIN = bytes(c + 32 if 65 <= c <= 90 else c if 48 <= c <= 57 or 97 <= c <= 122 or c >= 128 or c == 10 else 32 for c in range(256))
@@ -103,26 +140,34 @@ class LicenseModel:
     def _matrix(self, texts: list[str]) -> np.ndarray:
         return np.stack([np.isin(self.vocabulary, _text_grams(t)) for t in texts]).astype(np.float64)
 
-    def fit(self, texts: list[str], classes: list[int]) -> LicenseModel:
-        """Every fifth text is kept out of training, for the temperature."""
-        x, y = self._matrix(texts), np.eye(len(CLASSES))[classes]
-        held = np.arange(len(texts)) % 5 == 4
-        m = [np.zeros_like(self.w), np.zeros_like(self.b)]
-        v = [np.zeros_like(self.w), np.zeros_like(self.b)]
+    def fit(self, texts: list[str], classes: list[int], groups: list[int]) -> LicenseModel:
+        """groups: texts of one wording (or one ordinary line) share a number and are kept out together."""
+        x, classes, groups = self._matrix(texts), np.array(classes), np.array(groups)
+        unknown, none = CLASSES.index("unknown"), len(CLASSES) - 1
+        logits, truth = [], []
+        for fold in range(FOLDS):
+            family_out = (classes < unknown) & (classes % FOLDS == fold)
+            out = family_out | (groups % FOLDS == fold)
+            w, b = self._descend(x[~out], classes[~out])
+            logits.append(x[out] @ w + b)
+            truth.append(np.where(family_out, unknown, classes)[out])
+        logits, truth = np.concatenate(logits), np.concatenate(truth)
+        share = np.where(truth == none, 1.0 / max((truth == none).sum(), 1), 1.0 / max((truth != none).sum(), 1))
+        loss = {t: -(share * np.log(self._softmax(logits / t)[np.arange(len(truth)), truth] + 1e-12)).sum() for t in np.geomspace(0.5, 8, 25)}
+        self.temperature = float(min(loss, key=loss.get))
+        self.w, self.b = self._descend(x, classes)
+        return self
+
+    def _descend(self, x: np.ndarray, classes: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        p, y = [self.w, self.b], np.eye(len(CLASSES))[classes]
+        m, v = ([np.zeros_like(a) for a in p] for _ in range(2))
         for step in range(1, STEPS + 1):
-            e = (self._softmax(x[~held] @ self.w + self.b) - y[~held]) / (~held).sum()
-            for k, grad in enumerate((x[~held].T @ e + 1e-5 * self.w, e.sum(axis=0))):
+            e = (self._softmax(x @ p[0] + p[1]) - y) / len(x)
+            for k, grad in enumerate((x.T @ e + 1e-5 * p[0], e.sum(axis=0))):
                 m[k] = 0.9 * m[k] + 0.1 * grad
                 v[k] = 0.99 * v[k] + 0.01 * grad * grad
-                change = 0.1 * (m[k] / (1 - 0.9**step)) / (np.sqrt(v[k] / (1 - 0.99**step)) + 1e-8)
-                if k:
-                    self.b = self.b - change
-                else:
-                    self.w = self.w - change
-        logits = x[held] @ self.w + self.b
-        loss = {t: -np.log((self._softmax(logits / t) * y[held]).sum(axis=1) + 1e-12).mean() for t in np.geomspace(0.5, 8, 25)}
-        self.temperature = float(min(loss, key=loss.get))
-        return self
+                p[k] = p[k] - 0.1 * (m[k] / (1 - 0.9**step)) / (np.sqrt(v[k] / (1 - 0.99**step)) + 1e-8)
+        return p[0], p[1]
 
     @staticmethod
     def _softmax(logits: np.ndarray) -> np.ndarray:
@@ -154,37 +199,54 @@ def template_similarity(paragraph: str, family: str) -> float:
     return max(len(t & own) / len(t) for t in _TEMPLATE_BIGRAMS[family])
 
 
-def _training_texts(ordinary: list[str], seed: int = 5) -> tuple[list[str], list[int]]:
+_TRIGRAMS = {tuple(ws[k : k + 3]) for texts in TEMPLATES.values() for t in texts for ws in [t.encode().split()] for k in range(len(ws) - 2)}
+
+
+def _shares_trigram(line: str) -> bool:
+    ws = bytes(plain(line.encode())).split()
+    return any(tuple(ws[k : k + 3]) in _TRIGRAMS for k in range(len(ws) - 2))
+
+
+def _class_of(line: str) -> int | None:
+    """The family whose template a line contains; unknown if it shares a trigram with one; else it teaches nothing."""
+    like = {family: template_similarity(line, family) for family in TEMPLATES}
+    best = max(like, key=like.get)
+    if like[best] >= CONTAINED:
+        return CLASSES.index(best)
+    return CLASSES.index("unknown") if _shares_trigram(line) else None
+
+
+def _training_texts(ordinary: list[str], met: list[str], seed: int = 5) -> tuple[list[str], list[int], list[int]]:
+    """Texts, their classes and the wordings they come from."""
     rng = np.random.default_rng(seed)
-    fillers = [w for t in ordinary for w in t.split()][:5000] or ["word", "text", "line"]
+    fillers = [w for t in ordinary for w in t.split()] or ["word", "text", "line"]
     some = lambda n: [fillers[k] for k in rng.integers(0, len(fillers), n)]
-    texts, classes = list(ordinary), [len(CLASSES) - 1] * len(ordinary)
+    out = [(t, len(CLASSES) - 1, k) for k, t in enumerate(ordinary)]
+    out += [(t, c, k) for k, t in enumerate(met) if (c := _class_of(t)) is not None]
     for c, (family, wordings) in enumerate(TEMPLATES.items()):
-        for wording in wordings:
+        for n, wording in enumerate(wordings):
             for k in range(COPIES // len(wordings)):
                 words = wording.split()
-                if k > 1 and family != "unknown" and len(words) > 6 and rng.random() < 0.3:
-                    words[int(rng.integers(len(words)))] = some(1)[0]
+                if k > 1 and family != "unknown" and len(words) > 6 and rng.random() < 0.4:
+                    words[int(rng.integers(len(words)))] = some(1)[0] if rng.random() < 0.7 else ""
                 before, after = some(int(rng.integers(0, 6))) if k % 2 else [], some(int(rng.integers(0, 12))) if k % 3 else []
-                texts.append(" ".join([*before, *words, *after]))
-                classes.append(c)
-    for _ in range(COPIES):
-        texts.append(" ".join(["licensed", "under", "the", *some(2), "license", *(["version", str(rng.integers(1, 9))] if rng.random() < 0.5 else [])]))
-        classes.append(CLASSES.index("unknown"))
-    order = rng.permutation(len(texts))
-    return [texts[k] for k in order], [classes[k] for k in order]
+                out.append((" ".join([*before, *words, *after]), c, n))
+    for k in range(COPIES):
+        out.append((" ".join(["licensed", "under", "the", *some(2), "license", *(["version", str(rng.integers(1, 9))] if rng.random() < 0.5 else [])]), CLASSES.index("unknown"), k))
+    return tuple(map(list, zip(*out, strict=True)))
 
 
 def fit_licenses(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> LicenseModel:
     chosen = docs.select(F.col(id_col).cast("long").alias("id")).filter("id IS NOT NULL").distinct().orderBy(F.xxhash64("id"), "id").limit(TRAIN_DOCUMENTS)
-    rows = docs.select(F.col(id_col).cast("long").alias("id"), F.coalesce(F.col(text_col), F.lit("")).alias("text")).join(F.broadcast(chosen), "id", "left_semi")
-    lines = rows.select(F.explode(F.split("text", "\n")).alias("line")).filter("length(line) BETWEEN 1 AND 2000").distinct()
-    sample = [r["line"] for r in lines.orderBy(F.xxhash64("line"), "line").limit(TRAIN_PARAGRAPHS).collect()]
-    model = LicenseModel()
-    trigrams = {tuple(ws[k : k + 3]) for texts in TEMPLATES.values() for t in texts for ws in [t.encode().split()] for k in range(len(ws) - 2)}
-    words = [bytes(plain(s.encode())).split() for s in sample]
-    ordinary = [s for s, ws in zip(sample, words, strict=True) if not any(tuple(ws[k : k + 3]) in trigrams for k in range(len(ws) - 2))]
-    return model.fit(*_training_texts(ordinary))
+    rows = docs.select(F.col(id_col).cast("long").alias("id"), F.coalesce(F.col(text_col), F.lit("")).alias("text"))
+
+    def least(texts: DataFrame, most: int, wanted: str) -> list[str]:
+        lines = texts.select(F.explode(F.split("text", "\n")).alias("line")).filter(F.length("line").between(1, TRAIN_CHARS)).filter(wanted).distinct()
+        return [r["line"] for r in lines.orderBy(F.xxhash64("line"), "line").limit(most).collect()]
+
+    ordinary = least(rows.join(F.broadcast(chosen), "id", "left_semi"), TRAIN_PARAGRAPHS, "true")
+    met = least(rows.filter(F.col("text").rlike(MENTIONS)), TRAIN_LINES, f"line RLIKE r'{MENTIONS}'")
+    return LicenseModel().fit(*_training_texts([s for s in ordinary if not _shares_trigram(s)], met))
 
 
 def document_licenses(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", model: LicenseModel | None = None) -> DataFrame:

@@ -9,6 +9,11 @@ from geoframe.llm import packing, quality
 from tests.llm.test_documents import plain_fingerprint, plain_words
 
 
+def plain_shingles(text):
+    w = plain_words(text)
+    return {tuple(w[k : k + 5]) for k in range(max(1, len(w) - 4))} if w else set()
+
+
 def plain_pipeline(rows, good):
     """(doc_id, text, source) rows -> how often each doc_id is in the result."""
     rows = [r for r in rows if r[0] in good]
@@ -18,12 +23,14 @@ def plain_pipeline(rows, good):
             last[t] = (i, t, s)
     rows = list(last.values())
     prints, label = [plain_fingerprint(t) for _, t, _ in rows], list(range(len(rows)))
+    shingles = [plain_shingles(t) for _, t, _ in rows]
+    linked = lambda a, b: (prints[a] ^ prints[b]).bit_count() <= 3 or len(shingles[a] & shingles[b]) >= 0.8 * len(shingles[a] | shingles[b]) > 0
     changed = True
     while changed:
         changed = False
         for a in range(len(rows)):
             for b in range(len(rows)):
-                if (prints[a] ^ prints[b]).bit_count() <= 3 and label[b] > label[a]:
+                if label[b] > label[a] and linked(a, b):
                     label[b], changed = label[a], True
     least = defaultdict(list)
     for k, (i, _, _) in enumerate(rows):
