@@ -8,6 +8,7 @@ of one row per position.
 
 from __future__ import annotations
 
+import gc
 import re
 import tempfile
 import uuid
@@ -53,6 +54,12 @@ def checkpointed(df: DataFrame) -> DataFrame:
     return df.checkpoint(eager=True)
 
 
+def drop_unused_shuffles(spark: SparkSession) -> None:
+    """Let Spark's cleaner delete the shuffle files of tables that are kept elsewhere by now: it does when the driver collects garbage."""
+    gc.collect()
+    spark.sparkContext._jvm.System.gc()
+
+
 def renamed(docs: DataFrame, *names: str) -> tuple[DataFrame, list[str]]:
     """docs with its columns called c0, c1, ... in their order, and what `names` are called now: no column of the user's can clash with an operator's own, and names may hold any sign."""
     return docs.toDF(*(f"c{k}" for k in range(len(docs.columns)))), [f"c{docs.columns.index(n)}" for n in names]

@@ -22,8 +22,8 @@ share their UNIT nearest context bytes, or more of them where a context is commo
 Which contexts are split is read off a bounded sample of strings (at most SAMPLE,
 from blocks and places spread evenly; it decides where work is done, not what
 comes out), at most SPLITS contexts in all.  Buckets report the nodes above their
-subtrees, at most 65,280 and 255 for each split context, which are weighted on the
-driver and broadcast; then buckets reply a log-probability for each string of each
+subtrees (contexts are dealt in ranges, so that few report the same ones), at most
+65,280 and 255 for each split context, which are weighted on the driver and broadcast; then buckets reply a log-probability for each string of each
 block, as a double.  Word counts for the base score go the same way.
 
 Contexts are at most 6 bytes deep: with the predicted byte they fill a 64-bit key
@@ -53,7 +53,7 @@ SAMPLE, SPLITS, MERGED = 1 << 20, 1 << 12, 1 << 22
 EDGE = 255
 LOG2 = float(np.log(2.0))
 END_WORD = np.uint64(2**64 - 1)
-TOP_SCHEMA = "unit int, node long, n0 double, n1 double, below double"
+TOP_SCHEMA = "unit int, node binary, n0 binary, n1 binary, below binary"
 SCHEMA = "id long, held_out boolean, n_tokens long, n_known long, train_tokens long, base_score double, score double, scored_bytes long, bits_per_byte double"
 _TABLE = 1 << 16
 _HALVES = np.concatenate([[0.0], np.cumsum(np.log(np.arange(_TABLE) + 0.5))])
@@ -240,35 +240,51 @@ def _gram_counts(body: bytes, offsets: np.ndarray, flags: np.ndarray, depth: int
 
 
 class Units:
-    """Which bucket a key belongs to: words first, then, for each number of context bytes that subtrees share, a range of `buckets` buckets."""
+    """Which bucket a key belongs to.
+
+    Words have the first `buckets` buckets.  Then come, for each number of context
+    bytes that a bucket's subtrees share, ranges of contexts that hold equal shares of
+    the sample; a node above them is in few buckets.
+    """
 
     def __init__(self, sample: np.ndarray, buckets: int, depth: int):
-        self.buckets, self.depth, self.split = buckets, depth, {}
-        room = SPLITS
-        for d in range(UNIT, depth):
-            contexts = sample >> np.uint64(8 * (depth + 1 - d))
+        self.buckets, self.depth, self.split, self.bounds, self.first = buckets, depth, {}, {}, [buckets]
+        room, whole = SPLITS, max(len(sample), 1)
+        for d in range(UNIT, depth + 1):
+            contexts = np.sort(sample >> np.uint64(8 * (depth + 1 - d)))
             names, counts = np.unique(contexts, return_counts=True)
-            hot = np.flatnonzero(counts * 2 * buckets > max(len(sample), 2 * buckets * 64))
+            hot = np.flatnonzero(counts * 2 * buckets > max(whole, 2 * buckets * 64)) if d < depth else counts[:0]
             hot = hot[np.argsort(-counts[hot], kind="stable")[:room]]
+            room -= len(hot)
+            own = contexts[~np.isin(contexts, names[hot])]
+            n = max(1, -(-len(own) * buckets // whole))
+            self.bounds[d] = np.unique(own[np.arange(1, n) * len(own) // n]) if len(own) else own
+            self.first.append(self.first[-1] + len(self.bounds[d]) + 1)
             if not len(hot):
                 break
             self.split[d] = np.sort(names[hot])
-            room -= len(hot)
-            sample = sample[np.isin(contexts, self.split[d])]
+            sample = sample[np.isin(sample >> np.uint64(8 * (depth + 1 - d)), self.split[d])]
 
-    def parts(self, keys: np.ndarray) -> Iterator[tuple[int, np.ndarray | slice, np.ndarray]]:
-        """For sorted keys: the first bucket of a range, which keys go there, and what they are dealt by."""
+    def parts(self, keys: np.ndarray) -> Iterator[tuple[int, np.ndarray]]:
+        """For sorted keys: each bucket that has some, and which."""
         rest = np.arange(len(keys))
-        for d in range(UNIT, self.depth + 1):
+        for d, bounds in self.bounds.items():
             contexts = keys[rest] >> np.uint64(8 * (self.depth + 1 - d))
             deeper = np.isin(contexts, self.split[d]) if d in self.split else np.zeros(len(rest), bool)
-            yield (d - UNIT + 1) * self.buckets, rest[~deeper], contexts[~deeper]
+            own, contexts = rest[~deeper], contexts[~deeper]
+            ends = np.concatenate([[0], np.searchsorted(contexts, bounds), [len(own)]])
+            for k in np.flatnonzero(np.diff(ends)).tolist():
+                yield self.first[d - UNIT] + k, own[ends[k] : ends[k + 1]]
             rest = rest[deeper]
-            if not len(rest):
-                return
+
+    def word_parts(self, words: np.ndarray) -> Iterator[tuple[int, np.ndarray]]:
+        order, ends = S.dealt(words, self.buckets)
+        for b in np.flatnonzero(np.diff(ends)).tolist():
+            yield b, order[ends[b] : ends[b + 1]]
 
     def unit(self, bucket: int) -> int:
-        return bucket // self.buckets - 1 + UNIT
+        """How many context bytes the keys of a bucket's subtrees share at least."""
+        return int(np.searchsorted(self.first, bucket, "right")) - 1 + UNIT
 
 
 def _sampled(blocks: DataFrame, depth: int) -> np.ndarray:
@@ -300,16 +316,14 @@ def _requests(blocks: DataFrame, units: Units) -> DataFrame:
                 words, counts = _counted(np.append(hashes, END_WORD), np.append(np.repeat(flags, per_text), 0))
                 counts[-1] = flags.sum(dtype=np.uint32)
                 keys, grams = _gram_counts(body, offsets, flags, units.depth)
-                for first, own, by in ((0, np.arange(len(words)), words), *units.parts(keys)):
-                    k, v = (words, counts) if first == 0 else (keys, grams)
-                    order, ends = S.dealt(by, units.buckets)
-                    for b in np.flatnonzero(np.diff(ends)).tolist():
-                        at = own[order[ends[b] : ends[b + 1]]]
-                        out.append((first + b, S.packed(S.delta(k[at]), v[at])))
+                for parts, k, v in ((units.word_parts(words), words, counts), (units.parts(keys), keys, grams)):
+                    out += [(b, S.packed(S.delta(k[at]), v[at])) for b, at in parts]
                 yield pa.RecordBatch.from_arrays([pa.array([b for b, _ in out], pa.int64()), pa.array([row["block"]] * len(out), pa.int64()), pa.array([x for _, x in out], pa.binary())], names=["bucket", "block", "data"])
 
     asked = blocks.mapInArrow(emit, S.REQUEST_SCHEMA)
-    return S.checkpointed(asked.repartition(S.partitions(blocks.sparkSession), "bucket").sortWithinPartitions("bucket"))
+    kept = S.checkpointed(asked.repartition(S.partitions(blocks.sparkSession), "bucket").sortWithinPartitions("bucket"))
+    S.drop_unused_shuffles(blocks.sparkSession)
+    return kept
 
 
 def _by_bucket(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.Table]:
@@ -347,24 +361,30 @@ def _merged(table: pa.Table) -> tuple[np.ndarray, np.ndarray]:
 def _fit(requests: DataFrame, units: Units) -> tuple[TopLevels, int, int]:
     """The top depths, the number of training tokens and of distinct ones."""
 
-    def summarize(table: pa.Table) -> pa.Table:
+    def summarize(table: pa.Table) -> pa.RecordBatch:
         keys, counts = _merged(table)
         bucket = table.column("bucket")[0].as_py()
-        unit = units.unit(bucket)
         if bucket < units.buckets:
-            rows = [np.array([-1]), *(np.array([float(x)]) for x in (counts.sum(), (counts > 0).sum(), 0))]
+            unit, rows = 0, [np.array([-1]), *(np.array([float(x)]) for x in (counts.sum(), (counts > 0).sum(), 0))]
         else:
+            unit = units.unit(bucket)
             node, n0, n1, below = ContextTree(keys, counts, units.depth, unit).top()
             names, at = np.unique(node, return_inverse=True)
             rows = [names, *(np.bincount(at, x, len(names)) for x in (n0, n1, below))]
-        columns = {k: pa.array(v, pa.int64() if k == "node" else pa.float64()) for k, v in zip(("node", "n0", "n1", "below"), rows, strict=True)}
-        return pa.table({"unit": pa.array(np.full(len(rows[0]), unit, np.int32)), **columns})
-
-    tops = requests.mapInArrow(lambda batches: (b for t in _by_bucket(batches) for b in summarize(t).to_batches()), TOP_SCHEMA)
-    got = tops.groupBy("unit", "node").agg(*(F.sum(c).alias(c) for c in ("n0", "n1", "below"))).toPandas().sort_values(["unit", "node"])
-    words, got = got[got.node < 0], got[got.node >= 0]
-    tokens, distinct = (int(words[c].sum()) for c in ("n0", "n1"))
-    return TopLevels(*(got[c].to_numpy() for c in ("node", "n0", "n1", "below", "unit"))), tokens, distinct
+        names = [x.split()[0] for x in TOP_SCHEMA.split(", ")]
+        return pa.RecordBatch.from_arrays([pa.array([unit], pa.int32()), *(pa.array([x.astype(t).tobytes()]) for x, t in zip(rows, ("i8", "f8", "f8", "f8"), strict=True))], names=names)
+
+    tops = requests.mapInArrow(lambda batches: map(summarize, _by_bucket(batches)), TOP_SCHEMA)
+    got: list[list[np.ndarray]] = [[np.zeros(0, t)] for t in ("i8", "f8", "f8", "f8", "i4")]
+    tokens = distinct = 0
+    for row in sorted(tops.collect()):
+        node, *sums = (np.frombuffer(bytes(x), t) for x, t in zip(row[1:], ("i8", "f8", "f8", "f8"), strict=True))
+        if row["unit"] == 0:
+            tokens, distinct = tokens + int(sums[0][0]), distinct + int(sums[1][0])
+        else:
+            for held, x in zip(got, (node, *sums, np.full(len(node), row["unit"], np.int32)), strict=True):
+                held.append(x)
+    return TopLevels(*map(np.concatenate, got)), tokens, distinct
 
 
 def text_scores(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", depth: int = DEPTH) -> DataFrame:
@@ -394,18 +414,22 @@ def text_scores(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
             body = body.lower()
             hashes, per_text = _words(body, offsets)
             words, where = np.unique(np.append(hashes, END_WORD), return_inverse=True)
-            known = _replied(len(words), [(0, np.arange(len(words)), words)], replies, units.buckets, np.int64).astype(np.float64)
+            known = _replied(len(words), units.word_parts(words), replies, np.int64).astype(np.float64)
             base = np.log10((known + 0.5) / (tokens + 0.5 * (distinct + 1)))
             ends = np.concatenate([[0], np.cumsum(per_text)])
             total = lambda x: np.diff(np.concatenate([[0.0], np.cumsum(x[where[:-1]])])[ends]) + x[where[-1]]  # noqa: E731, B023
             n_known, base_score = total((known > 0).astype(np.float64)), total(base)
             del hashes, where
-            grams, _ = _gram_counts(body, offsets, flags, depth)
-            log = _replied(len(grams), units.parts(grams), replies, units.buckets, np.float64)
+            slices = [_sorted_slice(keys) for keys, _ in gram_slices(body, offsets, depth)]
+            grams = np.unique(np.concatenate([own for own, _, _ in slices])) if len(slices) > 1 else slices[0][0]
+            log = _replied(len(grams), units.parts(grams), replies, np.float64)
             natural = np.zeros(len(ids))
-            for keys, of in gram_slices(body, offsets, depth):
+            for (own, times, order), (keys, of) in zip(slices, gram_slices(body, offsets, depth), strict=True):
+                per_byte = np.empty(len(keys))
+                per_byte[order] = np.repeat(log[np.searchsorted(grams, own)], times)
                 first = np.flatnonzero(np.concatenate([[True], of[1:] != of[:-1]])) if len(of) else of
-                natural[of[first]] += np.add.reduceat(log[np.searchsorted(grams, keys)], first) if len(of) else 0.0
+                natural[of[first]] += np.add.reduceat(per_byte, first) if len(of) else 0.0
+            del slices, log
             sizes = np.diff(offsets)
             out.append(pa.table({
                 "id": pa.array(ids, pa.int64()), "held_out": flags == 0, "n_tokens": per_text + 1, "n_known": n_known.round().astype(np.int64), "train_tokens": np.full(len(ids), tokens),
@@ -417,11 +441,17 @@ def text_scores(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
     return blocks.groupBy("block").cogroup(replies.groupBy("block")).applyInArrow(score, SCHEMA).withColumnRenamed("id", id_col)
 
 
-def _replied(n: int, parts: Iterable[tuple], replies: dict[int, bytes], buckets: int, kind: type) -> np.ndarray:
+def _sorted_slice(keys: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Sorted distinct keys, how often each occurs, and the order that sorts."""
+    order = np.argsort(keys)
+    keys = keys[order]
+    first = np.flatnonzero(np.concatenate([[True], keys[1:] != keys[:-1]])) if len(keys) else np.zeros(0, np.int64)
+    return keys[first], np.diff(np.append(first, len(keys))), order.astype(np.int32)
+
+
+def _replied(n: int, parts: Iterable[tuple[int, np.ndarray]], replies: dict[int, bytes], kind: type) -> np.ndarray:
     """The values that buckets sent for a block's n sorted keys, in their order."""
     out = np.zeros(n, kind)
-    for first, own, by in parts:
-        order, ends = S.dealt(by, buckets)
-        for b in np.flatnonzero(np.diff(ends)).tolist():
-            out[own[order[ends[b] : ends[b + 1]]]] = S.unpacked(replies[first + b], kind)[0]
+    for bucket, at in parts:
+        out[at] = S.unpacked(replies[bucket], kind)[0]
     return out

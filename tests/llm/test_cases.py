@@ -181,9 +181,12 @@ def test_units_cut_common_contexts_only():
     keys = np.unique(lm_scoring.gram_keys(body, np.array([0, len(body)]), 6))
     units = lm_scoring.Units(lm_scoring.gram_keys(body, np.array([0, len(body)]), 6), 40, 6)
     parts = list(units.parts(keys))
-    assert 2 in units.split and sorted(np.concatenate([own for _, own, _ in parts])) == list(range(len(keys)))
-    for first, own, by in parts:
-        assert units.unit(first) == first // 40 + 1 and len(own) == len(by)
+    assert 2 in units.split and sorted(np.concatenate([own for _, own in parts])) == list(range(len(keys)))
+    assert len({b for b, _ in parts}) == len(parts) and all(40 <= b < units.first[-1] for b, _ in parts)
+    for bucket, own in parts:
+        d = units.unit(bucket)
+        shared = lambda n: np.unique(keys[own] >> np.uint64(8 * (7 - n)))  # noqa: B023, E731
+        assert all(np.isin(shared(n), units.split[n]).all() for n in range(2, d)) and not np.isin(shared(d), units.split.get(d, [])).any()
 
 
 def test_slices_of_strings_agree(monkeypatch):

@@ -274,7 +274,10 @@ def test_context_tree_scores(spark, no_docs, monkeypatch, depth, split):
         def all_split(self, sample, buckets, depth):
             init(self, sample[:0], buckets, depth)
             keys = np.unique(sample)
-            self.split = {d: np.unique(keys >> np.uint64(8 * (depth + 1 - d)))[:: d - 1] for d in (2, 3, 4)}
+            at = lambda d: np.unique(keys >> np.uint64(8 * (depth + 1 - d)))
+            self.split = {d: at(d)[:: d - 1] for d in (2, 3, 4)}
+            self.bounds = {d: at(d)[3::5] for d in (2, 3, 4, 5)}
+            self.first = np.cumsum([buckets, *(len(x) + 1 for x in self.bounds.values())]).tolist()
 
         monkeypatch.setattr(lm_scoring.Units, "__init__", all_split)
     texts = [(k, t) for k, t in enumerate(["abab abc", "Abab", "", None, " ab \n\tab\n", "zé ab", "cab cab ca", "b", "abab abc", "baba"])]
