@@ -226,17 +226,27 @@ def _words(body: bytes, offsets: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     return np.minimum(hashes, END_WORD - np.uint64(1)), np.diff(np.searchsorted(starts, offsets))
 
 
+def _distinct(keys: np.ndarray) -> np.ndarray:
+    """Sorted distinct keys; a plain sort is several times faster than one that keeps track of places."""
+    keys = np.sort(keys)
+    return keys[np.concatenate([[True], keys[1:] != keys[:-1]])] if len(keys) else keys
+
+
+def _summed(parts: list[tuple[np.ndarray, np.ndarray]]) -> tuple[np.ndarray, np.ndarray]:
+    """Sorted distinct keys of some sorted lists of distinct keys with counts, and the sums of their counts."""
+    if len(parts) == 1:
+        return parts[0]
+    keys = _distinct(np.concatenate([np.zeros(0, np.uint64), *(k for k, _ in parts)]))
+    total = np.zeros(len(keys), np.int64)
+    for k, n in parts:
+        total[np.searchsorted(keys, k)] += n
+    return keys, total
+
+
 def _gram_counts(body: bytes, offsets: np.ndarray, flags: np.ndarray, depth: int) -> tuple[np.ndarray, np.ndarray]:
-    """Sorted distinct keys of a block and how often each occurs in training, merged slice by slice."""
-    keys, counts = np.zeros(0, np.uint64), np.zeros(0, np.uint32)
-    for own, of in gram_slices(body, offsets, depth):
-        more, n = _counted(own, flags[of])
-        if len(keys):
-            keys, at = np.unique(np.concatenate([keys, more]), return_inverse=True)
-            counts = np.bincount(at, np.concatenate([counts, n]), len(keys)).astype(np.uint32)
-        else:
-            keys, counts = more, n
-    return keys, counts
+    """Sorted distinct keys of a block and how often each occurs in training, slice by slice."""
+    keys, counts = _summed([_counted(own, flags[of]) for own, of in gram_slices(body, offsets, depth)])
+    return keys, counts.astype(np.uint32)
 
 
 class Units:
@@ -321,9 +331,7 @@ def _requests(blocks: DataFrame, units: Units) -> DataFrame:
                 yield pa.RecordBatch.from_arrays([pa.array([b for b, _ in out], pa.int64()), pa.array([row["block"]] * len(out), pa.int64()), pa.array([x for _, x in out], pa.binary())], names=["bucket", "block", "data"])
 
     asked = blocks.mapInArrow(emit, S.REQUEST_SCHEMA)
-    kept = S.checkpointed(asked.repartition(S.partitions(blocks.sparkSession), "bucket").sortWithinPartitions("bucket"))
-    S.drop_unused_shuffles(blocks.sparkSession)
-    return kept
+    return S.checkpointed(asked.repartition(S.partitions(blocks.sparkSession), "bucket").sortWithinPartitions("bucket"))
 
 
 def _by_bucket(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.Table]:
@@ -343,19 +351,15 @@ def _by_bucket(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.Table]:
 
 def _merged(table: pa.Table) -> tuple[np.ndarray, np.ndarray]:
     """Distinct keys of a bucket and their counts over all blocks, merged some blocks at a time."""
-    keys, counts = np.zeros(0, np.uint64), np.zeros(0, np.int64)
-    held, size = [], 0
-    data = table.column("data").to_pylist()
-    for k, x in enumerate(data):
+    held, size, merged = [(np.zeros(0, np.uint64), np.zeros(0, np.int64))], 0, 0
+    for x in table.column("data").to_pylist():
         own, n = S.unpacked(x, np.uint64, np.uint32)
         held.append((np.cumsum(own, dtype=np.uint64), n.astype(np.int64)))
         size += len(own)
-        if size >= max(MERGED, len(keys)) or k == len(data) - 1:
-            keys, at = np.unique(np.concatenate([keys, *(h[0] for h in held)]), return_inverse=True)
-            total = np.zeros(len(keys), np.int64)
-            np.add.at(total, at, np.concatenate([counts, *(h[1] for h in held)]))
-            counts, held, size = total, [], 0
-    return keys, counts
+        if size >= max(MERGED, merged):
+            held, size = [_summed(held)], 0
+            merged = len(held[0][0])
+    return _summed(held)
 
 
 def _fit(requests: DataFrame, units: Units) -> tuple[TopLevels, int, int]:
@@ -396,6 +400,7 @@ def text_scores(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
     units = Units(_sampled(blocks, depth), 2 * S.partitions(spark), depth)
     requests = _requests(blocks, units)
     top, tokens, distinct = _fit(requests, units)
+    S.drop_unused_shuffles(spark)  # the requests' own, now that the checkpoint is what is read
     shared = spark.sparkContext.broadcast(top)
 
     def answer(table: pa.Table) -> Iterator[pa.RecordBatch]:
@@ -421,7 +426,7 @@ def text_scores(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
             n_known, base_score = total((known > 0).astype(np.float64)), total(base)
             del hashes, where
             slices = [_sorted_slice(keys) for keys, _ in gram_slices(body, offsets, depth)]
-            grams = np.unique(np.concatenate([own for own, _, _ in slices])) if len(slices) > 1 else slices[0][0]
+            grams = _distinct(np.concatenate([own for own, _, _ in slices])) if len(slices) > 1 else slices[0][0]
             log = _replied(len(grams), units.parts(grams), replies, np.float64)
             natural = np.zeros(len(ids))
             for (own, times, order), (keys, of) in zip(slices, gram_slices(body, offsets, depth), strict=True):
