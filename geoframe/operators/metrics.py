@@ -6,6 +6,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from geoframe.functions import geo
+from geoframe.functions.draws import digest
 from geoframe.operators import fit, neighbors, sensor
 
 
@@ -192,5 +193,5 @@ def lowest_n_cyclic(df: DataFrame, by: str, order: list[str], n: int = 10000) ->
 
 def epoch_shuffle(df: DataFrame, epoch: int, n: int | None = None, key: str = "pair_id") -> DataFrame:
     """Rows in an order that is the same for all readers of an epoch; the first n of them."""
-    shuffled = df.orderBy(F.xxhash64(key, F.lit(epoch)), key)
+    shuffled = df.orderBy(digest(key, F.lit(epoch)), key)
     return shuffled if n is None else shuffled.limit(n)

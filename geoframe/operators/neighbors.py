@@ -5,6 +5,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from geoframe.functions.draws import digest, uniform
+
 
 def l2_normalize(df: DataFrame, col: str) -> DataFrame:
     """Each array to length one; a zero array stays."""
@@ -64,16 +66,16 @@ def far_negatives(anchors: DataFrame, cands: DataFrame, min_dist: float = 100.0,
     n = cands.count()
     if n == 0:
         return anchors.select(a_key, F.lit(None).cast(cands.schema[b_key].dataType).alias(b_key), F.lit(None).cast("double").alias("distance")).limit(0)
-    draws = anchors.select(a_key, *cols, F.posexplode(F.transform(F.sequence(F.lit(0), F.lit(tries - 1)), lambda t: F.pmod(F.xxhash64(F.col(a_key), t, F.lit(seed)), F.lit(n)))).alias("try", "__k"))
+    draws = anchors.select(a_key, *cols, F.posexplode(F.transform(F.sequence(F.lit(0), F.lit(tries - 1)), lambda t: F.floor(uniform(a_key, t, F.lit(seed)) * F.lit(float(n))))).alias("try", "__k"))
     j = draws.join(numbered.select("__k", b_key, *(F.col(c).alias(f"b_{c}") for c in cols)), "__k")
     d = F.sqrt(sum((F.pow(F.col(c) - F.col(f"b_{c}"), 2) for c in cols), F.lit(0.0)))
     rank = F.when(F.col("distance") >= min_dist, F.col("try")).otherwise(F.lit(2 * tries) - F.col("try"))
     return j.withColumn("distance", d).groupBy(a_key).agg(F.min_by(F.struct(b_key, "distance"), rank).alias("m")).select(a_key, "m.*")
 
 
-def running_number(df: DataFrame, key: str, name: str, slices: int = 64) -> DataFrame:
-    """Adds 0, 1, 2, ... in the order of a hash of key: counts of slices first, then numbers within each."""
-    h = df.withColumn("__h", F.xxhash64(key)).withColumn("__s", F.floor(F.col("__h") / F.lit(2**64 / slices)))
+def running_number(df: DataFrame, key: str, name: str, slice_digits: int = 4) -> DataFrame:
+    """Adds 0, 1, 2, ... in the order of a hash of key: counts of slices (65,536 of them) first, then numbers within each."""
+    h = df.withColumn("__h", digest(key)).withColumn("__s", F.substring("__h", 1, slice_digits))
     before = h.groupBy("__s").count().withColumn("__before", F.coalesce(F.sum("count").over(Window.orderBy("__s").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))).drop("count")
     within = F.row_number().over(Window.partitionBy("__s").orderBy("__h", key))
     return h.withColumn("__n", within).join(before, "__s").withColumn(name, F.col("__before") + F.col("__n") - 1).drop("__h", "__s", "__n", "__before")

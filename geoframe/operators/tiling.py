@@ -11,10 +11,7 @@ from collections.abc import Callable
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-
-def uniform(*keys: Column | str) -> Column:
-    """A number in [0, 1) from a hash."""
-    return F.pmod(F.xxhash64(*keys), F.lit(1 << 53)) / F.lit(float(1 << 53))
+from geoframe.functions.draws import uniform
 
 
 def _count(n: Column) -> Column:

@@ -71,6 +71,21 @@ def poly_sql(array: str) -> str:
     return "(" + " + ".join(terms) + ")"
 
 
+def slope_sql(array: str, axis: int) -> str:
+    """Derivative of poly_sql() by P, L or H."""
+    names, terms = ("n_p", "n_l", "n_h"), []
+    for k, powers in enumerate(sensor.POWERS):
+        if powers[axis]:
+            left = [n for a, (n, p) in enumerate(zip(names, powers, strict=True)) for _ in range(p - (a == axis))]
+            terms.append("*".join([f"{array}[{k + 1}]", str(powers[axis]), *left]))
+    return "(" + " + ".join(terms) + ")"
+
+
+def draw_sql(*keys: object) -> str:
+    """SQL of draws.uniform(); text keys in quotes."""
+    return f"(CAST('0x' || substr(md5(concat_ws('|', {', '.join(map(str, keys))})), 1, 13) AS BIGINT) / {16**13}e0)"
+
+
 def ground_sql(points: str, keep: str) -> str:
     """SQL of image_to_object: points has image_id, line, samp, h; gives keep, lat, lon."""
     plh = "((a10 * line + a11 * samp + a12) - samp_off) / samp_scale AS n_p, ((a00 * line + a01 * samp + a02) - line_off) / line_scale AS n_l, (h - h_off) / h_scale AS n_h"
@@ -168,7 +183,24 @@ def p9_compose_affine(t: Tables) -> DataFrame:
     return geo.compose_affine(m, geo.invert_affine(m))
 
 
-@query()
+def _uncertainty_sql(points: str) -> str:
+    """points has patch_id, image_id, x, y, h, sx, sy, sh."""
+    unit = {
+        "0": f"(degrees(1e0 / cosh(y / {R})) / {R} / lat_scale) * sy",
+        "1": f"(degrees(1e0 / {R}) / lon_scale) * sx",
+        "2": "(1e0 / h_scale) * sh",
+    }
+    ratio = lambda n, a: f"({n}_scale * ({slope_sql(n[0] + 'num', a)} * {poly_sql(n[0] + 'den')} - {poly_sql(n[0] + 'num')} * {slope_sql(n[0] + 'den', a)}) / pow({poly_sql(n[0] + 'den')}, 2))"
+    parts = ", ".join(f"{ratio(n, int(a))} * {unit[a]} AS {n[0]}{a}" for n in ("line", "samp") for a in unit)
+    plh = "(lat - lat_off) / lat_scale AS n_p, (lon - lon_off) / lon_scale AS n_l, (h - h_off) / h_scale AS n_h"
+    inner = f"SELECT p.*, m.* EXCLUDE (image_id), {plh} FROM (SELECT *, {LAT_SQL.format(y='y')} AS lat, {LON_SQL.format(x='x')} AS lon FROM ({points})) p JOIN models m USING (image_id)"
+    both = f"SELECT *, a00 * a11 - a01 * a10 AS det, {parts} FROM ({inner})"
+    var_line = " + ".join(f"pow((a11 * l{a} - a01 * s{a}) / det, 2)" for a in unit)
+    var_samp = " + ".join(f"pow((a00 * s{a} - a10 * l{a}) / det, 2)" for a in unit)
+    return f"SELECT patch_id, {var_line} AS var_line, {var_samp} AS var_samp FROM ({both})"
+
+
+@query(f"SELECT patch_id, {r('line', 'samp', 'var_line', 'var_samp')} FROM ({image_sql(PATCH_LATLON, 'patch_id')}) JOIN ({_uncertainty_sql('SELECT patch_id, image_id, x, y, h, 5e-1 AS sx, 7e-1 AS sy, 2e0 AS sh FROM predictions')}) USING (patch_id)", CORRECTED)
 def p10_propagate_uncertainty(t: Tables) -> DataFrame:
     df = t.predictions.withColumns({"sx": F.lit(0.5), "sy": F.lit(0.7), "sh": F.lit(2.0)})
     return sensor.propagate_uncertainty(df, t.corrected_models).select("patch_id", "line", "samp", "var_line", "var_samp")
@@ -481,7 +513,14 @@ def j10_nearest_within(t: Tables) -> DataFrame:
     return neighbors.nearest_within(a, b, 9.0)
 
 
-@query()
+NEGATIVES = {
+    "numbered": "SELECT patch_id AS b_id, samp AS x, line AS y, row_number() OVER (ORDER BY md5(CAST(patch_id AS VARCHAR)), patch_id) - 1 AS k FROM patches",
+    "drawn": f"SELECT query_id AS a_id, samp AS ax, line AS ay, t, CAST(floor({draw_sql('query_id', 't', 0)} * (SELECT count(*) FROM patches)) AS BIGINT) AS k FROM query_points, (SELECT UNNEST(range(4)) AS t)",
+    "tried": "SELECT a_id, b_id, t, sqrt(pow(ax - x, 2) + pow(ay - y, 2)) AS distance FROM drawn JOIN numbered USING (k)",
+}
+
+
+@query(f"SELECT a_id, arg_min(b_id, CASE WHEN distance >= 100 THEN t ELSE 8 - t END) AS b_id, {r('arg_min(distance, CASE WHEN distance >= 100 THEN t ELSE 8 - t END) AS distance')} FROM tried GROUP BY a_id", NEGATIVES)
 def j11_far_negatives(t: Tables) -> DataFrame:
     return neighbors.far_negatives(t.query_points.selectExpr("query_id AS a_id", "samp AS x", "line AS y"), t.patches.selectExpr("patch_id AS b_id", "samp AS x", "line AS y"))
 
@@ -530,13 +569,33 @@ def j18_common_polygon(t: Tables) -> DataFrame:
     return overlap.common_polygon(t.quads).select("x", "y")
 
 
-@query()
+def heights_sql(dem: str, rounds: int = 3) -> dict[str, str]:
+    """SQL of heights_by_iteration() over tie points and a raster like dem_world, as tables h0, h1, ..."""
+    tables = {"h0": f"SELECT image_id, point_id, line, samp, (SELECT avg(value) FROM {dem} WHERE value <> -9999) AS h FROM tie_points"}
+    cell = "CAST(trunc({}) AS INTEGER)"
+    row, col = cell.format("(4e-5 * (lat - 30003e-3)) / (4e-5 * -4e-5)"), cell.format("(-4e-5 * (lon - 109998e-3)) / (4e-5 * -4e-5)")
+    for k in range(rounds):
+        placed = ground_sql(f"SELECT * FROM h{k}", "image_id, point_id, line, samp, h")
+        tables[f"h{k + 1}"] = f"SELECT image_id, point_id, line, samp, coalesce(v.value, h) AS h FROM (SELECT *, {row} AS row, {col} AS col FROM ({placed})) LEFT JOIN (SELECT row, col, value FROM {dem} WHERE value <> -9999) v USING (row, col)"
+    return PLAIN | tables
+
+
+@query(f"SELECT image_id, point_id, line, samp, 'dem' AS raster_id, {r('h')} FROM h3", heights_sql("dem_world"))
 def j19_heights_by_iteration(t: Tables) -> DataFrame:
     points = t.tie_points.withColumn("raster_id", F.lit("dem"))
     return sensor.heights_by_iteration(points, t.sensor_models, t.dem_world, t.rasters)
 
 
-@query()
+GUESSED = GROUND | {
+    "spots": f"SELECT image_id, point_id, {X_SQL.format(lon='lon')} AS x, {Y_SQL.format(lat='lat')} AS y FROM ground",
+    "boxes": "SELECT image_id, min(x) AS minx, max(x) AS maxx, min(y) AS miny, max(y) AS maxy FROM spots GROUP BY image_id",
+    "shapes": "SELECT image_id, max(row) + 1 AS height, max(col) + 1 AS width FROM dem GROUP BY image_id",
+    "guessed": "SELECT image_id, point_id, (maxy - y) / (maxy - miny) * height AS prow, (x - minx) / (maxx - minx) * width AS pcol FROM spots JOIN boxes USING (image_id) JOIN shapes USING (image_id)",
+    "read": f"SELECT image_id, point_id, value AS h FROM ({bilinear_sql('SELECT * FROM guessed', 'image_id, point_id', 'dem', HEIGHT, '100')})",
+}
+
+
+@query(f"SELECT image_id, point_id, {r('x', 'y', 'h', 'line', 'samp')} FROM ({image_sql('SELECT image_id, point_id, x, y, h, ' + LAT_SQL.format(y='y') + ' AS lat, ' + LON_SQL.format(x='x') + ' AS lon FROM spots JOIN read USING (image_id, point_id)', 'image_id, point_id, x, y, h')})", GUESSED)
 def j20_xy_to_image(t: Tables) -> DataFrame:
     box = geo.to_mercator(tie_ground(t)).groupBy("image_id").agg(F.min("x").alias("minx"), F.max("x").alias("maxx"), F.min("y").alias("miny"), F.max("y").alias("maxy"))
     shape = t.dem.groupBy("image_id").agg((F.max("row") + 1).alias("height"), (F.max("col") + 1).alias("width"))

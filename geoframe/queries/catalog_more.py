@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import math
+
 import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
@@ -10,7 +12,7 @@ from geoframe.functions import geo
 from geoframe.functions.lineage import shared_folder
 from geoframe.operators import fit, metrics, neighbors, overlap, raster, sensor, tiling
 from geoframe.plans import jobs
-from geoframe.queries.catalog import HEIGHT, KNOWN_TIES, SHIFTED, TRIMMED, Tables, known_ties, pair_cells, query, r, tie_ground
+from geoframe.queries.catalog import ADDED, HEIGHT, KNOWN_TIES, SHIFTED, TRIMMED, Tables, draw_sql, heights_sql, known_ties, pair_cells, query, r, tie_ground
 from geoframe.sources import files
 
 BLOCK = "CAST(row // {n} AS INTEGER) AS row, CAST(col // {n} AS INTEGER) AS col"
@@ -298,7 +300,15 @@ def g2_crop_windows(t: Tables) -> DataFrame:
     return tiling.crop_windows(images(t), 64, 40).filter("NOT random").drop("random")
 
 
-@query()
+_RANDOM = "SELECT *, UNNEST(range(nr * nc)) AS k FROM (SELECT *, CAST(ceil((height - 64) / s) AS BIGINT) AS nr, CAST(ceil((width - 64) / s) AS BIGINT) AS nc FROM (SELECT *, greatest(floor(sqrt((height - 64) * (width - 64) / 150e0)), 1) AS s FROM {SIZES}))"
+
+
+def whole_draw_sql(name: str, low: str, high: str, *keys: str) -> str:
+    """A whole number from low to high."""
+    return f"CAST({low} + floor({draw_sql(*keys, repr(name), 0)} * (({high}) - ({low}) + 1)) AS INTEGER)"
+
+
+@query(f"SELECT image_id, CAST(nr * nc + k AS INTEGER) AS window_id, {whole_draw_sql('row', '0', 'height - 64', 'image_id', 'k')} AS row, {whole_draw_sql('col', '0', 'width - 64', 'image_id', 'k')} AS col FROM ({_RANDOM.format(SIZES=SIZES)})")
 def g2_random_windows(t: Tables) -> DataFrame:
     return tiling.crop_windows(images(t), 64).filter("random").drop("random", "flip_rows", "flip_cols")
 
@@ -325,7 +335,19 @@ def g4_block_coordinates(t: Tables) -> DataFrame:
     return tiling.coordinates(small_images(t), 4)
 
 
-@query()
+def _crops_sql() -> str:
+    draw = lambda name, low, high: f"{whole_draw_sql(name, low, high, 'pair_id', 'k')} AS {name}"
+    sql = f"SELECT image_id AS pair_id, height, width, least(height, width) AS most, CAST(UNNEST(range(8)) AS INTEGER) AS k FROM {SIZES}"
+    sql = f"SELECT *, {draw('side1', '64', 'most')}, {draw('side2', '64', 'most')} FROM ({sql})"
+    sql = f"SELECT *, least(side1, side2) AS small FROM ({sql})"
+    sql = f"SELECT *, {draw('overlap', 'ceil(small / 2e0)', 'small')} FROM ({sql})"
+    sql = f"SELECT *, {draw('orow', '0', 'height - overlap')}, {draw('ocol', '0', 'width - overlap')} FROM ({sql})"
+    around = [(f"{a}{m}", f"greatest(o{a} + overlap - side{m}, 0)", f"least(o{a}, {n} - side{m})") for a, n in (("row", "height"), ("col", "width")) for m in (1, 2)]
+    sql = f"SELECT *, {', '.join(draw(*x) for x in around)} FROM ({sql})"
+    return f"SELECT pair_id, k, row1, col1, side1, row2, col2, side2, orow AS overlap_row, ocol AS overlap_col, overlap FROM ({sql})"
+
+
+@query(_crops_sql())
 def g5_overlapping_crops(t: Tables) -> DataFrame:
     return tiling.overlapping_crops(images(t).withColumnRenamed("image_id", "pair_id"), 8, 64)
 
@@ -335,12 +357,25 @@ def g6_blocks(t: Tables) -> DataFrame:
     return tiling.blocks(images(t), 64)
 
 
-@query()
+_MIRRORS = f"SELECT *, {draw_sql('image_id', 'k', repr('line'), 0)} * (height - 1) AS l, {draw_sql('image_id', 'k', repr('samp'), 0)} * (width - 1) AS s FROM (SELECT *, UNNEST(range(10)) AS k FROM {SIZES})"
+
+
+@query(f"SELECT image_id, CAST(k * 4 + m AS INTEGER) AS query_id, {r('CASE WHEN m % 2 = 1 THEN height - 1 - l ELSE l END AS line', 'CASE WHEN m >= 2 THEN width - 1 - s ELSE s END AS samp')} FROM ({_MIRRORS}), (SELECT UNNEST(range(4)) AS m)")
 def g7_mirrored_points(t: Tables) -> DataFrame:
     return tiling.mirrored_points(images(t), 40)
 
 
-@query()
+def _squares_sql(size: int = 100, most: float = 5.0) -> str:
+    reach, half = size * (math.cos(math.radians(most)) + math.sin(math.radians(most))) / 2, size / 2
+    centre = lambda name, extent: f"{reach!r}::DOUBLE + {draw_sql('image_id', repr(name), 0)} * ({extent} - 1 - {2 * reach!r}::DOUBLE)"
+    turned = f"SELECT *, radians(({draw_sql('image_id', repr('angle'), 0)} * 2 - 1) * 5) AS t, {centre('row', 'height')} AS cy, {centre('col', 'width')} AS cx FROM {SIZES}"
+    corners = ((-half, -half), (half, -half), (half, half), (-half, half))
+    out = [f"cx + {u} * cos(t) - {v} * sin(t) AS x{k}" for k, (u, v) in enumerate(corners)] + [f"cy + {u} * sin(t) + {v} * cos(t) AS y{k}" for k, (u, v) in enumerate(corners)]
+    back = ["cos(t) AS a00", "sin(t) AS a01", "-sin(t) AS a10", "cos(t) AS a11", f"cy - {half} * cos(t) - {half} * sin(t) AS a02", f"cx + {half} * sin(t) - {half} * cos(t) AS a12"]
+    return f"SELECT image_id, {r('degrees(t) AS angle', *out, *back)} FROM ({turned})"
+
+
+@query(_squares_sql())
 def g8_rotated_squares(t: Tables) -> DataFrame:
     return tiling.rotated_squares(images(t), 100)
 
@@ -370,7 +405,7 @@ def t3_budget_sample(t: Tables) -> DataFrame:
     return fit.budget_sample(t.patches, "image_id", 100).groupBy("image_id").agg(F.count("*").alias("n"))
 
 
-@query()
+@query("SELECT image_id AS pair_id FROM footprints ORDER BY md5(concat_ws('|', image_id, 3)), image_id")
 def t4_epoch_shuffle(t: Tables) -> DataFrame:
     return metrics.epoch_shuffle(t.footprints.select(F.col("image_id").alias("pair_id")), 3)
 
@@ -462,7 +497,7 @@ def d5_orthorectify(t: Tables) -> DataFrame:
     return jobs.orthorectify(raster.panchromatic(t.pixels).withColumnRenamed("pan", "value"), t.dem, t.sensor_models, 3.0)
 
 
-@query()
+@query(f"SELECT image_id, point_id, line, samp, 'dem' AS raster_id, {r('h')} FROM h3", {"corrected": f"SELECT row, col, d.value + coalesce(g.value, 0) AS value FROM dem_world d LEFT JOIN ({ADDED}) g USING (row, col)"} | heights_sql("corrected"))
 def d6_prepare_heights(t: Tables) -> DataFrame:
     return jobs.prepare_heights(t.tie_points.withColumn("raster_id", F.lit("dem")), t.dem_world, t.geoid, t.rasters, t.sensor_models, "geoid")
 
