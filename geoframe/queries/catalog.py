@@ -595,12 +595,13 @@ GUESSED = GROUND | {
 }
 
 
-@query(f"SELECT image_id, point_id, {r('x', 'y', 'h', 'line', 'samp')} FROM ({image_sql('SELECT image_id, point_id, x, y, h, ' + LAT_SQL.format(y='y') + ' AS lat, ' + LON_SQL.format(x='x') + ' AS lon FROM spots JOIN read USING (image_id, point_id)', 'image_id, point_id, x, y, h')})", GUESSED)
+@query(f"SELECT image_id, point_id, {r('x', 'y', 'round(h, 2) AS h', 'round(line, 2) AS line', 'round(samp, 2) AS samp')} FROM ({image_sql('SELECT image_id, point_id, x, y, h, ' + LAT_SQL.format(y='y') + ' AS lat, ' + LON_SQL.format(x='x') + ' AS lon FROM spots JOIN read USING (image_id, point_id)', 'image_id, point_id, x, y, h')})", GUESSED)
 def j20_xy_to_image(t: Tables) -> DataFrame:
     box = geo.to_mercator(tie_ground(t)).groupBy("image_id").agg(F.min("x").alias("minx"), F.max("x").alias("maxx"), F.min("y").alias("miny"), F.max("y").alias("maxy"))
     shape = t.dem.groupBy("image_id").agg((F.max("row") + 1).alias("height"), (F.max("col") + 1).alias("width"))
     points = geo.to_mercator(tie_ground(t)).select("image_id", "point_id", "x", "y")
-    return sensor.xy_to_image(points, t.sensor_models, t.dem, box.join(shape, "image_id"))
+    placed = sensor.xy_to_image(points, t.sensor_models, t.dem, box.join(shape, "image_id"))
+    return placed.withColumns({c: F.round(c, 2) for c in ("h", "line", "samp")})  # metres of 10**7 leave some 1e-8 of a cell
 
 
 @query(f"SELECT image_id, point_id, {r('value')} FROM ({bilinear_sql(f'SELECT image_id, point_id, line * (({HEIGHT} - 1) / CAST({HEIGHT} AS DOUBLE)) AS prow, samp * (99 / 100e0) AS pcol FROM tie_points', 'image_id, point_id', 'dem', HEIGHT, '100')})")
