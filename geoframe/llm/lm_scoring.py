@@ -48,7 +48,7 @@ from pyspark.sql import functions as F
 from geoframe.llm import _shared as S
 from geoframe.llm.quality import word_hashes, word_spans
 
-DEPTH, UNIT, HELD_OUT, BLOCK_BYTES, SLICE = 6, 2, 1, 10 << 20, 4 << 20
+DEPTH, UNIT, HELD_OUT, BLOCK_BYTES, SLICE = 6, 2, 1, 16 << 20, 2 << 20
 SAMPLE, SPLITS, MERGED = 1 << 20, 1 << 12, 1 << 22
 EDGE = 255
 LOG2 = float(np.log(2.0))
@@ -184,6 +184,7 @@ def gram_slices(body: bytes, offsets: np.ndarray, depth: int) -> Iterator[tuple[
     edge, ends = bytes([EDGE]) * depth, offsets.tolist()
     raw = np.frombuffer(edge + b"".join(body[a:b] + bytes([EDGE]) + edge for a, b in zip(ends[:-1], ends[1:], strict=True)), np.uint8)
     first = offsets[:-1] + np.arange(len(ends) - 1) * (depth + 1) + depth  # where each text's keys begin
+    last = first + np.diff(offsets)
     for a in range(depth, len(raw) - depth, SLICE):
         b = min(a + SLICE, len(raw) - depth)
         keys = raw[a:b].astype(np.uint64)
@@ -191,8 +192,8 @@ def gram_slices(body: bytes, offsets: np.ndarray, depth: int) -> Iterator[tuple[
             keys |= raw[a - k : b - k].astype(np.uint64) << np.uint64(8 * (depth + 1 - k))
         low, high = int(np.searchsorted(first, a, "right")) - 1, int(np.searchsorted(first, b))
         edges = np.clip(first[low:high], a, b)
-        of = np.repeat(np.arange(low, high), np.diff(np.append(edges, b)))
-        scored = np.arange(a, b) <= (first + np.diff(offsets))[of]
+        of = np.repeat(np.arange(low, high, dtype=np.int32), np.diff(np.append(edges, b)))
+        scored = np.arange(a, b) <= last[of]
         yield keys[scored], of[scored]
 
 
@@ -424,7 +425,7 @@ def text_scores(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
             ends = np.concatenate([[0], np.cumsum(per_text)])
             total = lambda x: np.diff(np.concatenate([[0.0], np.cumsum(x[where[:-1]])])[ends]) + x[where[-1]]  # noqa: E731, B023
             n_known, base_score = total((known > 0).astype(np.float64)), total(base)
-            del hashes, where
+            del hashes, where, words, known, base
             slices = [_sorted_slice(keys) for keys, _ in gram_slices(body, offsets, depth)]
             grams = _distinct(np.concatenate([own for own, _, _ in slices])) if len(slices) > 1 else slices[0][0]
             log = _replied(len(grams), units.parts(grams), replies, np.float64)
