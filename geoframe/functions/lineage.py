@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import re
 import tempfile
 import uuid
 
@@ -11,7 +12,10 @@ from pyspark.sql import DataFrame, SparkSession
 def _checkpoint_folder(spark: SparkSession) -> str:
     context = spark.sparkContext
     if not context._jsc.sc().getCheckpointDir().isDefined():
-        context.setCheckpointDir(spark.conf.get("spark.checkpoint.dir", None) or tempfile.mkdtemp(prefix="spark-checkpoint-"))
+        folder = spark.conf.get("spark.checkpoint.dir", None)
+        if not folder and not re.match(r"local(\[|$)", context.master):
+            raise ValueError("set spark.checkpoint.dir to a folder that the driver and all executors share")
+        context.setCheckpointDir(folder or tempfile.mkdtemp(prefix="spark-checkpoint-"))
     return context._jsc.sc().getCheckpointDir().get()
 
 
@@ -19,7 +23,7 @@ def checkpointed(df: DataFrame) -> DataFrame:
     """df written to the session's checkpoint folder, which executors share, and read from there.
 
     For tables that a job reads many times, or whose plan would be planned anew for
-    each.  Only where spark.checkpoint.dir is unset does a temporary folder serve.
+    each.  On a local master, where spark.checkpoint.dir is unset, a temporary folder serves.
     """
     _checkpoint_folder(df.sparkSession)
     return df.checkpoint(eager=True)

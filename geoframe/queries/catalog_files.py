@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from geoframe.functions import geo
@@ -13,12 +13,31 @@ from geoframe.queries.catalog_more import FINITE, GRID_SQL, rect
 from geoframe.sources import files
 
 
-@query("SELECT image_id, " + r(*sensor.NORMALIZERS, *geo.AFFINE, *(f"{c}[{k}] AS {c}{k}" for c in (*sensor.DIRECT, *sensor.INVERSE) for k in (1, 2, 4))) + " FROM corrected_models")
+def _whole(arrays: tuple[str, ...]) -> list[str]:
+    return [f"{c}[{k}] AS {c}{k}" for c in arrays for k in range(1, 21)]
+
+
+def _elements(arrays: tuple[str, ...]) -> list[Column]:
+    return [F.col(c)[k].alias(f"{c}{k + 1}") for c in arrays for k in range(20)]
+
+
+@query("SELECT image_id, " + r(*sensor.NORMALIZERS, *geo.AFFINE, *_whole((*sensor.DIRECT, *sensor.INVERSE))) + " FROM corrected_models")
 def s1_s3_model_files(t: Tables) -> DataFrame:
     folder = shared_folder(t.spark, "models")
     files.write_sensor_models(t.corrected_models, folder)
     back = files.read_sensor_models(t.spark, folder)
-    return back.select("image_id", *sensor.NORMALIZERS, *geo.AFFINE, *(F.col(c)[k - 1].alias(f"{c}{k}") for c in (*sensor.DIRECT, *sensor.INVERSE) for k in (1, 2, 4)))
+    return back.select("image_id", *sensor.NORMALIZERS, *geo.AFFINE, *_elements((*sensor.DIRECT, *sensor.INVERSE)))
+
+
+@query("SELECT image_id, " + r(*sensor.NORMALIZERS, *_whole(sensor.DIRECT)) + " FROM sensor_models")
+def s2_model_files(t: Tables) -> DataFrame:
+    """The key = value layout, whose lists are in brackets."""
+    folder = shared_folder(t.spark, "rpb")
+    values = [F.concat(F.lit(f"{key} = "), F.col(c).cast("string"), F.lit(";")) for c, key in zip(files.ORDER, files.RPB_NAMES, strict=True)]
+    lists = [F.concat(F.lit(f"{key} = (\n"), F.concat_ws(",\n", F.transform(c, lambda v: v.cast("string"))), F.lit(");")) for c, key in files.RPB_ARRAYS.items()]
+    text = F.concat_ws("\n", F.lit("BEGIN_GROUP = IMAGE"), *values, *lists, F.lit("END_GROUP = IMAGE"))
+    t.sensor_models.select("image_id", text.alias("value")).write.partitionBy("image_id").text(folder)
+    return files.read_sensor_models(t.spark, folder, "rpb").select("image_id", *sensor.NORMALIZERS, *_elements(tuple(sensor.DIRECT)))
 
 
 @query("SELECT image_id, CAST(row_number() OVER (PARTITION BY image_id ORDER BY point_id) - 1 AS BIGINT) AS point_id, line, samp FROM tie_points")

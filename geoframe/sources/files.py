@@ -47,7 +47,9 @@ def _whole_texts(spark: SparkSession, path: str) -> DataFrame:
 def _numbered(df: DataFrame) -> DataFrame:
     """image_id from the folder (image_id=...), as this module writes them, or else by sorted file name, from 0; a row per image."""
     folder = F.expr(r"try_cast(regexp_extract(path, '/image_id=([0-9]+)/', 1) AS INT)")
-    return df.withColumn("image_id", F.coalesce(folder, F.row_number().over(Window.orderBy("name")) - 1).cast("int"))
+    nth = F.row_number().over(Window.orderBy("name", "path")) - 1  # of the names alone: the texts stay where they are
+    numbers = df.select("path", "name").distinct().select("path", F.coalesce(folder, nth).cast("int").alias("image_id"))
+    return df.join(numbers, "path")
 
 
 def read_sensor_models(spark: SparkSession, path: str, layout: str = "keyed") -> DataFrame:
