@@ -23,8 +23,9 @@ Which contexts are split is read off a bounded sample of strings (at most SAMPLE
 from blocks and places spread evenly; it decides where work is done, not what
 comes out), at most SPLITS contexts in all.  Buckets report the nodes above their
 subtrees (contexts are dealt in ranges, so that few report the same ones), at most
-65,280 and 255 for each split context, which are weighted on the driver and broadcast; then buckets reply a log-probability for each string of each
-block, as a double.  Word counts for the base score go the same way.
+65,280 and 255 for each split context, which are weighted on the driver and
+broadcast; then buckets reply a log-probability for each string of each block, as a
+double.  Word counts for the base score go the same way.
 
 Contexts are at most 6 bytes deep: with the predicted byte they fill a 64-bit key
 but for the bit that marks training.
@@ -79,28 +80,35 @@ def _weigh(kt: np.ndarray, below: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
 
 
 class ContextTree:
-    """Depths `unit` to `depth` over sorted distinct keys (nearest context byte first, predicted byte last) with counts."""
+    """Depths `unit` to `depth` over sorted distinct keys (nearest context byte first, predicted byte last) with counts.
+
+    The eight bits of a byte have trees of their own, which are made one at a time.
+    """
 
     def __init__(self, keys: np.ndarray, counts: np.ndarray, depth: int, unit: int = UNIT):
-        self.depth, self.unit, self.levels = depth, unit, {}
+        self.depth, self.unit = depth, unit
         sub, n = keys, counts.astype(np.int64)
-        above = None
-        for d in range(depth, unit - 1, -1):
-            if d < depth:
-                shorter = (sub >> np.uint64(16) << np.uint64(8)) | (sub & np.uint64(255))
-                sub, above = np.unique(shorter, return_inverse=True)
-                n = np.bincount(above, n, len(sub)).astype(np.int64)
-                self.levels[d + 1]["above"] = above
-            self.levels[d] = {"sub": sub, "bits": [self._nodes(sub, n, j) for j in range(8)]}
-        for d in range(depth, unit - 1, -1):
-            for j, node in enumerate(self.levels[d]["bits"]):
-                kt = log_kt(node["n0"], node["n1"])
-                if d == depth:
-                    node["log"], node["own"] = kt, np.ones(len(kt))
-                else:
-                    deeper = self.levels[d + 1]
-                    parent = node["of"][deeper["above"][deeper["bits"][j]["first"]]]
-                    node["log"], node["own"] = _weigh(kt, np.bincount(parent, deeper["bits"][j]["log"], len(kt)))
+        self.levels: dict[int, tuple[np.ndarray, np.ndarray]] = {depth: (sub, n)}
+        self.above: dict[int, np.ndarray] = {}  # from the keys of a depth to those of the depth above
+        for d in range(depth - 1, unit - 1, -1):
+            shorter = (sub >> np.uint64(16) << np.uint64(8)) | (sub & np.uint64(255))
+            sub, above = np.unique(shorter, return_inverse=True)
+            n = np.bincount(above, n, len(sub)).astype(np.int64)
+            self.levels[d], self.above[d + 1] = (sub, n), above.astype(np.int32)
+
+    def _tree(self, j: int) -> dict[int, dict]:
+        """The nodes that decide bit j, by depth."""
+        tree: dict[int, dict] = {}
+        for d in range(self.depth, self.unit - 1, -1):
+            node = self._nodes(*self.levels[d], j)
+            kt = log_kt(node["n0"], node["n1"])
+            if d == self.depth:
+                node["log"], node["own"] = kt, np.ones(len(kt))
+            else:
+                parent = node["of"][self.above[d + 1][tree[d + 1]["first"]]]
+                node["log"], node["own"] = _weigh(kt, np.bincount(parent, tree[d + 1]["log"], len(kt)))
+            tree[d] = node
+        return tree
 
     @staticmethod
     def _nodes(sub: np.ndarray, n: np.ndarray, j: int) -> dict:
@@ -109,13 +117,14 @@ class ContextTree:
         first = np.flatnonzero(fresh)
         one = ((sub >> np.uint64(7 - j)) & np.uint64(1)).astype(np.int64)
         n1 = np.add.reduceat(n * one, first)
-        return {"of": np.cumsum(fresh) - 1, "first": first, "n1": n1, "n0": np.add.reduceat(n, first) - n1}
+        return {"of": np.cumsum(fresh, dtype=np.int32) - np.int32(1), "first": first, "n1": n1, "n0": np.add.reduceat(n, first) - n1}
 
     def top(self) -> tuple[np.ndarray, ...]:
         """For the nodes of depth unit - 1: node (context bytes, bit prefix), n0, n1 and the sum of log Pw of the children here."""
         out = []
-        for j, node in enumerate(self.levels[self.unit]["bits"]):
-            sub = self.levels[self.unit]["sub"][node["first"]]
+        for j in range(8):
+            node = self._tree(j)[self.unit]
+            sub = self.levels[self.unit][0][node["first"]]
             out.append((node_names(sub, self.unit, self.unit - 1, j), node["n0"], node["n1"], node["log"]))
         return tuple(np.concatenate(x) for x in zip(*out, strict=True))
 
@@ -123,14 +132,14 @@ class ContextTree:
         """Natural log-probability of each key's predicted byte in its context."""
         total = np.zeros(len(keys))
         for j in range(8):
-            row, p = np.arange(len(keys)), None
+            tree, row, p = self._tree(j), np.arange(len(keys), dtype=np.int32), None
             for d in range(self.depth, self.unit - 1, -1):
-                node = self.levels[d]["bits"][j]
+                node = tree[d]
                 at = node["of"][row]
                 kt = ((node["n1"] + 0.5) / (node["n0"] + node["n1"] + 1.0))[at]
                 own = node["own"][at]
                 p = kt if p is None else own * kt + (1 - own) * p
-                row = self.levels[d]["above"][row] if "above" in self.levels[d] else row
+                row = self.above[d][row] if d in self.above else row
             p = top.mix(p, keys, self.depth, self.unit, j)
             one = ((keys >> np.uint64(7 - j)) & np.uint64(1)) == 1
             total += np.log(np.where(one, p, 1 - p))
@@ -452,7 +461,7 @@ def _sorted_slice(keys: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]
     order = np.argsort(keys)
     keys = keys[order]
     first = np.flatnonzero(np.concatenate([[True], keys[1:] != keys[:-1]])) if len(keys) else np.zeros(0, np.int64)
-    return keys[first], np.diff(np.append(first, len(keys))), order.astype(np.int32)
+    return keys[first], np.diff(np.append(first, len(keys))).astype(np.int32), order.astype(np.int32)
 
 
 def _replied(n: int, parts: Iterable[tuple[int, np.ndarray]], replies: dict[int, bytes], kind: type) -> np.ndarray:
