@@ -50,7 +50,7 @@ from geoframe.llm import _shared as S
 from geoframe.llm.quality import word_hashes, word_spans
 
 DEPTH, UNIT, HELD_OUT, BLOCK_BYTES, SLICE = 6, 2, 1, 16 << 20, 2 << 20
-SAMPLE, SPLITS, MERGED = 1 << 20, 1 << 12, 1 << 22
+SAMPLE, SPLITS, MERGED, HELD = 1 << 20, 1 << 12, 1 << 22, 1 << 21
 EDGE = 255
 LOG2 = float(np.log(2.0))
 END_WORD = np.uint64(2**64 - 1)
@@ -435,16 +435,16 @@ def text_scores(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
             total = lambda x: np.diff(np.concatenate([[0.0], np.cumsum(x[where[:-1]])])[ends]) + x[where[-1]]  # noqa: E731, B023
             n_known, base_score = total((known > 0).astype(np.float64)), total(base)
             del hashes, where, words, known, base
-            slices = [_sorted_slice(keys) for keys, _ in gram_slices(body, offsets, depth)]
-            grams = _distinct(np.concatenate([own for own, _, _ in slices])) if len(slices) > 1 else slices[0][0]
+            orders, grams = _orders_and_grams(body, offsets, depth)
             log = _replied(len(grams), units.parts(grams), replies, np.float64)
             natural = np.zeros(len(ids))
-            for (own, times, order), (keys, of) in zip(slices, gram_slices(body, offsets, depth), strict=True):
+            for order, (keys, of) in zip(orders, gram_slices(body, offsets, depth), strict=True):
+                own, times = _runs(keys[order])
                 per_byte = np.empty(len(keys))
                 per_byte[order] = np.repeat(log[np.searchsorted(grams, own)], times)
                 first = np.flatnonzero(np.concatenate([[True], of[1:] != of[:-1]])) if len(of) else of
                 natural[of[first]] += np.add.reduceat(per_byte, first) if len(of) else 0.0
-            del slices, log
+            del orders, log
             sizes = np.diff(offsets)
             out.append(pa.table({
                 "id": pa.array(ids, pa.int64()), "held_out": flags == 0, "n_tokens": per_text + 1, "n_known": n_known.round().astype(np.int64), "train_tokens": np.full(len(ids), tokens),
@@ -456,12 +456,23 @@ def text_scores(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
     return blocks.groupBy("block").cogroup(replies.groupBy("block")).applyInArrow(score, SCHEMA).withColumnRenamed("id", id_col)
 
 
-def _sorted_slice(keys: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """Sorted distinct keys, how often each occurs, and the order that sorts."""
-    order = np.argsort(keys)
-    keys = keys[order]
+def _runs(keys: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """The distinct ones of sorted keys, and how often each occurs."""
     first = np.flatnonzero(np.concatenate([[True], keys[1:] != keys[:-1]])) if len(keys) else np.zeros(0, np.int64)
-    return keys[first], np.diff(np.append(first, len(keys))).astype(np.int32), order.astype(np.int32)
+    return keys[first], np.diff(np.append(first, len(keys)))
+
+
+def _orders_and_grams(body: bytes, offsets: np.ndarray, depth: int) -> tuple[list[np.ndarray], np.ndarray]:
+    """For each slice the order that sorts its keys, and the sorted distinct keys of all slices, merged some slices at a time."""
+    orders, held, size = [], [np.zeros(0, np.uint64)], 0
+    for keys, _ in gram_slices(body, offsets, depth):
+        order = np.argsort(keys).astype(np.int32)
+        orders.append(order)
+        held.append(_runs(keys[order])[0])
+        size += len(held[-1])
+        if size >= max(HELD, len(held[0])):
+            held, size = [_distinct(np.concatenate(held))], 0
+    return orders, _distinct(np.concatenate(held)) if len(held) > 1 else held[0]
 
 
 def _replied(n: int, parts: Iterable[tuple[int, np.ndarray]], replies: dict[int, bytes], kind: type) -> np.ndarray:
