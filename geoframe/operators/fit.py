@@ -67,15 +67,18 @@ def affine_lsq(corr: DataFrame, by: str = "image_id") -> DataFrame:
 def _drawn(corr: DataFrame, by: str, size: int, hypotheses: int, seed: int) -> DataFrame:
     """by, hyp and `size` distinct points for each hypothesis: those of least hash of (point, hypothesis).
 
-    A point enters a hypothesis only under a hash threshold that leaves some 16
-    points of each, so that drawing does not multiply the table.
+    Each point picks by hash the few hypotheses that it stands for, so that some 8 x size
+    points stand for each and drawing does not multiply the table; the points of a
+    small group stand for all.
     """
     corr = corr.select(by, *L, *T).distinct()
     n = corr.groupBy(by).agg(F.count("*").alias("__n"))
     keyed = corr.withColumn("__h", F.xxhash64(*L, *T)).join(n, by)
-    share = F.least(F.lit(1.0), F.lit(8.0 * size) / F.col("__n"))
-    tried = keyed.select(by, *L, *T, "__h", share.alias("__share"), F.explode(F.sequence(F.lit(0), F.lit(hypotheses - 1))).alias("hyp"))
-    points = tried.withColumn("r", F.xxhash64("__h", "hyp", F.lit(seed))).filter(F.col("r") / F.lit(2.0**64) + 0.5 < F.col("__share"))
+    expected = F.lit(8.0 * size * hypotheses) / F.col("__n")
+    picks = F.floor(expected + F.xxhash64("__h", F.lit(seed)) / F.lit(2.0**64) + 0.5).cast("int")
+    picked = F.array_distinct(F.transform(F.sequence(F.lit(1), picks), lambda t: F.pmod(F.xxhash64("__h", t, F.lit(seed)), F.lit(hypotheses)).cast("int")))
+    stands_for = F.when(F.col("__n") <= 8 * size, F.sequence(F.lit(0), F.lit(hypotheses - 1))).when(picks > 0, picked)
+    points = keyed.select(by, *L, *T, "__h", F.explode(stands_for).alias("hyp")).withColumn("r", F.xxhash64("__h", "hyp", F.lit(seed)))
     first = points.withColumn("__k", F.row_number().over(Window.partitionBy(by, "hyp").orderBy("r", *L, *T))).filter(F.col("__k") <= size)
     rows = first.groupBy(by, "hyp").agg(*(F.max(F.when(F.col("__k") == k + 1, F.col(c))).alias(f"{c}{k}") for k in range(size) for c in (*L, *T)), F.count("*").alias("__n"))
     return rows.filter(F.col("__n") == size).drop("__n")

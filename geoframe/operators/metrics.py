@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from geoframe.functions import geo
 from geoframe.functions.draws import digest
+from geoframe.functions.lineage import checkpointed
 from geoframe.operators import fit, neighbors, sensor
 
 
@@ -17,11 +18,40 @@ def pair_distances(coords: DataFrame) -> DataFrame:
     return j.select("point_id", "i", "j", geo.haversine_m(F.col("lat_i"), F.col("lon_i"), F.col("lat_j"), F.col("lon_j")).alias("distance"))
 
 
+def middle_values(df: DataFrame, col: str, accuracy: int = 100_000) -> tuple[float | None, float | None]:
+    """The values of col at the two middle ranks of the whole table (one and the same, if rows are odd in number); None for none.
+
+    Approximate quantiles part the values into those below, about and above the middle.
+    The parts' exact sizes say where the middle ranks lie, and only that part is ranked,
+    so the result is exact however good the quantiles are.  df is read three times.
+    """
+    values = df.select(F.col(col).cast("double").alias("v")).filter("v IS NOT NULL")
+    bounds = values.agg(F.percentile_approx("v", [0.5 - 2 / accuracy, 0.5 + 2 / accuracy], accuracy)).first()[0]
+    if bounds is None:
+        return None, None
+    values = values.withColumn("part", F.when(F.col("v") < bounds[0], 0).when(F.col("v") <= bounds[1], 1).otherwise(2))
+    sizes = {r["part"]: r["count"] for r in values.groupBy("part").count().collect()}
+    n, before, found = sum(sizes.values()), 0, {}
+    for part in sorted(sizes):
+        ranks = {r - before for r in ((n - 1) // 2, n // 2) if before <= r < before + sizes[part]}
+        if ranks:
+            upto = values.filter(F.col("part") == part).groupBy("v").count().select("v", F.sum("count").over(Window.orderBy("v")).alias("upto"))
+            row = upto.agg(*(F.min(F.when(F.col("upto") > r, F.col("v"))).alias(str(r)) for r in ranks)).first()
+            found |= {r + before: row[str(r)] for r in ranks}
+        before += sizes[part]
+    return found[(n - 1) // 2], found[n // 2]
+
+
 def summary(dist: DataFrame, thresholds: tuple = (0.5, 1, 3), by: tuple = ()) -> DataFrame:
     """Median, mean, largest, least distance and the shares under each threshold."""
     name = lambda t: f"at_{t}m".replace(".", "_")
     shares = [F.avg((F.col("distance") < t).cast("double")).alias(name(t)) for t in thresholds]
-    return dist.groupBy(*by).agg(F.median("distance").alias("median"), F.avg("distance").alias("mean"), F.max("distance").alias("max"), F.min("distance").alias("min"), *shares)
+    median = F.median("distance")
+    if not by:
+        dist = checkpointed(dist.select("distance"))
+        low, high = middle_values(dist, "distance")
+        median = F.lit(None if low is None else 0.5 * low + 0.5 * high).cast("double")
+    return dist.groupBy(*by).agg(median.alias("median"), F.avg("distance").alias("mean"), F.max("distance").alias("max"), F.min("distance").alias("min"), *shares)
 
 
 def append_log(row: DataFrame, path: str) -> None:
@@ -116,8 +146,9 @@ def pair_consistency(p1: DataFrame, p2: DataFrame, t: float, key: str = "patch_i
 
 
 def residual_threshold(res: DataFrame, col: str = "residual") -> DataFrame:
-    """The lower median of known residuals."""
-    return res.filter(F.col(col) >= 0).agg(F.expr(f"percentile_disc(0.5) WITHIN GROUP (ORDER BY {col})").alias("threshold"))
+    """The lower median of known residuals, as one row."""
+    known = checkpointed(res.filter(F.col(col) >= 0).select(col))
+    return known.agg(F.lit(middle_values(known, col)[0]).cast("double").alias("threshold"))
 
 
 def finetune_report(df: DataFrame, epoch: int, key: str = "patch_id") -> DataFrame:

@@ -1,6 +1,7 @@
 """Operators that SQL cannot say, properties and edge cases, against NumPy."""
 
 import math
+import statistics
 
 import numpy as np
 import pytest
@@ -254,6 +255,23 @@ def test_far_negatives_are_far_or_the_last_draw(spark):
     assert neighbors.far_negatives(a, b.filter("false")).count() == 0
 
 
+@pytest.mark.parametrize("values", [[], [1.0], [2.0, 1.0], [3.0] * 9, [1e300, -1e300, 0.0], [1.0, 2.0] * 50, [float(k // 7) for k in range(500)], [math.exp(k * 37 % 101) for k in range(101)]])
+@pytest.mark.parametrize("accuracy", [4, 100_000])
+def test_middle_values_are_exact_however_rough_the_bounds(spark, values, accuracy):
+    df = spark.createDataFrame([(v,) for v in [*values, None]], "v double")
+    want = (statistics.median_low(values), statistics.median_high(values)) if values else (None, None)
+    assert metrics.middle_values(df, "v", accuracy) == want
+
+
+@pytest.mark.parametrize("n", [3, 24, 25, 2000])
+def test_drawn_hypotheses_have_distinct_points(spark, n):
+    points = spark.range(n).selectExpr("'a' AS image_id", "id + 0.5D AS l_line", "id * 2D AS l_samp", "id - 1D AS t_line", "id + 3D AS t_samp")
+    drawn = fit._drawn(points, "image_id", 3, 50, 0).collect()
+    assert sorted(r["hyp"] for r in drawn) == list(range(50))
+    assert all(len({r[f"l_line{k}"] for k in range(3)}) == 3 for r in drawn)
+    assert n < 2000 or len({r["l_line0"] for r in drawn}) > 40
+
+
 def test_running_number(spark):
     got = neighbors.running_number(spark.range(1000), "id", "n").collect()
     assert sorted(r.n for r in got) == list(range(1000))
