@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import math
+from functools import reduce
 
 import pandas as pd
 from pyspark.sql import DataFrame
@@ -171,7 +172,7 @@ def a16_centre_transforms(t: Tables) -> DataFrame:
     return fit.centre_transforms(t.corrected_models.select("image_id", *geo.AFFINE))
 
 
-@query(f"SELECT {r('max(100e0 * quad_id) AS left', 'min(least(9000e0 + 100 * quad_id, 9000)) AS right', 'min(least(9000, 9000e0 - 50 * quad_id)) AS top', 'max(50e0 * quad_id) AS bottom')} FROM quads")
+@query(f"SELECT {r('max(greatest(x0, x3)) AS left', 'min(least(x1, x2)) AS right', 'min(least(y0, y1)) AS top', 'max(greatest(y2, y3)) AS bottom')} FROM quads")
 def a17_common_rectangle(t: Tables) -> DataFrame:
     return overlap.common_rectangle(t.quads.selectExpr("quad_id AS image_id", "x0 AS tlx", "y0 AS tly", "x1 AS trx", "y1 AS try", "x3 AS blx", "y3 AS bly", "x2 AS brx", "y2 AS bry"))
 
@@ -270,12 +271,12 @@ def w4_eta(t: Tables) -> DataFrame:
 # --- generators --------------------------------------------------------------
 
 
-RECT = "(SELECT CAST(k AS INTEGER) AS scene, CAST(100 * k AS DOUBLE) AS lft, CAST(9000 + 700 * k AS DOUBLE) AS rgt, CAST(9000 AS DOUBLE) AS tp, CAST(40 * k AS DOUBLE) AS btm FROM (SELECT max(r_regionkey) AS k FROM region))"
+RECT = "(SELECT min(minx) AS lft, max(maxx) AS rgt, max(maxy) AS tp, min(miny) AS btm FROM footprints)"
 GRID_SQL = f"SELECT CAST(i * nr + j AS INTEGER) AS grid_id, {r('lft + i * 800 AS x0', 'tp - j * 800 AS y0', 'lft + i * 800 + 800 AS x1', 'tp - j * 800 - 800 AS y1')} FROM (SELECT *, UNNEST(range(nr)) AS j FROM (SELECT *, UNNEST(range(nc)) AS i FROM (SELECT *, CAST(floor((rgt - lft) / 800) AS BIGINT) AS nc, CAST(floor((tp - btm) / 800) AS BIGINT) AS nr FROM {RECT})))"
 
 
 def rect(t: Tables) -> DataFrame:
-    return t.raw("region").selectExpr("CAST(max(r_regionkey) AS INT) AS k").selectExpr("CAST(100 * k AS DOUBLE) AS left", "CAST(9000 + 700 * k AS DOUBLE) AS right", "9000D AS top", "CAST(40 * k AS DOUBLE) AS bottom")
+    return t.footprints.selectExpr("min(minx) AS left", "max(maxx) AS right", "max(maxy) AS top", "min(miny) AS bottom")
 
 
 @query(GRID_SQL)
@@ -289,10 +290,10 @@ def t1_first_grids(t: Tables) -> DataFrame:
 
 
 def images(t: Tables) -> DataFrame:
-    return t.sensor_models.selectExpr("image_id", "200 + 13 * image_id AS height", "300 + 7 * image_id AS width")
+    return t.sensor_models.selectExpr("image_id", "200 + 13 * (image_id % 25) AS height", "300 + 7 * (image_id % 25) AS width")
 
 
-SIZES = "(SELECT image_id, 200 + 13 * image_id AS height, 300 + 7 * image_id AS width FROM sensor_models)"
+SIZES = "(SELECT image_id, 200 + 13 * (image_id % 25) AS height, 300 + 7 * (image_id % 25) AS width FROM sensor_models)"
 
 
 @query(f"SELECT image_id, CAST(i * nc + j AS INTEGER) AS window_id, CAST(CASE WHEN i = nr - 1 THEN height - 64 ELSE i * 40 END AS INTEGER) AS row, CAST(CASE WHEN j = nc - 1 AND i <> nr - 1 THEN width - 64 ELSE j * 40 END AS INTEGER) AS col, i % 2 = 1 AS flip_cols, (i * (nc - 1) + j) % 2 = 1 AS flip_rows FROM (SELECT *, UNNEST(range(nc)) AS j FROM (SELECT *, UNNEST(range(nr)) AS i FROM (SELECT *, CAST(ceil((height - 64) / 40e0) AS BIGINT) AS nr, CAST(ceil((width - 64) / 40e0) AS BIGINT) AS nc FROM {SIZES})))")
@@ -318,11 +319,11 @@ def g3_virtual_lattice(t: Tables) -> DataFrame:
     return sensor.virtual_lattice(t.sensor_models, 5, 3)
 
 
-SMALL = "(SELECT image_id, 20 + image_id AS height, 30 + image_id AS width FROM sensor_models)"
+SMALL = "(SELECT image_id, 20 + image_id % 25 AS height, 30 + image_id % 25 AS width FROM sensor_models)"
 
 
 def small_images(t: Tables) -> DataFrame:
-    return t.sensor_models.selectExpr("image_id", "20 + image_id AS height", "30 + image_id AS width")
+    return t.sensor_models.selectExpr("image_id", "20 + image_id % 25 AS height", "30 + image_id % 25 AS width")
 
 
 @query(f"SELECT image_id, CAST(row AS INTEGER) AS row, CAST(col AS INTEGER) AS col FROM (SELECT *, UNNEST(range(width)) AS col FROM (SELECT *, UNNEST(range(height)) AS row FROM {SMALL}))")
@@ -426,14 +427,14 @@ def u2_unordered_distinct(t: Tables) -> DataFrame:
     return overlap.unordered_distinct(t.tie_points.select(F.col("line").alias("a"), F.col("samp").alias("b")), ["a", "b"])
 
 
-@query("SELECT patch_id, image_id FROM patches WHERE image_id IN (SELECT quad_id FROM quads)")
+@query("SELECT patch_id, image_id FROM patches WHERE image_id IN (SELECT 2 * quad_id FROM quads)")
 def u3_subset(t: Tables) -> DataFrame:
-    return t.patches.select("patch_id", "image_id").join(t.quads.select(F.col("quad_id").alias("image_id")), "image_id", "left_semi")
+    return t.patches.select("patch_id", "image_id").join(t.quads.selectExpr("2 * quad_id AS image_id"), "image_id", "left_semi")
 
 
-@query("SELECT patch_id, image_id FROM patches WHERE image_id NOT IN (SELECT quad_id FROM quads)")
+@query("SELECT patch_id, image_id FROM patches WHERE image_id NOT IN (SELECT 2 * quad_id FROM quads)")
 def u4_difference(t: Tables) -> DataFrame:
-    return t.patches.select("patch_id", "image_id").join(t.quads.select(F.col("quad_id").alias("image_id")), "image_id", "left_anti")
+    return t.patches.select("patch_id", "image_id").join(t.quads.selectExpr("2 * quad_id AS image_id"), "image_id", "left_anti")
 
 
 @query("SELECT image_id, row, col FROM dem WHERE row >= 2 AND row < 5 AND col >= 10 AND col < 40")
@@ -441,10 +442,10 @@ def s12_read_window(t: Tables) -> DataFrame:
     return raster.read_window(raster.with_tiles(t.dem), (2, 10, 5, 40)).select("image_id", "row", "col")
 
 
-@query(f"SELECT CAST(row_number() OVER (ORDER BY folder) - 1 AS INTEGER) AS image_id, folder, CAST(max(row) + 1 AS INTEGER) AS height, CAST(max(col) + 1 AS INTEGER) AS width, coalesce(any_value(n), 0) AS n_tie FROM (SELECT 'scene' || image_id AS folder, row, col FROM pixels WHERE row < 8 AND col < 8) LEFT JOIN (SELECT 'scene' || image_id AS folder, count(*) AS n FROM ({KNOWN_TIES}) GROUP BY image_id) USING (folder) GROUP BY folder")
+@query(f"SELECT CAST(row_number() OVER (ORDER BY folder) - 1 AS INTEGER) AS image_id, folder, CAST(max(row) + 1 AS INTEGER) AS height, CAST(max(col) + 1 AS INTEGER) AS width, coalesce(any_value(n), 0) AS n_tie FROM (SELECT 'scene' || image_id AS folder, row, col FROM pixels) LEFT JOIN (SELECT 'scene' || image_id AS folder, count(*) AS n FROM ({KNOWN_TIES}) GROUP BY image_id) USING (folder) GROUP BY folder")
 def s8_assemble_scenes(t: Tables) -> DataFrame:
     named = lambda df: df.withColumn("folder", F.concat(F.lit("scene"), F.col("image_id").cast("string")))
-    return files.assemble_scenes(named(t.pixels), named(t.dem), named(t.sensor_models), named(known_ties(t)), 8)
+    return files.assemble_scenes(named(t.pixels), named(t.dem), named(t.sensor_models), named(known_ties(t)))
 
 
 @query("SELECT image_id AS pair_id, row, col FROM residuals WHERE value IS NOT NULL AND image_id IN (SELECT quad_id FROM quads)")
@@ -517,11 +518,22 @@ def d8_find_study_areas(t: Tables) -> DataFrame:
     return found.select(F.concat_ws("-", F.transform("members", lambda m: m.cast("string"))).alias("members"), "raster_id", "row0", "col0", "row1", "col1", "c", "f")
 
 
-@query(f"SELECT 'residuals' AS part, image_id, row, col, {r('value')} FROM ({block_sql('residuals', 2, 'avg(value) AS value')}) UNION ALL SELECT 'pixels', image_id, CAST(row // 2 AS INTEGER), CAST(col // 2 AS INTEGER), {r('b1 AS value')} FROM pixels WHERE row % 2 = 0 AND col % 2 = 0")
+DOWNSAMPLED = f"""
+SELECT 'residuals' AS part, image_id, row, col, {r('value')} FROM ({block_sql('residuals', 2, 'avg(value) AS value')})
+UNION ALL SELECT 'pixels', image_id, CAST(row // 2 AS INTEGER), CAST(col // 2 AS INTEGER), {r('b1 AS value')} FROM pixels WHERE row % 2 = 0 AND col % 2 = 0
+UNION ALL SELECT 'dem', image_id, row, col, value FROM ({separable_sql(2, [(0, 0.5), (1, 0.5)], "edge")})
+UNION ALL SELECT 'models', image_id, 0, CAST(k AS INTEGER), {r('[line_off, samp_off, line_scale, samp_scale][k + 1] / 2 AS value')} FROM sensor_models, (SELECT UNNEST(range(4)) AS k)
+"""
+
+
+@query(DOWNSAMPLED)
 def d10_downsample_dataset(t: Tables) -> DataFrame:
+    """All four tables; of a model, line_off, samp_off, line_scale and samp_scale as columns 0 to 3."""
     out = jobs.downsample_dataset(t.pixels, t.dem, t.residuals, t.sensor_models, "nearest", 2, even_shape(t, 2), "b1")
-    part = lambda k, v: out[k].select(F.lit(k).alias("part"), "image_id", "row", "col", F.col(v).alias("value"))
-    return part("residuals", "value").unionByName(part("pixels", "b1"))
+    numbers = F.posexplode(F.array("line_off", "samp_off", "line_scale", "samp_scale")).alias("col", "value")
+    tables = out | {"models": out["models"].select("image_id", F.lit(0).alias("row"), numbers), "pixels": out["pixels"].withColumnRenamed("b1", "value")}
+    parts = [df.select(F.lit(k).alias("part"), "image_id", "row", "col", "value") for k, df in tables.items()]
+    return reduce(DataFrame.unionByName, parts)
 
 
 @query()

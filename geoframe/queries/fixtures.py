@@ -44,13 +44,13 @@ def _images(df: DataFrame, n: int = IMAGES) -> DataFrame:
 
 def sensor_models(spark: SparkSession, d: str) -> DataFrame:
     k = F.col("image_id")
-    df = read(spark, d, "nation").select(F.col("n_nationkey").cast("int").alias("image_id"))
-    values = {"line_off": F.lit(75.0), "samp_off": F.lit(50.0), "lat_off": F.lit(30.0) + k * F.lit(3e-6), "lon_off": F.lit(110.0) + k * F.lit(2e-6), "h_off": F.lit(220.0), "line_scale": F.lit(75.0), "samp_scale": F.lit(50.0), "lat_scale": F.lit(0.0015), "lon_scale": F.lit(0.001), "h_scale": F.lit(50.0)}
+    df = read(spark, d, "supplier").select(F.col("s_suppkey").cast("int").alias("image_id"))
+    values = {"line_off": F.lit(75.0), "samp_off": F.lit(50.0), "lat_off": F.lit(30.0) + k % 25 * F.lit(3e-6), "lon_off": F.lit(110.0) + k % 25 * F.lit(2e-6), "h_off": F.lit(220.0), "line_scale": F.lit(75.0), "samp_scale": F.lit(50.0), "lat_scale": F.lit(0.0015), "lon_scale": F.lit(0.001), "h_scale": F.lit(50.0)}
     return df.withColumns(values | {c: _sparse(20, **v) for c, v in COEFFICIENTS.items()} | {c: F.lit(v) for c, v in geo.IDENTITY.items()})
 
 
 def corrections(spark: SparkSession, d: str) -> DataFrame:
-    df = read(spark, d, "nation").select(F.col("n_nationkey").cast("int").alias("image_id"))
+    df = read(spark, d, "supplier").select(F.col("s_suppkey").cast("int").alias("image_id"))
     return df.selectExpr("image_id", "0.1D * (image_id % 5) AS p0", "1e-4D * (image_id % 3) AS p1", "2e-4D * (image_id % 4) AS p2", "-0.2D * (image_id % 3) AS p3", "1e-4D * (image_id % 2) AS p4", "-1e-4D * (image_id % 5) AS p5")
 
 
@@ -90,16 +90,16 @@ def dem_world(spark: SparkSession, d: str) -> DataFrame:
 
 
 def geoid(spark: SparkSession, d: str) -> DataFrame:
-    """A 20 x 20 raster over the area, from the first keys of region and nation (5 x 25 rows, each four times)."""
-    cells = read(spark, d, "nation").selectExpr("CAST(n_nationkey AS INT) AS n").filter("n < 20").withColumn("m", F.explode(F.sequence(F.lit(0), F.lit(19))))
+    """A raster of 20 columns over the area and south of it, with a row for each of nation's."""
+    cells = read(spark, d, "nation").selectExpr("CAST(n_nationkey AS INT) AS n").withColumn("m", F.explode(F.sequence(F.lit(0), F.lit(19))))
     return cells.selectExpr("'geoid' AS raster_id", "n AS row", "m AS col", "-30 + ((n * 20 + m) % 13) / 10.0D AS value")
 
 
 def rasters(spark: SparkSession, d: str) -> DataFrame:
-    """Geotransforms of dem_world and geoid; the height of the first comes from its rows."""
-    n = dem_world(spark, d).groupBy("raster_id").agg((F.max("row") + 1).alias("height"))
+    """Geotransforms of dem_world and geoid; their heights come from their rows."""
+    n, m = (df.groupBy("raster_id").agg((F.max("row") + 1).alias("height")) for df in (dem_world(spark, d), geoid(spark, d)))
     one = n.selectExpr("raster_id", "4e-5D AS a", "0D AS b", "109.998D AS c", "0D AS d", "-4e-5D AS e", "30.003D AS f", "100 AS width", "height", "-9999D AS nodata")
-    two = n.selectExpr("'geoid' AS raster_id", "5e-4D AS a", "0D AS b", "109.995D AS c", "0D AS d", "-5e-4D AS e", "30.005D AS f", "20 AS width", "20 AS height", "CAST(NULL AS DOUBLE) AS nodata")
+    two = m.selectExpr("raster_id", "5e-4D AS a", "0D AS b", "109.995D AS c", "0D AS d", "-5e-4D AS e", "30.005D AS f", "20 AS width", "height", "CAST(NULL AS DOUBLE) AS nodata")
     return one.unionByName(two)
 
 
@@ -116,8 +116,8 @@ def footprint_rasters(spark: SparkSession, d: str) -> DataFrame:
 
 
 def quads(spark: SparkSession, d: str) -> DataFrame:
-    df = read(spark, d, "region").selectExpr("CAST(r_regionkey AS INT) AS i")
-    return df.selectExpr("i AS quad_id", "100D * i AS x0", "9000D AS y0", "9000D + 100 * i AS x1", "9000D - 50 * i AS y1", "9000D AS x2", "0D AS y2", "0D AS x3", "50D * i AS y3")
+    df = read(spark, d, "supplier").selectExpr("CAST(s_suppkey AS INT) AS quad_id", "CAST(s_suppkey % 5 AS INT) AS i")
+    return df.selectExpr("quad_id", "100D * i AS x0", "9000D AS y0", "9000D + 100 * i AS x1", "9000D - 50 * i AS y1", "9000D AS x2", "0D AS y2", "0D AS x3", "50D * i AS y3")
 
 
 def patches(spark: SparkSession, d: str) -> DataFrame:
@@ -151,25 +151,25 @@ TABLES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
 }
 
 _ARRAYS_SQL = ", ".join(f"{_sql_list(20, **v)} AS {c}" for c, v in COEFFICIENTS.items())
-_MODEL_SQL = "75e0 AS line_off, 50e0 AS samp_off, 30e0 + k * 3e-6 AS lat_off, 110e0 + k * 2e-6 AS lon_off, 220e0 AS h_off, 75e0 AS line_scale, 50e0 AS samp_scale, 15e-4 AS lat_scale, 1e-3 AS lon_scale, 50e0 AS h_scale"
+_MODEL_SQL = "75e0 AS line_off, 50e0 AS samp_off, 30e0 + k % 25 * 3e-6 AS lat_off, 110e0 + k % 25 * 2e-6 AS lon_off, 220e0 AS h_off, 75e0 AS line_scale, 50e0 AS samp_scale, 15e-4 AS lat_scale, 1e-3 AS lon_scale, 50e0 AS h_scale"
 _CELL = "CAST(o // 100 AS INTEGER) AS row, CAST(o % 100 AS INTEGER) AS col"
 _ORDERS = "(SELECT CAST(o_orderkey AS BIGINT) AS o FROM orders)"
 _K = "(SELECT UNNEST(range({n})) AS k)"
 
 SQL: dict[str, str] = {
-    "sensor_models": f"SELECT CAST(k AS INTEGER) AS image_id, {_MODEL_SQL}, {_ARRAYS_SQL}, 1e0 AS a00, 0e0 AS a01, 0e0 AS a02, 0e0 AS a10, 1e0 AS a11, 0e0 AS a12 FROM (SELECT n_nationkey AS k FROM nation)",
-    "corrections": "SELECT CAST(k AS INTEGER) AS image_id, 1e-1 * (k % 5) AS p0, 1e-4 * (k % 3) AS p1, 2e-4 * (k % 4) AS p2, -2e-1 * (k % 3) AS p3, 1e-4 * (k % 2) AS p4, -1e-4 * (k % 5) AS p5 FROM (SELECT n_nationkey AS k FROM nation)",
+    "sensor_models": f"SELECT CAST(k AS INTEGER) AS image_id, {_MODEL_SQL}, {_ARRAYS_SQL}, 1e0 AS a00, 0e0 AS a01, 0e0 AS a02, 0e0 AS a10, 1e0 AS a11, 0e0 AS a12 FROM (SELECT s_suppkey AS k FROM supplier)",
+    "corrections": "SELECT CAST(k AS INTEGER) AS image_id, 1e-1 * (k % 5) AS p0, 1e-4 * (k % 3) AS p1, 2e-4 * (k % 4) AS p2, -2e-1 * (k % 3) AS p3, 1e-4 * (k % 2) AS p4, -1e-4 * (k % 5) AS p5 FROM (SELECT s_suppkey AS k FROM supplier)",
     "corrected_models": "SELECT m.* EXCLUDE (a00, a01, a02, a10, a11, a12), 1e0 - p2 AS a00, -p1 AS a01, -p0 AS a02, -p5 AS a10, 1e0 - p4 AS a11, -p3 AS a12 FROM sensor_models m JOIN corrections USING (image_id)",
     "tie_points": f"SELECT CAST(k AS INTEGER) AS image_id, p AS point_id, CAST((p * 7) % 14 + CASE WHEN (p + k) % 5 = 0 THEN 1 ELSE 0 END AS INTEGER) AS line, CAST((p * 13) % 99 + CASE WHEN (p + 2 * k) % 7 = 0 THEN 1 ELSE 0 END AS INTEGER) AS samp FROM (SELECT CAST(p_partkey AS BIGINT) AS p FROM part), {_K.format(n=4)}",
     "dem": f"SELECT CAST(k AS INTEGER) AS image_id, {_CELL}, 200 + ((o * 31) % 400) / 10e0 + 5e-1 * k AS value FROM {_ORDERS}, {_K.format(n=4)}",
     "pixels": f"SELECT CAST(k AS INTEGER) AS image_id, {_CELL}, CAST((o * 17 + k) % 1024 AS DOUBLE) AS b1, CAST((o * 29 + k) % 1024 AS DOUBLE) AS b2, CAST((o * 43 + k) % 1024 AS DOUBLE) AS b3 FROM {_ORDERS}, {_K.format(n=4)}",
     "residuals": f"SELECT CAST(k AS INTEGER) AS image_id, {_CELL}, CASE WHEN o % 11 = 0 THEN NULL ELSE ((o * 13 + k) % 1000) / 100e0 END AS value FROM {_ORDERS}, {_K.format(n=2)}",
     "dem_world": f"SELECT 'dem' AS raster_id, {_CELL}, CASE WHEN o % 97 = 0 THEN -9999e0 ELSE 200 + ((o * 31) % 400) / 10e0 END AS value FROM {_ORDERS}",
-    "geoid": f"SELECT 'geoid' AS raster_id, CAST(n_nationkey AS INTEGER) AS row, CAST(k AS INTEGER) AS col, -30 + ((n_nationkey * 20 + k) % 13) / 10e0 AS value FROM nation, {_K.format(n=20)} WHERE n_nationkey < 20",
-    "rasters": "SELECT 'dem' AS raster_id, 4e-5 AS a, 0e0 AS b, 109998e-3 AS c, 0e0 AS d, -4e-5 AS e, 30003e-3 AS f, 100 AS width, max(row) + 1 AS height, -9999e0 AS nodata FROM dem_world UNION ALL SELECT 'geoid', 5e-4, 0e0, 109995e-3, 0e0, -5e-4, 30005e-3, 20, 20, NULL",
+    "geoid": f"SELECT 'geoid' AS raster_id, CAST(n_nationkey AS INTEGER) AS row, CAST(k AS INTEGER) AS col, -30 + ((n_nationkey * 20 + k) % 13) / 10e0 AS value FROM nation, {_K.format(n=20)}",
+    "rasters": "SELECT 'dem' AS raster_id, 4e-5 AS a, 0e0 AS b, 109998e-3 AS c, 0e0 AS d, -4e-5 AS e, 30003e-3 AS f, 100 AS width, max(row) + 1 AS height, -9999e0 AS nodata FROM dem_world UNION ALL SELECT 'geoid', 5e-4, 0e0, 109995e-3, 0e0, -5e-4, 30005e-3, 20, max(row) + 1, NULL FROM geoid",
     "footprints": "SELECT image_id, minx, maxy - h AS miny, minx + w AS maxx, maxy, px FROM (SELECT CAST(i AS INTEGER) AS image_id, CAST(1000 * ((i * 37) % 50) + 60000 * (i // 50) AS DOUBLE) AS minx, CAST(1000 * ((i * 53) % 50) AS DOUBLE) AS maxy, 8000 + 100 * ((i * 29) % 60) AS w, 8000 + 100 * ((i * 31) % 60) AS h, 5e-1 + 1e-1 * (i % 5) AS px FROM (SELECT CAST(s_suppkey AS BIGINT) AS i FROM supplier))",
     "footprint_rasters": "SELECT image_id AS raster_id, 100e0 AS a, 0e0 AS b, minx AS c, 0e0 AS d, -100e0 AS e, maxy AS f, CAST((maxx - minx) / 100 AS INTEGER) AS width, CAST((maxy - miny) / 100 AS INTEGER) AS height, px FROM footprints",
-    "quads": "SELECT CAST(i AS INTEGER) AS quad_id, 100e0 * i AS x0, 9000e0 AS y0, 9000e0 + 100 * i AS x1, 9000e0 - 50 * i AS y1, 9000e0 AS x2, 0e0 AS y2, 0e0 AS x3, 50e0 * i AS y3 FROM (SELECT r_regionkey AS i FROM region)",
+    "quads": "SELECT quad_id, 100e0 * i AS x0, 9000e0 AS y0, 9000e0 + 100 * i AS x1, 9000e0 - 50 * i AS y1, 9000e0 AS x2, 0e0 AS y2, 0e0 AS x3, 50e0 * i AS y3 FROM (SELECT CAST(s_suppkey AS INTEGER) AS quad_id, CAST(s_suppkey % 5 AS INTEGER) AS i FROM supplier)",
     "patches": "SELECT v AS patch_id, CAST(label AS INTEGER) AS image_id, 16 * (v // 25) + 75e-1 AS line, 16 * (v % 25) + 75e-1 AS samp, ((v * 37) % 100) / 100e0 AS conf, 200e0 + (v % 40) AS h, embedding AS feature, 12245000 + 2 * (16 * (v % 25) + 75e-1) AS x, 3503000 - 2 * (16 * (v // 25) + 75e-1) AS y FROM (SELECT CAST(vec_id AS BIGINT) AS v, label, embedding FROM embeddings)",
     "query_points": "SELECT e AS query_id, ((e * 7) % 320) + 25e-2 AS line, ((e * 11) % 400) + 125e-3 AS samp FROM (SELECT CAST(event_id AS BIGINT) AS e FROM events)",
     "correspondences": f"SELECT image_id, point_id, l_line, l_samp, conf, 10005e-4 * l_line + 3e-4 * l_samp + 125e-1 + n + CASE WHEN point_id % 17 = 0 THEN 500e0 ELSE 0e0 END AS t_line, -2e-4 * l_line + 9997e-4 * l_samp - 825e-2 - n AS t_samp FROM (SELECT CAST(o % 5 AS INTEGER) AS image_id, o AS point_id, CAST((o * 7919) % 10000 AS DOUBLE) AS l_line, CAST((o * 104729) % 10000 AS DOUBLE) AS l_samp, ((o * 41) % 100) / 100e0 AS conf, ((o * 31) % 21 - 10) / 10e0 AS n FROM {_ORDERS})",
