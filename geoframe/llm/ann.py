@@ -7,8 +7,8 @@ probability `sure`, within that distance times the chi-square quantile.  Vectors
 are taken in order of projected distance, by leaves of a kd-tree, and verified in
 full until the nearest one left is farther than that.
 
-The upper levels of the kd-tree are fitted on a bounded sample of SAMPLE rows (the
-least by a hash) and cut projected space into CELLS cells at most, of about SHARD
+The upper levels of the kd-tree are fitted on a bounded sample of SAMPLE rows (drawn
+by hashes) and cut projected space into CELLS cells at most, of about SHARD
 rows; a cell with more rows is dealt to several shards.  Every row goes to its
 shard by one shuffle, and a shard builds the lower levels of the tree.  A query
 first searches its own shard, then the NEAR nearest other cells, then all cells
@@ -217,7 +217,9 @@ def build_index(rows: DataFrame) -> tuple[DataFrame, dict[tuple[int, int], tuple
     """projected() rows -> a row per shard, and for each (dim, cell) its number of shards and its box."""
     spark = rows.sparkSession
     total = {r["dim"]: r["count"] for r in rows.groupBy("dim").count().collect()}
-    sample = rows.select("dim", "point").orderBy(F.xxhash64("id", "vector"), "turn").limit(SAMPLE).collect()
+    draw = F.xxhash64("id", "vector", "turn")
+    drawn = rows.filter(F.pmod(draw, F.lit(max(sum(total.values()), 1))) < 2 * SAMPLE)  # about twice the sample, so that sorting sends no more than that to the driver
+    sample = drawn.select("dim", "point", draw.alias("draw")).orderBy("draw", "point").limit(SAMPLE).collect()
     by_dim: dict[int, list[bytes]] = {}
     for r in sample:
         by_dim.setdefault(r["dim"], []).append(bytes(r["point"]))
