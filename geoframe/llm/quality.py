@@ -31,7 +31,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from geoframe.llm._shared import buffers, id_remainder, renamed
+from geoframe.llm._shared import buffers, id_remainder, mixed, renamed
 
 PASSAGE_WORDS, TRAIN_DOCUMENTS, TRAIN_BYTES, HASHED = 50, 3000, 24 << 20, 96
 HIDDEN, ATTENTION, STEPS, THRESHOLD = 24, 12, 150, 0.7
@@ -47,6 +47,7 @@ for _k, _bytes in enumerate(KINDS):
 SPACE = np.zeros(256, bool)
 SPACE[[9, 10, 11, 12, 13, 32]] = True
 FEATURES = len(KINDS) + 9 + HASHED
+_STEP = np.uint64(0x9E3779B97F4A7C15)
 
 
 def word_spans(raw: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
@@ -78,19 +79,20 @@ def word_hashes(raw: np.ndarray, starts: np.ndarray, ends: np.ndarray) -> np.nda
 
 
 def _span_hashes(raw: np.ndarray, starts: np.ndarray, ends: np.ndarray) -> np.ndarray:
-    """Differences of a running polynomial, shifted to a common place."""
-    n = len(raw) + 1
+    """Eight bytes at a time, each step scrambled before the next: no two spans agree by their form, as under a polynomial."""
+    body = np.zeros(len(raw) + 8, np.uint8)
+    body[: len(raw)] = raw
+    eights = np.ndarray(len(raw) + 1, "<u8", body.data, 0, (1,))
+    h, live = mixed((ends - starts).astype(np.uint64) + _STEP), np.arange(len(starts))
+    at, left = starts, ends - starts
     with np.errstate(over="ignore"):
-        power = np.full(n, 0x9E3779B97F4A7C15, np.uint64)
-        power[0] = 1
-        np.multiply.accumulate(power, out=power)
-        inverse = np.full(n, pow(0x9E3779B97F4A7C15, -1, 1 << 64), np.uint64)
-        inverse[0] = 1
-        np.multiply.accumulate(inverse, out=inverse)
-        run = np.zeros(n, np.uint64)
-        np.cumsum((raw.astype(np.uint64) + np.uint64(0x1F3D5B79)) * power[:-1], out=run[1:])
-        h = (run[ends] - run[starts]) * inverse[starts]
-        return (h ^ (h >> np.uint64(32))) * np.uint64(0xD6E8FEB86659FD93)
+        while len(live):
+            part, short = eights[at], left < 8
+            part[short] &= (np.uint64(1) << (8 * left[short]).astype(np.uint64)) - np.uint64(1)
+            h[live] = mixed((h[live] ^ part) * _STEP)
+            more = left > 8
+            live, at, left = live[more], at[more] + 8, left[more] - 8
+    return h
 
 
 def _kinds(raw: np.ndarray, edges: np.ndarray, owner: np.ndarray, total: int) -> np.ndarray:
