@@ -17,7 +17,9 @@ copies never makes all its pairs:
 2. Of every band whose sets are not all joined by then, the sets that are in
    different components are compared by their sketches.  A band of many sets is cut
    into chunks, and each pair of chunks is a row of its own: no task holds more than
-   two chunks, and no candidate is left out.
+   two chunks, and no candidate is left out.  The texts of sets that have a candidate
+   go to the same rows, where the candidates are compared, nearest sketches first,
+   each in the first band that the two share; only links that join components come out.
 
 Defined results: a null text counts as empty; a text without words has an empty
 set and is linked with nothing, so that its component is its own id; fewer words
@@ -30,7 +32,7 @@ An empty table gives an empty result.  Other columns are not looked at.
 
 from __future__ import annotations
 
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 
 import numpy as np
 import pyarrow as pa
@@ -42,7 +44,7 @@ from geoframe.llm.quality import text_slices
 from geoframe.llm.shingles import shingles
 from geoframe.llm.simhash import components
 
-SHINGLE_WORDS, PERCENT, BANDS, ROWS, SKETCH_BITS, LEAST_ESTIMATE, CHUNK = 5, 85, 32, 6, 512, 0.70, 1024
+SHINGLE_WORDS, PERCENT, BANDS, ROWS, SKETCH_BITS, LEAST_ESTIMATE, CHUNK = 5, 85, 32, 6, 512, 0.70, 512
 SKETCH_WORDS = SKETCH_BITS // 64
 _FOLD = np.uint64(0x9E3779B97F4A7C15)
 _FACTORS = np.random.default_rng(13).integers(0, 2**64, BANDS * ROWS, np.uint64) | np.uint64(1)
@@ -179,24 +181,24 @@ def _word_texts(docs: DataFrame, nodes: DataFrame, asked: DataFrame) -> DataFram
     return found.join(wanted.select("node", "nid"), "node").select("nid", "words")
 
 
-def shared_and_all(x: bytes, y: bytes) -> tuple[int, int]:
-    """Sizes of the intersection and the union of two texts' shingle sets, counted on the words themselves."""
+def shingle_sets(texts: list[bytes]) -> list[np.ndarray]:
+    """The shingle set of each text, as sorted numbers that stand for the same words in all of them."""
     code: dict[bytes, int] = {}
-    parts = []
-    for text in (x, y):
-        ids = np.array([code.setdefault(w, len(code)) for w in text.split()], np.int64)
-        parts.append((ids, min(SHINGLE_WORDS, len(ids))))
-    if parts[0][1] != parts[1][1]:  # shingles of different lengths
-        sizes = [len(ids) - n + 1 if n else 0 for ids, n in parts]
-        return 0, sum(sizes)
-    runs = [ids[: len(ids) - n + 1] for ids, n in parts]
-    for k in range(1, parts[0][1]):  # the runs of k + 1 words get numbers of their own, the same in both texts
-        run = np.concatenate(runs) * len(code) + np.concatenate([ids[k : k + len(r)] for (ids, _), r in zip(parts, runs, strict=True)])
-        run = np.unique(run, return_inverse=True)[1]
-        runs = [run[: len(runs[0])], run[len(runs[0]) :]]
-    one, two = (np.unique(r) for r in runs)
-    both = len(np.intersect1d(one, two, assume_unique=True))
-    return both, len(one) + len(two) - both
+    ids = [np.array([code.setdefault(w, len(code)) for w in text.split()], np.int64) for text in texts]
+    long_ = [k for k, own in enumerate(ids) if len(own) >= SHINGLE_WORDS]
+    runs = [ids[k] for k in long_]
+    for n in range(1, SHINGLE_WORDS if long_ else 1):  # runs of n + 1 words get numbers of their own
+        runs = [run[:-1] * len(code) + ids[k][n:] for run, k in zip(runs, long_, strict=True)]
+        runs = np.split(np.unique(np.concatenate(runs), return_inverse=True)[1], np.cumsum([len(r) for r in runs])[:-1])
+    out = [np.array([-1 - k]) for k in range(len(texts))]  # a shorter text is a shingle like no other: of equal ones only one is here
+    for k, run in zip(long_, runs, strict=True):
+        out[k] = np.unique(run)
+    return out
+
+
+def similar(x: np.ndarray, y: np.ndarray) -> bool:
+    both = len(np.intersect1d(x, y, assume_unique=True))
+    return 100 * both >= PERCENT * (len(x) + len(y) - both)
 
 
 def _confirmed(pairs: DataFrame, words: DataFrame) -> DataFrame:
@@ -206,39 +208,82 @@ def _confirmed(pairs: DataFrame, words: DataFrame) -> DataFrame:
 
     def check(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            counts = [shared_and_all(x.as_py(), y.as_py()) for x, y in zip(batch.column(2), batch.column(3), strict=True)]
-            yield batch.select(["a", "b"]).filter(pa.array([100 * both >= PERCENT * every for both, every in counts], pa.bool_()))
+            keep = [similar(*shingle_sets([x.as_py(), y.as_py()])) for x, y in zip(batch.column(2), batch.column(3), strict=True)]
+            yield batch.select(["a", "b"]).filter(pa.array(keep, pa.bool_()))
 
     return both.mapInArrow(check, "a long, b long")
 
 
-def _across(shared: DataFrame, named: DataFrame, nodes: DataFrame) -> DataFrame:
-    """Pairs (a, b) in different components that share a band and whose sketches allow the similarity."""
+class _Sets:
+    """The sets of a band, or of two chunks of one, as columns."""
+
+    def __init__(self, key: int, i: int, j: int, sets: pa.ListScalar):
+        column = lambda name: sets.values.field(name).to_numpy(zero_copy_only=False)
+        table = lambda name, width: sets.values.field(name).flatten().to_numpy().reshape(-1, width)
+        self.key, self.nid, self.label, self.n = key, column("nid"), column("label"), column("n")
+        self.sketch, self.bands = table("sketch", SKETCH_WORDS).view(np.uint64), table("bands", BANDS)
+        self.after = np.arange(len(self.nid)) if i == j else column("own")  # a set meets those with a larger number
+
+    def hopeful(self) -> np.ndarray:
+        """Pairs in different components whose sizes and sketches allow the similarity and that have no earlier band in common; nearest sketches first."""
+        most, found = differing_bits(LEAST_ESTIMATE), [np.zeros((0, 3), np.int64)]
+        for k in range(len(self.nid)):
+            near = np.flatnonzero((self.after > self.after[k]) & (self.label != self.label[k]) & (100 * np.minimum(self.n, self.n[k]) >= PERCENT * np.maximum(self.n, self.n[k])))
+            bits = np.bitwise_count(self.sketch[near] ^ self.sketch[k]).sum(axis=1, dtype=np.int64)
+            near, bits = near[bits <= most], bits[bits <= most]
+            first = self.bands[k][(self.bands[near] == self.bands[k]).argmax(axis=1)] == self.key
+            found.append(np.stack([np.full(first.sum(), k), near[first], bits[first]], axis=1))
+        pairs = np.concatenate(found)
+        return pairs[np.argsort(pairs[:, 2], kind="stable"), :2]
+
+    def links(self, words: list[bytes]) -> list[tuple[int, int]]:
+        """Links among hopeful pairs that connect components; each is checked on the full sets."""
+        sets, joined = shingle_sets(words), {}
+
+        def top(x: int) -> int:
+            while x in joined:
+                x = joined[x]
+            return x
+
+        out = []
+        for k, j in self.hopeful().tolist():
+            a, b = top(int(self.label[k])), top(int(self.label[j]))
+            if a != b and similar(sets[k], sets[j]):
+                joined[max(a, b)] = min(a, b)
+                out.append((int(self.nid[k]), int(self.nid[j])))
+        return out
+
+
+def _across(shared: DataFrame, named: DataFrame, nodes: DataFrame, word_texts: Callable[[DataFrame], DataFrame]) -> DataFrame:
+    """Links (a, b) between different components of sets that share a band, enough to connect all that are similar."""
     rows = shared.select("key", "nid").join(named, "nid")
     open_ = rows.groupBy("key").agg(F.min("label").alias("low"), F.max("label").alias("high"), F.count("*").alias("size")).filter("low != high")
     chunks = F.ceil(F.col("size") / CHUNK)
     own = rows.join(open_.select("key", chunks.alias("chunks")), "key").withColumn("own", F.pmod(F.xxhash64("nid"), "chunks"))
     dealt = own.select("*", F.explode(F.sequence(F.lit(0), F.col("chunks") - 1)).alias("other"))
-    dealt = dealt.select("key", F.least("own", "other").alias("i"), F.greatest("own", "other").alias("j"), "nid", "label", "own").join(nodes.select("nid", "n", "sketch"), "nid")
-    groups = dealt.groupBy("key", "i", "j").agg(F.collect_list(F.struct("nid", "label", "own", "n", "sketch")).alias("sets"))
-    most = differing_bits(LEAST_ESTIMATE)
+    dealt = dealt.select("key", F.least("own", "other").alias("i"), F.greatest("own", "other").alias("j"), "nid", "label", "own").join(nodes.select("nid", "n", "sketch", "bands"), "nid")
+    columns = ["nid", "label", "own", "n", "sketch", "bands"]
+    group = lambda df, *more: df.groupBy("key", "i", "j").agg(F.collect_list(F.struct(*columns, *more)).alias("sets"))
 
-    def compare(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    def ask(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            found = [np.zeros((0, 2), np.int64)]
-            for i, j, sets in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), batch.column(2), strict=True):
-                column = lambda name: sets.values.field(name).to_numpy(zero_copy_only=False)  # noqa: B023, E731
-                nid, label, chunk, n = (column(c) for c in ("nid", "label", "own", "n"))
-                sketch = sets.values.field("sketch").flatten().to_numpy().view(np.uint64).reshape(-1, SKETCH_WORDS)
-                last = np.arange(len(nid)) if i == j else chunk
-                for k in range(len(nid)):
-                    with_ = np.flatnonzero((last > last[k]) & (label != label[k]) & (100 * np.minimum(n, n[k]) >= PERCENT * np.maximum(n, n[k])))
-                    near = with_[np.bitwise_count(sketch[with_] ^ sketch[k]).sum(axis=1) <= most]
-                    found.append(np.stack([np.full(len(near), nid[k]), nid[near]], axis=1))
-            pairs = np.sort(np.concatenate(found), axis=1)
-            yield pa.RecordBatch.from_arrays([pa.array(pairs[:, 0]), pa.array(pairs[:, 1])], names=["a", "b"])
-
-    return groups.select("i", "j", "sets").mapInArrow(compare, "a long, b long").distinct()
+            for key, i, j, sets in zip(*(c.to_pylist() for c in batch.columns[:3]), batch.column(3), strict=True):
+                of = _Sets(key, i, j, sets)
+                nid = of.nid[np.unique(of.hopeful())]
+                yield pa.RecordBatch.from_arrays([pa.array(np.full(len(nid), x)) for x in (key, i, j)] + [pa.array(nid)], names=["key", "i", "j", "nid"])
+
+    asked = checkpointed(group(dealt).filter("size(sets) > 1").mapInArrow(ask, "key long, i long, j long, nid long"))
+    words = word_texts(asked.select("nid").distinct())
+    full = asked.join(named, "nid").join(nodes.select("nid", "n", "sketch", "bands"), "nid").join(words, "nid")
+    full = full.join(open_.select("key", chunks.alias("chunks")), "key").withColumn("own", F.pmod(F.xxhash64("nid"), "chunks"))
+
+    def confirm(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for key, i, j, sets in zip(*(c.to_pylist() for c in batch.columns[:3]), batch.column(3), strict=True):
+                pairs = np.array(_Sets(key, i, j, sets).links(sets.values.field("words").to_pylist()), np.int64).reshape(-1, 2)
+                yield pa.RecordBatch.from_arrays([pa.array(pairs[:, 0]), pa.array(pairs[:, 1])], names=["a", "b"])
+
+    return group(full, "words").mapInArrow(confirm, "a long, b long")
 
 
 def similar_sets(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> tuple[DataFrame, DataFrame]:
@@ -248,18 +293,14 @@ def similar_sets(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text"
     grouped = prints.filter("node IS NOT NULL").groupBy("node").agg(F.min("id").alias("least"), F.first("n").alias("n"), F.first("bands").alias("bands"), F.first("sketch").alias("sketch"))
     nodes = checkpointed(grouped.withColumn("nid", F.monotonically_increasing_id()))
     shared = checkpointed(_neighbours(nodes))
-    ordered = lambda pairs: pairs.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct()
-
-    def confirmed(pairs: DataFrame) -> DataFrame:
-        hopeful = checkpointed(pairs)
-        asked = hopeful.select(F.col("a").alias("nid")).unionByName(hopeful.select(F.col("b").alias("nid"))).distinct()
-        return checkpointed(_confirmed(hopeful, _word_texts(rows, nodes, asked)))
-
-    chained = checkpointed(ordered(shared.filter("before IS NOT NULL").select(F.col("nid").alias("a"), F.col("before").alias("b"))))
-    first = confirmed(_hopeful(chained, nodes))
+    word_texts = lambda asked: _word_texts(rows, nodes, asked)
+    chained = shared.filter("before IS NOT NULL").select(F.least("nid", "before").alias("a"), F.greatest("nid", "before").alias("b")).distinct()
+    hopeful = checkpointed(_hopeful(chained, nodes))
+    asked = hopeful.select(F.col("a").alias("nid")).unionByName(hopeful.select(F.col("b").alias("nid"))).distinct()
+    first = checkpointed(_confirmed(hopeful, word_texts(asked)))
     joined = components(first)
     named = nodes.select("nid").join(joined.withColumnRenamed("node", "nid"), "nid", "left").select("nid", F.coalesce("label", "nid").alias("label"))
-    second = confirmed(_across(shared, named, nodes).join(chained, ["a", "b"], "left_anti"))
+    second = checkpointed(_across(shared, named, nodes, word_texts))
     found = prints.select("id", "node", "n").join(nodes.select("node", "nid", "least"), "node", "left")
     return found, first.unionByName(second)
 
