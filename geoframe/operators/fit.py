@@ -12,7 +12,7 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from geoframe.functions import geo
+from geoframe.functions import geo, ordered
 from geoframe.functions.lineage import checkpointed
 from geoframe.operators import sensor
 
@@ -151,9 +151,13 @@ def ransac_rigid(corr: DataFrame, by: str = "image_id", thr: float = 10.0, hypot
 
 
 def quantiles(df: DataFrame, cols: list[str], by: str, bins: int = 1000) -> DataFrame:
-    """Arrays of `bins` evenly spaced quantiles per group."""
-    steps = F.array(*(F.lit(k / (bins - 1)) for k in range(bins)))
-    return df.groupBy(by).agg(*(F.percentile(c, steps).alias(c) for c in cols))
+    """Arrays of `bins` evenly spaced quantiles per group; a large group is ranked in many tasks."""
+    steps, out = [k / (bins - 1) for k in range(bins)], None
+    for name in cols:
+        found = ordered.quantiles(df, [by], name, steps).groupBy(by).agg(F.sort_array(F.collect_list(F.struct("k", "value"))).alias("__q"))
+        found = found.select(by, F.transform("__q", lambda q: q["value"]).alias(name))
+        out = found if out is None else ordered.same(out, found, [by])
+    return out
 
 
 def quantile_map(df: DataFrame, cols: list[str], by: str = "grid_id", bins: int = 1000, deg: int = 20) -> DataFrame:

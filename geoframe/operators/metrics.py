@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from geoframe.functions import geo
+from geoframe.functions import geo, ordered
 from geoframe.functions.draws import digest
 from geoframe.functions.lineage import checkpointed
 from geoframe.operators import fit, neighbors, sensor
@@ -46,12 +46,14 @@ def summary(dist: DataFrame, thresholds: tuple = (0.5, 1, 3), by: tuple = ()) ->
     """Median, mean, largest, least distance and the shares under each threshold."""
     name = lambda t: f"at_{t}m".replace(".", "_")
     shares = [F.avg((F.col("distance") < t).cast("double")).alias(name(t)) for t in thresholds]
-    median = F.median("distance")
-    if not by:
-        dist = checkpointed(dist.select("distance"))
-        low, high = middle_values(dist, "distance")
-        median = F.lit(None if low is None else 0.5 * low + 0.5 * high).cast("double")
-    return dist.groupBy(*by).agg(median.alias("median"), F.avg("distance").alias("mean"), F.max("distance").alias("max"), F.min("distance").alias("min"), *shares)
+    rest = (F.avg("distance").alias("mean"), F.max("distance").alias("max"), F.min("distance").alias("min"), *shares)
+    dist = checkpointed(dist.select(*by, "distance"))
+    if by:
+        medians = ordered.quantiles(dist, list(by), "distance", [0.5]).select(*by, F.col("value").alias("median"))
+        return ordered.same(dist.groupBy(*by).agg(*rest), medians, list(by), "left").select(*by, "median", "mean", "max", "min", *map(name, thresholds))
+    low, high = middle_values(dist, "distance")
+    median = F.lit(None if low is None else 0.5 * low + 0.5 * high).cast("double")
+    return dist.agg(median.alias("median"), *rest)
 
 
 def append_log(row: DataFrame, path: str) -> None:
@@ -127,6 +129,28 @@ def residual_report(pred: DataFrame, truth: DataFrame, models: DataFrame, by: st
     return report.withColumn("total", F.col("obj") + 10.0 * F.col("height") + F.col("photo") + F.col("bias") + F.coalesce("regularity", F.lit(0.0)))
 
 
+def image_residual_report(pred: DataFrame, truth: DataFrame, models: DataFrame, by: str = "image_id", key: str = "patch_id", progress: float = 0.5, clamp: float = 1000.0, tolerance: float = 5.0) -> DataFrame:
+    """residual_report() of single images: clamped height residuals, and a predicted height that is `tolerance` or more off is replaced by the true one before it is projected.
+
+    real_photo is the plain mean of the clamped image residuals where conf is over 0.5.
+    """
+    c = F.col
+    sure = truth.select(by, key, (c("conf") > 0.5).alias("sure"))
+    t = confidence_schedule(truth, progress, by).select(by, key, c("x").alias("tx"), c("y").alias("ty"), c("h").alias("th"), c("line").alias("l_line"), c("samp").alias("l_samp"), "conf").join(sure, [by, key])
+    off = F.abs(c("h") - c("th"))
+    j = pred.select(key, "x", "y", "h").join(t, key).withColumn("off", off).withColumn("h", F.when(c("off") < tolerance, c("h")).otherwise(c("th")))
+    j = sensor.mercator_to_image(j, models).withColumnsRenamed({"line": "t_line", "samp": "t_samp"})
+    dl, ds, w = c("t_line") - c("l_line"), c("t_samp") - c("l_samp"), c("conf")
+    clamped = lambda v: tanh_clamp(v, progress, clamp)
+    photo = clamped(F.sqrt(dl * dl + ds * ds))
+    report = j.groupBy(by).agg(
+        F.avg(F.sqrt(F.pow(c("x") - c("tx"), 2) + F.pow(c("y") - c("ty"), 2)) * w).alias("obj"), F.avg(clamped(c("off")) * w).alias("height"), F.avg(photo * w).alias("photo"),
+        F.avg(F.when(c("sure"), photo)).alias("real_photo"), F.sqrt(F.pow(F.avg(clamped(dl) * w), 2) + F.pow(F.avg(clamped(ds) * w), 2)).alias("bias"),
+    )
+    report = report.join(fit.affine_regularity(j, by), by, "left")
+    return report.withColumn("total", c("obj") + 10.0 * c("height") + c("photo") + c("bias") + F.coalesce("regularity", F.lit(0.0)))
+
+
 def pair_similarity(f1: DataFrame, f2: DataFrame, shift: int, margin: float = 7.0, key: str = "patch_id", col: str = "feature") -> DataFrame:
     """Mean dot products of features with their partner and with the feature `shift` rows on (keys are 0 to n - 1), and the two hinge losses."""
     n = f1.count()
@@ -182,17 +206,26 @@ def iteration_means(log: DataFrame, every: int = 10, run: str = "run") -> DataFr
 def best_so_far(log: DataFrame, patience: int = 100, factor: float = 10.0, run: str = "run", order: str = "iter", cool_down: int = 0) -> DataFrame:
     """Best loss up to each check, checks since it improved, whether the loss diverged, and the first stop (a stale run of `patience`, or divergence), after cool_down checks.
 
-    A run's checks are one ordered series; runs are independent.
+    A run's checks are one ordered series; runs are independent.  A long run is cut
+    into ranges, which are scanned apart: the number of checks and the best loss
+    before a range, then the last check before it that was better, are carried into it.
     """
-    w = Window.partitionBy(run).orderBy(order)
-    past = w.rowsBetween(Window.unboundedPreceding, -1)
-    so_far = w.rowsBetween(Window.unboundedPreceding, 0)
-    before = F.min("loss").over(past)
-    df = log.withColumns({"n": F.row_number().over(w), "before": before}).withColumn("better", F.col("before").isNull() | (F.col("loss") < F.col("before")))
-    df = df.withColumns({"best": F.min("loss").over(so_far), "last_better": F.max(F.when(F.col("better"), F.col("n"))).over(so_far)})
-    df = df.withColumn("no_update", F.col("n") - F.col("last_better")).withColumn("diverged", (F.col("no_update") > 0) & (F.col("loss") > factor * F.col("best")))
-    stop = F.min(F.when((F.col("no_update") >= patience) | F.col("diverged"), F.col("n"))).over(Window.partitionBy(run))
-    return df.withColumn("stop_at", stop + cool_down).drop("before", "better", "last_better")
+    by, c = [run], F.col
+    ranged = ordered.in_ranges(log, by, [order])
+    local = Window.partitionBy(run, ordered.PART).orderBy(order)
+    upto = local.rowsBetween(Window.unboundedPreceding, 0)
+    start = ordered.carried(ranged, by, {"__n": F.count("*"), "__best": F.min("loss")}, {"__n": F.sum("__n"), "__best": F.min("__best")})
+    df = ordered.same(ranged, start, [run, ordered.PART])
+    before = F.least(F.min("loss").over(local.rowsBetween(Window.unboundedPreceding, -1)), c("__best"))
+    df = df.withColumns({"n": F.row_number().over(local) + F.coalesce("__n", F.lit(0)), "__before": before, "best": F.least(F.min("loss").over(upto), c("__best"))})
+    df = df.withColumn("__better", F.when(c("__before").isNull() | (c("loss") < c("__before")), c("n"))).drop("__n", "__best", "__before")
+    last = ordered.carried(df, by, {"__last": F.max("__better")}, {"__last": F.max("__last")})
+    df = ordered.same(df, last, [run, ordered.PART])
+    df = df.withColumn("no_update", c("n") - F.greatest(F.max("__better").over(upto), c("__last")))
+    df = df.withColumn("diverged", (c("no_update") > 0) & (c("loss") > factor * c("best"))).drop("__better", "__last")
+    stops = df.groupBy(run, ordered.PART).agg(F.min(F.when((c("no_update") >= patience) | c("diverged"), c("n"))).alias("__stop"))
+    stops = stops.withColumn("stop_at", F.min("__stop").over(Window.partitionBy(run)) + cool_down).drop("__stop")
+    return ordered.same(df, stops, [run, ordered.PART]).select(*log.columns, "n", "best", "no_update", "diverged", "stop_at")
 
 
 def epoch_delta(log: DataFrame) -> DataFrame:
@@ -201,14 +234,19 @@ def epoch_delta(log: DataFrame) -> DataFrame:
 
 
 def rank_by(df: DataFrame, by: str, order: list[str]) -> DataFrame:
-    return df.withColumn("rank", F.row_number().over(Window.partitionBy(by).orderBy(*order)))
+    """Each row's rank within its group; a large group is ranked by ranges of its order."""
+    return ordered.numbered(ordered.in_ranges(df, [by], order), [by], order, "rank").select(*df.columns, "rank")
 
 
 def eta(log: DataFrame, total: int, run: str = "run", time: str = "seconds") -> DataFrame:
     """Elapsed seconds since the run's first row, share done and seconds left at the pace so far."""
-    w = Window.partitionBy(run).orderBy(time)
-    df = log.withColumns({"done": F.row_number().over(w), "elapsed": F.col(time) - F.first(time).over(w)})
-    return df.withColumns({"progress": F.col("done") / F.lit(float(total)), "eta": F.col("elapsed") / F.col("done") * (total - F.col("done"))})
+    ranged = ordered.in_ranges(log, [run], [time])
+    first = ordered.carried(ranged, [run], {"__first": F.min(time)}, {"__first": F.min("__first")})
+    df = ordered.same(ordered.numbered(ranged, [run], [time], "done"), first, [run, ordered.PART])
+    local = Window.partitionBy(run, ordered.PART).orderBy(time).rowsBetween(Window.unboundedPreceding, 0)
+    df = df.withColumn("elapsed", F.col(time) - F.least("__first", F.min(time).over(local)))
+    df = df.withColumns({"progress": F.col("done") / F.lit(float(total)), "eta": F.col("elapsed") / F.col("done") * (total - F.col("done"))})
+    return df.select(*log.columns, "done", "elapsed", "progress", "eta")
 
 
 def lowest_n_cyclic(df: DataFrame, by: str, order: list[str], n: int = 10000) -> DataFrame:
@@ -216,7 +254,8 @@ def lowest_n_cyclic(df: DataFrame, by: str, order: list[str], n: int = 10000) ->
 
     Column position runs from 0 to n - 1.  Each kept row is repeated in place.
     """
-    ranked = rank_by(df, by, order).filter(F.col("rank") <= n)
+    first = F.row_number().over(Window.partitionBy(by).orderBy(*order))  # tasks pass on n rows of a group at most
+    ranked = df.withColumn("rank", first).filter(F.col("rank") <= n)
     sizes = ranked.groupBy(by).agg(F.count("*").alias("__n"))
     at = F.sequence(F.col("rank") - 1, F.lit(n - 1), F.col("__n").cast("int"))
     return ranked.join(sizes, by).withColumn("position", F.explode(at)).drop("rank", "__n")

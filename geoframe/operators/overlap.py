@@ -37,24 +37,48 @@ def _side(boxes: DataFrame, name: str, key: str) -> DataFrame:
     return boxes.select(F.col(key).alias(name), *(F.col(c).alias(f"{name}_{c}") for c in BOX), *([F.col("px").alias(f"{name}_px")] if "px" in boxes.columns else []))
 
 
-def _celled(df: DataFrame, name: str, cell: float) -> DataFrame:
-    """A row for every coarse cell that the box touches."""
-    span = lambda low, high: F.sequence(F.floor(F.col(f"{name}_{low}") / cell), F.floor(F.col(f"{name}_{high}") / cell))
+def _levelled(df: DataFrame, name: str, cell: float) -> DataFrame:
+    """Adds the box's own level: cells of cell * 2**level are at least as large as it, so that it touches four at most."""
+    side = F.greatest(F.col(f"{name}_maxx") - F.col(f"{name}_minx"), F.col(f"{name}_maxy") - F.col(f"{name}_miny"))
+    return df.withColumn(f"{name}_level", F.greatest(F.ceil(F.log2(side / cell)), F.lit(0)).cast("int"))
+
+
+def _celled(df: DataFrame, name: str, cell: float, levels: list[int] | None = None) -> DataFrame:
+    """A row for every cell that the box touches: of its own level, or of those of levels that are coarser."""
+    own = F.col(f"{name}_level")
+    at = F.array(own) if levels is None else F.filter(F.array(*map(F.lit, levels)), lambda v: v > own)
+    size = F.lit(float(cell)) * F.pow(F.lit(2.0), F.col("level"))
+    span = lambda low, high: F.sequence(F.floor(F.col(f"{name}_{low}") / size), F.floor(F.col(f"{name}_{high}") / size))
+    df = df.withColumn("level", F.explode(at))
     return df.withColumn("cx", F.explode(span("minx", "maxx"))).withColumn("cy", F.explode(span("miny", "maxy")))
 
 
-def pairs(footprints: DataFrame, min_size: float = 5000.0, cell: float = 20000.0, key: str = "image_id") -> DataFrame:
-    """Overlapping pairs i < j at least min_size wide and tall; boxes that only touch do not overlap.
+def _meeting(a: DataFrame, b: DataFrame, names: tuple[str, str], cell: float) -> DataFrame:
+    """Pairs of boxes that touch, once each, with minx .. maxy of what they share.
 
-    Boxes meet in the coarse cells they touch; a pair counts in the one cell that holds the lower left corner of its overlap, so that it comes once.
+    Boxes of any size: each goes to the at most four cells of its own size that it
+    touches, and to those of every coarser size that occurs.  Two boxes meet at the
+    level of the larger one, where only one of them is from a finer level; a pair
+    counts in the one cell that holds the lower left corner of what it shares.
     """
-    a, b = _celled(_side(footprints, "i", key), "i", cell), _celled(_side(footprints, "j", key), "j", cell)
-    j = a.join(b, ["cx", "cy"]).filter("i < j").withColumns({
-        "minx": F.greatest("i_minx", "j_minx"), "miny": F.greatest("i_miny", "j_miny"), "maxx": F.least("i_maxx", "j_maxx"), "maxy": F.least("i_maxy", "j_maxy"),
-    })
-    own = (F.col("cx") == F.floor(F.col("minx") / cell)) & (F.col("cy") == F.floor(F.col("miny") / cell))
+    (i, j), c = names, F.col
+    a, b = _levelled(a, i, cell), _levelled(b, j, cell)
+    found = a.select(c(f"{i}_level").alias("level")).unionByName(b.select(c(f"{j}_level").alias("level"))).distinct()
+    levels = sorted(r["level"] for r in found.collect())  # powers of two between the smallest and the largest box
+    on = ["level", "cx", "cy"]
+    both = _celled(a, i, cell).join(_celled(b, j, cell), on)
+    both = both.unionByName(_celled(a, i, cell).join(_celled(b, j, cell, levels), on)).unionByName(_celled(a, i, cell, levels).join(_celled(b, j, cell), on))
+    shared = {"minx": F.greatest(f"{i}_minx", f"{j}_minx"), "miny": F.greatest(f"{i}_miny", f"{j}_miny"), "maxx": F.least(f"{i}_maxx", f"{j}_maxx"), "maxy": F.least(f"{i}_maxy", f"{j}_maxy")}
+    size = F.lit(float(cell)) * F.pow(F.lit(2.0), c("level"))
+    own = (c("cx") == F.floor(c("minx") / size)) & (c("cy") == F.floor(c("miny") / size))
+    return both.withColumns(shared).filter((c("minx") <= c("maxx")) & (c("miny") <= c("maxy")) & own).drop(*on, f"{i}_level", f"{j}_level")
+
+
+def pairs(footprints: DataFrame, min_size: float = 5000.0, cell: float = 20000.0, key: str = "image_id") -> DataFrame:
+    """Overlapping pairs i < j at least min_size wide and tall; boxes that only touch do not overlap. cell: the size of small boxes."""
+    j = _meeting(_side(footprints, "i", key), _side(footprints, "j", key), ("i", "j"), cell).filter("i < j")
     width, height = F.col("maxx") - F.col("minx"), F.col("maxy") - F.col("miny")
-    found = j.filter(own & (width > 0) & (height > 0) & (width >= min_size) & (height >= min_size)).withColumns({"width": width, "height": height})
+    found = j.filter((width > 0) & (height > 0) & (width >= min_size) & (height >= min_size)).withColumns({"width": width, "height": height})
     if "px" in footprints.columns:
         found = found.withColumns({"width_px": (width / F.abs("i_px")).cast("int"), "height_px": (height / F.abs("i_px")).cast("int")})
     return found.select("i", "j", *BOX, "width", "height", *(["width_px", "height_px"] if "px" in footprints.columns else []))
@@ -75,12 +99,9 @@ def triples(footprints: DataFrame, min_size: float = 1000.0, cell: float = 20000
 
 def grid_image(grids: DataFrame, footprints: DataFrame, cell: float = 20000.0) -> DataFrame:
     """Images over each grid (x0, y0 top left, x1, y1 bottom right), touching ones too, with the intersection's corners."""
-    g = grids.select("grid_id", F.col("x0").alias("g_minx"), F.col("y1").alias("g_miny"), F.col("x1").alias("g_maxx"), F.col("y0").alias("g_maxy"))
-    f = _side(footprints, "f", "image_id")
-    j = _celled(g, "g", cell).join(_celled(f, "f", cell), ["cx", "cy"]).filter("g_minx <= f_maxx AND f_minx <= g_maxx AND g_miny <= f_maxy AND f_miny <= g_maxy")
-    j = j.withColumns({"x0": F.greatest("g_minx", "f_minx"), "y0": F.least("g_maxy", "f_maxy"), "x1": F.least("g_maxx", "f_maxx"), "y1": F.greatest("g_miny", "f_miny")})
-    own = (F.col("cx") == F.floor(F.col("x0") / cell)) & (F.col("cy") == F.floor(F.col("y1") / cell))
-    return j.filter(own).select("grid_id", F.col("f").alias("image_id"), "x0", "y0", "x1", "y1")
+    g = grids.select(F.col("grid_id").alias("g"), F.col("x0").alias("g_minx"), F.col("y1").alias("g_miny"), F.col("x1").alias("g_maxx"), F.col("y0").alias("g_maxy"))
+    j = _meeting(g, _side(footprints, "f", "image_id"), ("g", "f"), cell)
+    return j.select(F.col("g").alias("grid_id"), F.col("f").alias("image_id"), F.col("minx").alias("x0"), F.col("maxy").alias("y0"), F.col("maxx").alias("x1"), F.col("miny").alias("y1"))
 
 
 def common_rectangle(corners: DataFrame) -> DataFrame:

@@ -13,6 +13,9 @@ import math
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from geoframe.functions import geo, ordered
+from geoframe.operators import tiles as tiled
+
 TILE = 256
 GEOTRANSFORM = ("a", "b", "c", "d", "e", "f")
 
@@ -76,10 +79,13 @@ def scale_by_band_max(pixels: DataFrame, bands: tuple = ("b1", "b2", "b3"), by:
 def percent_stretch_u8(pixels: DataFrame, bands: tuple = ("b1", "b2", "b3"), lo: float = 2, hi: float = 98, nodata: float | None = None, by: str = "image_id") -> DataFrame:
     """Bands between their percentiles to 0..255, cut to whole numbers; nodata is 0, a band without spread 127."""
     value = {b: F.when(F.col(b) != nodata, F.col(b)) if nodata is not None else F.col(b) for b in bands}
-    j = _with_stats(pixels, by, [F.percentile(value[b], F.array(F.lit(lo / 100), F.lit(hi / 100))).alias(f"__{b}") for b in bands])
-    out = {}
+    long_ = pixels.select(by, F.explode(F.array(*(F.struct(F.lit(b).alias("band"), value[b].cast("double").alias("v")) for b in bands))).alias("x")).select(by, "x.*")
+    found = ordered.quantiles(long_, [by, "band"], "v", [lo / 100, hi / 100])
+    limit = lambda b, k: F.max(F.when((F.col("band") == b) & (F.col("k") == k), F.col("value")))
+    limits = found.groupBy(by).agg(*(limit(b, k).alias(f"__{b}{k}") for b in bands for k in (0, 1)))
+    j, out = pixels.join(limits, by, "left"), {}
     for b in bands:
-        low, high = F.col(f"__{b}")[0], F.col(f"__{b}")[1]
+        low, high = F.col(f"__{b}0"), F.col(f"__{b}1")
         clipped = F.least(F.greatest(value[b], low), high)
         scaled = F.when(low == high, F.lit(127)).otherwise(F.floor(F.try_divide(clipped - low, high - low) * 255.0).cast("int"))
         out[b] = F.when(value[b].isNull(), F.lit(0)).otherwise(scaled)
@@ -112,87 +118,102 @@ def inside_raster(df: DataFrame, rasters: DataFrame) -> DataFrame:
     return j.filter("row >= 0 AND row < height AND col >= 0 AND col < width").select(*df.columns)
 
 
-def lookup(points: DataFrame, cells: DataFrame, by: str = "image_id", value: str = "value", name: str = "value") -> DataFrame:
-    """Value of the cell at (line, samp); points off the raster are left out."""
+def lookup(points: DataFrame, cells: DataFrame, by: str = "image_id", value: str = "value", name: str = "value", strict: bool = False) -> DataFrame:
+    """Value of the cell at (line, samp); points off the raster are left out, or, if strict, fail the job."""
     read = cells.select(by, F.col("row").alias("line"), F.col("col").alias("samp"), F.col(value).alias(name))
-    return points.join(read, [by, "line", "samp"])
+    if not strict:
+        return points.join(read, [by, "line", "samp"])
+    j = points.join(read.withColumn("__there", F.lit(True)), [by, "line", "samp"], "left")
+    place = F.concat_ws(", ", *(F.col(c).cast("string") for c in (by, "line", "samp")))
+    return j.filter(F.coalesce(F.col("__there"), F.raise_error(F.concat(F.lit("no cell at "), place)).cast("boolean"))).drop("__there")
 
 
 def sample_nearest(points: DataFrame, cells: DataFrame, rasters: DataFrame, keep: bool = False) -> DataFrame:
     """Adds the valid value of the cell under (x, y); points off the raster or on nodata are left out, or kept with null."""
     placed = world_to_cell(points, rasters)
-    valid = mask_nodata(cells, rasters).filter("value IS NOT NULL").select("raster_id", "row", "col", "value")
-    if keep:
-        return placed.join(valid, ["raster_id", "row", "col"], "left").select(*points.columns, "value")
-    return inside_raster(placed, rasters).join(valid, ["raster_id", "row", "col"]).select(*points.columns, "value")
-
-
-def _taps(row: Column, col: Column, height: Column, width: Column, fill: float | None) -> Column:
-    """The four cells around (row, col) with their weights; clamped to the edge, or, with fill, weight by cell inside."""
-    r0, c0 = F.floor(row), F.floor(col)
-    dr, dc = row - r0, col - c0
-    corners = []
-    for i, wr in ((0, 1 - dr), (1, dr)):
-        for j, wc in ((0, 1 - dc), (1, dc)):
-            r, c = (r0 + i).cast("int"), (c0 + j).cast("int")
-            if fill is None:
-                r, c = (F.least(F.greatest(v, F.lit(0)), (n - 1).cast("int")) for v, n in ((r, height), (c, width)))
-            corners.append(F.struct(r.alias("row"), c.alias("col"), (wr * wc).alias("w")))
-    return F.array(*corners)
-
-
-def sample_bilinear(points: DataFrame, cells: DataFrame, key: tuple, by: str = "image_id", fill: float | None = None, value: str = "value", shape: tuple[int, int] | None = None) -> DataFrame:
-    """Adds the value at fractional (row, col), which are in cell centres.
-
-    The raster's height and width are columns of points, or one shape for all.  Its
-    edge is repeated outwards; with fill, points off the raster get fill instead.
-    key: the columns that tell points apart.
-    """
-    height, width = (F.lit(n) for n in shape) if shape else (F.col("height"), F.col("width"))
-    tap = points.withColumn("__tap", F.explode(_taps(F.col("row"), F.col("col"), height, width, fill)))
-    tap = tap.select(*key, F.col("__tap.row").alias("__r"), F.col("__tap.col").alias("__c"), F.col("__tap.w").alias("__w"), *([] if by in key else [by]))
-    read = cells.select(by, F.col("row").alias("__r"), F.col("col").alias("__c"), F.col(value).alias("__v"))
-    sums = tap.filter("__w != 0").join(read, [by, "__r", "__c"]).groupBy(*key).agg(F.sum(F.col("__w") * F.col("__v")).alias(value))
-    if fill is None:
-        return points.join(sums, list(key))
-    inside = (F.col("row") >= 0) & (F.col("row") <= height - 1) & (F.col("col") >= 0) & (F.col("col") <= width - 1)
-    return points.join(sums, list(key), "left").withColumn(value, F.when(inside, F.col(value)).otherwise(F.lit(float(fill))))
-
-
-def sample_align_corners(points: DataFrame, cells: DataFrame, key: tuple, shape: tuple[int, int], by: str = "image_id", value: str = "value") -> DataFrame:
+    read = tiled.nearest(placed if keep else inside_raster(placed, rasters), tiled.from_cells(mask_nodata(cells, rasters), "raster_id"), "raster_id", keep=keep)
+    return read.select(*points.columns, "value")
+
+
+def sample_bilinear(points: DataFrame, cells: DataFrame, by: str = "image_id", fill: float | None = None, value: str = "value", shape: tuple[int, int] | None = None) -> DataFrame:
+    """Adds the value at fractional (row, col), which are in cell centres; see tiles.bilinear."""
+    return tiled.bilinear(points, tiled.from_cells(cells, by, (value,)), by, (value,), fill, shape)
+
+
+def sample_align_corners(points: DataFrame, cells: DataFrame, shape: tuple[int, int], by: str = "image_id", value: str = "value") -> DataFrame:
     """Value at (row, col) of a grid as tall and wide as the raster, mapped so that first and last positions are cell centres."""
     h, w = shape
-    placed = points.withColumns({"row": F.col("row") * F.lit((h - 1) / h), "col": F.col("col") * F.lit((w - 1) / w)})
-    read = sample_bilinear(placed, cells, key, by, None, value, shape)
-    return points.join(read.select(*key, value), list(key))
+    placed = points.withColumns({"__row": F.col("row"), "__col": F.col("col"), "row": F.col("row") * F.lit((h - 1) / h), "col": F.col("col") * F.lit((w - 1) / w)})
+    read = sample_bilinear(placed, cells, by, None, value, shape)
+    return read.withColumns({"row": F.col("__row"), "col": F.col("__col")}).select(*points.columns, value)
 
 
-def gather(targets: DataFrame, cells: DataFrame, key: tuple, by: str = "image_id", value: str = "value", shape: tuple[int, int] | None = None) -> DataFrame:
+def gather(targets: DataFrame, cells: DataFrame, by: str = "image_id", value: str = "value", shape: tuple[int, int] | None = None) -> DataFrame:
     """Bilinear value of each target at fractional (row, col); 0 off the raster."""
-    return sample_bilinear(targets, cells, key, by, 0.0, value, shape)
+    return sample_bilinear(targets, cells, by, 0.0, value, shape)
+
+
+#: The coordinate systems that rasters may be in. A raster without crs is in geographic coordinates.
+GEOGRAPHIC, MERCATOR = "EPSG:4326", "EPSG:3857"
+
+
+def converted(points: DataFrame, source: Column, target: Column) -> DataFrame:
+    """x, y of each point from one coordinate system to the other; an unknown system is an error."""
+    source, target = (F.coalesce(v, F.lit(GEOGRAPHIC)) for v in (source, target))
+    known = source.isin(GEOGRAPHIC, MERCATOR) & target.isin(GEOGRAPHIC, MERCATOR)
+    x, y = F.col("x"), F.col("y")
+    to_metres, to_degrees = (source == GEOGRAPHIC) & (target == MERCATOR), (source == MERCATOR) & (target == GEOGRAPHIC)
+    refuse = F.raise_error(F.concat(F.lit("no conversion between "), source, F.lit(" and "), target)).cast("double")
+    return points.withColumns({
+        "x": F.when(~known, refuse).when(to_metres, geo.mercator_x(x)).when(to_degrees, geo.mercator_lon(x)).otherwise(x),
+        "y": F.when(to_metres, geo.mercator_y(y)).when(to_degrees, geo.mercator_lat(y)).otherwise(y),
+    })
 
 
 def add_regridded(dem: DataFrame, other: DataFrame, rasters: DataFrame, other_id: str) -> DataFrame:
-    """dem plus another raster read bilinearly at each valid cell's centre; nodata stays."""
-    info = rasters.filter(F.col("raster_id") == other_id)
-    valid = cell_to_world(mask_nodata(dem, rasters).filter("value IS NOT NULL"), rasters)
-    at = valid.withColumns({"__id": F.col("raster_id"), "__row": F.col("row"), "__col": F.col("col"), "__value": F.col("value"), "raster_id": F.lit(other_id)}).drop("value", "row", "col")
-    placed = world_to_cell(at, info, whole=False).withColumns({"row": F.col("row") - 0.5, "col": F.col("col") - 0.5})
-    placed = placed.join(info.select("raster_id", "height", "width"), "raster_id")
-    read = sample_bilinear(placed, other, ("__id", "__row", "__col"), "raster_id")
-    moved = read.select(F.col("__id").alias("raster_id"), F.col("__row").alias("row"), F.col("__col").alias("col"), F.col("value").alias("__add"))
-    return dem.join(moved, ["raster_id", "row", "col"], "left").withColumn("value", F.col("value") + F.coalesce("__add", F.lit(0.0))).drop("__add")
+    """dem plus another raster read bilinearly at each valid cell's centre; nodata stays.
+
+    rasters may have a column crs: a raster in another coordinate system than the
+    cell's own is read at the converted place.
+    """
+    systems = rasters if "crs" in rasters.columns else rasters.withColumn("crs", F.lit(GEOGRAPHIC))
+    info = systems.filter(F.col("raster_id") == other_id)
+    at = cell_to_world(dem, rasters).withColumns({"__id": F.col("raster_id"), "__row": F.col("row"), "__col": F.col("col"), "__value": F.col("value")})
+    at = at.join(systems.select("raster_id", F.col("crs").alias("__from")), "raster_id").withColumn("raster_id", F.lit(other_id)).drop("value", "row", "col")
+    at = at.join(info.select("raster_id", "height", "width", F.col("crs").alias("__to")), "raster_id")
+    placed = world_to_cell(converted(at, F.col("__from"), F.col("__to")), info, whole=False).withColumns({"row": F.col("row") - 0.5, "col": F.col("col") - 0.5})
+    # every cell is read, those off the raster at its edge; a cell without a value has null
+    clamped = placed.withColumns({x: F.least(F.greatest(x, F.lit(0.0)), (F.col(n) - 1).cast("double")) for x, n in (("row", "height"), ("col", "width"))})
+    read = tiled.bilinear(clamped, tiled.from_cells(other, "raster_id"), "raster_id", fill=0.0)
+    moved = read.withColumnsRenamed({"value": "__add"}).withColumns({"raster_id": F.col("__id"), "row": F.col("__row"), "col": F.col("__col"), "value": F.col("__value")})
+    known = mask_nodata(moved.withColumn("__known", F.col("value")), rasters, "__known")
+    summed = F.when(F.col("__known").isNotNull(), F.col("value") + F.coalesce("__add", F.lit(0.0))).otherwise(F.col("value"))
+    return known.withColumn("value", summed).select(*dem.columns)
+
+
+def whole_multiples(boxes: DataFrame, multiple: int = 16) -> DataFrame:
+    """Boxes row0, col0, row1, col1 cut to a multiple of rows and columns about their middle."""
+    for x in ("row", "col"):
+        low, extent = F.col(f"{x}0"), F.col(f"{x}1") - F.col(f"{x}0")
+        whole = F.floor(extent / multiple) * multiple
+        start = (low + F.floor((extent - whole) / 2)).cast("int")
+        boxes = boxes.withColumns({f"{x}0": start, f"{x}1": (start + whole).cast("int")})
+    return boxes
 
 
 def crop(cells: DataFrame, boxes: DataFrame, multiple: int = 16, by: str = "image_id") -> DataFrame:
     """Cells within each image's box (row0, col0, row1, col1), cut to a multiple of 16 rows and columns about its middle; renumbered from 0."""
     c = F.col
-    box = boxes.select(by, *((c(f"{x}1") - c(f"{x}0")).alias(f"__{x}n") for x in ("row", "col")), *(c(f"{x}0").alias(f"__{x}0") for x in ("row", "col")))
-    for x in ("row", "col"):
-        whole = F.floor(c(f"__{x}n") / multiple) * multiple
-        box = box.withColumns({f"__{x}s": (c(f"__{x}0") + F.floor((c(f"__{x}n") - whole) / 2)).cast("int"), f"__{x}w": whole.cast("int")})
-    inside = [(c(x) >= c(f"__{x}s")) & (c(x) < c(f"__{x}s") + c(f"__{x}w")) for x in ("row", "col")]
-    return cells.join(box, by).filter(inside[0] & inside[1]).withColumns({x: c(x) - c(f"__{x}s") for x in ("row", "col")}).select(*cells.columns)
+    box = whole_multiples(boxes, multiple).select(by, *(c(f"{x}{k}").alias(f"__{x}{k}") for x in ("row", "col") for k in (0, 1)))
+    inside = [(c(x) >= c(f"__{x}0")) & (c(x) < c(f"__{x}1")) for x in ("row", "col")]
+    return cells.join(box, by).filter(inside[0] & inside[1]).withColumns({x: c(x) - c(f"__{x}0") for x in ("row", "col")}).select(*cells.columns)
+
+
+def crop_tiles(tiles: DataFrame, boxes: DataFrame, multiple: int = 16, by: str = "image_id", values: tuple = ("value",)) -> DataFrame:
+    """crop() of tiles: only those that the boxes touch are read."""
+    box = whole_multiples(boxes.select(by, "row0", "col0", "row1", "col1"), multiple).withColumns({"__row": F.col("row0"), "__col": F.col("col0")})
+    read = tiled.cells_in(tiles, box, by, values)
+    return read.withColumns({"row": F.col("row") - F.col("__row"), "col": F.col("col") - F.col("__col")}).select(by, "row", "col", *values)
 
 
 def homography(quads: DataFrame, shape: tuple[int, int]) -> DataFrame:
@@ -225,7 +246,7 @@ def quad_points(quads: DataFrame, shape: tuple[int, int]) -> DataFrame:
 def resample_quad(cells: DataFrame, quads: DataFrame, shape: tuple[int, int], source_shape: tuple[int, int], by: str = "image_id", value: str = "value") -> DataFrame:
     """Each quad of its image resampled to shape, bilinear with repeated edge; also the source row and col of each target cell."""
     at = quad_points(quads, shape).withColumnsRenamed({"x": "col", "y": "row"})
-    return sample_bilinear(at, cells, ("quad_id", "trow", "tcol"), by, None, value, source_shape)
+    return sample_bilinear(at, cells, by, None, value, source_shape)
 
 
 def block_mean(cells: DataFrame, n: int, by: str = "image_id", value: str = "value") -> DataFrame:

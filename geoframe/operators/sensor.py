@@ -200,11 +200,12 @@ def xy_to_image(points: DataFrame, models: DataFrame, dem: DataFrame, footprints
     """
     c = F.col
     j = points.join(footprints, "image_id")
-    first = j.withColumns({
+    now = j.withColumns({
         "row": (c("maxy") - c("y")) / (c("maxy") - c("miny")) * c("height"), "col": (c("x") - c("minx")) / (c("maxx") - c("minx")) * c("width"),
     }).select(*points.columns, "row", "col", "height", "width")
     for _ in range(iterations):
-        read = raster.sample_bilinear(first, dem, key=("image_id", *[c for c in points.columns if c != "image_id"]), by="image_id")
+        read = raster.sample_bilinear(now, dem)
         placed = mercator_to_image(read.withColumnRenamed("value", "h"), models)
-        first = placed.withColumns({"row": c("line"), "col": c("samp")})
-    return first.select(*points.columns, "h", "line", "samp")
+        last = placed.select(*points.columns, "h", "line", "samp", "height", "width")
+        now = last.drop("h").withColumnsRenamed({"line": "row", "samp": "col"})
+    return last.select(*points.columns, "h", "line", "samp")

@@ -9,7 +9,8 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from geoframe.functions import geo
-from geoframe.operators import fit, metrics, overlap, raster, sensor, tiling
+from geoframe.functions.lineage import checkpointed
+from geoframe.operators import fit, metrics, overlap, raster, sensor, tiles, tiling
 
 Predictor = Callable[[pd.DataFrame], pd.DataFrame]
 
@@ -110,12 +111,11 @@ def orthorectify(pixels: DataFrame, dem: DataFrame, models: DataFrame, resolutio
     cells = box.withColumn("trow", F.explode(F.sequence(F.lit(0), c("rows") - 1))).withColumn("tcol", F.explode(F.sequence(F.lit(0), c("cols") - 1)))
     cells = cells.withColumns({"lat": c("lat1") - c("trow") * c("dlat"), "lon": c("lon0") + c("tcol") * c("dlon")})
     cells = cells.withColumns({"row": (c("height") - 1) * (c("lat1") - c("lat")) / (c("lat1") - c("lat0")), "col": (c("width") - 1) * (c("lon") - c("lon0")) / (c("lon1") - c("lon0"))})
-    key = ("image_id", "trow", "tcol")
-    heights = raster.sample_bilinear(cells.select(*key, "lat", "lon", "row", "col", "height", "width", "low"), dem, key, fill=0.0)
+    heights = raster.sample_bilinear(cells.select("image_id", "trow", "tcol", "lat", "lon", "row", "col", "height", "width", "low"), dem, fill=0.0)
     inside = (c("row") <= c("height") - 1) & (c("col") <= c("width") - 1)
     heights = heights.withColumn("h", F.when(inside, c("value")).otherwise(c("low"))).drop("value", "row", "col")
     image = sensor.object_to_image(heights, models, line="row", samp="col")
-    read = raster.gather(image, pixels.select("image_id", "row", "col", F.col(value).alias("value")), key)
+    read = raster.gather(image, pixels.select("image_id", "row", "col", F.col(value).alias("value")))
     return read.select("image_id", F.col("trow").alias("row"), F.col("tcol").alias("col"), "lat", "lon", c("value").cast("int").alias("value"))
 
 
@@ -170,7 +170,7 @@ def downsample_dataset(pixels: DataFrame, dem: DataFrame, residuals: DataFrame,
 
 
 def build_training_pairs(cells: DataFrame, pairs: DataFrame, k: int, min_side: int, size: int = 1024, ratio: int = 16, n: int = 10000, seed: int = 0) -> DataFrame:
-    """For each pair and crop number the n best matched cells, in feature cells of both crops (line1, samp1, line2, samp2).
+    """For each pair and crop number the n best matched cells, in feature cells of both crops (line1, samp1, line2, samp2); crop_samples() gives the crops themselves.
 
     cells: pair_id, row, col, res1, res2.  pairs: pair_id, height, width.
     """
@@ -182,6 +182,49 @@ def build_training_pairs(cells: DataFrame, pairs: DataFrame, k: int, min_side: i
     return best.select("pair_id", "k", "position", "row", "col", "residual", *(feature(a, m).alias(f"{name}{m}") for m in (1, 2) for a, name in (("row", "line"), ("col", "samp"))))
 
 
+def crop_samples(cells: DataFrame, crops: DataFrame, size: int = 1024, ratio: int = 16) -> DataFrame:
+    """Both crops of each pair, resized to size x size: a row per pair_id, k and m (1 or 2) with arrays row by row.
+
+    image: size x size values, bilinear; x, y, h: ground positions at the centres of
+    ratio x ratio blocks of the resized crop; residual: nearest cells averaged over
+    blocks, -1 where none is known.
+
+    cells: pair_id, row, col, img1, img2, x, y, h, res1, res2.  crops: pair_id, k and
+    rowm, colm, sidem of both crops, as overlapping_crops() gives them.
+    """
+    c, layers = F.col, ("img1", "img2", "x", "y", "h", "res1", "res2")
+    raster_tiles = checkpointed(tiles.from_cells(cells.select("pair_id", "row", "col", *(F.nanvl(c(v).cast("double"), F.lit(None)).alias(v) for v in layers)), "pair_id", layers))
+    target = lambda a: F.explode(F.sequence(F.lit(0), F.lit(size - 1))).alias(a)
+    out = None
+    for m in (1, 2):
+        box = crops.select("pair_id", "k", *(c(f"{x}{m}").alias(f"{x}0") for x in ("row", "col")), c(f"side{m}").alias("side"))
+        lattice = box.select("*", target("trow")).select("*", target("tcol"))
+        scale = c("side") / F.lit(float(size))
+        inside = lambda v: F.least(F.greatest(v, F.lit(0.0)), c("side") - F.lit(1.0))
+        smooth = {a: c(f"{a}0") + inside((c(f"t{a}") + 0.5) * scale - 0.5) for a in ("row", "col")}
+        placed = lattice.withColumns(smooth | {"height": c("row0") + c("side"), "width": c("col0") + c("side")})
+        read = tiles.bilinear(placed, raster_tiles, "pair_id", (f"img{m}", "x", "y", "h"), fill=0.0)
+        nearest = {a: (c(f"{a}0") + F.least(F.floor(c(f"t{a}") * scale), c("side") - 1)).cast("int") for a in ("row", "col")}
+        whole = tiles.nearest(read.withColumns(nearest), raster_tiles, "pair_id", (f"res{m}",), keep=True)
+        own = whole.select("pair_id", "k", F.lit(m).alias("m"), "trow", "tcol", c(f"img{m}").alias("image"), "x", "y", "h", c(f"res{m}").alias("residual"))
+        out = own if out is None else out.unionByName(own)
+    cell = checkpointed(out)
+    key = ["pair_id", "k", "m"]
+    # arrays are put together line by line, then the lines
+    line = cell.groupBy(*key, "trow").agg(F.sort_array(F.collect_list(F.struct("tcol", "image"))).alias("__line"))
+    lines = line.groupBy(*key).agg(F.sort_array(F.collect_list(F.struct("trow", F.transform("__line", lambda v: v["image"]).alias("v")))).alias("__lines"))
+    images = lines.select(*key, F.flatten(F.transform("__lines", lambda v: v["v"])).alias("image"))
+    block = {f"b{a}": F.floor(c(f"t{a}") / ratio).cast("int") for a in ("row", "col")}
+    middle = [(ratio - 1) // 2, ratio // 2]
+    centre = (c("trow") % ratio).isin(middle) & (c("tcol") % ratio).isin(middle)
+    known = {v: F.avg(F.when(centre, c(v))).alias(v) for v in ("x", "y", "h")}
+    blocks = cell.withColumns(block).groupBy(*key, "brow", "bcol").agg(*known.values(), F.coalesce(F.avg("residual"), F.lit(-1.0)).alias("residual"))
+    gathered = blocks.groupBy(*key).agg(F.sort_array(F.collect_list(F.struct("brow", "bcol", "x", "y", "h", "residual"))).alias("__blocks"))
+    complete = F.filter("__blocks", lambda b: (b["brow"] < size // ratio) & (b["bcol"] < size // ratio))
+    objects = gathered.withColumn("__whole", complete).select(*key, *(F.col(f"__whole.{v}").alias(v) for v in ("x", "y", "h")), F.col("__blocks.residual").alias("residual"))
+    return images.join(objects, key)
+
+
 def create_grids(corners: DataFrame, size: float, patches: DataFrame | None = None, limit: int | None = None, bins: int = 1000, deg: int = 20) -> DataFrame:
     """Grids over the rectangle that all images share, with linear maps for x and y and, from patches (grid_id, h), the height map ch."""
     made = tiling.with_linear_maps(tiling.grids(overlap.common_rectangle(corners), size, limit))

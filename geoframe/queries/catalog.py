@@ -13,9 +13,10 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from geoframe.functions import geo
-from geoframe.operators import fit, metrics, neighbors, overlap, raster, sensor, tiling
+from geoframe.operators import fit, metrics, neighbors, overlap, raster, sensor, tiles, tiling
 from geoframe.plans import jobs
 from geoframe.queries import fixtures
+from geoframe.sources import files
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 SQL: dict[str, str] = {}
@@ -307,10 +308,10 @@ def p23_residual_confidence(t: Tables) -> DataFrame:
     return metrics.confidence_weight(metrics.residual_to_confidence(t.residuals, 5.0, "value").select("image_id", "row", "col", "conf"), "image_id")
 
 
-@query(f"SELECT patch_id, {r('feature[1] / n AS first', 'feature[64] / n AS last')}, 2 * len(feature) AS width FROM (SELECT *, sqrt(list_inner_product(CAST(feature AS DOUBLE[]), CAST(feature AS DOUBLE[]))) AS n FROM patches)")
+@query(f"SELECT patch_id, CAST(k AS INTEGER) AS k, {r('feature[k % 64 + 1] / n AS value')} FROM (SELECT *, sqrt(list_inner_product(CAST(feature AS DOUBLE[]), CAST(feature AS DOUBLE[]))) AS n FROM patches), (SELECT UNNEST(range(128)) AS k)")
 def p24_features(t: Tables) -> DataFrame:
     df = neighbors.concat_features(neighbors.l2_normalize(t.patches, "feature"), "feature", "feature", "both")
-    return df.select("patch_id", F.col("feature")[0].alias("first"), F.col("feature")[63].alias("last"), F.size("both").cast("long").alias("width"))
+    return df.select("patch_id", F.posexplode("both").alias("k", "value"))
 
 
 @query(f"SELECT image_id, {r('degrees(abs(atan2(a10, a00) - atan2(0e0, 1e0))) AS rotation_deg', 'sqrt(pow(a02, 2) + pow(a12, 2)) AS translation')} FROM corrected_models")
@@ -426,6 +427,13 @@ def f12_images_without_tie_points(t: Tables) -> DataFrame:
     return t.sensor_models.select("image_id").join(t.tie_points, "image_id", "left_anti")
 
 
+@query("SELECT image_id, point_id, line, samp FROM tie_points")
+def f12_validate_tie_points(t: Tables) -> DataFrame:
+    """The check is part of the plan: an image without tie points would fail this query."""
+    scenes = t.sensor_models.join(t.tie_points.select("image_id").distinct(), "image_id", "left_semi")
+    return files.validate_tie_points(t.tie_points, scenes)
+
+
 @query("SELECT a.image_id AS i, b.image_id AS j, a.point_id FROM tie_points a JOIN tie_points b USING (point_id) WHERE a.image_id <> b.image_id")
 def f13_exclude_self(t: Tables) -> DataFrame:
     side = lambda n: t.tie_points.select(F.col("image_id").alias(n), "point_id")
@@ -473,7 +481,7 @@ def fractional(t: Tables) -> tuple[DataFrame, int]:
 @query(f"SELECT image_id, point_id, {r('value')} FROM ({bilinear_sql(FRACTIONAL, 'image_id, point_id', 'dem', HEIGHT, '100')})")
 def j4_sample_bilinear(t: Tables) -> DataFrame:
     points, height = fractional(t)
-    return raster.sample_bilinear(points, t.dem, ("image_id", "point_id"), shape=(height, 100)).select("image_id", "point_id", "value")
+    return raster.sample_bilinear(points, t.dem, shape=(height, 100)).select("image_id", "point_id", "value")
 
 
 OVERLAP_SQL = {"over": "SELECT a.image_id AS i, b.image_id AS j, greatest(a.minx, b.minx) AS minx, greatest(a.miny, b.miny) AS miny, least(a.maxx, b.maxx) AS maxx, least(a.maxy, b.maxy) AS maxy, a.px FROM footprints a JOIN footprints b ON a.image_id < b.image_id AND a.minx < b.maxx AND b.minx < a.maxx AND a.miny < b.maxy AND b.miny < a.maxy"}
@@ -541,10 +549,36 @@ def j13_add_regridded(t: Tables) -> DataFrame:
     return raster.add_regridded(t.dem_world, t.geoid, t.rasters, "geoid").select("raster_id", "row", "col", "value")
 
 
-@query(f"SELECT image_id, CAST(row - r0 AS INTEGER) AS row, CAST(col - c0 AS INTEGER) AS col, {r('value')} FROM (SELECT *, 1 + image_id + ((7 + image_id) - (7 + image_id) // 2 * 2) // 2 AS r0, 3 + image_id + ((50 + image_id) - (50 + image_id) // 2 * 2) // 2 AS c0 FROM dem) WHERE row >= r0 AND row < r0 + (7 + image_id) // 2 * 2 AND col >= c0 AND col < c0 + (50 + image_id) // 2 * 2")
+#: A geoid in metres of Web Mercator over the same area.
+_METRES = "SELECT * FROM (SELECT raster_id, row, col, value FROM geoid)"
+_AT = f"SELECT row, col, {X_SQL.format(lon='109998e-3 + (col + 5e-1) * 4e-5')} AS x, {Y_SQL.format(lat='30003e-3 + (row + 5e-1) * -4e-5')} AS y FROM dem_world WHERE value <> -9999"
+CONVERTED = f"SELECT row, col, value FROM ({bilinear_sql(f'SELECT row, col, (3504190e0 - y) / 56e0 - 5e-1 AS prow, (x - 12244580e0) / 56e0 - 5e-1 AS pcol FROM ({_AT})', 'row, col', 'geoid', '(SELECT max(row) + 1 FROM geoid)', '20')})"
+
+
+@query(f"SELECT raster_id, row, col, {r('d.value + coalesce(g.value, 0) AS value')} FROM dem_world d LEFT JOIN ({CONVERTED}) g USING (row, col)")
+def j13_add_regridded_between_systems(t: Tables) -> DataFrame:
+    metres = {"a": 56.0, "c": 12244580.0, "e": -56.0, "f": 3504190.0}
+    other = F.col("raster_id") == "geoid"
+    systems = t.rasters.withColumns({k: F.when(other, v).otherwise(F.col(k)) for k, v in metres.items()} | {"crs": F.when(other, raster.MERCATOR).otherwise(raster.GEOGRAPHIC)})
+    return raster.add_regridded(t.dem_world, t.geoid, systems, "geoid").select("raster_id", "row", "col", "value")
+
+
+CROP_SQL = f"SELECT image_id, CAST(row - r0 AS INTEGER) AS row, CAST(col - c0 AS INTEGER) AS col, {r('value')} FROM (SELECT *, 1 + image_id + ((7 + image_id) - (7 + image_id) // 2 * 2) // 2 AS r0, 3 + image_id + ((50 + image_id) - (50 + image_id) // 2 * 2) // 2 AS c0 FROM dem) WHERE row >= r0 AND row < r0 + (7 + image_id) // 2 * 2 AND col >= c0 AND col < c0 + (50 + image_id) // 2 * 2"
+
+
+def crop_boxes(t: Tables) -> DataFrame:
+    return t.sensor_models.selectExpr("image_id", "1 + image_id AS row0", "3 + image_id AS col0", "8 + 2 * image_id AS row1", "53 + 2 * image_id AS col1")
+
+
+@query(CROP_SQL)
 def j15_crop(t: Tables) -> DataFrame:
-    boxes = t.sensor_models.selectExpr("image_id", "1 + image_id AS row0", "3 + image_id AS col0", "8 + 2 * image_id AS row1", "53 + 2 * image_id AS col1")
-    return raster.crop(t.dem, boxes, 2)
+    return raster.crop(t.dem, crop_boxes(t), 2)
+
+
+@query(CROP_SQL)
+def j15_crop_tiles(t: Tables) -> DataFrame:
+    return raster.crop_tiles(tiles.from_cells(t.dem), crop_boxes(t), 2)
+
 
 
 QUAD_POINTS = "SELECT quad_id, CAST(quad_id % 4 AS INTEGER) AS image_id, trow, tcol, (1 + (quad_id * 5e-1 + 4e0 * v)) AS prow, (2e0 + 40e0 * u + 5e0 * v) AS pcol FROM (SELECT quad_id, trow, tcol, tcol / 20e0 AS u, trow / 10e0 AS v FROM quads, (SELECT UNNEST(range(11)) AS trow), (SELECT UNNEST(range(21)) AS tcol))"
@@ -597,10 +631,25 @@ GUESSED = GROUND | {
 
 @query(f"SELECT image_id, point_id, {r('x', 'y', 'round(h, 2) AS h', 'round(line, 2) AS line', 'round(samp, 2) AS samp')} FROM ({image_sql('SELECT image_id, point_id, x, y, h, ' + LAT_SQL.format(y='y') + ' AS lat, ' + LON_SQL.format(x='x') + ' AS lon FROM spots JOIN read USING (image_id, point_id)', 'image_id, point_id, x, y, h')})", GUESSED)
 def j20_xy_to_image(t: Tables) -> DataFrame:
+    return _placed(t, 1)
+
+
+GUESSED_TWICE = GUESSED | {
+    "first_place": image_sql(f"SELECT image_id, point_id, x, y, h, {LAT_SQL.format(y='y')} AS lat, {LON_SQL.format(x='x')} AS lon FROM spots JOIN read USING (image_id, point_id)", "image_id, point_id"),
+    "read_again": f"SELECT image_id, point_id, value AS h FROM ({bilinear_sql('SELECT image_id, point_id, height, width, line AS prow, samp AS pcol FROM first_place JOIN shapes USING (image_id)', 'image_id, point_id', 'dem', 'height', 'width')})",
+}
+
+
+@query(f"SELECT image_id, point_id, {r('x', 'y', 'round(h, 2) AS h', 'round(line, 2) AS line', 'round(samp, 2) AS samp')} FROM ({image_sql('SELECT image_id, point_id, x, y, h, ' + LAT_SQL.format(y='y') + ' AS lat, ' + LON_SQL.format(x='x') + ' AS lon FROM spots JOIN read_again USING (image_id, point_id)', 'image_id, point_id, x, y, h')})", GUESSED_TWICE)
+def j20_xy_to_image_twice(t: Tables) -> DataFrame:
+    return _placed(t, 2)
+
+
+def _placed(t: Tables, iterations: int) -> DataFrame:
     box = geo.to_mercator(tie_ground(t)).groupBy("image_id").agg(F.min("x").alias("minx"), F.max("x").alias("maxx"), F.min("y").alias("miny"), F.max("y").alias("maxy"))
     shape = t.dem.groupBy("image_id").agg((F.max("row") + 1).alias("height"), (F.max("col") + 1).alias("width"))
     points = geo.to_mercator(tie_ground(t)).select("image_id", "point_id", "x", "y")
-    placed = sensor.xy_to_image(points, t.sensor_models, t.dem, box.join(shape, "image_id"))
+    placed = sensor.xy_to_image(points, t.sensor_models, t.dem, box.join(shape, "image_id"), iterations)
     return placed.withColumns({c: F.round(c, 2) for c in ("h", "line", "samp")})  # metres of 10**7 leave some 1e-8 of a cell
 
 
@@ -608,4 +657,4 @@ def j20_xy_to_image(t: Tables) -> DataFrame:
 def j21_sample_align_corners(t: Tables) -> DataFrame:
     height = t.dem.agg(F.max("row") + 1).first()[0]
     points = t.tie_points.selectExpr("image_id", "point_id", "CAST(line AS DOUBLE) AS row", "CAST(samp AS DOUBLE) AS col")
-    return raster.sample_align_corners(points, t.dem, ("image_id", "point_id"), (height, 100)).select("image_id", "point_id", "value")
+    return raster.sample_align_corners(points, t.dem, (height, 100)).select("image_id", "point_id", "value")

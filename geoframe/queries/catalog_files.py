@@ -2,13 +2,19 @@
 
 from __future__ import annotations
 
+from functools import reduce
+from io import BytesIO
+
+import numpy as np
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from geoframe.functions import geo
 from geoframe.functions.lineage import shared_folder
-from geoframe.operators import fit, metrics, raster, sensor, tiling
-from geoframe.queries.catalog import HEIGHT, Tables, bilinear_sql, query, r
+from geoframe.operators import fit, metrics, raster, sensor, tiles, tiling
+from geoframe.plans import jobs
+from geoframe.queries.catalog import FRACTIONAL, HEIGHT, Tables, bilinear_sql, fractional, query, r
 from geoframe.queries.catalog_more import FINITE, GRID_SQL, rect
 from geoframe.sources import files
 
@@ -79,6 +85,74 @@ def s11_write_raster_and_read_window(t: Tables) -> DataFrame:
     return raster.read_window(t.spark.read.parquet(f"{folder}/cells"), (3, 20, 9, 60)).select("raster_id", "row", "col", "value")
 
 
+STRIP = 64
+
+
+@query(f"SELECT image_id || '-' || row // {STRIP} AS raster_id, CAST(row % {STRIP} AS INTEGER) AS row, col, {r('value')} FROM dem")
+def s7_npy_rasters(t: Tables) -> DataFrame:
+    """Strips of the height rasters as NumPy would save them, to tiles and back to cells."""
+    strips = t.dem.select(F.concat_ws("-", F.col("image_id").cast("string"), F.expr(f"row div {STRIP}").cast("string")).alias("raster_id"), (F.col("row") % STRIP).alias("row"), "col", "value")
+
+    def save(table: pa.Table) -> pa.Table:
+        row, col, value = (table.column(c).to_numpy() for c in ("row", "col", "value"))
+        cells = np.full((row.max() + 1, col.max() + 1), np.nan)
+        cells[row, col] = value
+        np.save(out := BytesIO(), cells)
+        return pa.table({"raster_id": table.column("raster_id").slice(0, 1), "content": [out.getvalue()]})
+
+    arrays = strips.groupBy("raster_id").applyInArrow(save, "raster_id string, content binary")
+    cut = files.npy_tiles(arrays, 32)
+    boxes = cut.groupBy("raster_id").agg(F.lit(0).alias("row0"), F.lit(0).alias("col0"), F.lit(STRIP).alias("row1"), F.max(F.col("col0") + F.col("width")).alias("col1"))
+    return tiles.cells_in(cut, boxes, "raster_id", size=32).filter("value IS NOT NULL")
+
+
+@query(f"SELECT raster_id, row, col, {r('value')} FROM dem_world WHERE row >= 3 AND row < 9 AND col >= 20 AND col < 60")
+def s11_write_tiles_and_read_window(t: Tables) -> DataFrame:
+    folder = shared_folder(t.spark, "tiles")
+    files.write_tiles(tiles.from_cells(t.dem_world, "raster_id", size=32), folder)
+    return tiles.window(t.spark.read.parquet(folder), (3, 20, 9, 60), "raster_id", size=32)
+
+
+@query(f"SELECT image_id, point_id, {r('value')} FROM ({bilinear_sql(FRACTIONAL, 'image_id, point_id', 'dem', HEIGHT, '100')})")
+def j4_sample_stored_tiles(t: Tables) -> DataFrame:
+    """Points read from tiles that were stored before: only points are shuffled."""
+    folder = shared_folder(t.spark, "tiles")
+    files.write_tiles(tiles.from_cells(t.dem), folder, "image_id")
+    points, height = fractional(t)
+    return tiles.bilinear(points, t.spark.read.parquet(folder), shape=(height, 100)).select("image_id", "point_id", "value")
+
+
+SIDE, BLOCK = 8, 4
+CROPS = {
+    "crop_boxes": "SELECT CAST(s_suppkey AS INTEGER) AS k, UNNEST([1, 2]) AS m, UNNEST([s_suppkey % 4, s_suppkey % 3 + 1]) AS r0, UNNEST([s_suppkey * 7 % 80, s_suppkey * 9 % 88]) AS c0, UNNEST([10, 6]) AS side FROM supplier",
+    "layers": "SELECT row, col, layer, value FROM (SELECT p.row, p.col, UNNEST(['image1', 'image2', 'x', 'y', 'h']) AS layer, UNNEST([p.b1, q.b1, 2e0 * p.col + 25e-2 * p.row, -2e0 * p.row, d.value]) AS value FROM pixels p JOIN pixels q ON q.image_id = 1 AND q.row = p.row AND q.col = p.col JOIN dem d ON d.image_id = 0 AND d.row = p.row AND d.col = p.col WHERE p.image_id = 0)",
+    "lattice": f"SELECT *, r0 + least(greatest((trow + 5e-1) * side / {SIDE} - 5e-1, 0), side - 1) AS prow, c0 + least(greatest((tcol + 5e-1) * side / {SIDE} - 5e-1, 0), side - 1) AS pcol FROM crop_boxes, (SELECT UNNEST(range({SIDE})) AS trow), (SELECT UNNEST(range({SIDE})) AS tcol)",
+    "taps": "SELECT k, m, trow, tcol, least(r0 + side - 1, floor(prow) + i) AS row, least(c0 + side - 1, floor(pcol) + j) AS col, (CASE i WHEN 0 THEN 1 - prow + floor(prow) ELSE prow - floor(prow) END) * (CASE j WHEN 0 THEN 1 - pcol + floor(pcol) ELSE pcol - floor(pcol) END) AS w FROM lattice, (SELECT UNNEST([0, 1]) AS i), (SELECT UNNEST([0, 1]) AS j)",
+    "smooth": "SELECT k, m, trow, tcol, layer, sum(w * value) AS value FROM taps JOIN layers USING (row, col) GROUP BY ALL",
+    "nearest": f"SELECT k, m, trow, tcol, value FROM lattice l LEFT JOIN residuals v ON v.image_id = l.m - 1 AND v.row = r0 + trow * side // {SIDE} AND v.col = c0 + tcol * side // {SIDE}",
+}
+_BLOCK = f"CAST(trow // {BLOCK} * {SIDE // BLOCK} + tcol // {BLOCK} AS INTEGER) AS place"
+
+
+@query(f"""
+SELECT k, m, 'image' AS part, CAST(trow * {SIDE} + tcol AS INTEGER) AS place, {r('value')} FROM smooth WHERE layer = 'image' || m
+UNION ALL SELECT k, m, layer, {_BLOCK}, {r('avg(value) AS value')} FROM smooth
+  WHERE layer IN ('x', 'y', 'h') AND trow % {BLOCK} IN (1, 2) AND tcol % {BLOCK} IN (1, 2) GROUP BY ALL
+UNION ALL SELECT k, m, 'residual', {_BLOCK}, {r('coalesce(avg(value), -1) AS value')} FROM nearest GROUP BY ALL
+""", CROPS)
+def d11_crop_samples(t: Tables) -> DataFrame:
+    """Both crops of many windows of one pair: images, objects and residuals, element by element."""
+    at = ["row", "col"]
+    band = lambda k: t.pixels.filter(F.col("image_id") == k).select(*at, F.col("b1").alias(f"img{k + 1}"))
+    residual = lambda k: t.residuals.filter(F.col("image_id") == k).select(*at, F.col("value").alias(f"res{k + 1}"))
+    ground = t.dem.filter("image_id = 0").selectExpr(*at, "2D * col + 0.25D * row AS x", "-2D * row AS y", "value AS h")
+    cells = band(0).join(band(1), at).join(ground, at).join(residual(0), at).join(residual(1), at).withColumn("pair_id", F.lit(0))
+    crops = t.raw("supplier").selectExpr("0 AS pair_id", "CAST(s_suppkey AS INT) AS k", "CAST(s_suppkey % 4 AS INT) AS row1", "CAST(s_suppkey * 7 % 80 AS INT) AS col1", "10 AS side1", "CAST(s_suppkey % 3 + 1 AS INT) AS row2", "CAST(s_suppkey * 9 % 88 AS INT) AS col2", "6 AS side2")
+    samples = jobs.crop_samples(cells, crops, SIDE, BLOCK)
+    part = lambda name: samples.select("k", "m", F.lit(name).alias("part"), F.posexplode(name).alias("place", "value"))
+    return reduce(DataFrame.unionByName, map(part, ("image", "x", "y", "h", "residual")))
+
+
 TARGETS = "SELECT image_id, point_id, line * 13e-1 - 2e0 AS prow, samp * 12e-1 - 5e0 AS pcol FROM tie_points"
 
 
@@ -86,7 +160,7 @@ TARGETS = "SELECT image_id, point_id, line * 13e-1 - 2e0 AS prow, samp * 12e-1 -
 def j17_gather(t: Tables) -> DataFrame:
     height = t.dem.agg(F.max("row") + 1).first()[0]
     targets = t.tie_points.selectExpr("image_id", "point_id", "line * 1.3D - 2 AS row", "samp * 1.2D - 5 AS col")
-    return raster.gather(targets, t.dem, ("image_id", "point_id"), shape=(height, 100)).select("image_id", "point_id", "value")
+    return raster.gather(targets, t.dem, shape=(height, 100)).select("image_id", "point_id", "value")
 
 
 @query(f"SELECT image_id, {r(*(f'(a.{c} + b.{c}) / 2 AS {c}' for c in geo.AFFINE))} FROM corrected_models a JOIN sensor_models b USING (image_id)")

@@ -13,7 +13,10 @@ from geoframe.functions import geo
 from geoframe.functions.lineage import shared_folder
 from geoframe.operators import fit, metrics, neighbors, overlap, raster, sensor, tiling
 from geoframe.plans import jobs
-from geoframe.queries.catalog import ADDED, HEIGHT, KNOWN_TIES, SHIFTED, TRIMMED, Tables, draw_sql, heights_sql, known_ties, pair_cells, query, r, tie_ground
+from geoframe.queries.catalog import (
+    ADDED, HEIGHT, KNOWN_TIES, LAT_SQL, LON_SQL, PLAIN, SCHEDULE, SHIFTED, TRIMMED, Tables, bilinear_sql, draw_sql, ground_sql, heights_sql, image_sql, known_ties, pair_cells,
+    query, r, tie_ground,
+)
 from geoframe.sources import files
 
 BLOCK = "CAST(row // {n} AS INTEGER) AS row, CAST(col // {n} AS INTEGER) AS col"
@@ -99,7 +102,14 @@ def a6_local_mean(t: Tables) -> DataFrame:
     return raster.local_mean(t.dem, 2)
 
 
-@query()
+def gaussian_taps(f: int) -> list[tuple[int, float]]:
+    sigma = 0.5 * f
+    reach = int(4 * sigma + 0.5)
+    w = [math.exp(-0.5 * (k / sigma) ** 2) for k in range(-reach, reach + 1)]
+    return [(k, x / sum(w)) for k, x in zip(range(-reach, reach + 1), w, strict=True)]
+
+
+@query(separable_sql(2, gaussian_taps(2), "reflect"))
 def a6_gaussian_decimate(t: Tables) -> DataFrame:
     return raster.gaussian_decimate(t.dem, 2, even_shape(t, 2))
 
@@ -124,10 +134,12 @@ def a9_ransac_rigid(t: Tables) -> DataFrame:
     return fit.ransac_rigid(t.correspondences, thr=20.0)
 
 
-@query(f"SELECT image_id, {', '.join(r(f'quantile_cont(h, {k / 4}) AS q{k}') for k in range(5))} FROM patches GROUP BY image_id")
+STEPS = "[" + ", ".join(f"{k / 1000!r}" for k in range(1001)) + "]"
+
+
+@query(f"SELECT image_id, CAST(k AS INTEGER) AS k, {r('q[k + 1] AS value')} FROM (SELECT image_id, quantile_cont(h, {STEPS}) AS q FROM patches GROUP BY image_id), (SELECT UNNEST(range(1001)) AS k)")
 def a10_quantiles(t: Tables) -> DataFrame:
-    q = fit.quantiles(t.patches, ["h"], "image_id", 1001)
-    return q.select("image_id", *(F.col("h")[250 * k].alias(f"q{k}") for k in range(5)))
+    return fit.quantiles(t.patches, ["h"], "image_id", 1001).select("image_id", F.posexplode("h").alias("k", "value"))
 
 
 @query()
@@ -141,24 +153,71 @@ def a12_inverse_models(t: Tables) -> DataFrame:
     return sensor.image_to_object(tie_ground(t).drop("lat", "lon"), models).select("image_id", "point_id", "lat", "lon")
 
 
-@query()
-def a13_round_trip(t: Tables) -> DataFrame:
-    return sensor.round_trip(fit.inverse_models(t.sensor_models), 7, 7, 3)
+_UNIT = lambda name, k, n: f"{name}_off + {name}_scale * ({k} * {2 / (n - 1)!r}::DOUBLE - 1e0)"
+LATTICE = PLAIN | {
+    "lattice": f"SELECT image_id, i, j, k, {_UNIT('line', 'i', 7)} AS line, {_UNIT('samp', 'j', 7)} AS samp, {_UNIT('h', 'k', 3)} AS h FROM sensor_models, (SELECT UNNEST(range(7)) AS i), (SELECT UNNEST(range(7)) AS j), (SELECT UNNEST(range(3)) AS k)",
+    "risen": ground_sql("SELECT * FROM lattice", "image_id, i, j, k, h"),
+    "landed": image_sql("SELECT * FROM risen", "image_id, i, j, k"),
+    "missed": "SELECT image_id, sqrt(pow(b.line - a.line, 2) + pow(b.samp - a.samp, 2)) AS error FROM lattice a JOIN landed b USING (image_id, i, j, k)",
+}
 
 
-@query()
-def a14_residual_report(t: Tables) -> DataFrame:
-    return metrics.residual_report(t.predictions.select("patch_id", "x", "y", "h"), t.patches, t.sensor_models)
+@query(f"SELECT image_id, {r('avg(error) AS mean_error', 'max(error) AS max_error')}, count(*) FILTER (WHERE error > 1) AS n_over FROM missed GROUP BY image_id", LATTICE)
+def a13_round_trip(t: Tables) -> DataFrame:
+    return sensor.round_trip(t.sensor_models, 7, 7, 3)
 
 
 REGULAR = {"shifted": SHIFTED.format(src="(SELECT * FROM correspondences WHERE conf > 0.5)"), "kept": "SELECT * FROM (SELECT *, avg(d) OVER w + stddev_samp(d) OVER w AS lim FROM shifted WINDOW w AS (PARTITION BY image_id)) WHERE d < lim", "maps": AFFINE_SQL.format(src="kept")}
 
 
-@query(f"SELECT image_id, {r('avg(sqrt(pow(a00 * l_line + a01 * l_samp + a02 - l_line, 2) + pow(a10 * l_line + a11 * l_samp + a12 - l_samp, 2))) AS regularity')} FROM kept JOIN maps USING (image_id) GROUP BY image_id", REGULAR)
+REGULARITY = "avg(sqrt(pow(a00 * l_line + a01 * l_samp + a02 - l_line, 2) + pow(a10 * l_line + a11 * l_samp + a12 - l_samp, 2)))"
+
+
+@query(f"SELECT image_id, {r(REGULARITY + ' AS regularity')} FROM kept JOIN maps USING (image_id) GROUP BY image_id", REGULAR)
 def a15_affine_regularity(t: Tables) -> DataFrame:
     return fit.affine_regularity(t.correspondences)
 
 
+def _report_tables(height: str) -> dict[str, str]:
+    """Tables of the residual reports; height: SQL of the predicted height that is projected."""
+    tables = PLAIN | {
+        "sched": f"SELECT patch_id, image_id, line AS l_line, samp AS l_samp, x AS tx, y AS ty, h AS th, w AS conf, conf > 0.5 AS sure FROM ({SCHEDULE})",
+        "placed": f"SELECT s.*, p.x, p.y, p.h AS ph, {height} AS h, {LAT_SQL.format(y='p.y')} AS lat, {LON_SQL.format(x='p.x')} AS lon FROM predictions p JOIN sched s USING (patch_id)",
+    }
+    keep = "image_id, patch_id, l_line, l_samp, x, y, ph, tx, ty, th, conf, sure"
+    tables["projected"] = f"SELECT * EXCLUDE (line, samp), line AS t_line, samp AS t_samp FROM ({image_sql('SELECT * FROM placed', keep)})"
+    shifted = SHIFTED.format(src="(SELECT * FROM projected WHERE conf > 0.5)")
+    return tables | {"shifted": shifted, "kept": REGULAR["kept"], "maps": REGULAR["maps"], "regular": f"SELECT image_id, {REGULARITY} AS regularity FROM kept JOIN maps USING (image_id) GROUP BY image_id"}
+
+
+def _clamp_sql(v: str) -> str:
+    return f"({_MOST} * tanh(({v}) / {_MOST}))"
+
+
+_MOST = "(sqrt(1 - 25e-2) * 1000 + 1)"
+_DL, _DS = "t_line - l_line", "t_samp - l_samp"
+_PHOTO = _clamp_sql(f"sqrt(pow({_DL}, 2) + pow({_DS}, 2))")
+_PARTS = ("avg(sqrt(pow(x - tx, 2) + pow(y - ty, 2)) * conf) AS obj", f"avg({_PHOTO} * conf) AS photo", f"sqrt(pow(avg({_clamp_sql(_DL)} * conf), 2) + pow(avg({_clamp_sql(_DS)} * conf), 2)) AS bias")
+_TOTAL = "obj + 10 * height + photo + bias + coalesce(regularity, 0) AS total"
+
+
+def _report_sql(more: str, columns: tuple[str, ...]) -> str:
+    return f"SELECT image_id, {r('obj', 'height', 'photo', 'bias', *columns, 'regularity', _TOTAL)} FROM (SELECT image_id, {', '.join(_PARTS)}, {more} FROM projected GROUP BY image_id) LEFT JOIN regular USING (image_id)"
+
+
+@query(_report_sql("avg(abs(ph - th) * conf) AS height", ()), _report_tables("p.h"))
+def a14_residual_report(t: Tables) -> DataFrame:
+    return metrics.residual_report(t.predictions.select("patch_id", "x", "y", "h"), t.patches, t.sensor_models)
+
+
+@query(
+    _report_sql(f"avg({_clamp_sql('abs(ph - th)')} * conf) AS height, avg(CASE WHEN sure THEN {_PHOTO} END) AS real_photo", ("real_photo",)),
+    _report_tables("CASE WHEN abs(p.h - s.th) < 4 THEN p.h ELSE s.th END"),
+)
+def a14_image_residual_report(t: Tables) -> DataFrame:
+    return metrics.image_residual_report(t.predictions.select("patch_id", "x", "y", "h"), t.patches, t.sensor_models, tolerance=4.0)
+
+
 @query(f"SELECT {r(*(f'avg({c}) AS {c}' for c in geo.AFFINE))} FROM corrected_models")
 def a16_mean_transform(t: Tables) -> DataFrame:
     return fit.mean_transform(t.corrected_models)
@@ -246,7 +305,7 @@ def a24_finetune_report(t: Tables) -> DataFrame:
 SERIES = "SELECT run, epoch * 200 + iter AS iter, loss FROM metric_log WHERE NOT isnan(loss)"
 
 
-@query(f"SELECT * FROM (WITH s AS ({{0}}), b AS (SELECT *, row_number() OVER w AS n, min(loss) OVER (PARTITION BY run ORDER BY iter ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING) AS before, min(loss) OVER w AS best FROM s WINDOW w AS (PARTITION BY run ORDER BY iter ROWS UNBOUNDED PRECEDING)), c AS (SELECT *, n - max(CASE WHEN before IS NULL OR loss < before THEN n END) OVER (PARTITION BY run ORDER BY iter ROWS UNBOUNDED PRECEDING) AS no_update FROM b), d AS (SELECT *, no_update > 0 AND loss > 10 * best AS diverged FROM c) SELECT run, iter, CAST(n AS INTEGER) AS n, {r('loss', 'best')}, CAST(no_update AS INTEGER) AS no_update, diverged, CAST(min(CASE WHEN no_update >= 20 OR diverged THEN n END) OVER (PARTITION BY run) AS INTEGER) AS stop_at FROM d)".replace("{0}", SERIES))
+@query(f"SELECT * FROM (WITH s AS ({{0}}), b AS (SELECT *, row_number() OVER w AS n, min(loss) OVER (PARTITION BY run ORDER BY iter ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING) AS before, min(loss) OVER w AS best FROM s WINDOW w AS (PARTITION BY run ORDER BY iter ROWS UNBOUNDED PRECEDING)), c AS (SELECT *, n - max(CASE WHEN before IS NULL OR loss < before THEN n END) OVER (PARTITION BY run ORDER BY iter ROWS UNBOUNDED PRECEDING) AS no_update FROM b), d AS (SELECT *, no_update > 0 AND loss > 10 * best AS diverged FROM c) SELECT run, iter, CAST(n AS BIGINT) AS n, {r('loss', 'best')}, CAST(no_update AS BIGINT) AS no_update, diverged, CAST(min(CASE WHEN no_update >= 20 OR diverged THEN n END) OVER (PARTITION BY run) AS BIGINT) AS stop_at FROM d)".replace("{0}", SERIES))
 def w1_best_so_far(t: Tables) -> DataFrame:
     log = t.metric_log.filter("NOT isnan(loss)").selectExpr("run", "epoch * 200 + iter AS iter", "loss")
     return metrics.best_so_far(log, patience=20)
@@ -257,7 +316,7 @@ def w2_epoch_delta(t: Tables) -> DataFrame:
     return metrics.epoch_delta(metrics.epoch_rollup(t.metric_log.filter("NOT isnan(loss)")))
 
 
-@query("SELECT image_id, row, col, CAST(row_number() OVER (PARTITION BY image_id ORDER BY value NULLS FIRST, row, col) AS INTEGER) AS rank FROM residuals")
+@query("SELECT image_id, row, col, row_number() OVER (PARTITION BY image_id ORDER BY value NULLS FIRST, row, col) AS rank FROM residuals")
 def w3_rank_by(t: Tables) -> DataFrame:
     return metrics.rank_by(t.residuals, "image_id", ["value", "row", "col"]).drop("value")
 
@@ -493,7 +552,24 @@ def d3_adjust_images(t: Tables) -> DataFrame:
     return jobs.adjust_images(grid_patches(t), one_grid(t), linear_predictor, t.sensor_models, conf_thr=0.3).select("image_id", *geo.AFFINE)
 
 
-@query()
+_CORNERS = "(VALUES (0, 0, 'low'), (0, 1, 'low'), (1, 0, 'high'), (1, 1, 'high')) v(i, j, side)"
+_STEP = "3e0 / 111320e0", "3e0 / (40075000e0 * cos(radians((lat1 + lat0) / 2)) / 360e0)"
+ORTHO = PLAIN | {
+    "info": "SELECT image_id, max(row) + 1 AS height, max(col) + 1 AS width, any_value(low) AS low, any_value(high) AS high FROM pixels JOIN (SELECT image_id, min(value) AS low, max(value) AS high FROM dem GROUP BY image_id) USING (image_id) GROUP BY image_id",
+    "risen": ground_sql(f"SELECT image_id, CAST((height - 1) * i AS DOUBLE) AS line, CAST((width - 1) * j AS DOUBLE) AS samp, CASE side WHEN 'low' THEN low ELSE high END AS h FROM info, {_CORNERS}", "image_id"),
+    "sides": "SELECT image_id, min(lat) AS lat0, max(lat) AS lat1, min(lon) AS lon0, max(lon) AS lon1 FROM risen GROUP BY image_id",
+    "stepped": f"SELECT *, {_STEP[0]} AS dlat, {_STEP[1]} AS dlon FROM sides JOIN info USING (image_id)",
+    "counted": "SELECT *, CAST(ceil((lat1 - lat0) / dlat) AS BIGINT) AS nr, CAST(ceil((lon1 - lon0) / dlon) AS BIGINT) AS nc FROM stepped",
+    "spread": "SELECT *, UNNEST(range(nc)) AS tcol FROM (SELECT *, UNNEST(range(nr)) AS trow FROM counted)",
+    "cells": "SELECT *, (height - 1) * (lat1 - lat) / (lat1 - lat0) AS prow, (width - 1) * (lon - lon0) / (lon1 - lon0) AS pcol FROM (SELECT *, lat1 - trow * dlat AS lat, lon0 + tcol * dlon AS lon FROM spread)",
+    "heights": f"SELECT c.image_id, c.trow, c.tcol, c.lat, c.lon, c.height, c.width, CASE WHEN prow <= height - 1 AND pcol <= width - 1 THEN value ELSE low END AS h FROM cells c LEFT JOIN ({bilinear_sql('SELECT image_id, trow, tcol, height, width, prow, pcol FROM cells', 'image_id, trow, tcol', 'dem', 'height', 'width')}) v USING (image_id, trow, tcol)",
+    "targets": image_sql("SELECT * FROM heights", "image_id, trow, tcol, lat, lon, height, width"),
+    "pan": "SELECT image_id, row, col, (b1 + b2 + b3) / 3e0 AS value FROM pixels",
+    "looked": f"SELECT t.*, value FROM targets t LEFT JOIN ({bilinear_sql('SELECT image_id, trow, tcol, height, width, line AS prow, samp AS pcol FROM targets', 'image_id, trow, tcol', 'pan', 'height', 'width')}) v USING (image_id, trow, tcol)",
+}
+
+
+@query(f"SELECT image_id, CAST(trow AS INTEGER) AS row, CAST(tcol AS INTEGER) AS col, {r('lat', 'lon')}, CAST(trunc(CASE WHEN line BETWEEN 0 AND height - 1 AND samp BETWEEN 0 AND width - 1 THEN value ELSE 0 END) AS INTEGER) AS value FROM looked", ORTHO)
 def d5_orthorectify(t: Tables) -> DataFrame:
     return jobs.orthorectify(raster.panchromatic(t.pixels).withColumnRenamed("pan", "value"), t.dem, t.sensor_models, 3.0)
 
@@ -563,6 +639,6 @@ def d13_adjust_elements(t: Tables) -> DataFrame:
     return adjusted.select("image_id", *geo.AFFINE)
 
 
-@query("SELECT a.patch_id, a.image_id, b.other, round((a.samp / 400e0) * 800 + 12245000, 6) AS x FROM patches a JOIN (SELECT DISTINCT image_id AS other FROM patches) b ON a.image_id <> b.other")
+@query(f"SELECT a.patch_id, a.image_id, b.other, {r('(a.samp / 400e0) * 800 + 12245000 AS x', '(-a.line / 320e0) * 640 + 3503000 AS y', '(a.patch_id % 40) / 40e0 * 40 + 200 AS h')} FROM patches a JOIN (SELECT DISTINCT image_id AS other FROM patches) b ON a.image_id <> b.other")
 def j14_cross_element_pairs(t: Tables) -> DataFrame:
-    return jobs.cross_element_pairs(grid_patches(t), one_grid(t), linear_predictor).select("patch_id", "image_id", "other", "x")
+    return jobs.cross_element_pairs(grid_patches(t), one_grid(t), linear_predictor).select("patch_id", "image_id", "other", "x", "y", "h")

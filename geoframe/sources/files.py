@@ -2,15 +2,19 @@
 
 from __future__ import annotations
 
+import math
+from collections.abc import Iterator
 from io import BytesIO
 
 import numpy as np
-import pandas as pd
+import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from geoframe.functions import geo
 from geoframe.operators import fit, raster, sensor
+from geoframe.operators import tiles as tiled
 
 NUMBER = r"[-+]?(?:\d+\.?\d*|\.\d+)(?:[eE][-+]?\d+)?"
 #: The normalizers in file order, their units, and the names of the other layout.
@@ -106,29 +110,41 @@ def write_tie_points(tie: DataFrame, path: str, sep: str = ",", mode: str = "ove
     rows.select("image_id", "value").write.mode(mode).partitionBy("image_id").text(path)
 
 
-def ingest_npy_rasters(spark: SparkSession, path: str, tile: int = raster.TILE) -> DataFrame:
-    """Arrays saved by NumPy to tile rows: raster_id, tr, tc, height, width (of the tile) and values; cells_of() gives cells."""
-    files = spark.read.format("binaryFile").option("pathGlobFilter", "*.npy").load(path).select(file_stem(F.col("path")).alias("raster_id"), "content")
+def npy_tiles(files: DataFrame, size: int = tiled.SIZE, halo: int = tiled.HALO) -> DataFrame:
+    """Saved NumPy arrays (raster_id, content) to tiles; see operators.tiles. NaN becomes null.
+
+    The content is read in place, a row of tiles at a time.
+    """
+
+    def cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for name, content in zip(batch.column(0), batch.column(1), strict=True):
+                raw = content.as_buffer()
+                head = BytesIO(raw.slice(0, min(raw.size, 1 << 16)).to_pybytes())
+                read = {1: np.lib.format.read_array_header_1_0, 2: np.lib.format.read_array_header_2_0}
+                shape, by_column, kind = read[np.lib.format.read_magic(head)[0]](head)
+                a = np.frombuffer(raw, kind, math.prod(shape), head.tell()).reshape(shape, order="F" if by_column else "C")
+                for r in range(0, a.shape[0], size):
+                    blocks = [a[r : r + size + halo, c : c + size + halo].astype(np.float64) for c in range(0, a.shape[1], size)]
+                    numbers = [(r // size, k, r, k * size, *x.shape) for k, x in enumerate(blocks)]
+                    columns = [pa.array(x, pa.int32()) for x in zip(*numbers, strict=True)]
+                    values = pa.array([x.ravel() for x in blocks], pa.list_(pa.float64()))
+                    flat = values.flatten()
+                    known = pa.ListArray.from_arrays(values.offsets, pc.if_else(pc.is_nan(flat), None, flat))
+                    yield pa.RecordBatch.from_arrays([pa.array([name.as_py()] * len(blocks)), *columns, known], names=["raster_id", "tr", "tc", "row0", "col0", "height", "width", "value"])
+
+    return files.select("raster_id", "content").mapInArrow(cut, "raster_id string, tr int, tc int, row0 int, col0 int, height int, width int, value array<double>")
 
-    def tiles(parts):  # noqa: ANN001, ANN202
-        for pdf in parts:
-            for name, content in zip(pdf["raster_id"], pdf["content"], strict=True):
-                a = np.load(BytesIO(content), allow_pickle=False).astype(np.float64)
-                rows = []
-                for r in range(0, a.shape[0], tile):
-                    for c in range(0, a.shape[1], tile):
-                        block = a[r : r + tile, c : c + tile]
-                        rows.append((name, r // tile, c // tile, *block.shape, block.ravel().tolist()))
-                yield pd.DataFrame(rows, columns=["raster_id", "tr", "tc", "height", "width", "values"])
 
-    return files.mapInPandas(tiles, "raster_id string, tr int, tc int, height int, width int, values array<double>")
+def ingest_npy_rasters(spark: SparkSession, path: str, size: int = tiled.SIZE) -> DataFrame:
+    """Arrays saved by NumPy (*.npy, named by raster) to tiles."""
+    files = spark.read.format("binaryFile").option("pathGlobFilter", "*.npy").load(path)
+    return npy_tiles(files.select(file_stem(F.col("path")).alias("raster_id"), "content"), size)
 
 
-def cells_of(tiles: DataFrame, tile: int = raster.TILE) -> DataFrame:
-    """Tile rows to cells; NaN becomes null."""
-    c = F.col
-    df = tiles.select("raster_id", "tr", "tc", "width", F.posexplode("values").alias("k", "value"))
-    return df.select("raster_id", (c("tr") * tile + raster.floor_div(c("k"), c("width"))).alias("row"), (c("tc") * tile + c("k") % c("width")).alias("col"), F.nanvl("value", F.lit(None)).alias("value"), "tr", "tc")
+def write_tiles(tiles: DataFrame, path: str, by: str = "raster_id") -> None:
+    """Tiles as Parquet, by raster and row of tiles."""
+    tiles.repartition(by, "tr").sortWithinPartitions(by, "tr", "tc").write.mode("overwrite").partitionBy(by, "tr").parquet(path)
 
 
 def assemble_scenes(images: DataFrame, dem: DataFrame, models: DataFrame, tie: DataFrame, size_limit: int = 0) -> DataFrame:
@@ -145,11 +161,10 @@ def assemble_scenes(images: DataFrame, dem: DataFrame, models: DataFrame, tie: D
 
 
 def validate_tie_points(tie: DataFrame, scenes: DataFrame) -> DataFrame:
-    """tie, if every image has tie points; else an error that names the images without."""
-    missing = [r["image_id"] for r in scenes.select("image_id").join(tie, "image_id", "left_anti").orderBy("image_id").limit(20).collect()]
-    if missing:
-        raise ValueError(f"images without tie points: {missing}")
-    return tie
+    """The tie points of the scenes; an image without any fails the job that reads them, with its id."""
+    j = scenes.select("image_id").distinct().join(tie.withColumn("__there", F.lit(True)), "image_id", "left")
+    refusal = F.raise_error(F.concat(F.lit("image without tie points: "), F.col("image_id").cast("string"))).cast("boolean")
+    return j.filter(F.coalesce(F.col("__there"), refusal)).select(*tie.columns)
 
 
 def save_grids(grids: DataFrame, path: str) -> None:

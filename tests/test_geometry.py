@@ -121,9 +121,9 @@ def test_nan_blocks_and_partial_blocks(spark):
 def test_bilinear_edges_and_fill(spark):
     a = np.array([[0.0, 10.0], [20.0, 30.0]])
     pts = spark.createDataFrame([(0, 1, -0.5, 0.5), (0, 2, 0.5, 0.5), (0, 3, 5.0, 5.0), (0, 4, 1.0, 1.0)], "image_id int, p int, row double, col double")
-    clamped = {r.p: r.value for r in raster.sample_bilinear(pts, cells(spark, a), ("image_id", "p"), shape=(2, 2)).collect()}
+    clamped = {r.p: r.value for r in raster.sample_bilinear(pts, cells(spark, a), shape=(2, 2)).collect()}
     assert clamped == pytest.approx({1: 5.0, 2: 15.0, 3: 30.0, 4: 30.0})
-    filled = {r.p: r.value for r in raster.gather(pts, cells(spark, a), ("image_id", "p"), shape=(2, 2)).collect()}
+    filled = {r.p: r.value for r in raster.gather(pts, cells(spark, a), shape=(2, 2)).collect()}
     assert filled == pytest.approx({1: 0.0, 2: 15.0, 3: 0.0, 4: 30.0})
 
 

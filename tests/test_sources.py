@@ -3,7 +3,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from geoframe.functions import geo
-from geoframe.operators import fit, raster, sensor
+from geoframe.operators import fit, raster, sensor, tiles
 from geoframe.sources import files
 from tests.test_geometry import cells, model_rows, models_df
 
@@ -60,8 +60,8 @@ def test_tie_point_files(spark, tmp_path):
     files.write_tie_points(commas, str(tmp_path / "out"), " ", "append")
     assert spark.read.text(str(tmp_path / "out")).count() == 4
     scenes = spark.createDataFrame([(0,), (1,)], "image_id int")
-    with pytest.raises(ValueError, match="1"):
-        files.validate_tie_points(commas, scenes)
+    with pytest.raises(Exception, match="image without tie points: 1"):
+        files.validate_tie_points(commas, scenes).count()
     assert files.validate_tie_points(commas, scenes.filter("image_id = 0")).count() == 2
 
 
@@ -72,17 +72,25 @@ def test_catalog(spark, tmp_path):
     assert [(r.name, r.id, r.length) for r in got] == [("x_rpc_PAN.txt", "x_rpc_PAN", 1)]
 
 
+def _stored(spark, cut, folder):
+    files.write_tiles(cut, folder)
+    return spark.read.parquet(folder)
+
+
 def test_npy_rasters_and_stored_tiles(spark, tmp_path):
     a = np.arange(70.0).reshape(7, 10)
     a[3, 4] = np.nan
     np.save(tmp_path / "h.npy", a)
-    tiles = files.ingest_npy_rasters(spark, str(tmp_path), 4)
-    assert tiles.count() == 6
-    got = files.cells_of(tiles, 4)
-    for r in got.collect():
-        assert r.value is None if np.isnan(a[r.row, r.col]) else r.value == a[r.row, r.col]
+    np.save(tmp_path / "turned.npy", np.asfortranarray(a.astype(np.float32)))
+    cut = files.ingest_npy_rasters(spark, str(tmp_path), 4)
+    assert cut.count() == 12
+    for size, window in ((4, cut), (4, _stored(spark, cut, str(tmp_path / "tiles")))):
+        got = tiles.window(window, (0, 0, 7, 10), "raster_id", size=size)
+        assert got.count() == 140
+        for r in got.collect():
+            assert r.value is None if np.isnan(a[r.row, r.col]) else r.value == a[r.row, r.col]
     meta = spark.createDataFrame([("h", 1.0)], "raster_id string, a double")
-    files.write_raster(got.drop("tr", "tc"), meta, str(tmp_path / "out"))
+    files.write_raster(got.filter("raster_id = 'h'"), meta, str(tmp_path / "out"))
     stored = spark.read.parquet(str(tmp_path / "out/cells"))
     assert stored.count() == 70 and raster.read_window(stored, (2, 3, 4, 6)).count() == 6
 
