@@ -5,8 +5,9 @@ offsets where tokens of both end cut it into groups, and all tokens of A and B t
 share a group are linked.  How many documents hold a pair of ids linked is counted
 over the corpus:
 
-1. Blocks of documents are aligned; each sends its distinct pairs and how many of its
-   documents hold them to buckets of A ids.
+1. Documents are encoded once, into blocks of token ids.  Each block is aligned and
+   sends its distinct pairs, and how many of its documents hold them, to buckets of A
+   ids.
 2. The distinct pairs of a bucket get a minimal perfect hash, whose slots hold the
    pairs themselves; each block's numbers become a dense vector by slot, and the
    vectors are summed in a tree of FAN to one.
@@ -17,16 +18,14 @@ There are at most 50,257 x 32,000 pairs, whatever the corpus; a bucket holds the
 pairs of some A ids, 32,000 each at most.  A block's pairs travel as one packed array
 per bucket, so that a pair that every document holds is one number per block.
 
-Neither tokenizer has a token over a single blank between two other characters, but
-only ones that begin with it (`words` relies on that; `check_models` proves it of the
-vocabulary of B, A's pattern says it).  So a text is cut there, and each distinct
-piece is encoded and aligned once per task, within CACHE_WORDS.
-
 Defined results: texts that are null, empty, or that B's normaliser changes have no
 tokens: zeros and an empty groups_sha256.  Rows of one id, or with none, are
-separate documents.  A very long text is one block of its own; without a blank it
-is encoded whole, and the distinct pairs of its largest group are held at once.  An
-empty table gives an empty result.  Other columns are not looked at.
+separate documents.  A very long text is encoded in pieces of some PIECE characters,
+cut before a single blank (check_models() proves that no piece of B holds one inside;
+A's pattern says it of A), and aligned some SLICE groups at a time, in some 60 bytes
+of memory for each of its tokens; a piece without such a blank is encoded whole, and
+the distinct pairs of its largest group are held at once.  An empty table gives an
+empty result.  Other columns are not looked at.
 """
 
 from __future__ import annotations
@@ -34,24 +33,44 @@ from __future__ import annotations
 import base64
 import hashlib
 import re
-from collections import Counter
 from collections.abc import Callable, Iterator
+from itertools import chain
 
 import numpy as np
 import pyarrow as pa
+from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from geoframe.llm._shared import checkpointed, delta, mixed, packed, partitions, text_blocks, unpack_block, unpacked
+from geoframe.llm._shared import BLOCK_BYTES, checkpointed, delta, mixed, packed, partitions, unpacked
 from geoframe.llm.exact_dedup import _levels, _slots
 
-BYTE_BPE, PIECE_BPE, FAN, CACHE_WORDS, SLICE_BYTES, BLOCKS_A_PART = "byte_bpe_50k", "piece_bpe_32k.model", 64, 200_000, 1 << 20, 1024
+BYTE_BPE, PIECE_BPE, FAN, PIECE, SLICE, LARGE, BLOCKS_A_PART = "byte_bpe_50k", "piece_bpe_32k.model", 64, 1 << 20, 1 << 19, 1 << 12, 1024
 RESULT = "id long, n_a long, n_b long, n_groups long, n_links long, n_best long, count_sum long, groups_sha256 string"
 #: A blank between two characters that are none.
 _CUT = re.compile(r"(?<=\S) (?=\S)")
+#: Decimal digits of each id, right-justified, and which of them are written.
+_DIGITS = np.stack([(np.arange(65536) // 10 ** (4 - d) % 10 + 48) for d in range(5)], axis=1).astype(np.uint8)
+_WRITTEN = np.stack([np.arange(65536) >= 10 ** (4 - d) if d < 4 else np.ones(65536, bool) for d in range(5)], axis=1)
 _loaded: dict[str, tuple] = {}
 
 
+class Spelling:
+    """The bytes of each id of a vocabulary."""
+
+    def __init__(self, tokens: list[bytes]):
+        self.tokens = tokens
+        self.sizes = np.array([len(t) for t in tokens], np.int64)
+        self.starts = np.cumsum(self.sizes) - self.sizes
+        self.raw = np.frombuffer(b"".join(tokens), np.uint8)
+
+    def written(self, ids: np.ndarray) -> np.ndarray:
+        """The bytes of all ids, one after the other."""
+        sizes = self.sizes[ids]
+        ends = np.cumsum(sizes)
+        return self.raw[np.repeat(self.starts[ids] - ends + sizes, sizes) + np.arange(ends[-1] if len(ends) else 0)]
+
+
 class Models:
     """Both tokenizers, and the bytes of each token."""
 
@@ -67,10 +86,11 @@ class Models:
         self.exact = Tokenizer.from_file(public_tokenizers.path(f"{byte_bpe}.json"))
         self.exact.encode_special_tokens = True
         self.pieces = sentencepiece.SentencePieceProcessor(model_file=public_tokenizers.path(piece_bpe))
-        self.bytes_a = {i: b for b, i in ranks.items()}
         name = self.pieces.id_to_piece
-        self.bytes_b = [bytes([int(name(i)[3:5], 16)]) if self.pieces.is_byte(i) else name(i).replace("▁", " ").encode() for i in range(len(self.pieces))]
-        self.size_b = len(self.pieces)
+        own = [bytes([int(name(i)[3:5], 16)]) if self.pieces.is_byte(i) else name(i).replace("▁", " ").encode() for i in range(len(self.pieces))]
+        by_id = {i: b for b, i in ranks.items()}
+        self.a, self.b = Spelling([by_id.get(i, b"") for i in range(max(by_id) + 1)]), Spelling(own)
+        self.size_b = len(own)
 
     def encode_a(self, text: str) -> list[int]:
         try:
@@ -90,86 +110,164 @@ def models(byte_bpe: str = BYTE_BPE, piece_bpe: str = PIECE_BPE) -> Models:
 
 def check_models(m: Models) -> None:
     """Texts may be cut before a single blank only if no piece of B has a blank after another character."""
-    if any(" " in piece.lstrip(b" ").decode("utf-8", "replace") for piece in m.bytes_b):
+    if any(b" " in piece.lstrip(b" ") for piece in m.b.tokens):
         raise ValueError("a piece of the second tokenizer holds a blank inside: texts cannot be cut at blanks")
 
 
-def groups(a: list[int], b: list[int], m: Models) -> list[tuple[list[int], list[int]]] | None:
-    """Token ids of each group, or None if the bytes of the two differ."""
-    parts_a, parts_b = [m.bytes_a[x] for x in a], [m.bytes_b[x] for x in b]
-    if b"".join(parts_a) != b"".join(parts_b):
-        return None
-    out, i, j, ahead = [], 0, 0, 0
-    first_i = first_j = 0
-    while i < len(a):
-        ahead += len(parts_a[i])
-        i += 1
-        while ahead > 0 and j < len(b):
-            ahead -= len(parts_b[j])
-            j += 1
-        if not ahead:
-            out.append((a[first_i:i], b[first_j:j]))
-            first_i, first_j = i, j
-    return out
-
-
-class Words:
-    """Pieces of texts between single blanks, each encoded and aligned once."""
-
-    def __init__(self, m: Models):
-        self.m = m
-        self.clear()
-
-    def clear(self) -> None:
-        self.place: dict[str, int] = {}
-        self.strings: list[str] = []
-        self.sizes: list[tuple[int, int, int, int]] = []  # a, b, groups, links
-        self.changed: set[int] = set()  # those whose bytes differ from the text
-        self.keys: list[np.ndarray] = []  # distinct pairs of ids, as a * size_b + b
-        self.times: list[np.ndarray] = []  # and how often each is linked
-
-    def numbers(self, text: str) -> np.ndarray:
-        """The pieces of a text, by number; new ones are aligned."""
-        parts = _CUT.split(text)
-        new = [w for w in dict.fromkeys(parts) if w not in self.place]
-        if new:
-            for w, b in zip(new, self.m.pieces.encode(new, num_threads=1), strict=True):
-                self._add(w, self.m.encode_a(" " + w), b)
-        return np.fromiter(map(self.place.__getitem__, parts), np.int64, len(parts))
-
-    def _add(self, word: str, a: list[int], b: list[int]) -> None:
-        found = groups(a, b, self.m)
-        if found is not None and b"".join(self.m.bytes_a[x] for x in a) != b" " + word.encode():
-            found = None
-        self.place[word] = len(self.strings)
-        pairs, links = Counter(), 0
-        for own_a, own_b in found or []:
-            links += len(own_a) * len(own_b)
-            if len(own_a) == len(own_b) == 1:
-                pairs[own_a[0] * self.m.size_b + own_b[0]] += 1
-                continue
-            of_a, of_b = Counter(own_a), Counter(own_b)
-            for x, n in of_a.items():
-                for y, k in of_b.items():
-                    pairs[x * self.m.size_b + y] += n * k
-        self.strings.append(";".join(f"{','.join(map(str, x))}|{','.join(map(str, y))}" for x, y in found or []))
-        self.sizes.append((len(a), len(b), len(found or []), links))
-        if found is None:
-            self.changed.add(self.place[word])
-        self.keys.append(np.fromiter(pairs, np.int64, len(pairs)))
-        self.times.append(np.fromiter(pairs.values(), np.int64, len(pairs)))
-
-
-def _aligned(words: Words, offsets: np.ndarray, body: bytes) -> Iterator[tuple[int, list[np.ndarray]]]:
-    """Slices of a block: the first document's place, and the word numbers of each document of the slice."""
-    first = 0
-    while first < len(offsets) - 1:
-        if len(words.place) > CACHE_WORDS:
-            words.clear()
-        last = min(max(int(np.searchsorted(offsets, offsets[first] + SLICE_BYTES)), first + 1), len(offsets) - 1)
-        texts = [body[a:b].decode() for a, b in zip(offsets[first:last].tolist(), offsets[first + 1 : last + 1].tolist(), strict=True)]
-        yield first, [words.numbers(t) if t else np.zeros(0, np.int64) for t in texts]
-        first = last
+def _pieces(text: str) -> list[str]:
+    """A long text in parts that both tokenizers encode as they do the whole; the blank between two is left out of both."""
+    parts, first = [], 0
+    while len(text) - first > PIECE:
+        found = _CUT.search(text, first + PIECE)
+        if not found:
+            break
+        parts.append(text[first : found.start()])
+        first = found.end()
+    return [*parts, text[first:]]
+
+
+def encoded(texts: list[str], m: Models) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+    """Ids of A and B of all texts and their numbers by text; none where the bytes of either differ from a blank and the text."""
+    parts = [_pieces(t) for t in texts]
+    of = np.repeat(np.arange(len(texts)), [len(p) for p in parts])
+    flat = list(chain.from_iterable(parts))
+    lists_a, lists_b = [m.encode_a(" " + p) for p in flat], m.pieces.encode(flat, num_threads=1) if flat else []
+    want = "".join(" " + p for p in flat).encode()
+    sizes = np.array([len(p.encode()) + 1 for p in flat], np.int64)
+    out, good = [], np.array([bool(t) for t in texts])
+    for lists, spelling in ((lists_a, m.a), (lists_b, m.b)):
+        n = np.array([len(x) for x in lists], np.int64)
+        ids = np.fromiter(chain.from_iterable(lists), np.uint16, int(n.sum()))
+        out.append((ids, n))
+        ends = np.cumsum(n)
+        written, edges = spelling.written(ids), np.concatenate([[0], np.cumsum(spelling.sizes[ids])])
+        lengths = edges[ends] - edges[ends - n]
+        same = lengths == sizes
+        if not (same.all() and written.tobytes() == want):
+            at, begin = edges[ends - n], np.cumsum(sizes) - sizes
+            same &= np.array([written[a : a + k].tobytes() == want[b : b + k] for a, b, k in zip(at.tolist(), begin.tolist(), sizes.tolist(), strict=True)], bool)
+            good[of[~same]] = False
+    kept = []
+    for ids, n in out:
+        kept += [ids[np.repeat(good[of], n)], np.bincount(of, weights=n, minlength=len(texts)).astype(np.int64) * good]
+    return kept[0], kept[2], kept[1], kept[3]
+
+
+def token_blocks(docs: DataFrame, id_col: str, text_col: str, names: tuple[str, str], block_bytes: int = BLOCK_BYTES) -> DataFrame:
+    """Documents gathered into blocks of token ids, in place (no shuffle), kept in the checkpoint folder: block, ids, and numbers and ids of A and B."""
+    rows = docs.select(F.col(id_col).cast("long").alias("id"), F.coalesce(F.col(text_col), F.lit("")).alias("text"))
+    schema = pa.schema([("block", pa.int64()), ("ids", pa.list_(pa.int64())), ("sizes", pa.binary()), ("tokens", pa.binary())])
+
+    def gather(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        import zstandard
+
+        m, made, size = models(*names), TaskContext.get().partitionId() << 32, 0
+        held: list[tuple] = []  # ids of documents, and encoded() of them
+
+        def row() -> pa.RecordBatch:
+            parts = [np.concatenate([h[1][k] for h in held]) for k in range(4)]
+            tokens = zstandard.ZstdCompressor(level=9).compress(parts[0].tobytes() + parts[1].tobytes())
+            return pa.RecordBatch.from_arrays([pa.array([made]), pa.array([[i for h in held for i in h[0]]], pa.list_(pa.int64())), pa.array([packed(parts[2], parts[3])]), pa.array([tokens])], schema=schema)
+
+        def flush(ids: list, texts: list[str]) -> None:
+            if ids:
+                held.append((ids, encoded(texts, m)))
+
+        for batch in batches:
+            ids, texts, waiting = [], [], 0
+            for i, text in zip(batch.column(0).to_pylist(), batch.column(1), strict=True):
+                text = text.as_py()
+                ids.append(i)
+                texts.append(text)
+                waiting += len(text)
+                if waiting >= PIECE:
+                    flush(ids, texts)
+                    size, ids, texts, waiting = size + waiting, [], [], 0
+                    if size >= block_bytes:
+                        yield row()
+                        made, size, held = made + 1, 0, []
+            flush(ids, texts)
+            size += waiting
+        if held:
+            yield row()
+
+    return checkpointed(rows.mapInArrow(gather, "block long, ids array<long>, sizes binary, tokens binary"))
+
+
+class Aligned:
+    """A block's documents aligned: groups of tokens, and the pairs they link."""
+
+    def __init__(self, row: dict, m: Models):
+        import zstandard
+
+        self.ids, self.m = row["ids"], m
+        self.n_a, self.n_b = unpacked(row["sizes"], np.int64, np.int64)
+        tokens = np.frombuffer(zstandard.ZstdDecompressor().decompress(row["tokens"]), np.uint16)
+        self.a, self.b = tokens[: self.n_a.sum()], tokens[self.n_a.sum() :]
+        ends_a, ends_b = np.cumsum(m.a.sizes[self.a]), np.cumsum(m.b.sizes[self.b])
+        last = []
+        for own, other in ((ends_a, ends_b), (ends_b, ends_a)):
+            mark = np.zeros(int(own[-1]) + 1 if len(own) else 1, bool)
+            mark[other] = True
+            last.append(mark[own])
+        self.last_a, self.last_b = last  # tokens that end a group
+        ends = np.flatnonzero(self.last_a) + 1, np.flatnonzero(self.last_b) + 1
+        self.size_a, self.size_b = (np.diff(e, prepend=0) for e in ends)
+        self.first_a, self.first_b = (e - n for e, n in zip(ends, (self.size_a, self.size_b), strict=True))
+        self.doc = np.repeat(np.arange(len(self.ids)), self.n_a)[self.first_a]  # of each group
+
+    def pairs(self) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        """Document, pair and number of links of each distinct pair of a document, in order."""
+        found, bits = [(np.zeros(0, np.int64), np.zeros(0, np.int64))], 31
+        links = self.size_a * self.size_b
+        for first in range(0, len(self.doc), SLICE):
+            some = np.arange(first, min(first + SLICE, len(self.doc)))
+            small, large = some[links[some] <= LARGE], some[links[some] > LARGE]
+            which = np.repeat(small, links[small])
+            nth = np.arange(len(which)) - np.repeat(np.cumsum(links[small]) - links[small], links[small])
+            a, b = self.first_a[which] + nth // self.size_b[which], self.first_b[which] + nth % self.size_b[which]
+            found.append(np.unique(self.doc[which] << bits | (self.a[a].astype(np.int64) * self.m.size_b + self.b[b]), return_counts=True))
+            for g in large.tolist():
+                (x, n), (y, k) = (np.unique(t[f : f + s], return_counts=True) for t, f, s in ((self.a, self.first_a[g], self.size_a[g]), (self.b, self.first_b[g], self.size_b[g])))
+                found.append(((self.doc[g] << bits | (x.astype(np.int64)[:, None] * self.m.size_b + y)).ravel(), (n[:, None] * k).ravel()))
+        keys, times = _sorted_counts(*(np.concatenate(x) for x in zip(*found, strict=True)))
+        return keys >> bits, keys & ((1 << bits) - 1), times
+
+    def digests(self) -> list[str]:
+        """SHA-256 of each document's groups as text, written some tokens at a time."""
+        group_a, group_b = (np.cumsum(last) - last for last in (self.last_a, self.last_b))
+        n = len(self.a) + len(self.b)
+        ids, ends = np.empty(n, np.uint16), np.empty(n, np.uint8)
+        at_a = np.arange(len(self.a)) + self.first_b[group_a]
+        at_b = np.arange(len(self.b)) + self.first_a[group_b] + self.size_a[group_b]
+        ids[at_a], ids[at_b] = self.a, self.b
+        ends[at_a], ends[at_b] = np.where(self.last_a, ord("|"), ord(",")), np.where(self.last_b, ord(";"), ord(","))
+        sizes = self.n_a + self.n_b
+        edges = np.cumsum(sizes)
+        ends[edges[sizes > 0] - 1] = 0  # nothing after a document's last
+        hashes, doc = [hashlib.sha256() if k else None for k in sizes], np.repeat(np.arange(len(sizes)), sizes)
+        for first in range(0, n, SLICE):
+            own, end = ids[first : first + SLICE], ends[first : first + SLICE]
+            shown = np.concatenate([_WRITTEN[own], (end > 0)[:, None]], axis=1)
+            text = np.concatenate([_DIGITS[own], end[:, None]], axis=1)[shown].tobytes()
+            upto = np.cumsum(shown.sum(axis=1))
+            here = doc[first : first + SLICE]
+            last = np.append(np.flatnonzero(np.diff(here)), len(here) - 1)
+            begin = 0
+            for d, stop in zip(here[last].tolist(), upto[last].tolist(), strict=True):
+                hashes[d].update(text[begin:stop])
+                begin = stop
+        return [h.hexdigest() if h else "" for h in hashes]
+
+    def rows(self, keys: np.ndarray, counts: np.ndarray, best: np.ndarray) -> pa.RecordBatch:
+        """The documents with their numbers; keys, counts, best: of the block's pairs, sorted."""
+        total = lambda doc, values: np.add.reduceat(np.append(values, 0), np.searchsorted(doc, np.arange(len(self.ids)))) * np.isin(np.arange(len(self.ids)), doc)
+        doc, pair, times = self.pairs()
+        at = np.searchsorted(keys, pair)
+        links = self.size_a * self.size_b
+        numbers = [self.n_a, self.n_b, total(self.doc, np.ones(len(self.doc), np.int64)), total(self.doc, links), total(doc, times * best[at]), total(doc, times * counts[at])]
+        names = [x.split()[0] for x in RESULT.split(", ")]
+        return pa.RecordBatch.from_arrays([pa.array(self.ids, pa.int64()), *(pa.array(x.astype(np.int64)) for x in numbers), pa.array(self.digests(), pa.string())], names=names)
 
 
 def _sorted_counts(keys: np.ndarray, counts: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
@@ -179,33 +277,15 @@ def _sorted_counts(keys: np.ndarray, counts: np.ndarray) -> tuple[np.ndarray, np
     return keys[first], np.add.reduceat(counts, first) if len(first) else counts
 
 
-def _held(words: Words, documents: list[np.ndarray]) -> list[bool]:
-    """Whether each document has tokens."""
-    return [len(w) > 0 and (not words.changed or words.changed.isdisjoint(w.tolist())) for w in documents]
-
-
-def block_pairs(words: Words, offsets: np.ndarray, body: bytes) -> tuple[np.ndarray, np.ndarray]:
-    """A block's distinct pairs, sorted, and how many of its documents hold each."""
-    parts = [(np.zeros(0, np.int64), np.zeros(0, np.int64))]
-    for _, documents in _aligned(words, offsets, body):
-        good, rows = _held(words, documents), []
-        for own in (w for w, ok in zip(documents, good, strict=True) if ok):
-            rows.append(np.unique(np.concatenate([words.keys[w] for w in np.unique(own)])))
-        keys, counts = np.unique(np.concatenate(rows) if rows else np.zeros(0, np.int64), return_counts=True)
-        parts.append((keys, counts.astype(np.int64)))
-    return _sorted_counts(*(np.concatenate(x) for x in zip(*parts, strict=True)))
-
-
 def _requests(blocks: DataFrame, buckets: int, names: tuple[str, str]) -> DataFrame:
     """bucket, block, keys and counts: each block's pairs by bucket of their A id."""
 
     def ask(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        words = Words(models(*names))
+        m = models(*names)
         for batch in batches:
             for row in batch.to_pylist():
-                _, _, offsets, body = unpack_block(row)
-                keys, counts = block_pairs(words, offsets, body)
-                bucket = (mixed(keys // words.m.size_b) % np.uint64(buckets)).astype(np.int64)
+                keys, counts = np.unique(Aligned(row, m).pairs()[1], return_counts=True)
+                bucket = (mixed(keys // m.size_b) % np.uint64(buckets)).astype(np.int64)
                 order = np.argsort(bucket, kind="stable")
                 full, first = np.unique(bucket[order], return_index=True)
                 own = np.split(order, first[1:])[: len(full)]
@@ -310,33 +390,10 @@ def _replies(requests: DataFrame, tables: DataFrame, parts: int, size_b: int) ->
     return asked.select("bucket", "fold", "block", "keys").groupBy("bucket", "fold").cogroup(copies.groupBy("bucket", "fold")).applyInArrow(look, "block long, data binary")
 
 
-def block_rows(words: Words, ids: list, offsets: np.ndarray, body: bytes, keys: np.ndarray, counts: np.ndarray, best: np.ndarray) -> pa.RecordBatch:
-    """A block's documents with their numbers; keys, counts, best: of the block's pairs, sorted."""
-    numbers, texts = [np.zeros((0, 6), np.int64)], []
-    for _, documents in _aligned(words, offsets, body):
-        good = _held(words, documents)
-        used = np.unique(np.concatenate([w for w, ok in zip(documents, good, strict=True) if ok] or [np.zeros(0, np.int64)]))
-        table = np.zeros((len(words.sizes), 6), np.int64)
-        if len(used):
-            own = np.array([words.sizes[w] for w in used], np.int64)
-            n = [len(words.keys[w]) for w in used]
-            at, times = np.searchsorted(keys, np.concatenate([words.keys[w] for w in used])), np.concatenate([words.times[w] for w in used])
-            word, sums = np.repeat(np.arange(len(used)), n), np.zeros((len(used), 2), np.int64)
-            np.add.at(sums[:, 0], word, times * best[at])
-            np.add.at(sums[:, 1], word, times * counts[at])
-            table[used] = np.concatenate([own, sums], axis=1)
-        for w, ok in zip(documents, good, strict=True):
-            numbers.append(table[w].sum(axis=0, keepdims=True) if ok else np.zeros((1, 6), np.int64))
-            texts.append(hashlib.sha256(";".join(map(words.strings.__getitem__, w.tolist())).encode()).hexdigest() if ok else "")
-    flat = np.concatenate(numbers)
-    names = [x.split()[0] for x in RESULT.split(", ")]
-    return pa.RecordBatch.from_arrays([pa.array(ids, pa.int64()), *(pa.array(flat[:, k]) for k in range(6)), pa.array(texts, pa.string())], names=names)
-
-
 def pair_counts(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", names: tuple[str, str] = (BYTE_BPE, PIECE_BPE)) -> tuple[DataFrame, DataFrame, DataFrame, int]:
     """Blocks of the documents, their requests, (bucket, hash, data) with the pairs' counts by slot, and the number of blocks."""
     check_models(models(*names))
-    blocks = text_blocks(docs, id_col, text_col)
+    blocks = token_blocks(docs, id_col, text_col, names)
     number = max(1, blocks.count())
     requests = _requests(blocks, partitions(docs.sparkSession), names)
     keys = requests.select("bucket", F.pmod(F.xxhash64("block"), F.lit(number)).alias("fold"), F.col("keys").alias("data"))
@@ -355,13 +412,12 @@ def aligned_documents(docs: DataFrame, id_col: str = "doc_id", text_col: str = "
     replies = _replies(requests, checkpointed(counted), -(-number // BLOCKS_A_PART), models(*names).size_b)
 
     def finish(mine: pa.Table, theirs: pa.Table) -> pa.Table:
-        words, found = Words(models(*names)), []
+        found = []
         parts = [unpacked(d, np.uint64, np.int64, np.uint8) for d in theirs.column("data").to_pylist()]
         keys, counts, best = (np.concatenate([p[k] if k else np.cumsum(p[k]).astype(np.int64) for p in parts]) if parts else np.zeros(0, np.int64) for k in range(3))
         order = np.argsort(keys)
         for row in mine.to_pylist():
-            ids, _, offsets, body = unpack_block(row)
-            found.append(block_rows(words, ids, offsets, body, keys[order], counts[order], best[order].astype(np.int64)))
+            found.append(Aligned(row, models(*names)).rows(keys[order], counts[order], best[order].astype(np.int64)))
         return pa.Table.from_batches(found)
 
     done = blocks.groupBy("block").cogroup(replies.groupBy("block")).applyInArrow(finish, RESULT)

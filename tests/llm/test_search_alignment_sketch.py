@@ -171,8 +171,8 @@ def test_alignment(spark, docs, rows, tokenizers):
 
 def test_alignment_in_small_blocks_and_trees(spark, docs, monkeypatch):
     want = as_rows(alignment.aligned_documents(docs))
-    cut = alignment.text_blocks
-    monkeypatch.setattr(alignment, "text_blocks", lambda d, i, t: cut(d, i, t, block_bytes=300))
+    cut = alignment.token_blocks
+    monkeypatch.setattr(alignment, "token_blocks", lambda *a: cut(*a, block_bytes=300))
     monkeypatch.setattr(alignment, "FAN", 3)
     monkeypatch.setattr(alignment, "BLOCKS_A_PART", 4)
     assert as_rows(alignment.aligned_documents(docs)) == want
@@ -189,15 +189,29 @@ def test_alignment_of_nothing(spark, no_docs):
     assert as_rows(alignment.aligned_documents(only)) == Counter({(1, 0, 0, 0, 0, 0, 0, ""): 1, (2, 0, 0, 0, 0, 0, 0, ""): 1})
 
 
-def test_words_may_be_cut_at_single_blanks(tokenizers):
+def test_long_texts_may_be_cut_at_single_blanks(tokenizers, monkeypatch):
     m, rng = alignment.models(), random.Random(2)
     alignment.check_models(m)
+    monkeypatch.setattr(alignment, "PIECE", 3)
     for _ in range(300):
-        text = "".join(rng.choice(["a", "Be", " ", " ", "  ", "\n", "é", "'s", "7", ".", "▂", " ", "the", "ing"]) for _ in range(rng.randint(1, 40)))
-        words = alignment.Words(m)
-        own = words.numbers(text)
-        a, b = tokenizers(text)
-        assert sum(words.sizes[w][0] for w in own) == len(a) and sum(words.sizes[w][1] for w in own) == len(b)
+        text = "".join(rng.choice(["a", "Be", " ", " ", "  ", "\n", "é", "'s", "7", ".", "▂", " ", "the", "ing"]) for _ in range(rng.randint(1, 40)))
+        a, b, n_a, n_b = alignment.encoded([text], m)
+        want = tokenizers(text)
+        assert a.tolist() == [i for i, _ in want[0]] and b.tolist() == [i for i, _ in want[1]] and (n_a[0], n_b[0]) == (len(a), len(b))
+
+
+def test_slices_and_large_groups_give_the_same(monkeypatch):
+    m = alignment.models()
+    texts = ["a" * 3000, "é " * 200, "some plain words and more of them " * 20, "", "7" * 500 + " x"]
+    parts = alignment.encoded(texts, m)
+    import zstandard
+
+    row = {"ids": [1, 2, 3, 4, None], "sizes": alignment.packed(parts[2], parts[3]), "tokens": zstandard.ZstdCompressor().compress(parts[0].tobytes() + parts[1].tobytes())}
+    whole = alignment.Aligned(row, m)
+    want, digests = [x.tolist() for x in whole.pairs()], whole.digests()
+    for name, value in (("SLICE", 7), ("LARGE", 0)):
+        monkeypatch.setattr(alignment, name, value)
+        assert [x.tolist() for x in whole.pairs()] == want and whole.digests() == digests
 
 
 # --- odd sketches ------------------------------------------------------------------------
