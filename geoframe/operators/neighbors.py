@@ -32,21 +32,32 @@ def _near(a: DataFrame, b: DataFrame, cols: tuple[str, str], radius: float, by:
     return left.join(right, [*by, "__i", "__j"]).drop("__i", "__j")
 
 
-def knn_idw(queries: DataFrame, patches: DataFrame, k: int = 4, limit: float = 256.0, metric: str = "l2sq", values: tuple = ("conf", "x", "y", "h"), query_key: str = "query_id", patch_key: str = "patch_id", by: tuple = ()) -> DataFrame:
-    """Inverse-distance mean of values over each query's k nearest patches, in (line, samp).
+def _weighted_arrays(rows: str, name: str) -> Column:
+    """Mean of the arrays of a list of structs (w, arrays), element by element, weighted by w."""
+    first, rest = F.element_at(rows, 1), F.slice(rows, 2, F.size(rows))
+    scaled = lambda x: F.transform(x[name], lambda v: v * x["w"])
+    total = F.aggregate(rest, scaled(first), lambda acc, x: F.zip_with(acc, scaled(x), lambda p, q: p + q))
+    weight = F.aggregate(F.transform(rows, lambda x: x["w"]), F.lit(0.0), lambda s, w: s + w)
+    return F.transform(total, lambda v: v / weight)
+
+
+def knn_idw(queries: DataFrame, patches: DataFrame, k: int = 4, limit: float = 256.0, metric: str = "l2sq", values: tuple = ("conf", "x", "y", "h"), query_key: str = "query_id", patch_key: str = "patch_id", by: tuple = (), arrays: tuple = ()) -> DataFrame:
+    """Inverse-distance mean of values, and of arrays, over each query's k nearest patches of its own group (by), in (line, samp).
 
     A query counts only if its k-th distance is under limit (squared for l2sq), so
     buckets of that radius hold all neighbours that can count.  Equal distances go
-    to the smaller patch.
+    to the smaller patch.  A query is told apart by by and query_key.
     """
     radius = limit**0.5 if metric == "l2sq" else limit
-    near = _near(queries.select(query_key, *by, "line", "samp"), patches.select(patch_key, *by, "line", "samp", *values), ("line", "samp"), radius, list(by))
+    near = _near(queries.select(query_key, *by, "line", "samp"), patches.select(patch_key, *by, "line", "samp", *values, *arrays), ("line", "samp"), radius, list(by))
     d2 = F.pow(F.col("line") - F.col("b_line"), 2) + F.pow(F.col("samp") - F.col("b_samp"), 2)
     near = near.withColumn("d", d2 if metric == "l2sq" else F.sqrt(d2)).filter(F.col("d") < limit)
-    order = Window.partitionBy(query_key).orderBy("d", f"b_{patch_key}")
+    order = Window.partitionBy(*by, query_key).orderBy("d", f"b_{patch_key}")
     best = near.withColumn("n", F.row_number().over(order)).filter(F.col("n") <= k).withColumn("w", 1.0 / (F.col("d") + 1e-6))
     means = [(F.sum(F.col("w") * F.col(f"b_{v}")) / F.sum("w")).alias(v) for v in values]
-    return best.groupBy(query_key).agg(F.count("*").alias("n"), *means).filter(F.col("n") == k).drop("n")
+    lists = [F.sort_array(F.collect_list(F.struct("n", "w", *(F.transform(f"b_{a}", lambda v: v.cast("double")).alias(a) for a in arrays)))).alias("__near")] if arrays else []
+    found = best.groupBy(*by, query_key).agg(F.count("*").alias("n"), *means, *lists).filter(F.col("n") == k)
+    return found.select(query_key, *by, *values, *(_weighted_arrays("__near", a).alias(a) for a in arrays))
 
 
 def nearest_within(a: DataFrame, b: DataFrame, limit: float, a_key: str = "a_id", b_key: str = "b_id", cols: tuple = ("x", "y")) -> DataFrame:

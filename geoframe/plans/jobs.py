@@ -10,7 +10,7 @@ from pyspark.sql import functions as F
 
 from geoframe.functions import geo
 from geoframe.functions.lineage import checkpointed
-from geoframe.operators import fit, metrics, overlap, raster, sensor, tiles, tiling
+from geoframe.operators import fit, metrics, neighbors, overlap, raster, sensor, tiles, tiling
 
 Predictor = Callable[[pd.DataFrame], pd.DataFrame]
 
@@ -51,13 +51,15 @@ def build_patches(windows: DataFrame, dem: DataFrame, models: DataFrame, conf: D
 
 
 def predict_ground(patches: DataFrame, grids: DataFrame, predictor: Predictor, by: str = "grid_id") -> DataFrame:
-    """Ground x, y, h of each patch: the predictor gives normalized values (columns x, y, h) for pandas batches, the grid's polynomials take them to the ground."""
+    """Ground x, y, h of each patch: the predictor gives normalized values (columns x, y, h, and conf if patches have none) for pandas batches, the grid's polynomials take them to the ground."""
     plain = patches.drop("x", "y", "h")
-    fields = ", ".join([*(f"`{f.name}` {f.dataType.simpleString()}" for f in plain.schema), "x double", "y double", "h double"])
+    given = ("x", "y", "h") if "conf" in plain.columns else ("x", "y", "h", "conf")
+    fields = ", ".join([*(f"`{f.name}` {f.dataType.simpleString()}" for f in plain.schema), *(f"{k} double" for k in given)])
 
     def predict(parts: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for pdf in parts:
-            yield pdf.assign(**{k: predictor(pdf)[k] for k in ("x", "y", "h")})
+            made = predictor(pdf)
+            yield pdf.assign(**{k: made[k] for k in given})
 
     return geo.warp_by_poly(plain.mapInPandas(predict, fields), grids, by)
 
@@ -87,16 +89,79 @@ def cross_element_pairs(patches: DataFrame, grids: DataFrame, predictor: Predict
     return predict_ground(crossed, grids, predictor)
 
 
-def adjust_elements(patches: DataFrame, grids: DataFrame, predictor: Predictor, models: DataFrame, margin: float = 0.1, conf_thr: float = 0.5, seed: int = 0) -> tuple[DataFrame, DataFrame]:
-    """Images fitted to each other's predictions, together kept in place: the models, and the patches with x, y made anew."""
-    pairs = cross_element_pairs(patches, grids, predictor)
+def element_correspondences(positions: DataFrame, patches: DataFrame, elements: DataFrame, predictor: Predictor, models: DataFrame, k: int = 4, limit: float = 64.0, margin: float = 0.1, conf_thr: float = 0.5) -> DataFrame:
+    """Where every other element of a grid puts an element's positions, as correspondences (other, l_line, l_samp, t_line, t_samp, conf).
+
+    A position's feature and conf are inverse-distance means of the k nearest patches
+    of its own element; positions with fewer within limit are left out, as are those in
+    the margin of the element and those whose conf is at most conf_thr.  The other
+    element's predictor and polynomials (elements: image_id, cx, cy, ch) take it to the
+    ground, the element's own model back into its image.
+
+    positions: grid_id, image_id, query_id, line, samp.  patches: grid_id, image_id,
+    patch_id, line, samp, conf, feature.
+    """
+    own = ("grid_id", "image_id")
+    means = neighbors.knn_idw(positions, patches, k, limit, values=("conf",), arrays=("feature",), by=own)
     extents = patches.groupBy("image_id").agg(*(f(a).alias(f"{a}{k}") for a in ("line", "samp") for k, f in enumerate((F.min, F.max))))
-    corr = _as_correspondences(tiling.drop_margin(pairs, extents, margin), models)
+    placed = tiling.drop_margin(positions.join(means, [*own, "query_id"]), extents, margin).filter(F.col("conf") > conf_thr)
+    others = patches.select("grid_id", F.col("image_id").alias("other")).distinct()
+    crossed = placed.join(others, "grid_id").filter(overlap.exclude_self("image_id", "other"))
+    predicted = predict_ground(crossed, elements.withColumnRenamed("image_id", "other"), predictor, "other")
+    return _as_correspondences(predicted, models)
+
+
+def adjust_elements(patches: DataFrame, grids: DataFrame, predictor: Predictor, models: DataFrame, margin: float = 0.1, conf_thr: float = 0.5, seed: int = 0, positions: DataFrame | None = None, elements: DataFrame | None = None) -> tuple[DataFrame, DataFrame]:
+    """Images fitted to each other's predictions, together kept in place: the models, and the patches with x, y made anew.
+
+    With positions (and the elements' polynomials) the correspondences come from
+    element_correspondences(), else from the patches themselves.
+    """
+    if positions is not None:
+        corr = element_correspondences(positions, patches, elements, predictor, models, margin=margin, conf_thr=conf_thr)
+    else:
+        pairs = cross_element_pairs(patches, grids, predictor)
+        extents = patches.groupBy("image_id").agg(*(f(a).alias(f"{a}{k}") for a in ("line", "samp") for k, f in enumerate((F.min, F.max))))
+        corr = _as_correspondences(tiling.drop_margin(pairs, extents, margin), models)
     maps = fit.centre_transforms(fit.robust_affine(corr, "image_id", conf_thr, 0.0, seed=seed))
     adjusted = _update_affine(models, maps)
     return adjusted, sensor.image_to_mercator(patches.drop("x", "y"), adjusted)
 
 
+def image_patches(pixels: DataFrame, dem: DataFrame, models: DataFrame, grids: DataFrame, footprints: DataFrame, shape: tuple[int, int], size: int = 16, value: str = "value") -> DataFrame:
+    """Patches of the part of each image that a grid covers: grid_id, image_id, i, j, and the means of value, h, line and samp over size x size cells.
+
+    The part's corners are placed in the image (at the mean height), the quad between
+    them is resampled to shape, images and heights alike, and cut into patches, whose
+    line and samp are those of the original image.
+
+    grids: grid_id, x0, y0, x1, y1.  footprints: image_id and box.
+    """
+    c, key = F.col, ["grid_id", "image_id"]
+    over = overlap.grid_image(grids, footprints).filter((c("x0") < c("x1")) & (c("y1") < c("y0")))
+    level = dem.groupBy("image_id").agg(F.avg("value").alias("h"))
+    corner = F.explode(F.array(*(F.struct(F.lit(k).alias("k"), c(x).alias("x"), c(y).alias("y")) for k, (x, y) in enumerate((("x0", "y0"), ("x1", "y0"), ("x1", "y1"), ("x0", "y1"))))))
+    placed = sensor.mercator_to_image(over.join(level, "image_id").select(*key, "h", corner.alias("p")).select(*key, "h", "p.*"), models)
+    quads = placed.groupBy(*key).agg(*(F.max(F.when(c("k") == k, c(source))).alias(f"{a}{k}") for k in range(4) for a, source in (("x", "samp"), ("y", "line"))))
+    extent = pixels.groupBy("image_id").agg((F.max("row") + 1).alias("height"), (F.max("col") + 1).alias("width"))
+    cells = raster.quad_points(quads.join(extent, "image_id"), shape).withColumnsRenamed({"x": "col", "y": "row"})
+    both = pixels.select("image_id", "row", "col", c(value).cast("double").alias("image")).join(dem.select("image_id", "row", "col", c("value").alias("h")), ["image_id", "row", "col"])
+    read = tiles.bilinear(cells, tiles.from_cells(both, values=("image", "h")), values=("image", "h"))
+    inside = (c("row") >= 0) & (c("row") <= c("height") - 1) & (c("col") >= 0) & (c("col") <= c("width") - 1)
+    block = {n: F.floor(c(t) / size).cast("int") for n, t in (("i", "trow"), ("j", "tcol"))}
+    means = read.filter(inside).withColumns(block).groupBy(*key, "i", "j").agg(F.avg("image").alias(value), F.avg("h").alias("h"), F.avg("row").alias("line"), F.avg("col").alias("samp"), F.count("*").alias("__n"))
+    return means.filter(c("__n") == size * size).drop("__n")
+
+
+def adjust_from_images(pixels: DataFrame, dem: DataFrame, models: DataFrame, grids: DataFrame, footprints: DataFrame, predictor: Predictor, shape: tuple[int, int], size: int = 16, value: str = "value", **options: object) -> DataFrame:
+    """The whole adjustment: grids over images, their parts resampled and cut into patches, the grids' predictions, and a robust fit of each image.
+
+    predictor gives x, y, h and conf for image_patches(); grids has its polynomials too.
+    """
+    patches = image_patches(pixels, dem, models, grids, footprints, shape, size, value).withColumnRenamed("h", "height")
+    return adjust_images(patches, grids, predictor, models, **options)
+
+
 def orthorectify(pixels: DataFrame, dem: DataFrame, models: DataFrame, resolution: float = 0.5, value: str = "value") -> DataFrame:
     """Cells (row, col) of a north-up raster of each image: image_id, lat, lon, value (cut to whole numbers; 0 off the image)."""
     c = F.col

@@ -6,6 +6,7 @@ from functools import reduce
 from io import BytesIO
 
 import numpy as np
+import pandas as pd
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
@@ -14,7 +15,7 @@ from geoframe.functions import geo
 from geoframe.functions.lineage import shared_folder
 from geoframe.operators import fit, metrics, raster, sensor, tiles, tiling
 from geoframe.plans import jobs
-from geoframe.queries.catalog import FRACTIONAL, HEIGHT, Tables, bilinear_sql, fractional, query, r
+from geoframe.queries.catalog import FRACTIONAL, HEIGHT, LAT_SQL, LON_SQL, PLAIN, Tables, bilinear_sql, fractional, image_sql, query, r
 from geoframe.queries.catalog_more import FINITE, GRID_SQL, rect
 from geoframe.sources import files
 
@@ -153,6 +154,81 @@ def d11_crop_samples(t: Tables) -> DataFrame:
     return reduce(DataFrame.unionByName, map(part, ("image", "x", "y", "h", "residual")))
 
 
+# --- from images on ----------------------------------------------------------
+
+
+def _bilinear_pair(points: str, key: str) -> str:
+    one = lambda cells, name: f"SELECT {key}, value AS {name} FROM ({bilinear_sql(points, key, cells, 'height', 'width')})"
+    return f"SELECT * FROM ({one('bands', 'image')}) JOIN ({one('dem', 'h')}) USING ({key})"
+
+
+OVER = PLAIN | {
+    "grid_rows": "SELECT CAST(k AS INTEGER) AS grid_id, 12245060e0 + 40 * k AS x0, 3503738e0 AS y0, 12245100e0 + 40 * k AS x1, 3503714e0 AS y1 FROM (SELECT UNNEST(range(3)) AS k)",
+    "prints": "SELECT image_id, 12245030e0 AS minx, 3503350e0 AS miny, 12245170e0 + image_id AS maxx, 3503730e0 + 4 * image_id AS maxy FROM sensor_models WHERE image_id < 4",
+    "extents": "SELECT image_id, max(row) + 1 AS height, max(col) + 1 AS width FROM pixels GROUP BY image_id",
+    "bands": "SELECT image_id, row, col, b1 AS value FROM pixels",
+    "parts": "SELECT grid_id, image_id, greatest(x0, minx) AS x0, least(y0, maxy) AS y0, least(x1, maxx) AS x1, greatest(y1, miny) AS y1, (SELECT avg(value) FROM dem d WHERE d.image_id = p.image_id) AS h FROM grid_rows JOIN prints p ON x0 < maxx AND minx < x1 AND y1 < maxy AND miny < y0",
+    "corners": f"SELECT grid_id, image_id, k, h, {LAT_SQL.format(y='y')} AS lat, {LON_SQL.format(x='x')} AS lon FROM (SELECT grid_id, image_id, h, UNNEST([0, 1, 2, 3]) AS k, UNNEST([x0, x1, x1, x0]) AS x, UNNEST([y0, y0, y1, y1]) AS y FROM parts)",
+    "spots": image_sql("SELECT * FROM corners", "grid_id, image_id, k"),
+    "outline": "SELECT grid_id, image_id, " + ", ".join(f"max(CASE WHEN k = {k} THEN samp END) AS x{k}, max(CASE WHEN k = {k} THEN line END) AS y{k}" for k in range(4)) + " FROM spots GROUP BY grid_id, image_id",
+    "slant": "SELECT *, x1 - x2 AS dx1, x3 - x2 AS dx2, x0 - x1 + x2 - x3 AS dx3, y1 - y2 AS dy1, y3 - y2 AS dy2, y0 - y1 + y2 - y3 AS dy3 FROM outline",
+    "turned": "SELECT *, (dx3 * dy2 - dx2 * dy3) / (dx1 * dy2 - dx2 * dy1) AS h6, (dx1 * dy3 - dx3 * dy1) / (dx1 * dy2 - dx2 * dy1) AS h7 FROM slant",
+    "unit": "SELECT *, trow / 7e0 AS v, tcol / 7e0 AS u FROM turned, (SELECT UNNEST(range(8)) AS trow), (SELECT UNNEST(range(8)) AS tcol)",
+    "sources": "SELECT grid_id, image_id, trow, tcol, height, width, ((x1 - x0 + h6 * x1) * u + (x3 - x0 + h7 * x3) * v + x0) / (h6 * u + h7 * v + 1) AS pcol, ((y1 - y0 + h6 * y1) * u + (y3 - y0 + h7 * y3) * v + y0) / (h6 * u + h7 * v + 1) AS prow FROM unit JOIN extents USING (image_id)",
+    "looked": f"SELECT * FROM sources JOIN ({_bilinear_pair('SELECT * FROM sources', 'grid_id, image_id, trow, tcol')}) USING (grid_id, image_id, trow, tcol) WHERE prow BETWEEN 0 AND height - 1 AND pcol BETWEEN 0 AND width - 1",
+}
+
+
+def _over(t: Tables) -> dict[str, DataFrame]:
+    """Three grids over the images that have pixels."""
+    grids = t.spark.range(3).selectExpr("CAST(id AS INT) AS grid_id", "12245060D + 40 * id AS x0", "3503738D AS y0", "12245100D + 40 * id AS x1", "3503714D AS y1")
+    grids = grids.selectExpr("*", "array(20D, (x0 + x1) / 2) AS cx", "array(12D, (y0 + y1) / 2) AS cy", "array(20D, 220D) AS ch")
+    prints = t.sensor_models.filter("image_id < 4").selectExpr("image_id", "12245030D AS minx", "3503350D AS miny", "12245170D + image_id AS maxx", "3503730D + 4 * image_id AS maxy")
+    return {"pixels": t.pixels.withColumnRenamed("b1", "value"), "dem": t.dem, "models": t.sensor_models, "grids": grids, "footprints": prints}
+
+
+@query(f"SELECT grid_id, image_id, CAST(trow // 4 AS INTEGER) AS i, CAST(tcol // 4 AS INTEGER) AS j, {r('avg(image) AS value', 'avg(h) AS h', 'avg(prow) AS line', 'avg(pcol) AS samp')} FROM looked GROUP BY grid_id, image_id, trow // 4, tcol // 4 HAVING count(*) = 16", OVER)
+def d3_image_patches(t: Tables) -> DataFrame:
+    """What a grid's predictor reads of each image: its part of the image, resampled and cut."""
+    return jobs.image_patches(**_over(t), shape=(8, 8), size=4)
+
+
+def place_predictor(pdf: pd.DataFrame) -> pd.DataFrame:
+    """Stands for trained networks: normalized ground values from the place in the grid's part."""
+    return pd.DataFrame({"x": (pdf["j"] - 0.5) / 2, "y": (0.5 - pdf["i"]) / 2, "h": (pdf["height"] - 220.0) / 20.0, "conf": 0.9})
+
+
+@query()
+def d3_adjust_from_images(t: Tables) -> DataFrame:
+    """The whole job with several grids, from pixels to the images' affine corrections."""
+    adjusted = jobs.adjust_from_images(**_over(t), predictor=place_predictor, shape=(8, 8), size=4, conf_thr=0.5)
+    return adjusted.select("image_id", *geo.AFFINE)
+
+
+def mean_predictor(pdf: pd.DataFrame) -> pd.DataFrame:
+    """Stands for trained networks in tests: normalized ground values from the place and the mean feature."""
+    first = pdf["feature"].map(lambda v: v[0])
+    return pd.DataFrame({"x": pdf["samp"] / 400.0 + first / 1000.0, "y": -pdf["line"] / 320.0, "h": pdf["conf"]})
+
+
+NEAR = PLAIN | {
+    "places": "SELECT t.image_id, point_id, CAST(line AS DOUBLE) AS line, CAST(samp AS DOUBLE) AS samp FROM tie_points t WHERE image_id > 0",
+    "near": "SELECT t.*, p.conf, CAST(p.feature[1] AS DOUBLE) AS first, pow(t.line - p.line, 2) + pow(t.samp - p.samp, 2) AS d, row_number() OVER (PARTITION BY t.image_id, point_id ORDER BY pow(t.line - p.line, 2) + pow(t.samp - p.samp, 2), patch_id) AS n FROM places t JOIN patches p ON p.image_id = t.image_id AND pow(t.line - p.line, 2) + pow(t.samp - p.samp, 2) < 40000",
+    "means": "SELECT image_id, point_id, line, samp, sum(conf / (d + 1e-6)) / sum(1 / (d + 1e-6)) AS conf, sum(first / (d + 1e-6)) / sum(1 / (d + 1e-6)) AS first FROM near WHERE n <= 4 GROUP BY image_id, point_id, line, samp HAVING count(*) = 4",
+    "crossed": "SELECT m.*, o.image_id AS other FROM means m JOIN (SELECT DISTINCT image_id FROM patches) o ON o.image_id <> m.image_id WHERE conf > 0.3",
+    "thrown": f"SELECT *, {LAT_SQL.format(y='y')} AS lat, {LON_SQL.format(x='x')} AS lon FROM (SELECT image_id, point_id, other, conf, line AS l_line, samp AS l_samp, (samp / 400e0 + first / 1000e0) * 800 + 12245000 + other AS x, (-line / 320e0) * 640 + 3503000 AS y, conf * 40 + 200 AS h FROM crossed)",
+}
+
+
+@query(f"SELECT image_id, point_id, other, {r('conf', 'l_line', 'l_samp', 'round(line, 2) AS t_line', 'round(samp, 2) AS t_samp')} FROM ({image_sql('SELECT * FROM thrown', 'image_id, point_id, other, conf, l_line, l_samp')})", NEAR)
+def j14_element_correspondences(t: Tables) -> DataFrame:
+    """Positions of each element by their nearest patches, predicted by every other element of the grid."""
+    positions = t.tie_points.filter("image_id > 0").selectExpr("0 AS grid_id", "image_id", "point_id AS query_id", "CAST(line AS DOUBLE) AS line", "CAST(samp AS DOUBLE) AS samp")
+    elements = t.patches.select("image_id").distinct().selectExpr("image_id", "array(800D, 12245000D + image_id) AS cx", "array(640D, 3503000D) AS cy", "array(40D, 200D) AS ch")
+    corr = jobs.element_correspondences(positions, t.patches.withColumn("grid_id", F.lit(0)), elements, mean_predictor, t.sensor_models, limit=40000.0, margin=-1.0, conf_thr=0.3)
+    return corr.select("image_id", F.col("query_id").alias("point_id"), "other", "conf", "l_line", "l_samp", F.round("t_line", 2).alias("t_line"), F.round("t_samp", 2).alias("t_samp"))
+
+
 TARGETS = "SELECT image_id, point_id, line * 13e-1 - 2e0 AS prow, samp * 12e-1 - 5e0 AS pcol FROM tie_points"
 
 
