@@ -14,13 +14,14 @@ fingerprint zero, which links like any other; a text of fewer words than a
 shingle is one shingle.  Rows with equal ids are separate documents of one
 component if their texts are; where one document of a group is kept, all rows
 with its id are.  A null id takes part but is never a component_id, unless its
-component has no other id (then that is null).  A very long text is hashed whole,
-in some 70 bytes of memory for each of its words; an empty table gives an empty
+component has no other id (then that is null).  A very long text is hashed
+in pieces, so that it takes no more memory than its bytes and some MB; an empty table gives an empty
 result.  Other columns, whatever their names, are not looked at.
 """
 
 from __future__ import annotations
 
+import re
 from collections.abc import Iterator
 from itertools import combinations
 
@@ -31,29 +32,50 @@ from pyspark.sql import functions as F
 
 from geoframe.llm._shared import checkpointed, renamed, written
 
-SHINGLE_WORDS, MAX_BITS, BLOCKS = 3, 3, 6
+SHINGLE_WORDS, MAX_BITS, BLOCKS, PIECE, SLICE = 3, 3, 6, 1 << 18, 1 << 16
+_SPACE = re.compile(rb"[ \t-\r]")
 
 
-def _fingerprints(texts: list[bytes], words: int) -> np.ndarray:
+def _hashes(text: bytes, words: int) -> Iterator[np.ndarray]:
+    """Hashes of a text's shingles, those of some PIECE bytes of it at a time."""
     import xxhash
 
-    digest, hashes, sizes = xxhash.xxh64_intdigest, [], np.zeros(len(texts), np.int64)
+    digest, held, first, whole = xxhash.xxh64_intdigest, [], 0, True
+    while first < len(text):
+        cut = _SPACE.search(text, first + PIECE)
+        last = cut.start() if cut else len(text)
+        held += text[first:last].lower().split()
+        first = last
+        if len(held) > words or (not whole and len(held) >= words):
+            yield np.array([digest(s, 42) for s in map(b" ".join, zip(*(held[k:] for k in range(words)), strict=False))], "<u8")
+            held, whole = held[len(held) - words + 1 :], False
+    if whole and held:
+        yield np.array([digest(b" ".join(held), 42)], "<u8")
+
+
+def _fingerprints(texts: list[bytes], words: int) -> np.ndarray:
+    """Fingerprints of texts; bits are counted for SLICE shingles at a time, whatever texts they are of."""
+    counts, sizes = np.zeros((len(texts), 64), np.int64), np.zeros(len(texts), np.int64)
+    held: list[tuple[int, np.ndarray]] = []
+
+    def count() -> None:
+        if held:
+            bits = np.unpackbits(np.concatenate([h for _, h in held]).view(np.uint8).reshape(-1, 8), axis=1, bitorder="little")
+            n = np.array([len(h) for _, h in held])
+            np.add.at(counts, [i for i, _ in held], np.add.reduceat(bits, np.cumsum(n) - n, axis=0, dtype=np.int64))
+            held.clear()
+
+    waiting = 0
     for i, text in enumerate(texts):
-        w = text.lower().split()
-        if len(w) > words:
-            hashes += [digest(s, 42) for s in map(b" ".join, zip(*(w[k:] for k in range(words)), strict=False))]
-            sizes[i] = len(w) - words + 1
-        elif w:
-            hashes.append(digest(b" ".join(w), 42))
-            sizes[i] = 1
-    out = np.zeros(len(texts), np.uint64)
-    bits = np.unpackbits(np.array(hashes, "<u8").view(np.uint8).reshape(-1, 8), axis=1, bitorder="little")
-    full, ends = np.flatnonzero(sizes), np.cumsum(sizes)
-    if len(full):
-        counts = np.add.reduceat(bits, (ends - sizes)[full], axis=0, dtype=np.int64)
-        majority = (2 * counts > sizes[full][:, None]).astype(np.uint8)
-        out[full] = np.packbits(majority, axis=1, bitorder="little").view("<u8").ravel()
-    return out
+        for h in _hashes(text, words):
+            held.append((i, h))
+            sizes[i] += len(h)
+            waiting += len(h)
+            if waiting >= SLICE:
+                count()
+                waiting = 0
+    count()
+    return np.packbits((2 * counts > sizes[:, None]).astype(np.uint8), axis=1, bitorder="little").view("<u8").ravel()
 
 
 def fingerprints(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", words: int = SHINGLE_WORDS) -> DataFrame:
