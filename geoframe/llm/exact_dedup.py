@@ -22,8 +22,7 @@ from pyspark.sql import functions as F
 
 from geoframe.llm._shared import mixed, partitions, renamed
 
-INDEX_SCHEMA = "bucket long, sizes binary, bits binary, digests binary, winners binary, counts binary"
-NO_ID = np.iinfo(np.int64).min
+INDEX_SCHEMA = "bucket long, sizes binary, bits binary, digests binary, winners binary, known binary, counts binary"
 
 
 def text_digest(text_col: str) -> Column:
@@ -32,7 +31,7 @@ def text_digest(text_col: str) -> Column:
 
 def distinct_digests(rows: DataFrame, buckets: int) -> DataFrame:
     """(digest, id) rows -> a row per digest: winner, count and bucket. Aggregated before the shuffle."""
-    grouped = rows.groupBy("digest").agg(F.coalesce(F.max("id"), F.lit(NO_ID)).alias("winner"), F.count("*").alias("count"))
+    grouped = rows.groupBy("digest").agg(F.max("id").alias("winner"), F.count("*").alias("count"))
     return grouped.withColumn("bucket", F.pmod(F.xxhash64("digest"), F.lit(buckets)))
 
 
@@ -79,6 +78,12 @@ def _digests(column: pa.ChunkedArray) -> np.ndarray:
     return np.frombuffer(b"".join(column.to_pylist()), np.uint8).reshape(-1, 32)
 
 
+def _winners(table: pa.Table) -> tuple[np.ndarray, np.ndarray]:
+    """The winners' ids, 0 where there is none, and whether there is one."""
+    ids = table.column("winner")
+    return ids.fill_null(0).to_numpy().astype(np.int64), ids.is_valid().to_numpy().astype(bool)
+
+
 def build_index(distinct: DataFrame) -> DataFrame:
     """distinct_digests() -> a row per bucket with the hash function and the slots."""
 
@@ -86,10 +91,11 @@ def build_index(distinct: DataFrame) -> DataFrame:
         digests = _digests(table.column("digest"))
         sizes, bits, slot = _levels(_keys(digests))
         order = np.argsort(slot)
-        long = lambda name: table.column(name).to_numpy()[order].astype(np.int64).tobytes()
+        winner, known = (x[order] for x in _winners(table))
         return pa.table({
             "bucket": pa.array([table.column("bucket")[0].as_py()], pa.int64()), "sizes": [sizes.tobytes()], "bits": [np.packbits(bits).tobytes()],
-            "digests": [digests[order].tobytes()], "winners": [long("winner")], "counts": [long("count")],
+            "digests": [digests[order].tobytes()], "winners": [winner.tobytes()], "known": [known.tobytes()],
+            "counts": [table.column("count").to_numpy()[order].astype(np.int64).tobytes()],
         })
 
     return distinct.groupBy("bucket").applyInArrow(build, INDEX_SCHEMA)
@@ -100,21 +106,24 @@ def resolve(new: DataFrame, index: DataFrame) -> DataFrame:
 
     def look(mine: pa.Table, theirs: pa.Table) -> pa.Table:
         digests = _digests(mine.column("digest"))
-        winner, count = (mine.column(c).to_numpy().astype(np.int64) for c in ("winner", "count"))
+        (winner, known), count = _winners(mine), mine.column("count").to_numpy().astype(np.int64)
         if theirs.num_rows:
             row = theirs.to_pylist()[0]
             sizes, held = np.frombuffer(row["sizes"], np.int64), np.frombuffer(row["digests"], np.uint8).reshape(-1, 32)
             bits = np.unpackbits(np.frombuffer(row["bits"], np.uint8), count=int(sizes.sum())).astype(bool)
             best, number = (np.frombuffer(row[c], np.int64).copy() for c in ("winners", "counts"))
+            sure = np.frombuffer(row["known"], bool).copy()
             slot = _slots(_keys(digests), sizes, bits)
             member = slot >= 0
             member[member] = (held[slot[member]] == digests[member]).all(axis=1)
             own = slot[member]
-            best[own] = np.maximum(best[own], winner[member])
+            better = known[member] & (~sure[own] | (winner[member] > best[own]))
+            best[own] = np.where(better, winner[member], best[own])
+            sure[own] |= known[member]
             number[own] += count[member]
             digests = np.concatenate([held, digests[~member]])
-            winner, count = np.concatenate([best, winner[~member]]), np.concatenate([number, count[~member]])
-        return pa.table({"digest": pa.array([d.tobytes() for d in digests], pa.binary()), "winner": winner, "count": count})
+            winner, known, count = (np.concatenate([x, y[~member]]) for x, y in ((best, winner), (sure, known), (number, count)))
+        return pa.table({"digest": pa.array([d.tobytes() for d in digests], pa.binary()), "winner": pa.array(winner, mask=~known), "count": count})
 
     return new.groupBy("bucket").cogroup(index.groupBy("bucket")).applyInArrow(look, "digest binary, winner long, count long")
 
@@ -141,21 +150,22 @@ def exact_duplicates(docs: DataFrame, history: Column | None = None, id_col: str
     rows together, so that a skewed join can be split.
     """
     found = resolved_digests(docs, older_half(docs, id_col) if history is None else history, id_col, text_col)
-    rows = docs.select(F.col(id_col).alias("own"), F.coalesce(F.col(id_col).cast("long"), F.lit(NO_ID)).alias("id"), text_digest(text_col).alias("digest"))
+    rows = docs.select(F.col(id_col).alias("own"), F.col(id_col).cast("long").alias("id"), text_digest(text_col).alias("digest"))
     nth = F.row_number().over(Window.partitionBy("digest", "id").orderBy("id"))
     joined = rows.withColumn("nth", nth).join(found, "digest")
     return joined.select(
-        F.col("own").alias(id_col), F.nullif("winner", F.lit(NO_ID)).alias("keep_id"), F.col("count").alias("group_size"),
-        ((F.col("id") == F.col("winner")) & (F.col("nth") == 1)).alias("kept"), F.lower(F.hex("digest")).alias("text_sha256"),
+        F.col("own").alias(id_col), F.col("winner").alias("keep_id"), F.col("count").alias("group_size"),
+        (F.col("id").eqNullSafe(F.col("winner")) & (F.col("nth") == 1)).alias("kept"), F.lower(F.hex("digest")).alias("text_sha256"),
     )
 
 
 def drop_exact_duplicates(docs: DataFrame, history: Column | None = None, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """docs with one row of each text, all columns as they were."""
     found = resolved_digests(docs, older_half(docs, id_col) if history is None else history, id_col, text_col)
-    winners = found.select("digest", F.col("winner").alias("id"))
+    winners = found.select(F.col("digest").alias("__digest"), "winner")
     own, (at, text) = renamed(docs, id_col, text_col)
-    rows = own.withColumn("digest", text_digest(text)).withColumn("id", F.coalesce(F.col(at).cast("long"), F.lit(NO_ID)))
+    rows = own.withColumn("digest", text_digest(text)).withColumn("id", F.col(at).cast("long"))
     nth = F.row_number().over(Window.partitionBy("digest", "id").orderBy("digest", "id"))
-    kept = rows.join(winners, ["digest", "id"], "left_semi").withColumn("nth", nth).filter("nth = 1")
+    won = (F.col("digest") == F.col("__digest")) & F.col("id").eqNullSafe(F.col("winner"))
+    kept = rows.join(winners, won, "left_semi").withColumn("nth", nth).filter("nth = 1")
     return kept.select(*own.columns).toDF(*docs.columns)
