@@ -155,9 +155,12 @@ class _Pool:
 
 def packed_pieces(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", prompt_col: str | None = None, name: str = "byte_bpe_50k", tokens: int = TOKENS, segments: int = SEGMENTS, loss_tokens: int | None = None) -> DataFrame:
     """A row per piece. Tokens of prompt_col, where given, go before the text's and bear no loss; all others do."""
+    loss = tokens if loss_tokens is None else loss_tokens
+    if min(tokens, segments, loss) < 1:
+        raise ValueError("each limit of a sequence is at least 1")
 
     def pack(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        pool = _Pool(tokens, segments, loss_tokens or tokens, TaskContext.get().partitionId() << 36)
+        pool = _Pool(tokens, segments, loss, TaskContext.get().partitionId() << 36)
         for batch in batches:
             ids, prompts, texts = batch.columns
             for k in range(batch.num_rows):
