@@ -102,14 +102,43 @@ def _miss() -> Column:
     return F.sqrt(F.pow(a - F.col("t_line"), 2) + F.pow(b - F.col("t_samp"), 2))
 
 
-def _vote(corr: DataFrame, maps: DataFrame, by: str, thr: Column) -> DataFrame:
-    """The map of each group with the most points under thr (the first of equal ones).
+#: Shares of the points that the rounds of a vote read, the chance that a round drops a map wrongly, and the chance that none of the maps that are kept is free of outliers.
+ROUNDS, DOUBT, MISSED = (1 / 64, 1 / 8, 1.0), 1e-9, 1e-6
 
-    Every point meets its group's maps, a bounded number; votes are summed before they are shuffled.
+
+def _survivors(votes: DataFrame, by: str, size: int) -> DataFrame:
+    """Maps (by, hyp) that may still win, by votes on a part of the points.
+
+    A map is dropped whose share of votes is, by Hoeffding's bound, below that of the
+    best one; so is one whose number comes after as many as are needed for one of them
+    to be drawn from inliers alone, of which there are at least the best one's share.
+    """
+    c = F.col
+    reach = F.sqrt(F.log(F.lit(2 / DOUBT)) / (2 * c("n")))
+    bounds = votes.select(by, "hyp", (c("votes") / c("n") - reach).alias("low"), (c("votes") / c("n") + reach).alias("high"))
+    best = bounds.groupBy(by).agg(F.max("low").alias("best"))
+    clean = F.pow(F.greatest("best", F.lit(0.0)), size)
+    needed = F.when(clean >= 1, 1.0).when(clean > 0, F.log(F.lit(MISSED)) / F.log(1 - clean)).otherwise(F.lit(float("inf")))
+    return bounds.join(best, by).filter((c("high") >= c("best")) & ((c("hyp") < needed) | (c("low") == c("best")))).select(by, "hyp")
+
+
+def _vote(corr: DataFrame, maps: DataFrame, by: str, thr: Column, size: int = 3) -> DataFrame:
+    """The map of each group with the most points under thr (the first of equal ones); maps are drawn from `size` points each.
+
+    Points are read in rounds, each a larger share of them by hash; what a round leaves
+    of the maps goes on, and the last round reads every point, so that few of some
+    hundred maps meet all points.  Votes are summed before they are shuffled.
     """
-    votes = corr.join(maps.select(by, "hyp", *geo.AFFINE), by).groupBy(by, "hyp").agg(F.count_if(_miss() < thr).alias("votes"))
+    left = checkpointed(maps.select(by, "hyp", *geo.AFFINE))
+    place = F.pmod(F.xxhash64(*L, *T), F.lit(1 << 20)) / F.lit(float(1 << 20))
+    for share in ROUNDS:
+        seen = corr if share == 1 else corr.filter(place < share)
+        votes = seen.join(left, by).groupBy(by, "hyp").agg(F.count_if(_miss() < thr).alias("votes"), F.count("*").alias("n"))
+        if share < 1:  # a group that has no point in this part keeps its maps
+            dropped = votes.select(by, "hyp").join(_survivors(votes, by, size), [by, "hyp"], "left_anti")
+            left = checkpointed(left.join(dropped, [by, "hyp"], "left_anti"))
     best = votes.groupBy(by).agg(F.min(F.struct((-F.col("votes")).alias("v"), "hyp")).alias("b"))
-    return maps.select(by, "hyp", *geo.AFFINE).join(best.select(by, F.col("b.hyp").alias("hyp")), [by, "hyp"])
+    return left.join(best.select(by, F.col("b.hyp").alias("hyp")), [by, "hyp"])
 
 
 def robust_affine(corr: DataFrame, by: str = "image_id", conf_thr: float = 0.7, slack: float = 5.0, hypotheses: int = 200, seed: int = 0) -> DataFrame:
@@ -186,29 +215,22 @@ def _terms(p: np.ndarray, l: np.ndarray, h: np.ndarray) -> np.ndarray:  # noqa:
     return np.stack([p**a * l**b * h**c for a, b, c in sensor.POWERS], axis=1)
 
 
-def inverse_models(models: DataFrame, xy: int = 30, z: int = 20, ridge: float = 1.0, steps: int = 1000) -> DataFrame:
-    """models with latnum, latden, lonnum and londen fitted to the direct model, per image.
+def _ratios(nodes: DataFrame, inputs: tuple, outputs: tuple, names: tuple, ridge: float, steps: int) -> DataFrame:
+    """Per image two ratios of 20-term polynomials of the inputs that give the outputs, as arrays called names (numerator and denominator of each).
 
-    Spark makes the lattice and projects it; each image's normal equations (two
-    blocks of 39 unknowns) are sums over its nodes, made in Spark too, and only they
-    are solved in Python.
+    Each image's normal equations (two blocks of 39 unknowns) are sums over its
+    nodes, made in Spark, and only they are solved in Python.
     """
-    plain = models.withColumns({c: F.lit(v) for c, v in geo.IDENTITY.items()})
-    nodes = sensor.object_to_image(sensor.virtual_lattice(models, xy, z), plain)
-    df = sensor.with_model(nodes, models, sensor.NORMALIZERS)
-    norm = lambda c: (F.col(c) - F.col(f"{c}_off")) / F.col(f"{c}_scale")
-    # whether a node is in the image is decided in sums(): as a filter it would repeat the whole projection
-    rows = df.select("image_id", *(norm(c).alias(c) for c in ("samp", "line", "h", "lat", "lon")))
 
     def sums(batches):  # noqa: ANN001, ANN202
         """Partial normal matrices of each image in a batch."""
         for pdf in batches:
             out = []
-            pdf = pdf[(pdf["line"].abs() <= 1) & (pdf["samp"].abs() <= 1)]
+            pdf = pdf[pdf["kept"]]
             for image, part in pdf.groupby("image_id"):
-                t = _terms(*(part[c].to_numpy() for c in ("samp", "line", "h")))
+                t = _terms(*(part[c].to_numpy() for c in inputs))
                 blocks = []
-                for target in ("lat", "lon"):
+                for target in outputs:
                     y = part[target].to_numpy()
                     a = np.hstack([t, -y[:, None] * t[:, 1:]])
                     blocks.append(np.hstack([a.T @ a, (a.T @ y)[:, None]]).ravel().tolist())
@@ -216,7 +238,7 @@ def inverse_models(models: DataFrame, xy: int = 30, z: int = 20, ridge: float =
             yield pd.DataFrame(out, columns=["image_id", "u", "v"])
 
     size = 39 * 40
-    partial = rows.mapInPandas(sums, "image_id int, u array<double>, v array<double>")
+    partial = nodes.mapInPandas(sums, "image_id int, u array<double>, v array<double>")
     long = partial.select("image_id", F.posexplode(F.arrays_zip("u", "v")).alias("k", "s")).groupBy("image_id", "k").agg(F.sum("s.u").alias("u"), F.sum("s.v").alias("v"))
     whole = long.groupBy("image_id").agg(F.sort_array(F.collect_list(F.struct("k", "u", "v"))).alias("m"))
 
@@ -237,12 +259,35 @@ def inverse_models(models: DataFrame, xy: int = 30, z: int = 20, ridge: float =
                             break
                     row += [x[:20].tolist(), [1.0, *x[20:].tolist()]]
                 out.append(row)
-            yield pd.DataFrame(out, columns=["image_id", *sensor.INVERSE])
+            yield pd.DataFrame(out, columns=["image_id", *names])
 
-    fitted = whole.filter(F.size("m") == size).mapInPandas(solve, "image_id int, " + ", ".join(f"{c} array<double>" for c in sensor.INVERSE))
+    return whole.filter(F.size("m") == size).mapInPandas(solve, "image_id int, " + ", ".join(f"{c} array<double>" for c in names))
+
+
+def _normalized(nodes: DataFrame, models: DataFrame, kept: Column) -> DataFrame:
+    """Nodes in units of their model's normalizers. Which are kept is a column: as a filter it would repeat the whole projection."""
+    df = sensor.with_model(nodes, models, sensor.NORMALIZERS)
+    norm = lambda c: (F.col(c) - F.col(f"{c}_off")) / F.col(f"{c}_scale")
+    return df.select("image_id", *(norm(c).alias(c) for c in ("samp", "line", "h", "lat", "lon"))).withColumn("kept", kept)
+
+
+def inverse_models(models: DataFrame, xy: int = 30, z: int = 20, ridge: float = 1.0, steps: int = 1000) -> DataFrame:
+    """models with latnum, latden, lonnum and londen fitted to the direct model, per image, over the nodes of a lattice that lie in the image."""
+    plain = models.withColumns({c: F.lit(v) for c, v in geo.IDENTITY.items()})
+    nodes = sensor.object_to_image(sensor.virtual_lattice(models, xy, z), plain)
+    inside = (F.abs("line") <= 1) & (F.abs("samp") <= 1)
+    fitted = _ratios(_normalized(nodes, models, inside), ("samp", "line", "h"), ("lat", "lon"), sensor.INVERSE, ridge, steps)
     return models.drop(*sensor.INVERSE).join(fitted, "image_id").select(*models.columns)
 
 
+def merged_models(models: DataFrame, xy: int = 30, z: int = 20, ridge: float = 1e-6, steps: int = 1000) -> DataFrame:
+    """models whose affine corrections are taken into their polynomials: direct ones fitted to the corrected projection over a lattice, inverse ones to these, and no correction left."""
+    nodes = sensor.object_to_image(sensor.virtual_lattice(models, xy, z), models)
+    fitted = _ratios(_normalized(nodes, models, F.lit(True)), ("lat", "lon", "h"), ("line", "samp"), sensor.DIRECT, ridge, steps)
+    direct = models.drop(*sensor.DIRECT).join(fitted, "image_id").withColumns({c: F.lit(v) for c, v in geo.IDENTITY.items()})
+    return inverse_models(checkpointed(direct.select(*models.columns)), xy, z)
+
+
 def affine_regularity(corr: DataFrame, by: str = "image_id") -> DataFrame:
     """Mean distance of the fitted affine's image of local positions from the positions themselves, over the points that a fit keeps (conf > 0.5, sample deviation)."""
     kept = trim_residuals(corr.filter("conf > 0.5"), by, "samp")

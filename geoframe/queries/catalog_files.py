@@ -154,6 +154,15 @@ def d11_crop_samples(t: Tables) -> DataFrame:
     return reduce(DataFrame.unionByName, map(part, ("image", "x", "y", "h", "residual")))
 
 
+@query("SELECT image_id, CAST(75 AS BIGINT) AS n_nodes, true AS equal FROM sensor_models")
+def a12_merged_models(t: Tables) -> DataFrame:
+    """Models that took their corrections into their polynomials: whether they project as the corrected ones do, to a thousandth of a cell."""
+    nodes = sensor.object_to_image(sensor.virtual_lattice(t.corrected_models, 5, 3), t.corrected_models, line="line0", samp="samp0")
+    at = sensor.object_to_image(nodes, fit.merged_models(t.corrected_models, 12, 6))
+    off = F.greatest(F.abs(F.col("line") - F.col("line0")), F.abs(F.col("samp") - F.col("samp0")))
+    return at.groupBy("image_id").agg(F.count("*").alias("n_nodes"), (F.max(off) < 1e-3).alias("equal"))
+
+
 # --- from images on ----------------------------------------------------------
 
 

@@ -9,7 +9,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from geoframe.functions import ordered
-from geoframe.operators import metrics, overlap, raster, tiles
+from geoframe.operators import fit, metrics, overlap, raster, tiles
 from geoframe.plans import jobs
 from tests.test_geometry import cells
 
@@ -247,3 +247,37 @@ def test_correspondences_between_elements(spark):
             f = [(w * own.feature[best.index].map(lambda v, k=k: v[k])).sum() / w.sum() for k in range(3)]
             assert r.conf == pytest.approx(conf) and r.x == pytest.approx(10 * f[0] + 12245001 - p.image_id) and r.y == pytest.approx(10 * f[2] + 3503000)
     assert len(rows) == want > 10
+
+
+def outlier_points(spark, n=20000):
+    """Correspondences of two images, two fifths of them far off in any direction."""
+    c = spark.range(n).selectExpr("CAST(id % 2 AS INT) AS image_id", "CAST((id * 7919) % 10000 AS DOUBLE) AS l_line", "CAST((id * 104729) % 9973 AS DOUBLE) AS l_samp", "1D AS conf", "((id * 41) % 21 - 10) / 10.0D AS e", "IF((id * 48271) % 100 < 40, (xxhash64(id) % 4001) / 10, 0) AS off")
+    return c.selectExpr("image_id", "l_line", "l_samp", "conf", "1.0005D * l_line + 3e-4D * l_samp + 12.5D + e + off AS t_line", "-2e-4D * l_line + 0.9997D * l_samp - 8D - e + off / 2 AS t_samp")
+
+
+def test_votes_in_rounds_find_the_same_inliers(spark, monkeypatch):
+    df, kept = outlier_points(spark), []
+    real = fit._survivors
+    monkeypatch.setattr(fit, "_survivors", lambda *a: kept.append(real(*a)) or kept[-1])
+    got = {r.image_id: r for r in fit.ransac_rigid(df, thr=6.0, hypotheses=150).collect()}
+    left = [k.count() for k in kept]
+    monkeypatch.setattr(fit, "ROUNDS", (1.0,))
+    want = {r.image_id: r for r in fit.ransac_rigid(df, thr=6.0, hypotheses=150).collect()}
+    assert left[1] <= left[0] < 300 and left[1] < 200
+    for k in want:
+        assert got[k].n_inliers == pytest.approx(want[k].n_inliers, rel=2e-3)
+        assert got[k].a02 == pytest.approx(want[k].a02, abs=0.05)
+
+
+def test_merged_models_project_as_before(spark):
+    from geoframe.functions import geo
+    from geoframe.operators import sensor
+    from tests.test_geometry import model_rows, models_df
+
+    models = models_df(spark, model_rows(2, 0.7))
+    merged = fit.merged_models(models, 12, 6)
+    assert merged.select(*geo.AFFINE).distinct().collect() == [tuple(geo.IDENTITY[c] for c in geo.AFFINE)]
+    nodes = sensor.object_to_image(sensor.object_to_image(sensor.virtual_lattice(models, 5, 3), models, line="l0", samp="s0"), merged)
+    worst = nodes.agg(F.max(F.greatest(F.abs(F.col("line") - F.col("l0")), F.abs(F.col("samp") - F.col("s0"))))).first()[0]
+    assert worst < 1e-3
+    assert sensor.round_trip(merged, 5, 5).agg(F.max("max_error")).first()[0] < 0.05
