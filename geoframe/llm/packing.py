@@ -11,8 +11,10 @@ Each partition packs for itself in one pass, holding a bounded pool of pieces;
 nothing is shuffled.  Sequence numbers are unique over partitions.
 
 Defined results: a null text counts as empty and gives the end id alone; rows
-with equal ids are packed as separate documents; other columns are not looked at;
-an empty table gives an empty result.
+with equal ids are packed as separate documents; of pieces with equal products the
+one that is first in the pool is taken; a very long text is tokenized whole (its
+memory was not measured) and cut into pieces; other columns are not looked at; an
+empty table gives an empty result.
 """
 
 from __future__ import annotations

@@ -1,7 +1,7 @@
 """Near copies by shingle sets: texts whose sets of five-word shingles are alike to JACCARD or more.
 
 MinHash signatures in BANDS bands of ROWS values propose pairs, which are then
-checked by the exact similarity of their shingle sets.  A pair of similarity 0.8
+checked by the similarity of their whole sets of 64-bit shingle hashes.  A pair of similarity 0.8
 shares a band with probability 1 - (1 - 0.8**5)**20 = 0.9996.
 
 Rows of all bands are put in one order, by (band's value, next band's value,

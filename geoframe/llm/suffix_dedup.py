@@ -19,10 +19,11 @@ Every block of documents sends its distinct keys once per bucket, however often
 they occur, and gets one byte back for each.  A string that a block meets in several
 contexts is sent once, as open, so that a common string has one entry per block.
 
-Equality is decided on 128 bits in both rounds: 64 of the string at the anchor, and
-64 of the context or window.  Two different windows count as one only if both agree
-by chance, for some pair among m windows with probability m*m / 2**129 (below 1e-10
-for 10**14).  Equal windows are never missed.
+Equality in the first round is decided on 64 bits of the string at the anchor and 64 of
+the context.  In the second, windows of one anchor have its string in common, so
+that only the window's own 64 bits (of a polynomial hash) tell them apart: of m
+different windows about one string some two count as one with a chance of about
+m*m / 2**65.  Equal windows are never missed.
 
 Defined results: a null text counts as empty; texts shorter than LENGTH keep all
 bytes; repeated rows are repeats of each other, so that all of a long copied text

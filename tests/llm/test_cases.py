@@ -9,6 +9,7 @@ from collections import Counter
 
 import numpy as np
 import pytest
+from pyspark import cloudpickle
 
 from geoframe.llm import _shared, ann, exact_dedup, license_scan, lm_scoring, mixing, pii, quality, queries, shingles, simhash, suffix_dedup
 from tests.llm.test_documents import plain_words
@@ -152,6 +153,7 @@ def test_digests_that_share_words_part():
 @pytest.mark.parametrize("bits", [64, 16, 6])
 def test_repeats_do_not_rest_on_one_hash(spark, monkeypatch, bits):
     """Colliding hashes of strings at anchors change nothing: contexts and windows decide too."""
+    cloudpickle.register_pickle_by_value(suffix_dedup)  # so that the workers get the cut too
     monkeypatch.setattr(suffix_dedup, "string_keys", lambda h: _shared.mixed(h) & np.uint64((1 << bits) - 1))
     rng = np.random.default_rng(bits)
     base = bytes(rng.integers(97, 123, 1500).astype(np.uint8)).decode()
@@ -163,6 +165,7 @@ def test_repeats_do_not_rest_on_one_hash(spark, monkeypatch, bits):
         for k in range(len(t) - 199):
             cover |= set(range(k, k + 200)) if count[t[k : k + 200]] > 1 else set()
         assert (r.n_removed, r.n_bytes) == (len(cover), len(t))
+    cloudpickle.unregister_pickle_by_value(suffix_dedup)
 
 
 def test_counts_beyond_32_bits():
