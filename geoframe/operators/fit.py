@@ -319,9 +319,10 @@ def average_transforms(first: DataFrame, second: DataFrame, on: str = "image_id"
 
 
 def budget_sample(df: DataFrame, by: str, budget: int, seed: int = 0, key: str = "patch_id") -> DataFrame:
-    """Of each batch the same share of rows, at most `budget` in all; pseudo-random by hash."""
-    total = df.count()
-    share = min(budget / total, 1.0) if total else 1.0
+    """Of each batch the same share of rows, at most `budget` in all: those least by an md5 of key and seed. A batch may be of any size."""
     counts = df.groupBy(by).agg(F.count("*").alias("__n"))
-    n = F.row_number().over(Window.partitionBy(by).orderBy(F.xxhash64(key, F.lit(seed)), key))
-    return df.withColumn("__k", n).join(counts, by).filter(F.col("__k") <= F.floor(F.lit(share) * F.col("__n"))).select(*df.columns)
+    total = counts.agg(F.sum("__n")).first()[0]
+    share = min(budget / total, 1.0) if total else 1.0
+    drawn = df.withColumn("__draw", F.md5(F.concat_ws("|", F.col(key).cast("string"), F.lit(str(seed)))))
+    ranked = ordered.numbered(ordered.in_ranges(drawn, [by], ["__draw", key]), [by], ["__draw", key], "__k")
+    return ordered.same(ranked, counts, [by]).filter(F.col("__k") <= F.floor(F.lit(share) * F.col("__n"))).select(*df.columns)

@@ -591,23 +591,37 @@ def j16_resample_quad(t: Tables) -> DataFrame:
     return raster.resample_quad(t.dem, q, (11, 21), (height, 100)).select("quad_id", "trow", "tcol", "value")
 
 
-_EDGES = "SELECT quad_id, k, CASE k WHEN 0 THEN x0 WHEN 1 THEN x1 WHEN 2 THEN x2 ELSE x3 END AS ax, CASE k WHEN 0 THEN y0 WHEN 1 THEN y1 WHEN 2 THEN y2 ELSE y3 END AS ay, CASE k WHEN 0 THEN x1 WHEN 1 THEN x2 WHEN 2 THEN x3 ELSE x0 END AS bx, CASE k WHEN 0 THEN y1 WHEN 1 THEN y2 WHEN 2 THEN y3 ELSE y0 END AS b_y FROM quads, (SELECT UNNEST(range(4)) AS k)"
-POLYGON = {
-    "edges": _EDGES,
-    "spots": "SELECT DISTINCT round(x, 6) AS x, round(y, 6) AS y FROM (SELECT ax AS x, ay AS y FROM edges UNION ALL SELECT p.ax + u * (p.bx - p.ax), p.ay + u * (p.b_y - p.ay) FROM (SELECT p, q, ((q.ax - p.ax) * (q.b_y - q.ay) - (q.ay - p.ay) * (q.bx - q.ax)) / nullif((p.bx - p.ax) * (q.b_y - q.ay) - (p.b_y - p.ay) * (q.bx - q.ax), 0) AS u FROM edges p JOIN edges q ON p.quad_id < q.quad_id) WHERE u IS NOT NULL)",
-}
+def polygon_sql(quads: str) -> dict[str, str]:
+    """SQL of common_polygon() over a table of clockwise quads, as tables edges, spots (all crossings of edges' lines) and area (those in all quads)."""
+    corner = lambda a, k: f"CASE k {' '.join(f'WHEN {n} THEN {a}{(n + k) % 4}' for n in range(4))} END"
+    u = "((q.ax - p.ax) * (q.b_y - q.ay) - (q.ay - p.ay) * (q.bx - q.ax)) / nullif((p.bx - p.ax) * (q.b_y - q.ay) - (p.b_y - p.ay) * (q.bx - q.ax), 0)"
+    outside = "((bx - ax) * (y - ay) - (b_y - ay) * (x - ax)) / sqrt(pow(bx - ax, 2) + pow(b_y - ay, 2))"
+    return {
+        "edges": f"""
+            SELECT quad_id, k, {corner("x", 0)} AS ax, {corner("y", 0)} AS ay, {corner("x", 1)} AS bx, {corner("y", 1)} AS b_y
+            FROM {quads}, (SELECT UNNEST(range(4)) AS k)""",
+        "spots": f"""
+            SELECT DISTINCT round(x, 6) AS x, round(y, 6) AS y FROM (
+                SELECT ax AS x, ay AS y FROM edges
+                UNION ALL SELECT p.ax + u * (p.bx - p.ax), p.ay + u * (p.b_y - p.ay)
+                FROM (SELECT p, q, {u} AS u FROM edges p JOIN edges q ON p.quad_id < q.quad_id) WHERE u IS NOT NULL)""",
+        "area": f"SELECT x, y FROM spots, edges GROUP BY x, y HAVING max({outside}) <= 1e-5",
+    }
 
 
-@query(f"SELECT {r('x', 'y')} FROM spots, edges GROUP BY x, y HAVING max(((bx - ax) * (y - ay) - (b_y - ay) * (x - ax)) / sqrt(pow(bx - ax, 2) + pow(b_y - ay, 2))) <= 1e-5", POLYGON)
+@query(f"SELECT {r('x', 'y')} FROM area", polygon_sql("quads"))
 def j18_common_polygon(t: Tables) -> DataFrame:
     return overlap.common_polygon(t.quads).select("x", "y")
 
 
+#: Cell of dem_world under lat, lon.
+WORLD_CELL = tuple(f"CAST(trunc({v}) AS INTEGER)" for v in ("(4e-5 * (lat - 30003e-3)) / (4e-5 * -4e-5)", "(-4e-5 * (lon - 109998e-3)) / (4e-5 * -4e-5)"))
+
+
 def heights_sql(dem: str, rounds: int = 3) -> dict[str, str]:
     """SQL of heights_by_iteration() over tie points and a raster like dem_world, as tables h0, h1, ..."""
     tables = {"h0": f"SELECT image_id, point_id, line, samp, (SELECT avg(value) FROM {dem} WHERE value <> -9999) AS h FROM tie_points"}
-    cell = "CAST(trunc({}) AS INTEGER)"
-    row, col = cell.format("(4e-5 * (lat - 30003e-3)) / (4e-5 * -4e-5)"), cell.format("(-4e-5 * (lon - 109998e-3)) / (4e-5 * -4e-5)")
+    row, col = WORLD_CELL
     for k in range(rounds):
         placed = ground_sql(f"SELECT * FROM h{k}", "image_id, point_id, line, samp, h")
         tables[f"h{k + 1}"] = f"SELECT image_id, point_id, line, samp, coalesce(v.value, h) AS h FROM (SELECT *, {row} AS row, {col} AS col FROM ({placed})) LEFT JOIN (SELECT row, col, value FROM {dem} WHERE value <> -9999) v USING (row, col)"

@@ -14,8 +14,8 @@ from geoframe.functions.lineage import shared_folder
 from geoframe.operators import fit, metrics, neighbors, overlap, raster, sensor, tiling
 from geoframe.plans import jobs
 from geoframe.queries.catalog import (
-    ADDED, HEIGHT, KNOWN_TIES, LAT_SQL, LON_SQL, PLAIN, SCHEDULE, SHIFTED, TRIMMED, Tables, bilinear_sql, draw_sql, ground_sql, heights_sql, image_sql, known_ties, pair_cells,
-    query, r, tie_ground,
+    ADDED, HEIGHT, KNOWN_TIES, LAT_SQL, LON_SQL, PLAIN, SCHEDULE, SHIFTED, TRIMMED, WORLD_CELL, X_SQL, Y_SQL, Tables, bilinear_sql, draw_sql, ground_sql, heights_sql, image_sql,
+    known_ties, pair_cells, polygon_sql, query, r, tie_ground,
 )
 from geoframe.sources import files
 
@@ -460,9 +460,18 @@ def t2_lowest_n_cyclic(t: Tables) -> DataFrame:
     return metrics.lowest_n_cyclic(t.residuals.filter("value IS NOT NULL"), "image_id", ["value", "row", "col"], 2000).select("image_id", "position", "value")
 
 
-@query("SELECT image_id, CAST(floor(least(100e0 / (SELECT count(*) FROM patches), 1) * count(*)) AS BIGINT) AS n FROM patches GROUP BY image_id")
+BUDGET = """
+SELECT patch_id, image_id FROM (
+    SELECT patch_id, image_id, count(*) OVER (PARTITION BY image_id) AS n, count(*) OVER () AS total,
+        row_number() OVER (PARTITION BY image_id ORDER BY md5(concat_ws('|', patch_id, 0)), patch_id) AS k
+    FROM patches)
+WHERE k <= floor(least(100e0 / total, 1) * n)
+"""
+
+
+@query(BUDGET)
 def t3_budget_sample(t: Tables) -> DataFrame:
-    return fit.budget_sample(t.patches, "image_id", 100).groupBy("image_id").agg(F.count("*").alias("n"))
+    return fit.budget_sample(t.patches, "image_id", 100).select("patch_id", "image_id")
 
 
 @query("SELECT image_id AS pair_id FROM footprints ORDER BY md5(concat_ws('|', image_id, 3)), image_id")
@@ -523,17 +532,24 @@ def linear_predictor(pdf: pd.DataFrame) -> pd.DataFrame:
     return pd.DataFrame({"x": pdf["samp"] / 400.0, "y": -pdf["line"] / 320.0, "h": (pdf["patch_id"] % 40) / 40.0})
 
 
-def one_grid(t: Tables) -> DataFrame:
-    return t.raw("region").selectExpr("CAST(min(r_regionkey) AS INT) AS grid_id").selectExpr("grid_id", "array(800D, 12245000D) AS cx", "array(640D, 3503000D) AS cy", "array(40D, 200D) AS ch")
+def region_grids(t: Tables) -> DataFrame:
+    """A grid for each region, each a metre east of the one before."""
+    polynomials = "array(800D, 12245000D + r_regionkey) AS cx", "array(640D, 3503000D) AS cy", "array(40D, 200D) AS ch"
+    return t.raw("region").selectExpr("CAST(r_regionkey AS INT) AS grid_id", *polynomials)
 
 
 def grid_patches(t: Tables) -> DataFrame:
-    return t.patches.withColumn("grid_id", F.lit(0))
+    """Patches dealt to the grids of region_grids()."""
+    return t.patches.withColumn("grid_id", (F.col("patch_id") % 5).cast("int"))
 
 
-@query(f"SELECT patch_id, image_id, {r('(samp / 400e0) * 800 + 12245000 AS x', '(-line / 320e0) * 640 + 3503000 AS y', '(patch_id % 40) / 40e0 * 40 + 200 AS h')} FROM patches")
+PREDICTED = "(samp / 400e0) * 800 + 12245000 + grid_id AS x", "(-line / 320e0) * 640 + 3503000 AS y", "(patch_id % 40) / 40e0 * 40 + 200 AS h"
+GRIDDED = {"gridded": "SELECT *, CAST(patch_id % 5 AS INTEGER) AS grid_id FROM patches"}
+
+
+@query(f"SELECT grid_id, patch_id, image_id, {r(*PREDICTED)} FROM gridded", GRIDDED)
 def d1_predict_ground(t: Tables) -> DataFrame:
-    return jobs.predict_ground(grid_patches(t), one_grid(t), linear_predictor).select("patch_id", "image_id", "x", "y", "h")
+    return jobs.predict_ground(grid_patches(t), region_grids(t), linear_predictor).select("grid_id", "patch_id", "image_id", "x", "y", "h")
 
 
 WINDOWS = "SELECT image_id, quad_id AS window_id, i, j, quad_id AS r0, 10 * quad_id AS c0, ((quad_id * 13 + i * 7 + j * 3 + image_id) % 10) / 10e0 AS conf FROM quads, (SELECT UNNEST([0, 1]) AS i), (SELECT UNNEST([0, 1]) AS j), (SELECT UNNEST([0, 1, 2, 3]) AS image_id)"
@@ -549,7 +565,7 @@ def d2_build_patches(t: Tables) -> DataFrame:
 
 @query()
 def d3_adjust_images(t: Tables) -> DataFrame:
-    return jobs.adjust_images(grid_patches(t), one_grid(t), linear_predictor, t.sensor_models, conf_thr=0.3).select("image_id", *geo.AFFINE)
+    return jobs.adjust_images(grid_patches(t), region_grids(t), linear_predictor, t.sensor_models, conf_thr=0.3).select("image_id", *geo.AFFINE)
 
 
 _CORNERS = "(VALUES (0, 0, 'low'), (0, 1, 'low'), (1, 0, 'high'), (1, 1, 'high')) v(i, j, side)"
@@ -579,7 +595,30 @@ def d6_prepare_heights(t: Tables) -> DataFrame:
     return jobs.prepare_heights(t.tie_points.withColumn("raster_id", F.lit("dem")), t.dem_world, t.geoid, t.rasters, t.sensor_models, "geoid")
 
 
-@query()
+_SHARED = ", ".join(f"max({a}) FILTER (k = {k}) AS {a}{k}" for a in "xy" for k in range(4))
+COMMON = PLAIN | {
+    "scenes": "SELECT image_id, max(row) + 1 AS height, max(col) + 1 AS width FROM dem GROUP BY image_id",
+    "corners": """
+        SELECT s.image_id, k, row AS line, col AS samp, value AS h
+        FROM (SELECT * FROM scenes, (VALUES (0, 0, 0), (1, 0, 1), (2, 1, 1), (3, 1, 0)) v(k, i, j)) s
+        JOIN dem d ON d.image_id = s.image_id AND row = (height - 1) * i AND col = (width - 1) * j""",
+    "risen": ground_sql("SELECT * FROM corners", "image_id, k"),
+    "shared": f"SELECT image_id AS quad_id, {_SHARED} FROM (SELECT image_id, k, {X_SQL.format(lon='lon')} AS x, {Y_SQL.format(lat='lat')} AS y FROM risen) GROUP BY image_id",
+    **polygon_sql("shared"),
+    "vertices": f"""
+        SELECT lat, lon, value AS h
+        FROM (SELECT *, {WORLD_CELL[0]} AS row, {WORLD_CELL[1]} AS col FROM (SELECT {LAT_SQL.format(y="y")} AS lat, {LON_SQL.format(x="x")} AS lon FROM area))
+        JOIN dem_world USING (row, col) WHERE value <> -9999""",
+    "placed": image_sql("SELECT * FROM scenes, vertices", "image_id, height, width"),
+}
+BOX = """
+SELECT image_id, CAST(trunc(greatest(min(line), 0)) AS INTEGER) AS row0, CAST(trunc(greatest(min(samp), 0)) AS INTEGER) AS col0,
+    CAST(trunc(least(max(line), max(height) - 1)) AS INTEGER) AS row1, CAST(trunc(least(max(samp), max(width) - 1)) AS INTEGER) AS col1
+FROM placed GROUP BY image_id
+"""
+
+
+@query(BOX, COMMON)
 def d7_crop_common_area(t: Tables) -> DataFrame:
     scenes = t.dem.groupBy("image_id").agg((F.max("row") + 1).alias("height"), (F.max("col") + 1).alias("width"))
     return jobs.crop_common_area(scenes, t.dem, t.dem_world, t.rasters, t.sensor_models, "dem")
@@ -629,16 +668,24 @@ def d12_create_grids(t: Tables) -> DataFrame:
 @query()
 def d12_grid_heights(t: Tables) -> DataFrame:
     corners = t.quads.selectExpr("quad_id AS image_id", "x0 AS tlx", "y0 AS tly", "x1 AS trx", "y1 AS try", "x3 AS blx", "y3 AS bly", "x2 AS brx", "y2 AS bry")
-    made = jobs.create_grids(corners, 1500.0, t.patches.select(F.col("image_id").alias("grid_id"), "h"), bins=100, deg=5)
-    return made.select("grid_id", geo.apply_polynomial(F.lit(0.0), F.col("ch")).alias("mid"))
+    made = jobs.create_grids(corners, 1500.0, t.patches.select(F.col("image_id").alias("grid_id"), "h"))
+    return made.filter("ch IS NOT NULL").select("grid_id", F.posexplode("ch").alias("k", "value"))
 
 
 @query()
 def d13_adjust_elements(t: Tables) -> DataFrame:
-    adjusted, _ = jobs.adjust_elements(grid_patches(t), one_grid(t), linear_predictor, t.sensor_models)
-    return adjusted.select("image_id", *geo.AFFINE)
+    """Both tables: each image's correction, and each patch's x and y by its corrected image."""
+    adjusted, patches = jobs.adjust_elements(grid_patches(t), region_grids(t), linear_predictor, t.sensor_models)
+    none = F.lit(None).cast("int").alias("patch_id")
+    terms = F.explode(F.array(*(F.struct(F.lit(n).alias("name"), F.col(n).alias("value")) for n in geo.AFFINE))).alias("e")
+    places = F.explode(F.array(*(F.struct(F.lit(n).alias("name"), F.col(n).alias("value")) for n in "xy"))).alias("e")
+    return adjusted.select("image_id", none, terms).unionByName(patches.select("image_id", "patch_id", places)).select("image_id", "patch_id", "e.*")
+
+
+CROSSED = "SELECT a.*, other FROM gridded a JOIN (SELECT DISTINCT grid_id, image_id AS other FROM gridded) b ON a.grid_id = b.grid_id AND a.image_id <> other"
 
 
-@query(f"SELECT a.patch_id, a.image_id, b.other, {r('(a.samp / 400e0) * 800 + 12245000 AS x', '(-a.line / 320e0) * 640 + 3503000 AS y', '(a.patch_id % 40) / 40e0 * 40 + 200 AS h')} FROM patches a JOIN (SELECT DISTINCT image_id AS other FROM patches) b ON a.image_id <> b.other")
+@query(f"SELECT grid_id, patch_id, image_id, other, {r(*PREDICTED)} FROM crossed", GRIDDED | {"crossed": CROSSED})
 def j14_cross_element_pairs(t: Tables) -> DataFrame:
-    return jobs.cross_element_pairs(grid_patches(t), one_grid(t), linear_predictor).select("patch_id", "image_id", "other", "x", "y", "h")
+    crossed = jobs.cross_element_pairs(grid_patches(t), region_grids(t), linear_predictor)
+    return crossed.select("grid_id", "patch_id", "image_id", "other", "x", "y", "h")
