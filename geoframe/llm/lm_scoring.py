@@ -22,9 +22,8 @@ share their UNIT nearest context bytes, or more of them where a context is commo
 Which contexts are split is read off a bounded sample of strings (at most SAMPLE,
 from blocks and places spread evenly; it decides where work is done, not what
 comes out), at most SPLITS contexts in all.  Buckets report the nodes above their
-subtrees (contexts are dealt in ranges, so that few report the same ones), at most
-65,280 and 255 for each split context, which are weighted on the driver and
-broadcast; then buckets reply a log-probability for each string of each block, as a
+subtrees, which Spark sums by node: at most 65,280 and 255 for each split context,
+however many the buckets are, which are weighted on the driver and broadcast; then buckets reply a log-probability for each string of each block, as a
 double.  Word counts for the base score go the same way.
 
 Contexts are at most 6 bytes deep: with the predicted byte they fill a 64-bit key
@@ -54,7 +53,7 @@ SAMPLE, SPLITS, MERGED, HELD = 1 << 20, 1 << 12, 1 << 22, 1 << 21
 EDGE = 255
 LOG2 = float(np.log(2.0))
 END_WORD = np.uint64(2**64 - 1)
-TOP_SCHEMA = "unit int, node binary, n0 binary, n1 binary, below binary"
+TOP_SCHEMA = "unit int, node long, n0 long, n1 long, below double"
 SCHEMA = "id long, held_out boolean, n_tokens long, n_known long, train_tokens long, base_score double, score double, scored_bytes long, bits_per_byte double"
 _TABLE = 1 << 16
 _HALVES = np.concatenate([[0.0], np.cumsum(np.log(np.arange(_TABLE) + 0.5))])
@@ -379,26 +378,24 @@ def _fit(requests: DataFrame, units: Units) -> tuple[TopLevels, int, int]:
         keys, counts = _merged(table)
         bucket = table.column("bucket")[0].as_py()
         if bucket < units.buckets:
-            unit, rows = 0, [np.array([-1]), *(np.array([float(x)]) for x in (counts.sum(), (counts > 0).sum(), 0))]
+            unit, rows = 0, [np.array([x]) for x in (-1, counts.sum(), (counts > 0).sum(), 0.0)]
         else:
             unit = units.unit(bucket)
             node, n0, n1, below = ContextTree(keys, counts, units.depth, unit).top()
             names, at = np.unique(node, return_inverse=True)
             rows = [names, *(np.bincount(at, x, len(names)) for x in (n0, n1, below))]
         names = [x.split()[0] for x in TOP_SCHEMA.split(", ")]
-        return pa.RecordBatch.from_arrays([pa.array([unit], pa.int32()), *(pa.array([x.astype(t).tobytes()]) for x, t in zip(rows, ("i8", "f8", "f8", "f8"), strict=True))], names=names)
+        columns = [pa.array(x.astype(t)) for x, t in zip(rows, ("i8", "i8", "i8", "f8"), strict=True)]
+        return pa.RecordBatch.from_arrays([pa.array(np.full(len(rows[0]), unit, np.int32)), *columns], names=names)
 
     tops = requests.mapInArrow(lambda batches: map(summarize, _by_bucket(batches)), TOP_SCHEMA)
-    got: list[list[np.ndarray]] = [[np.zeros(0, t)] for t in ("i8", "f8", "f8", "f8", "i4")]
-    tokens = distinct = 0
-    for row in sorted(tops.collect()):
-        node, *sums = (np.frombuffer(bytes(x), t) for x, t in zip(row[1:], ("i8", "f8", "f8", "f8"), strict=True))
-        if row["unit"] == 0:
-            tokens, distinct = tokens + int(sums[0][0]), distinct + int(sums[1][0])
-        else:
-            for held, x in zip(got, (node, *sums, np.full(len(node), row["unit"], np.int32)), strict=True):
-                held.append(x)
-    return TopLevels(*map(np.concatenate, got)), tokens, distinct
+    # summed before it reaches the driver; in decimals, which come out alike in any order
+    below = F.sum(F.col("below").cast("decimal(38,18)")).cast("double").alias("below")
+    summed = tops.groupBy("unit", "node").agg(F.sum("n0").alias("n0"), F.sum("n1").alias("n1"), below).toArrow()
+    unit, node, n0, n1, below = (summed.column(c).to_numpy() for c in ("unit", "node", "n0", "n1", "below"))
+    words, deep = unit == 0, unit != 0
+    top = TopLevels(node[deep], n0[deep].astype(np.float64), n1[deep].astype(np.float64), below[deep], unit[deep])
+    return top, int(n0[words].sum()), int(n1[words].sum())
 
 
 def text_scores(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", depth: int = DEPTH) -> DataFrame:
