@@ -2,12 +2,13 @@
 
 import subprocess
 import sys
+import tracemalloc
 from collections import Counter
 
 import numpy as np
 import pytest
 
-from geoframe.llm import exact_dedup, lm_scoring, packing, quality, simhash
+from geoframe.llm import exact_dedup, license_scan, lm_scoring, packing, quality, simhash
 from tests.llm.test_documents import plain_fingerprint
 
 SWAP = bytes.maketrans(b"ab", b"ba")
@@ -85,3 +86,57 @@ def test_a_long_text_takes_little_memory():
     )
     grown = int(subprocess.run([sys.executable, "-c", code], capture_output=True, text=True, check=True).stdout)
     assert grown < 200_000, f"{grown} kB beside a text of 30 MB"
+
+
+#: Notices and sentences that are no template's wording, with the family to find.
+NOTICES = [
+    ("mit", "SPDX-License-Identifier: MIT"),
+    ("apache-2.0", "// SPDX-License-Identifier: Apache-2.0"),
+    ("gpl", "# SPDX-License-Identifier: GPL-3.0-or-later"),
+    ("lgpl", "/* SPDX-License-Identifier: LGPL-2.1-or-later */"),
+    ("isc", "SPDX-License-Identifier: ISC"),
+    ("lgpl", "This library is free software; you can redistribute it and/or modify it under the terms of the GNU Lesser General Public License as published by the Free Software Foundation; either version 2.1 of the License, or (at your option) any later version."),
+    ("agpl", "This program is free software: you can redistribute it and/or modify it under the terms of the GNU Affero General Public License as published by the Free Software Foundation, either version 3 of the License, or (at your option) any later version."),
+    ("gpl", "This file is free software; you may copy it under the terms of the GNU General Public License as published by the Free Software Foundation, either version 2 of the License."),
+    ("mit", "The code here is distributed under the MIT licence, see the file COPYING."),
+    ("isc", "Permission to use, copy, modify, and/or distribute this software for any purpose with or without fee is hereby granted, provided that the notice appears."),
+    ("epl-2.0", "This program and the accompanying materials are made available under the terms of the Eclipse Public License 2.0 which is available at the site."),
+    ("cc-by-sa", "The text is licensed under CC BY-SA 4.0 unless noted."),
+    ("unknown", "This data set is licensed under the Open Harbour Licence version 3."),
+    (None, "You may not use this road."),
+    (None, "The meeting is subject to the following conditions of weather."),
+    (None, "He should have received a copy of the letter along with this parcel."),
+    (None, "A driver needs a license to drive a car."),
+    (None, "She gave her permission to the school for the trip."),
+    (None, "Either version of the story is good, at your option."),
+]
+
+
+def test_notices_in_other_words(spark):
+    plain = ["The cat sat on the mat and looked at the rain.", "Prices rose in the spring while rents fell.", "A long road led down to the harbour town."]
+    docs = spark.createDataFrame([*enumerate(t for _, t in NOTICES), *((100 + k, t) for k, t in enumerate(plain))], "doc_id long, text string")
+    got = {r.doc_id: r.family for r in license_scan.document_licenses(docs).collect()}
+    assert [got[k] for k in range(len(NOTICES))] == [family for family, _ in NOTICES]
+    assert not any(got[100 + k] for k in range(3))
+
+
+def test_licence_grams_in_pieces(monkeypatch):
+    model = license_scan.LicenseModel()
+    texts = [t for _, t in NOTICES] + ["", "\n\n", "Released under\nthe MIT\nLicence.\n\nx", "w" * 90, "all rights\n \nreserved", "mit"]
+    data = "".join(texts).encode()
+    at = np.cumsum([0, *(len(t.encode()) for t in texts)])
+    whole = [np.sort(x) for x in license_scan._grams(license_scan.plain(data), at, model.vocabulary)]
+    for size in (1, 7, 64):
+        monkeypatch.setattr(license_scan, "PIECE", size)
+        assert all((np.sort(x) == y).all() for x, y in zip(license_scan._grams(license_scan.plain(data), at, model.vocabulary), whole, strict=True))
+
+
+def test_long_licence_text_needs_little_memory():
+    data = b"some words of a long text under the mit license\n" * 600_000
+    raw, model = license_scan.plain(data), license_scan.LicenseModel()
+    tracemalloc.start()
+    grams, of, *_ = license_scan._grams(raw, np.array([0, len(raw)]), model.vocabulary)
+    peak = tracemalloc.get_traced_memory()[1]
+    tracemalloc.stop()
+    assert len(np.unique(of)) == 600_000 and peak < 30 * len(grams) + 20 * len(raw)
+    print(peak / len(raw))
