@@ -88,7 +88,7 @@ def test_a_long_text_takes_little_memory():
     assert grown < 200_000, f"{grown} kB beside a text of 30 MB"
 
 
-#: Notices and sentences that are no template's wording, with the family to find.
+#: Notices as they are met, most around a template's own wording, and sentences that share words with them, with the family to find.
 NOTICES = [
     ("mit", "SPDX-License-Identifier: MIT"),
     ("apache-2.0", "// SPDX-License-Identifier: Apache-2.0"),
