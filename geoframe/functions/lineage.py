@@ -7,6 +7,10 @@ import tempfile
 import uuid
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
+
+#: Tables of a row a group that have no more rows are sent to all tasks.
+FEW = 10_000
 
 
 def _checkpoint_folder(spark: SparkSession) -> str:
@@ -32,3 +36,23 @@ def checkpointed(df: DataFrame) -> DataFrame:
 def shared_folder(spark: SparkSession, name: str) -> str:
     """A new folder for a job's files beside the checkpoints, which all executors reach."""
     return f"{_checkpoint_folder(spark)}/{name}-{uuid.uuid4().hex}"
+
+
+def partitions(spark: SparkSession) -> int:
+    """How many tasks a shuffle is dealt to."""
+    return int(spark.conf.get("spark.sql.shuffle.partitions"))
+
+
+def by_group(df: DataFrame, groups: DataFrame, by: str) -> DataFrame:
+    """df with the rows of its group (one each, or some maps each).
+
+    Groups are written down and counted first: where they are few, df stays where it
+    is, and a large group is not sent to one task; where they are many, both are dealt by group.
+    """
+    return by_written_group(df, checkpointed(groups), by)
+
+
+def by_written_group(df: DataFrame, groups: DataFrame, by: str) -> DataFrame:
+    """by_group() of groups that are cheap to read again."""
+    few = groups.limit(FEW + 1).count() <= FEW
+    return df.join(F.broadcast(groups) if few else groups, by)

@@ -12,6 +12,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from geoframe.functions import geo
+from geoframe.functions.lineage import partitions
 from geoframe.operators import raster
 
 NORMALIZERS = tuple(f"{a}_{b}" for b in ("off", "scale") for a in ("line", "samp", "lat", "lon", "h"))
@@ -71,28 +72,43 @@ def _real(value: Column, name: str) -> Column:
 
 
 def _project(df: DataFrame, outputs: dict[str, tuple[str, str, str]], p: Column, l: Column, h: Column) -> DataFrame:  # noqa: E741
-    """Ratios of polynomials; P, L and H become columns first, so that their expressions are not repeated in every term."""
+    """Ratios of polynomials; P, L and H become columns first, so that their expressions are not repeated in every term.
+
+    The results pass through a list of one: filters on them would otherwise be moved below
+    this step, each with the polynomials written out in it again.
+    """
     with_plh = df.withColumns({"__p": p, "__l": l, "__h": h})
     terms = basis(F.col("__p"), F.col("__l"), F.col("__h"))
-    done = with_plh.withColumns({name: _real(weighted(num, terms) / weighted(den, terms), unit) for name, (num, den, unit) in outputs.items()})
-    return done.drop("__p", "__l", "__h")
+    values = F.struct(*(_real(weighted(num, terms) / weighted(den, terms), unit).alias(name) for name, (num, den, unit) in outputs.items()))
+    done = with_plh.withColumn("__at", F.explode(F.array(values)))
+    return done.withColumns({name: F.col(f"__at.{name}") for name in outputs}).drop("__p", "__l", "__h", "__at")
 
 
 def object_to_image(points: DataFrame, models: DataFrame, lat: str = "lat", lon: str = "lon", h: str = "h", line: str = "line", samp: str = "samp") -> DataFrame:
     """Adds line and samp: the direct model, then the inverse of the affine correction."""
-    df = with_model(points, models, (*NORMALIZERS, *DIRECT, *geo.AFFINE))
+    df = to_image(with_model(points, models, (*NORMALIZERS, *DIRECT, *geo.AFFINE)), lat, lon, h, line, samp)
+    return df.drop(*NORMALIZERS, *DIRECT, *geo.AFFINE)
+
+
+def to_image(df: DataFrame, lat: str = "lat", lon: str = "lon", h: str = "h", line: str = "line", samp: str = "samp") -> DataFrame:
+    """object_to_image() of points that hold their model's columns."""
     df = _project(df, {"__line": ("lnum", "lden", "line"), "__samp": ("snum", "sden", "samp")}, _normal(F.col(lat), "lat"), _normal(F.col(lon), "lon"), _normal(F.col(h), "h"))
     a, b = geo.apply_inverse_affine(F.col("__line"), F.col("__samp"))
-    return df.withColumns({line: a, samp: b}).drop("__line", "__samp", *NORMALIZERS, *DIRECT, *geo.AFFINE)
+    return df.withColumns({line: a, samp: b}).drop("__line", "__samp")
 
 
 def image_to_object(points: DataFrame, models: DataFrame, line: str = "line", samp: str = "samp", h: str = "h", lat: str = "lat", lon: str = "lon") -> DataFrame:
     """Adds lat and lon: the affine correction first, then the inverse model."""
-    df = with_model(points, models, (*NORMALIZERS, *INVERSE, *geo.AFFINE))
+    df = to_object(with_model(points, models, (*NORMALIZERS, *INVERSE, *geo.AFFINE)), line, samp, h, lat, lon)
+    return df.drop(*NORMALIZERS, *INVERSE, *geo.AFFINE)
+
+
+def to_object(df: DataFrame, line: str = "line", samp: str = "samp", h: str = "h", lat: str = "lat", lon: str = "lon") -> DataFrame:
+    """image_to_object() of points that hold their model's columns."""
     a, b = geo.apply_affine(F.col(line), F.col(samp))
     df = df.withColumns({"__line": a, "__samp": b})
     df = _project(df, {lat: ("latnum", "latden", "lat"), lon: ("lonnum", "londen", "lon")}, _normal(F.col("__samp"), "samp"), _normal(F.col("__line"), "line"), _normal(F.col(h), "h"))
-    return df.drop("__line", "__samp", *NORMALIZERS, *INVERSE, *geo.AFFINE)
+    return df.drop("__line", "__samp")
 
 
 def mercator_to_image(points: DataFrame, models: DataFrame) -> DataFrame:
@@ -158,23 +174,32 @@ def inside_image_range(df: DataFrame, models: DataFrame) -> DataFrame:
     return joined.filter(inside).select(*df.columns)
 
 
-def virtual_lattice(models: DataFrame, xy: int = 30, z: int = 20) -> DataFrame:
-    """A lattice of lat, lon and h over each model's offset plus or minus scale."""
+def spread_models(models: DataFrame) -> DataFrame:
+    """Models dealt by image to as many tasks as a shuffle has: each row is small, but much is made of it."""
+    return models.repartition(partitions(models.sparkSession), "image_id")
+
+
+def virtual_lattice(models: DataFrame, xy: int = 30, z: int = 20, keep: tuple = ()) -> DataFrame:
+    """A lattice of lat, lon and h over each model's offset plus or minus scale; keep: columns of the model that its nodes hold."""
     node = lambda name, k, n: F.col(f"{name}_off") - F.col(f"{name}_scale") + F.col(k) * (F.lit(2.0) * F.col(f"{name}_scale") / F.lit(float(max(n - 1, 1))))
-    df = models.select("image_id", *(f"{a}_{b}" for a in ("lat", "lon", "h") for b in ("off", "scale")))
+    needed = dict.fromkeys((*keep, *(f"{a}_{b}" for a in ("lat", "lon", "h") for b in ("off", "scale"))))
+    df = models.select("image_id", *needed)
     for name, n in (("i", xy), ("j", xy), ("k", z)):
         df = df.withColumn(name, F.explode(F.sequence(F.lit(0), F.lit(n - 1))))
-    return df.select("image_id", "i", "j", "k", node("lat", "i", xy).alias("lat"), node("lon", "j", xy).alias("lon"), node("h", "k", z).alias("h"))
+    return df.select("image_id", "i", "j", "k", node("lat", "i", xy).alias("lat"), node("lon", "j", xy).alias("lon"), node("h", "k", z).alias("h"), *keep)
 
 
 def round_trip(models: DataFrame, lines: int, samps: int, heights: int = 3, limit: float = 1.0) -> DataFrame:
-    """Image to ground to image on a lattice: mean and largest error of each model, and how many points exceed limit pixels."""
+    """Image to ground to image on a lattice: mean and largest error of each model, and how many points exceed limit pixels.
+
+    A model's nodes are made where the model is and hold its columns, so that models are not joined.
+    """
     spread = lambda name, k, n: F.col(f"{name}_off") + F.col(f"{name}_scale") * (F.col(k) * F.lit(2.0 / max(n - 1, 1)) - F.lit(1.0))
-    df = models.select("image_id", *NORMALIZERS)
+    df = spread_models(models.select("image_id", *MODEL))
     for name, n in (("i", lines), ("j", samps), ("k", heights)):
         df = df.withColumn(name, F.explode(F.sequence(F.lit(0), F.lit(n - 1))))
-    nodes = df.select("image_id", spread("line", "i", lines).alias("line"), spread("samp", "j", samps).alias("samp"), spread("h", "k", heights).alias("h"))
-    back = object_to_image(image_to_object(nodes, models), models, line="line2", samp="samp2")
+    nodes = df.withColumns({"line": spread("line", "i", lines), "samp": spread("samp", "j", samps), "h": spread("h", "k", heights)})
+    back = to_image(to_object(nodes), line="line2", samp="samp2")
     error = F.sqrt(F.pow(F.col("line2") - F.col("line"), 2) + F.pow(F.col("samp2") - F.col("samp"), 2))
     return back.withColumn("error", error).groupBy("image_id").agg(F.avg("error").alias("mean_error"), F.max("error").alias("max_error"), F.count_if(F.col("error") > limit).alias("n_over"))
 
