@@ -212,79 +212,101 @@ def quantile_map(df: DataFrame, cols: list[str], by: str = "grid_id", bins: int
 
 
 def _terms(p: np.ndarray, l: np.ndarray, h: np.ndarray) -> np.ndarray:  # noqa: E741
-    return np.stack([p**a * l**b * h**c for a, b, c in sensor.POWERS], axis=1)
-
-
-def _ratios(nodes: DataFrame, inputs: tuple, outputs: tuple, names: tuple, ridge: float, steps: int) -> DataFrame:
-    """Per image two ratios of 20-term polynomials of the inputs that give the outputs, as arrays called names (numerator and denominator of each).
-
-    Each image's normal equations (two blocks of 39 unknowns) are sums over its
-    nodes, made in Spark, and only they are solved in Python.
+    """The 20 terms of every node, in rows."""
+    powers = [[np.ones_like(x), x, x * x, x * x * x] for x in (p, l, h)]
+    return np.stack([powers[0][a] * powers[1][b] * powers[2][c] for a, b, c in sensor.POWERS], axis=1)
+
+
+def _normal_matrices(t: np.ndarray, y: np.ndarray) -> np.ndarray:
+    """39 x 40: the normal equations of y = t a / (t b) with b's first coefficient 1, and their right side."""
+    a = np.hstack([t, -y[:, None] * t[:, 1:]])
+    return a.T @ np.hstack([a, y[:, None]])
+
+
+def _solved(blocks: np.ndarray, ridge: float, steps: int) -> np.ndarray:
+    """Each block's solution by repeated ridge regression, until it moves no more; many blocks at a time."""
+    a, b = blocks[:, :, :39], blocks[:, :, 39:]
+    inverse, x = np.linalg.inv(a + ridge * np.eye(39)), np.zeros((len(blocks), 39, 1))
+    left = np.arange(len(blocks))
+    for _ in range(steps):
+        new = inverse @ (b + ridge * x[left])
+        moved = np.abs(new - x[left]).max(axis=(1, 2)) >= 1e-10
+        x[left] = new
+        if not moved.all():
+            left, inverse, b = left[moved], inverse[moved], b[moved]
+            if not len(left):
+                break
+    return x[:, :, 0]
+
+
+#: Images that are solved together.
+_TOGETHER = 64
+
+
+def _nodes(model: dict, xy: int, z: int) -> dict[str, np.ndarray]:
+    """The nodes of sensor.virtual_lattice() and their places by the direct model and the correction, in units of the normalizers."""
+    axes = []
+    for name, n in (("lat", xy), ("lon", xy), ("h", z)):
+        off, scale = model[f"{name}_off"], model[f"{name}_scale"]
+        axes.append((off - scale + np.arange(n) * (2.0 * scale / max(n - 1, 1)) - off) / scale)
+    lat, lon, h = (x.ravel() for x in np.meshgrid(*axes, indexing="ij"))
+    t = _terms(lat, lon, h)
+    raw = {u: (t @ model[f"{u[0]}num"]) / (t @ model[f"{u[0]}den"]) * model[f"{u}_scale"] + model[f"{u}_off"] for u in ("line", "samp")}
+    a = [model[c] for c in geo.AFFINE]
+    det, dl, ds = a[0] * a[4] - a[1] * a[3], raw["line"] - a[2], raw["samp"] - a[5]
+    place = {"line": (a[4] * dl - a[1] * ds) / det, "samp": (a[0] * ds - a[3] * dl) / det}
+    return {"lat": lat, "lon": lon, "h": h} | {u: (v - model[f"{u}_off"]) / model[f"{u}_scale"] for u, v in place.items()}
+
+
+def _ratios(models: DataFrame, xy: int, z: int, inputs: tuple, outputs: tuple, names: tuple, inside: bool, ridge: float, steps: int) -> DataFrame:
+    """Per image two ratios of 20-term polynomials of the inputs that give the outputs at the nodes (of the image, if inside), as arrays called names (numerator and denominator of each).
+
+    Models are dealt by image to tasks; an image's nodes are made where its normal
+    equations (two blocks of 39 unknowns) are summed, and are never rows.
     """
 
-    def sums(batches):  # noqa: ANN001, ANN202
-        """Partial normal matrices of each image in a batch."""
+    def solved(images: list, blocks: list) -> pd.DataFrame:
+        x = _solved(np.concatenate(blocks), ridge, steps).reshape(len(images), 2, 39)
+        columns = [c for k in range(2) for c in (x[:, k, :20], np.hstack([np.ones((len(x), 1)), x[:, k, 20:]]))]
+        return pd.DataFrame({"image_id": images} | {n: c.tolist() for n, c in zip(names, columns, strict=True)})
+
+    def solve(batches):  # noqa: ANN001, ANN202
         for pdf in batches:
-            out = []
-            pdf = pdf[pdf["kept"]]
-            for image, part in pdf.groupby("image_id"):
-                t = _terms(*(part[c].to_numpy() for c in inputs))
-                blocks = []
-                for target in outputs:
-                    y = part[target].to_numpy()
-                    a = np.hstack([t, -y[:, None] * t[:, 1:]])
-                    blocks.append(np.hstack([a.T @ a, (a.T @ y)[:, None]]).ravel().tolist())
-                out.append((image, *blocks))
-            yield pd.DataFrame(out, columns=["image_id", "u", "v"])
-
-    size = 39 * 40
-    partial = nodes.mapInPandas(sums, "image_id int, u array<double>, v array<double>")
-    long = partial.select("image_id", F.posexplode(F.arrays_zip("u", "v")).alias("k", "s")).groupBy("image_id", "k").agg(F.sum("s.u").alias("u"), F.sum("s.v").alias("v"))
-    whole = long.groupBy("image_id").agg(F.sort_array(F.collect_list(F.struct("k", "u", "v"))).alias("m"))
-
-    def solve(parts):  # noqa: ANN001, ANN202
-        for pdf in parts:
-            out = []
-            for image, m in zip(pdf["image_id"], pdf["m"], strict=True):
-                row = [image]
-                for name in ("u", "v"):
-                    block = np.array([x[name] for x in m]).reshape(39, 40)
-                    a, b = block[:, :39], block[:, 39]
-                    x = np.zeros(39)
-                    inverse = np.linalg.inv(a + ridge * np.eye(39))
-                    for _ in range(steps):
-                        new = inverse @ (b + ridge * x)
-                        done, x = np.abs(new - x).max() < 1e-10, new
-                        if done:
-                            break
-                    row += [x[:20].tolist(), [1.0, *x[20:].tolist()]]
-                out.append(row)
-            yield pd.DataFrame(out, columns=["image_id", *names])
-
-    return whole.filter(F.size("m") == size).mapInPandas(solve, "image_id int, " + ", ".join(f"{c} array<double>" for c in names))
-
-
-def _normalized(nodes: DataFrame, models: DataFrame, kept: Column) -> DataFrame:
-    """Nodes in units of their model's normalizers. Which are kept is a column: as a filter it would repeat the whole projection."""
-    df = sensor.with_model(nodes, models, sensor.NORMALIZERS)
-    norm = lambda c: (F.col(c) - F.col(f"{c}_off")) / F.col(f"{c}_scale")
-    return df.select("image_id", *(norm(c).alias(c) for c in ("samp", "line", "h", "lat", "lon"))).withColumn("kept", kept)
+            images, blocks = [], []
+            for model in pdf.to_dict("records"):
+                nodes = _nodes(model, xy, z)
+                if inside:
+                    kept = (np.abs(nodes["line"]) <= 1) & (np.abs(nodes["samp"]) <= 1)
+                    nodes = {c: v[kept] for c, v in nodes.items()}
+                t = _terms(*(nodes[c] for c in inputs))
+                images.append(model["image_id"])
+                blocks.append(np.stack([_normal_matrices(t, nodes[c]) for c in outputs]))
+                if len(images) >= _TOGETHER:
+                    yield solved(images, blocks)
+                    images, blocks = [], []
+            if images:
+                yield solved(images, blocks)
+
+    rows = sensor.spread_models(models.select("image_id", *sensor.NORMALIZERS, *sensor.DIRECT, *geo.AFFINE))
+    return rows.mapInPandas(solve, "image_id int, " + ", ".join(f"{c} array<double>" for c in names))
 
 
 def inverse_models(models: DataFrame, xy: int = 30, z: int = 20, ridge: float = 1.0, steps: int = 1000) -> DataFrame:
     """models with latnum, latden, lonnum and londen fitted to the direct model, per image, over the nodes of a lattice that lie in the image."""
     plain = models.withColumns({c: F.lit(v) for c, v in geo.IDENTITY.items()})
-    nodes = sensor.object_to_image(sensor.virtual_lattice(models, xy, z), plain)
-    inside = (F.abs("line") <= 1) & (F.abs("samp") <= 1)
-    fitted = _ratios(_normalized(nodes, models, inside), ("samp", "line", "h"), ("lat", "lon"), sensor.INVERSE, ridge, steps)
-    return models.drop(*sensor.INVERSE).join(fitted, "image_id").select(*models.columns)
+    fitted = _ratios(plain, xy, z, ("samp", "line", "h"), ("lat", "lon"), sensor.INVERSE, True, ridge, steps)
+    return _refitted(models, fitted, sensor.INVERSE)
+
+
+def _refitted(models: DataFrame, fitted: DataFrame, names: tuple) -> DataFrame:
+    """models with the arrays of fitted, which is written down: its rows are far larger than Spark reckons, and are to meet their models by image."""
+    return models.drop(*names).join(checkpointed(fitted).hint("merge"), "image_id").select(*models.columns)
 
 
 def merged_models(models: DataFrame, xy: int = 30, z: int = 20, ridge: float = 1e-6, steps: int = 1000) -> DataFrame:
     """models whose affine corrections are taken into their polynomials: direct ones fitted to the corrected projection over a lattice, inverse ones to these, and no correction left."""
-    nodes = sensor.object_to_image(sensor.virtual_lattice(models, xy, z), models)
-    fitted = _ratios(_normalized(nodes, models, F.lit(True)), ("lat", "lon", "h"), ("line", "samp"), sensor.DIRECT, ridge, steps)
-    direct = models.drop(*sensor.DIRECT).join(fitted, "image_id").withColumns({c: F.lit(v) for c, v in geo.IDENTITY.items()})
+    fitted = _ratios(models, xy, z, ("lat", "lon", "h"), ("line", "samp"), sensor.DIRECT, False, ridge, steps)
+    direct = _refitted(models, fitted, sensor.DIRECT).withColumns({c: F.lit(v) for c, v in geo.IDENTITY.items()})
     return inverse_models(checkpointed(direct.select(*models.columns)), xy, z)
 
 

@@ -157,8 +157,11 @@ def d11_crop_samples(t: Tables) -> DataFrame:
 @query("SELECT image_id, CAST(75 AS BIGINT) AS n_nodes, true AS equal FROM sensor_models")
 def a12_merged_models(t: Tables) -> DataFrame:
     """Models that took their corrections into their polynomials: whether they project as the corrected ones do, to a thousandth of a cell."""
-    nodes = sensor.object_to_image(sensor.virtual_lattice(t.corrected_models, 5, 3), t.corrected_models, line="line0", samp="samp0")
-    at = sensor.object_to_image(nodes, fit.merged_models(t.corrected_models, 12, 6))
+    held = (*sensor.NORMALIZERS, *sensor.DIRECT, *geo.AFFINE)
+    merged = fit.merged_models(t.corrected_models, 12, 6).select("image_id", F.struct(*held).alias("__merged"))
+    both = sensor.spread_models(t.corrected_models.select("image_id", *held)).join(merged.hint("merge"), "image_id")  # models meet before there are nodes
+    nodes = sensor.to_image(sensor.virtual_lattice(both, 5, 3, (*held, "__merged")), line="line0", samp="samp0")
+    at = sensor.to_image(nodes.drop(*held).select("*", "__merged.*"))
     off = F.greatest(F.abs(F.col("line") - F.col("line0")), F.abs(F.col("samp") - F.col("samp0")))
     return at.groupBy("image_id").agg(F.count("*").alias("n_nodes"), (F.max(off) < 1e-3).alias("equal"))
 
