@@ -13,6 +13,7 @@ from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from geoframe.functions import geo
+from geoframe.functions.lineage import checkpointed
 from geoframe.operators import fit, raster, sensor
 from geoframe.operators import tiles as tiled
 
@@ -53,24 +54,29 @@ def _numbered(df: DataFrame) -> DataFrame:
     folder = F.expr(r"try_cast(regexp_extract(path, '/image_id=([0-9]+)/', 1) AS INT)")
     nth = F.row_number().over(Window.orderBy("name", "path")) - 1  # of the names alone: the texts stay where they are
     numbers = df.select("path", "name").distinct().select("path", F.coalesce(folder, nth).cast("int").alias("image_id"))
-    return df.join(numbers, "path")
+    return df.join(numbers.hint("merge"), "path")
 
 
 def read_sensor_models(spark: SparkSession, path: str, layout: str = "keyed") -> DataFrame:
-    """Camera models from text files, by sorted name; inverse arrays that a file lacks are fitted."""
-    texts = _numbered(_whole_texts(spark, path))
+    """Camera models from text files, by sorted name; inverse arrays that a file lacks are fitted.
+
+    Files are read once: what they hold is written down before it is numbered and looked at.
+    """
+    texts = _whole_texts(spark, path)
     if layout == "rpb":
         one = lambda key: F.regexp_extract("text", rf"\b{key}\s*=\s*({NUMBER})", 1).cast("double")
         block = lambda key: F.transform(F.regexp_extract_all(F.regexp_extract("text", rf"{key}\s*=\s*\(([^)]*)\)", 1), F.lit(f"({NUMBER})"), F.lit(1)), lambda x: x.cast("double"))
-        df = texts.select("image_id", "name", *(one(k).alias(n) for n, k in zip(ORDER, RPB_NAMES, strict=True)), *(block(k).alias(n) for n, k in RPB_ARRAYS.items()))
+        df = texts.select("path", "name", *(one(k).alias(n) for n, k in zip(ORDER, RPB_NAMES, strict=True)), *(block(k).alias(n) for n, k in RPB_ARRAYS.items()))
         df = df.withColumns({c: F.lit(None).cast("array<double>") for c in sensor.INVERSE} | {c: F.lit(v) for c, v in geo.IDENTITY.items()})
     else:
         parts = texts.withColumn("body", F.split("text", CORRECTION)[0]).withColumn("tail", F.get(F.split("text", CORRECTION), F.lit(1)))
         numbers = lambda c: F.transform(F.filter(F.split(c, "\n"), lambda l: F.rlike(l, F.lit(r"^\s*\S+\s+[-+.\d]"))), lambda l: F.regexp_extract(l, rf"^\s*\S+\s+({NUMBER})", 1).cast("double"))
         df = parts.withColumn("v", numbers("body")).withColumn("p", numbers("tail"))
         array = lambda k: F.slice("v", 11 + 20 * k, 20)
-        df = df.select("image_id", "name", *(F.col("v")[k].alias(n) for k, n in enumerate(ORDER)), *((array(k) if k < 4 else F.when(F.size("v") >= 170, array(k))).alias(n) for k, n in enumerate(ARRAYS)), *(F.coalesce(F.get("p", F.lit(k)), F.lit(0.0)).alias(f"p{k}") for k in range(6)))
+        df = df.select("path", "name", *(F.col("v")[k].alias(n) for k, n in enumerate(ORDER)), *((array(k) if k < 4 else F.when(F.size("v") >= 170, array(k))).alias(n) for k, n in enumerate(ARRAYS)), *(F.coalesce(F.get("p", F.lit(k)), F.lit(0.0)).alias(f"p{k}") for k in range(6)))
         df = sensor.corrections_to_affine(df)
+    df = checkpointed(df)
+    df = _numbered(df).select("image_id", *df.columns[1:])
     missing = df.filter("latnum IS NULL")
     return df if missing.isEmpty() else df.filter("latnum IS NOT NULL").unionByName(fit.inverse_models(missing))
 
