@@ -43,16 +43,16 @@ def partitions(spark: SparkSession) -> int:
     return int(spark.conf.get("spark.sql.shuffle.partitions"))
 
 
-def by_group(df: DataFrame, groups: DataFrame, by: str) -> DataFrame:
+def by_group(df: DataFrame, groups: DataFrame, by: str, how: str = "inner") -> DataFrame:
     """df with the rows of its group (one each, or some maps each).
 
     Groups are written down and counted first: where they are few, df stays where it
     is, and a large group is not sent to one task; where they are many, both are dealt by group.
     """
-    return by_written_group(df, checkpointed(groups), by)
+    return by_written_group(df, checkpointed(groups), by, how)
 
 
-def by_written_group(df: DataFrame, groups: DataFrame, by: str) -> DataFrame:
+def by_written_group(df: DataFrame, groups: DataFrame, by: str, how: str = "inner") -> DataFrame:
     """by_group() of groups that are cheap to read again."""
     few = groups.limit(FEW + 1).count() <= FEW
-    return df.join(F.broadcast(groups) if few else groups, by)
+    return df.join(F.broadcast(groups) if few else groups, by, how)

@@ -13,7 +13,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from geoframe.functions import geo, ordered
-from geoframe.functions.lineage import checkpointed
+from geoframe.functions.lineage import by_group, by_written_group, checkpointed
 from geoframe.operators import sensor
 
 L = ("l_line", "l_samp")
@@ -25,7 +25,7 @@ def keep_confident(df: DataFrame, thr: float = 0.7) -> DataFrame:
 
 
 def _with(df: DataFrame, by: str, *aggregates: Column) -> DataFrame:
-    return df.join(df.groupBy(by).agg(*aggregates), by)
+    return by_group(df, df.groupBy(by).agg(*aggregates), by)
 
 
 def _shift_distance(df: DataFrame, by: str) -> DataFrame:
@@ -73,7 +73,7 @@ def _drawn(corr: DataFrame, by: str, size: int, hypotheses: int, seed: int) -> D
     """
     corr = corr.select(by, *L, *T).distinct()
     n = corr.groupBy(by).agg(F.count("*").alias("__n"))
-    keyed = corr.withColumn("__h", F.xxhash64(*L, *T)).join(n, by)
+    keyed = by_group(corr.withColumn("__h", F.xxhash64(*L, *T)), n, by)
     expected = F.lit(8.0 * size * hypotheses) / F.col("__n")
     picks = F.floor(expected + F.xxhash64("__h", F.lit(seed)) / F.lit(2.0**64) + 0.5).cast("int")
     picked = F.array_distinct(F.transform(F.sequence(F.lit(1), picks), lambda t: F.pmod(F.xxhash64("__h", t, F.lit(seed)), F.lit(hypotheses)).cast("int")))
@@ -133,7 +133,7 @@ def _vote(corr: DataFrame, maps: DataFrame, by: str, thr: Column, size: int = 3)
     place = F.pmod(F.xxhash64(*L, *T), F.lit(1 << 20)) / F.lit(float(1 << 20))
     for share in ROUNDS:
         seen = corr if share == 1 else corr.filter(place < share)
-        votes = seen.join(left, by).groupBy(by, "hyp").agg(F.count_if(_miss() < thr).alias("votes"), F.count("*").alias("n"))
+        votes = by_written_group(seen, left, by).groupBy(by, "hyp").agg(F.count_if(_miss() < thr).alias("votes"), F.count("*").alias("n"))
         if share < 1:  # a group that has no point in this part keeps its maps
             dropped = votes.select(by, "hyp").join(_survivors(votes, by, size), [by, "hyp"], "left_anti")
             left = checkpointed(left.join(dropped, [by, "hyp"], "left_anti"))
@@ -149,11 +149,11 @@ def robust_affine(corr: DataFrame, by: str = "image_id", conf_thr: float = 0.7,
     corr = checkpointed(corr.select(by, *L, *T, "conf"))
     total = corr.groupBy(by).agg(F.count("*").alias("n_total"))
     valid = _shift_distance(trim_residuals(keep_confident(corr, conf_thr), by), by)
-    limit = valid.groupBy(by).agg((F.avg("d") + slack).alias("__thr"), F.count("*").alias("n_valid"))
-    points = valid.select(by, *L, *T).join(limit, by)
+    limit = checkpointed(valid.groupBy(by).agg((F.avg("d") + slack).alias("__thr"), F.count("*").alias("n_valid")))
+    points = by_written_group(valid.select(by, *L, *T), limit, by)
     maps = _exact_affine(_drawn(points.select(by, *L, *T), by, 3, hypotheses, seed))
     best = _vote(points, maps, by, F.col("__thr"))
-    inliers = points.join(best, by).filter(_miss() < F.col("__thr")).select(by, *L, *T)
+    inliers = by_group(points, best, by).filter(_miss() < F.col("__thr")).select(by, *L, *T)
     fitted = affine_lsq(inliers, by).withColumnRenamed("n_points", "n_inliers")
     return fitted.join(limit.select(by, "n_valid"), by).join(total, by)
 
@@ -172,8 +172,8 @@ def ransac_rigid(corr: DataFrame, by: str = "image_id", thr: float = 10.0, hypot
     drawn = _drawn(corr, by, 3, hypotheses, seed)
     long = drawn.select(by, "hyp", F.explode(F.array(*(F.struct(*(F.col(f"{c}{k}").alias(c) for c in (*L, *T))) for k in range(3)))).alias("p")).select(F.struct(by, "hyp").alias("g"), "p.*")
     maps = rigid_lsq(long, "g").select(f"g.{by}", "g.hyp", *geo.AFFINE)
-    best = _vote(corr, maps, by, F.lit(float(thr)))
-    inliers = corr.join(best, by).filter(_miss() < thr)
+    best = checkpointed(_vote(corr, maps, by, F.lit(float(thr))))
+    inliers = by_written_group(corr, best, by).filter(_miss() < thr)
     counts = inliers.groupBy(by).agg(F.count("*").alias("n_inliers"))
     final = rigid_lsq(inliers.select(by, *L, *T), by) if refit else best.select(by, *geo.AFFINE)
     return final.join(counts, by)

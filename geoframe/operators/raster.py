@@ -14,6 +14,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from geoframe.functions import geo, ordered
+from geoframe.functions.lineage import by_group
 from geoframe.operators import tiles as tiled
 
 TILE = 256
@@ -67,7 +68,7 @@ def _with_stats(df: DataFrame, by: str | None, aggregates: list[Column]) -> Data
     """Rows with statistics of their group; aggregated first, then joined (one row a group)."""
     if by is None:
         df, by = df.withColumn("__all", F.lit(1)), "__all"
-    return df.join(df.groupBy(by).agg(*aggregates), by).drop("__all")
+    return by_group(df, df.groupBy(by).agg(*aggregates), by).drop("__all")
 
 
 def scale_by_band_max(pixels: DataFrame, bands: tuple = ("b1", "b2", "b3"), by: str = "image_id") -> DataFrame:
