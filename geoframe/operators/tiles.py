@@ -13,6 +13,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from geoframe.functions.lineage import partitions
+
 SIZE, HALO = 128, 1
 
 
@@ -21,7 +23,11 @@ def tile_of(at: Column, size: int = SIZE) -> Column:
 
 
 def from_cells(cells: DataFrame, by: str = "image_id", values: tuple = ("value",), size: int = SIZE, halo: int = HALO) -> DataFrame:
-    """Cells (by, row, col and values) to tiles. A tile ends with its last cell; cells in between that are missing are null."""
+    """Cells (by, row, col and values) to tiles. A tile ends with its last cell; cells in between that are missing are null.
+
+    Tiles are dealt to as many tasks as a shuffle has, whatever the size of their compressed
+    cells: those of an even raster shrink to a hundredth, and some merged tasks would hold all of it.
+    """
     c = F.col
 
     def homes(name: str) -> Column:
@@ -29,6 +35,7 @@ def from_cells(cells: DataFrame, by: str = "image_id", values: tuple = ("value",
         return F.when((c(name) % size < halo) & (own > 0), F.array(own - 1, own)).otherwise(F.array(own))
 
     rows = cells.select(by, "row", "col", *values).withColumn("tr", F.explode(homes("row"))).withColumn("tc", F.explode(homes("col")))
+    rows = rows.repartition(partitions(cells.sparkSession), by, "tr", "tc")
     grouped = rows.groupBy(by, "tr", "tc").agg(F.sort_array(F.collect_list(F.struct("row", "col", *values))).alias("__cells"), F.max("row").alias("__row1"), F.max("col").alias("__col1"))
     sized = grouped.withColumns({"row0": c("tr") * size, "col0": c("tc") * size})
     sized = sized.withColumns({"height": c("__row1") - c("row0") + 1, "width": c("__col1") - c("col0") + 1})
@@ -49,9 +56,13 @@ def _named(tiles: DataFrame, by: str, values: tuple) -> DataFrame:
     return tiles.select(by, *(F.col(x).alias(f"__tile_{x}") for x in ("tr", "tc", "row0", "col0", "height", "width", *values)))
 
 
-def _beside(points: DataFrame, tiles: DataFrame, by: str, values: tuple, row: Column, col: Column, how: str, size: int) -> DataFrame:
-    """Points with the tile that holds the cell (row, col)."""
-    return points.withColumns({"__tile_tr": tile_of(row, size), "__tile_tc": tile_of(col, size)}).join(_named(tiles, by, values), [by, "__tile_tr", "__tile_tc"], how)
+def _beside(points: DataFrame, tiles: DataFrame, by: str, values: tuple, row: Column, col: Column, size: int) -> DataFrame:
+    """Points with the tile that holds the cell (row, col), or with nulls.
+
+    Always a left join: Spark may send small tiles to all tasks, but never points, whose
+    number it underrates where they are made of few rows.
+    """
+    return points.withColumns({"__tile_tr": tile_of(row, size), "__tile_tc": tile_of(col, size)}).join(_named(tiles, by, values), [by, "__tile_tr", "__tile_tc"], "left")
 
 
 def _cell(value: str, row: Column, col: Column) -> Column:
@@ -63,7 +74,7 @@ def _cell(value: str, row: Column, col: Column) -> Column:
 
 def nearest(points: DataFrame, tiles: DataFrame, by: str = "image_id", values: tuple = ("value",), keep: bool = False, size: int = SIZE) -> DataFrame:
     """Adds the values of the cell at whole (row, col); points of which all values are unknown are left out, or kept with nulls."""
-    j = _beside(points, tiles, by, values, F.col("row"), F.col("col"), "left" if keep else "inner", size)
+    j = _beside(points, tiles, by, values, F.col("row"), F.col("col"), size)
     read = j.select(*(F.col(x) for x in points.columns if x not in values), *(_cell(v, F.col("row"), F.col("col")).alias(v) for v in values))
     return read if keep else read.filter(F.coalesce(*values).isNotNull())
 
@@ -80,7 +91,7 @@ def bilinear(points: DataFrame, tiles: DataFrame, by: str = "image_id", values:
     clamp = lambda v, n: F.least(F.greatest(v, F.lit(0)), n - 1).cast("int")
     r, c = F.floor("row"), F.floor("col")
     placed = points.withColumns({"__r0": clamp(r, height), "__r1": clamp(r + 1, height), "__c0": clamp(c, width), "__c1": clamp(c + 1, width), "__dr": F.col("row") - r, "__dc": F.col("col") - c})
-    j = _beside(placed, tiles, by, values, F.col("__r0"), F.col("__c0"), "inner" if fill is None else "left", size)
+    j = _beside(placed, tiles, by, values, F.col("__r0"), F.col("__c0"), size)
     dr, dc = F.col("__dr"), F.col("__dc")
     weights = [(1 - dr) * (1 - dc), (1 - dr) * dc, dr * (1 - dc), dr * dc]
     at = [(F.col(a), F.col(b)) for a in ("__r0", "__r1") for b in ("__c0", "__c1")]
@@ -104,8 +115,12 @@ def cells_in(tiles: DataFrame, boxes: DataFrame, by: str = "image_id", values: t
     """Cells with row0 <= row < row1 and col0 <= col < col1 of each raster's box, read from the tiles that the boxes touch. boxes may have more columns."""
     c = F.col
     more = [x for x in boxes.columns if x not in (by, "row0", "col0", "row1", "col1")]
-    span = lambda a: F.sequence(tile_of(F.greatest(c(f"{a}0"), F.lit(0)), size), tile_of(F.greatest(c(f"{a}1") - 1, F.lit(0)), size))
-    asked = boxes.filter("row0 < row1 AND col0 < col1 AND row1 > 0 AND col1 > 0").withColumn("__tile_tr", F.explode(span("row"))).withColumn("__tile_tc", F.explode(span("col")))
+    # boxes are cut to the tiles that their raster has: one may reach far beyond it, or have no raster at all
+    extents = tiles.groupBy(by).agg(*(f(t).alias(f"__{k}_{t}") for t in ("tr", "tc") for k, f in (("low", F.min), ("high", F.max))))
+    asked = boxes.filter("row0 < row1 AND col0 < col1 AND row1 > 0 AND col1 > 0").join(extents, by)
+    for a, t in (("row", "tr"), ("col", "tc")):
+        first, last = F.greatest(tile_of(c(f"{a}0"), size), c(f"__low_{t}")), F.least(tile_of(c(f"{a}1") - 1, size), c(f"__high_{t}"))
+        asked = asked.filter(first <= last).withColumn(f"__tile_{t}", F.explode(F.sequence(first, last)))
     asked = asked.withColumnsRenamed({f"{a}{k}": f"__{a}_{k}" for a in ("row", "col") for k in (0, 1)})
     j = asked.join(_named(tiles, by, values), [by, "__tile_tr", "__tile_tc"])
     for a, extent in (("row", "height"), ("col", "width")):  # the tile's own cells, without its halo

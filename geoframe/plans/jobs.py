@@ -9,7 +9,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from geoframe.functions import geo
-from geoframe.functions.lineage import checkpointed
+from geoframe.functions.lineage import checkpointed, partitions
 from geoframe.operators import fit, metrics, neighbors, overlap, raster, sensor, tiles, tiling
 
 Predictor = Callable[[pd.DataFrame], pd.DataFrame]
@@ -173,7 +173,8 @@ def orthorectify(pixels: DataFrame, dem: DataFrame, models: DataFrame, resolutio
     box = ground.groupBy("image_id").agg(F.min("lat").alias("lat0"), F.max("lat").alias("lat1"), F.min("lon").alias("lon0"), F.max("lon").alias("lon1"))
     box = box.join(info, "image_id").withColumns({"dlat": F.lit(resolution / 111320.0), "dlon": F.lit(resolution) / (F.lit(40075000.0) * F.cos(F.radians((c("lat1") + c("lat0")) / 2)) / 360.0)})
     box = box.withColumns({"rows": F.ceil((c("lat1") - c("lat0")) / c("dlat")).cast("int"), "cols": F.ceil((c("lon1") - c("lon0")) / c("dlon")).cast("int")})
-    cells = box.withColumn("trow", F.explode(F.sequence(F.lit(0), c("rows") - 1))).withColumn("tcol", F.explode(F.sequence(F.lit(0), c("cols") - 1)))
+    lines = box.withColumn("trow", F.explode(F.sequence(F.lit(0), c("rows") - 1))).repartition(partitions(pixels.sparkSession), "image_id", "trow")  # the images are few rows: their lines are made in all tasks
+    cells = lines.withColumn("tcol", F.explode(F.sequence(F.lit(0), c("cols") - 1)))
     cells = cells.withColumns({"lat": c("lat1") - c("trow") * c("dlat"), "lon": c("lon0") + c("tcol") * c("dlon")})
     cells = cells.withColumns({"row": (c("height") - 1) * (c("lat1") - c("lat")) / (c("lat1") - c("lat0")), "col": (c("width") - 1) * (c("lon") - c("lon0")) / (c("lon1") - c("lon0"))})
     heights = raster.sample_bilinear(cells.select("image_id", "trow", "tcol", "lat", "lon", "row", "col", "height", "width", "low"), dem, fill=0.0)

@@ -13,7 +13,7 @@ from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from geoframe.functions import geo
-from geoframe.functions.lineage import checkpointed
+from geoframe.functions.lineage import checkpointed, partitions
 from geoframe.operators import fit, raster, sensor
 from geoframe.operators import tiles as tiled
 
@@ -150,7 +150,7 @@ def ingest_npy_rasters(spark: SparkSession, path: str, size: int = tiled.SIZE) -
 
 def write_tiles(tiles: DataFrame, path: str, by: str = "raster_id") -> None:
     """Tiles as Parquet, by raster and row of tiles."""
-    tiles.repartition(by, "tr").sortWithinPartitions(by, "tr", "tc").write.mode("overwrite").partitionBy(by, "tr").parquet(path)
+    tiles.repartition(partitions(tiles.sparkSession), by, "tr").sortWithinPartitions(by, "tr", "tc").write.mode("overwrite").partitionBy(by, "tr").parquet(path)
 
 
 def assemble_scenes(images: DataFrame, dem: DataFrame, models: DataFrame, tie: DataFrame, size_limit: int = 0) -> DataFrame:
@@ -183,7 +183,7 @@ def load_grids(spark: SparkSession, path: str) -> DataFrame:
 
 def write_raster(cells: DataFrame, raster_meta: DataFrame, path: str) -> None:
     """Cells as Parquet by raster and tile row under path/cells, their geotransforms under path/rasters."""
-    raster.with_tiles(cells).repartition("raster_id", "tr").sortWithinPartitions("raster_id", "tr", "row", "col").write.mode("overwrite").partitionBy("raster_id", "tr").parquet(f"{path}/cells")
+    raster.with_tiles(cells).repartition(partitions(cells.sparkSession), "raster_id", "tr").sortWithinPartitions("raster_id", "tr", "row", "col").write.mode("overwrite").partitionBy("raster_id", "tr").parquet(f"{path}/cells")
     raster_meta.write.mode("overwrite").parquet(f"{path}/rasters")
 
 
