@@ -46,18 +46,22 @@ def knn_idw(queries: DataFrame, patches: DataFrame, k: int = 4, limit: float = 2
 
     A query counts only if its k-th distance is under limit (squared for l2sq), so
     buckets of that radius hold all neighbours that can count.  Equal distances go
-    to the smaller patch.  A query is told apart by by and query_key.
+    to the smaller patch.  A patch is told apart by by and patch_key.  Queries at one place are answered once.
     """
     radius = limit**0.5 if metric == "l2sq" else limit
-    near = _near(queries.select(query_key, *by, "line", "samp"), patches.select(patch_key, *by, "line", "samp", *values, *arrays), ("line", "samp"), radius, list(by))
+    place = [*by, "line", "samp"]
+    near = _near(queries.select(*place).distinct(), patches.select(patch_key, *place, *values), ("line", "samp"), radius, list(by))
     d2 = F.pow(F.col("line") - F.col("b_line"), 2) + F.pow(F.col("samp") - F.col("b_samp"), 2)
     near = near.withColumn("d", d2 if metric == "l2sq" else F.sqrt(d2)).filter(F.col("d") < limit)
-    order = Window.partitionBy(*by, query_key).orderBy("d", f"b_{patch_key}")
+    order = Window.partitionBy(*place).orderBy("d", f"b_{patch_key}")
     best = near.withColumn("n", F.row_number().over(order)).filter(F.col("n") <= k).withColumn("w", 1.0 / (F.col("d") + 1e-6))
-    means = [(F.sum(F.col("w") * F.col(f"b_{v}")) / F.sum("w")).alias(v) for v in values]
-    lists = [F.sort_array(F.collect_list(F.struct("n", "w", *(F.transform(f"b_{a}", lambda v: v.cast("double")).alias(a) for a in arrays)))).alias("__near")] if arrays else []
-    found = best.groupBy(*by, query_key).agg(F.count("*").alias("n"), *means, *lists).filter(F.col("n") == k)
-    return found.select(query_key, *by, *values, *(_weighted_arrays("__near", a).alias(a) for a in arrays))
+    means, lists = [(F.sum(F.col("w") * F.col(f"b_{v}")) / F.sum("w")).alias(v) for v in values], []
+    if arrays:  # fetched for the nearest alone
+        best = best.join(patches.select(*by, F.col(patch_key).alias(f"b_{patch_key}"), *(F.col(a).alias(f"b_{a}") for a in arrays)), [*by, f"b_{patch_key}"])
+        lists = [F.sort_array(F.collect_list(F.struct("n", "w", *(F.transform(f"b_{a}", lambda v: v.cast("double")).alias(a) for a in arrays)))).alias("__near")]
+    found = best.groupBy(*place).agg(F.count("*").alias("n"), *means, *lists).filter(F.col("n") == k)
+    found = found.select(*place, *values, *(_weighted_arrays("__near", a).alias(a) for a in arrays))
+    return queries.select(query_key, *place).join(found, place).select(query_key, *by, *values, *arrays)
 
 
 def nearest_within(a: DataFrame, b: DataFrame, limit: float, a_key: str = "a_id", b_key: str = "b_id", cols: tuple = ("x", "y")) -> DataFrame:
