@@ -221,7 +221,10 @@ class AttentionModel:
             self.constant = float(y.mean()) if len(y) else 0.5
             return self
         self.mean, self.scale = x.mean(axis=0), x.std(axis=0) + 0.02
-        x, p, starts, doc = ((x - self.mean) / self.scale).astype(np.float32), self.p, np.cumsum(sizes) - sizes, np.repeat(np.arange(len(sizes)), sizes)
+        small = np.empty(x.shape, np.float32)
+        for a in range(0, len(x), 4096):  # some rows at a time: no further copies of all in doubles
+            small[a : a + 4096] = (x[a : a + 4096] - self.mean) / self.scale
+        x, p, starts, doc = small, self.p, np.cumsum(sizes) - sizes, np.repeat(np.arange(len(sizes)), sizes)
         p.update({k: a.astype(np.float32) for k, a in p.items()})
         m, v = ({k: np.zeros_like(a) for k, a in p.items()} for _ in range(2))
         for step in range(1, steps + 1):
@@ -288,9 +291,18 @@ def fit_quality(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text
                 yield pa.RecordBatch.from_arrays([batch.column(0)[first:last], batch.column(1)[first:last], pa.array([b.tobytes() for b in bags], pa.binary())], names=["id", "label", "x"])
 
     got = sorted((r["id"], r["label"], bytes(r["x"])) for r in texts.select("id", "label", "text").mapInArrow(encode, "id long, label int, x binary").toLocalIterator())
-    bags = [np.frombuffer(b, np.float32).reshape(-1, FEATURES).astype(np.float64) for _, _, b in got]
     y = np.array([label for _, label, _ in got], np.float64)
-    return AttentionModel().fit(np.concatenate(bags) if bags else np.zeros((0, FEATURES)), np.array([len(b) for b in bags], np.int64), y)
+    return AttentionModel().fit(*_stacked([b for _, _, b in got]), y)
+
+
+def _stacked(bags: list[bytes]) -> tuple[np.ndarray, np.ndarray]:
+    """All bags' passages in one array, and the number of each bag's."""
+    sizes = np.array([len(b) // (4 * FEATURES) for b in bags], np.int64)
+    x, at = np.empty((sizes.sum(), FEATURES)), 0
+    for b, n in zip(bags, sizes.tolist(), strict=True):
+        x[at : at + n] = np.frombuffer(b, np.float32).reshape(n, FEATURES)
+        at += n
+    return x, sizes
 
 
 def quality_scores(docs: DataFrame, model: AttentionModel, id_col: str = "doc_id", text_col: str = "text", keep: tuple = ()) -> DataFrame:

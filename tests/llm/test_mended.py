@@ -140,3 +140,20 @@ def test_long_licence_text_needs_little_memory():
     tracemalloc.stop()
     assert len(np.unique(of)) == 600_000 and peak < 30 * len(grams) + 20 * len(raw)
     print(peak / len(raw))
+
+
+def test_training_keeps_one_copy_of_the_sample():
+    """The driver held the training passages four times over: as bytes, as doubles by document, stacked, and normalised."""
+    import tracemalloc
+
+    import numpy as np
+
+    from geoframe.llm import quality
+
+    bags = [np.full((20, quality.FEATURES), k % 7, np.float32).tobytes() for k in range(500)]
+    tracemalloc.start()
+    x, sizes = quality._stacked(bags)
+    quality.AttentionModel().fit(x, sizes, np.arange(500) % 2 * 1.0, steps=1)
+    peak = tracemalloc.get_traced_memory()[1]
+    tracemalloc.stop()
+    assert len(x) == sizes.sum() == 10_000 and peak < 3.2 * x.nbytes
