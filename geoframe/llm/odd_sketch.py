@@ -2,11 +2,11 @@
 
 A text's set of five-word shingles gives BANDS * ROWS MinHash samples.  Bands of
 ROWS samples propose pairs: two sets of Jaccard similarity 0.85 share a band but
-for (1 - 0.85**6)**32, less than 3 in ten million.  All samples of a set are
+for (1 - 0.85**6)**32, less than 3 in ten million (other similarities: see Rule).  All samples of a set are
 folded into an odd sketch: each flips one bit of SKETCH_BITS, so that samples two
 sets have in common cancel in the XOR of their sketches, and its population count
 tells the number of samples that differ.  A candidate of estimated similarity
-below LEAST_ESTIMATE is dropped; that is five standard deviations under 0.85.
+below 0.70 is dropped; that is five standard deviations under 0.85.
 Every other one is compared on the two texts' full sets of words, without hashes.
 
 Work is on distinct sets.  Candidates come in two rounds, so that a group of
@@ -33,6 +33,7 @@ An empty table gives an empty result.  Other columns are not looked at.
 from __future__ import annotations
 
 from collections.abc import Callable, Iterator
+from dataclasses import dataclass
 
 import numpy as np
 import pyarrow as pa
@@ -40,36 +41,73 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from geoframe.llm._shared import checkpointed, mixed, partitions
-from geoframe.llm.quality import text_slices
-from geoframe.llm.shingles import shingles
+from geoframe.llm.quality import text_slices, word_hashes, word_spans
 from geoframe.llm.simhash import components
 
-SHINGLE_WORDS, PERCENT, BANDS, ROWS, SKETCH_BITS, LEAST_ESTIMATE, CHUNK = 5, 85, 32, 6, 512, 0.70, 512
+SHINGLE_WORDS, BANDS, ROWS, SKETCH_BITS, CHUNK = 5, 32, 6, 512, 512
 SKETCH_WORDS = SKETCH_BITS // 64
+Fingerprint = Callable[[list[bytes]], np.ndarray]
 _FOLD = np.uint64(0x9E3779B97F4A7C15)
 _FACTORS = np.random.default_rng(13).integers(0, 2**64, BANDS * ROWS, np.uint64) | np.uint64(1)
 
 
-def differing_bits(similarity: float) -> int:
+@dataclass(frozen=True)
+class Rule:
+    """Sets are linked at a similarity of `percent`; bands and rows propose pairs, an estimate below `least` drops them."""
+
+    percent: int = 85
+    bands: int = BANDS
+    rows: int = ROWS
+    least: float = 0.70
+
+    @property
+    def most_bits(self) -> int:
+        return differing_bits(self.least, self.bands * self.rows)
+
+
+RULE = Rule()
+
+
+def shingles(raw: np.ndarray, offsets: np.ndarray, words: int = SHINGLE_WORDS) -> tuple[np.ndarray, np.ndarray]:
+    """Hashes of the shingles of concatenated lower-case texts, in the texts' order, and their number in each; fewer words than a shingle are one."""
+    starts, ends = word_spans(raw, offsets)
+    hashes = word_hashes(raw, starts, ends)
+    first = np.searchsorted(starts, offsets)
+    owner = np.repeat(np.arange(len(offsets) - 1), np.diff(first))
+    run, out, of = hashes, [], []
+    with np.errstate(over="ignore"):
+        for n in range(1, words + 1):
+            run = hashes if n == 1 else run[:-1] * _FOLD + hashes[n - 1 :]
+            size = np.diff(first)
+            at = first[:-1][size == n] if n < words else np.flatnonzero(owner[: len(run)] == owner[n - 1 :])
+            out.append(run[at] + np.uint64(n))
+            of.append(owner[at])
+            if len(run) < 2:
+                break
+    values, of = np.concatenate(out), np.concatenate(of)
+    return mixed(values)[np.argsort(of, kind="stable")], np.bincount(of, minlength=len(offsets) - 1)
+
+
+def differing_bits(similarity: float, drawn: int = BANDS * ROWS) -> int:
     """Bits in which the sketches of two sets of this similarity are expected to differ."""
-    return round(SKETCH_BITS / 2 * (1 - (1 - 2 / SKETCH_BITS) ** (2 * BANDS * ROWS * (1 - similarity))))
+    return round(SKETCH_BITS / 2 * (1 - (1 - 2 / SKETCH_BITS) ** (2 * drawn * (1 - similarity))))
 
 
-def samples(hashes: np.ndarray, sizes: np.ndarray) -> np.ndarray:
+def samples(hashes: np.ndarray, sizes: np.ndarray, drawn: int = BANDS * ROWS) -> np.ndarray:
     """MinHash samples of every set that is not empty."""
     begin = (np.cumsum(sizes) - sizes)[sizes > 0]
-    out = np.empty((len(begin), BANDS * ROWS), np.uint64)
+    out = np.empty((len(begin), drawn), np.uint64)
     with np.errstate(over="ignore"):
-        for k, factor in enumerate(_FACTORS):
+        for k, factor in enumerate(_FACTORS[:drawn]):
             out[:, k] = np.minimum.reduceat(hashes * factor, begin) if len(begin) else 0
     return out
 
 
-def band_keys(drawn: np.ndarray) -> np.ndarray:
-    keys = np.tile(np.arange(BANDS, dtype=np.uint64), (len(drawn), 1))
+def band_keys(drawn: np.ndarray, rows: int = ROWS) -> np.ndarray:
+    keys = np.tile(np.arange(drawn.shape[1] // rows, dtype=np.uint64), (len(drawn), 1))
     with np.errstate(over="ignore"):
-        for r in range(ROWS):
-            keys = mixed(keys * _FOLD + drawn[:, r::ROWS])
+        for r in range(rows):
+            keys = mixed(keys * _FOLD + drawn[:, r::rows])
     return keys
 
 
@@ -99,21 +137,26 @@ def _texts(docs: DataFrame, id_col: str, text_col: str) -> DataFrame:
     return docs.select(F.col(id_col).cast("long").alias("id"), F.coalesce(F.col(text_col), F.lit("")).alias("text"))
 
 
-def _prints(rows: DataFrame) -> DataFrame:
-    """id, node (the set's digest), n, bands and sketch of every document."""
+def _prints(rows: DataFrame, rule: Rule, more: Fingerprint | None) -> DataFrame:
+    """id, node (the set's digest), n, bands and sketch of every document, and fp if more makes it of the lower-case text."""
 
     def compute(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for first, last, raw, at in text_slices(batch, 1):
-                hashes, sizes = shingles(_lowered(raw, at)[0], at, SHINGLE_WORDS)
+                raw, texts = _lowered(raw, at)
+                hashes, sizes = shingles(raw, at, SHINGLE_WORDS)
                 nodes, n = _sets(hashes, sizes)
-                drawn = samples(hashes, sizes)
-                bands, sketches = (np.zeros((len(n), width), np.uint64) for width in (BANDS, SKETCH_WORDS))
-                bands[sizes > 0], sketches[sizes > 0] = band_keys(drawn), odd_sketches(drawn)
-                lists = [pa.array(list(x.view(np.int64)), pa.list_(pa.int64())) for x in (bands, sketches)]
-                yield pa.RecordBatch.from_arrays([batch.column(0)[first:last], pa.array(nodes, pa.binary()), pa.array(n), *lists], names=["id", "node", "n", "bands", "sketch"])
+                drawn = samples(hashes, sizes, rule.bands * rule.rows)
+                bands, sketches = (np.zeros((len(n), width), np.uint64) for width in (rule.bands, SKETCH_WORDS))
+                bands[sizes > 0], sketches[sizes > 0] = band_keys(drawn, rule.rows), odd_sketches(drawn)
+                columns = [pa.array(list(x.view(np.int64)), pa.list_(pa.int64())) for x in (bands, sketches)]
+                if more:
+                    columns.append(pa.array(more(texts).view(np.int64)))
+                yield pa.RecordBatch.from_arrays([batch.column(0)[first:last], pa.array(nodes, pa.binary()), pa.array(n), *columns], names=names)
 
-    return rows.mapInArrow(compute, "id long, node binary, n long, bands array<long>, sketch array<long>")
+    schema = "id long, node binary, n long, bands array<long>, sketch array<long>" + ", fp long" * bool(more)
+    names = [field.split()[0] for field in schema.split(", ")]
+    return rows.mapInArrow(compute, schema)
 
 
 def _neighbours(nodes: DataFrame) -> DataFrame:
@@ -152,17 +195,17 @@ def _neighbours(nodes: DataFrame) -> DataFrame:
     return rows.repartitionByRange(partitions(nodes.sparkSession), *order).sortWithinPartitions(*order).mapInArrow(pair, "key long, nid long, before long")
 
 
-def _possible(a: Column, b: Column) -> Column:
+def _possible(a: Column, b: Column, percent: int) -> Column:
     """Whether sets of a and b elements can be similar enough."""
-    return 100 * F.least(a, b) >= PERCENT * F.greatest(a, b)
+    return 100 * F.least(a, b) >= percent * F.greatest(a, b)
 
 
-def _hopeful(pairs: DataFrame, nodes: DataFrame) -> DataFrame:
+def _hopeful(pairs: DataFrame, nodes: DataFrame, rule: Rule) -> DataFrame:
     """Pairs (a, b) whose sizes and odd sketches allow the similarity."""
     side = lambda k: nodes.select(F.col("nid").alias(k), F.col("n").alias(f"n_{k}"), F.col("sketch").alias(f"sketch_{k}"))
     bits = sum((F.bit_count(F.col("sketch_a")[k].bitwiseXOR(F.col("sketch_b")[k])) for k in range(1, SKETCH_WORDS)), F.bit_count(F.col("sketch_a")[0].bitwiseXOR(F.col("sketch_b")[0])))
     both = pairs.join(side("a"), "a").join(side("b"), "b")
-    return both.filter(_possible(F.col("n_a"), F.col("n_b"))).filter(bits <= differing_bits(LEAST_ESTIMATE)).select("a", "b")
+    return both.filter(_possible(F.col("n_a"), F.col("n_b"), rule.percent)).filter(bits <= rule.most_bits).select("a", "b")
 
 
 def _word_texts(docs: DataFrame, nodes: DataFrame, asked: DataFrame) -> DataFrame:
@@ -196,19 +239,19 @@ def shingle_sets(texts: list[bytes]) -> list[np.ndarray]:
     return out
 
 
-def similar(x: np.ndarray, y: np.ndarray) -> bool:
+def similar(x: np.ndarray, y: np.ndarray, percent: int) -> bool:
     both = len(np.intersect1d(x, y, assume_unique=True))
-    return 100 * both >= PERCENT * (len(x) + len(y) - both)
+    return 100 * both >= percent * (len(x) + len(y) - both)
 
 
-def _confirmed(pairs: DataFrame, words: DataFrame) -> DataFrame:
+def _confirmed(pairs: DataFrame, words: DataFrame, rule: Rule) -> DataFrame:
     """The pairs whose full sets are similar enough."""
     side = lambda k: words.select(F.col("nid").alias(k), F.col("words").alias(f"words_{k}"))
     both = pairs.join(side("a"), "a").join(side("b"), "b").select("a", "b", "words_a", "words_b")
 
     def check(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            keep = [similar(*shingle_sets([x.as_py(), y.as_py()])) for x, y in zip(batch.column(2), batch.column(3), strict=True)]
+            keep = [similar(*shingle_sets([x.as_py(), y.as_py()]), rule.percent) for x, y in zip(batch.column(2), batch.column(3), strict=True)]
             yield batch.select(["a", "b"]).filter(pa.array(keep, pa.bool_()))
 
     return both.mapInArrow(check, "a long, b long")
@@ -217,18 +260,18 @@ def _confirmed(pairs: DataFrame, words: DataFrame) -> DataFrame:
 class _Sets:
     """The sets of a band, or of two chunks of one, as columns."""
 
-    def __init__(self, key: int, i: int, j: int, sets: pa.ListScalar):
+    def __init__(self, rule: Rule, key: int, i: int, j: int, sets: pa.ListScalar):
         column = lambda name: sets.values.field(name).to_numpy(zero_copy_only=False)
         table = lambda name, width: sets.values.field(name).flatten().to_numpy().reshape(-1, width)
-        self.key, self.nid, self.label, self.n = key, column("nid"), column("label"), column("n")
-        self.sketch, self.bands = table("sketch", SKETCH_WORDS).view(np.uint64), table("bands", BANDS)
+        self.rule, self.key, self.nid, self.label, self.n = rule, key, column("nid"), column("label"), column("n")
+        self.sketch, self.bands = table("sketch", SKETCH_WORDS).view(np.uint64), table("bands", rule.bands)
         self.after = np.arange(len(self.nid)) if i == j else column("own")  # a set meets those with a larger number
 
     def hopeful(self) -> np.ndarray:
         """Pairs in different components whose sizes and sketches allow the similarity and that have no earlier band in common; nearest sketches first."""
-        most, found = differing_bits(LEAST_ESTIMATE), [np.zeros((0, 3), np.int64)]
+        most, percent, found = self.rule.most_bits, self.rule.percent, [np.zeros((0, 3), np.int64)]
         for k in range(len(self.nid)):
-            near = np.flatnonzero((self.after > self.after[k]) & (self.label != self.label[k]) & (100 * np.minimum(self.n, self.n[k]) >= PERCENT * np.maximum(self.n, self.n[k])))
+            near = np.flatnonzero((self.after > self.after[k]) & (self.label != self.label[k]) & (100 * np.minimum(self.n, self.n[k]) >= percent * np.maximum(self.n, self.n[k])))
             bits = np.bitwise_count(self.sketch[near] ^ self.sketch[k]).sum(axis=1, dtype=np.int64)
             near, bits = near[bits <= most], bits[bits <= most]
             first = self.bands[k][(self.bands[near] == self.bands[k]).argmax(axis=1)] == self.key
@@ -248,13 +291,13 @@ class _Sets:
         out = []
         for k, j in self.hopeful().tolist():
             a, b = top(int(self.label[k])), top(int(self.label[j]))
-            if a != b and similar(sets[k], sets[j]):
+            if a != b and similar(sets[k], sets[j], self.rule.percent):
                 joined[max(a, b)] = min(a, b)
                 out.append((int(self.nid[k]), int(self.nid[j])))
         return out
 
 
-def _across(shared: DataFrame, named: DataFrame, nodes: DataFrame, word_texts: Callable[[DataFrame], DataFrame]) -> DataFrame:
+def _across(shared: DataFrame, named: DataFrame, nodes: DataFrame, word_texts: Callable[[DataFrame], DataFrame], rule: Rule) -> DataFrame:
     """Links (a, b) between different components of sets that share a band, enough to connect all that are similar."""
     rows = shared.select("key", "nid").join(named, "nid")
     open_ = rows.groupBy("key").agg(F.min("label").alias("low"), F.max("label").alias("high"), F.count("*").alias("size")).filter("low != high")
@@ -268,7 +311,7 @@ def _across(shared: DataFrame, named: DataFrame, nodes: DataFrame, word_texts: C
     def ask(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for key, i, j, sets in zip(*(c.to_pylist() for c in batch.columns[:3]), batch.column(3), strict=True):
-                of = _Sets(key, i, j, sets)
+                of = _Sets(rule, key, i, j, sets)
                 nid = of.nid[np.unique(of.hopeful())]
                 yield pa.RecordBatch.from_arrays([pa.array(np.full(len(nid), x)) for x in (key, i, j)] + [pa.array(nid)], names=["key", "i", "j", "nid"])
 
@@ -280,28 +323,28 @@ def _across(shared: DataFrame, named: DataFrame, nodes: DataFrame, word_texts: C
     def confirm(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for key, i, j, sets in zip(*(c.to_pylist() for c in batch.columns[:3]), batch.column(3), strict=True):
-                pairs = np.array(_Sets(key, i, j, sets).links(sets.values.field("words").to_pylist()), np.int64).reshape(-1, 2)
+                pairs = np.array(_Sets(rule, key, i, j, sets).links(sets.values.field("words").to_pylist()), np.int64).reshape(-1, 2)
                 yield pa.RecordBatch.from_arrays([pa.array(pairs[:, 0]), pa.array(pairs[:, 1])], names=["a", "b"])
 
     return group(full, "words").mapInArrow(confirm, "a long, b long")
 
 
-def similar_sets(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> tuple[DataFrame, DataFrame]:
-    """(id, node, n, nid, least) of every document, nid null for an empty set, and links (a, b) between nids, enough to connect each group."""
+def similar_sets(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", rule: Rule = RULE, more: Fingerprint | None = None) -> tuple[DataFrame, DataFrame]:
+    """(id, node, n, nid, least, and fp if more is given) of every document, nid null for an empty set, and links (a, b) between nids, enough to connect each group."""
     rows = _texts(docs, id_col, text_col)
-    prints = checkpointed(_prints(rows))
+    prints = checkpointed(_prints(rows, rule, more))
     grouped = prints.filter("node IS NOT NULL").groupBy("node").agg(F.min("id").alias("least"), F.first("n").alias("n"), F.first("bands").alias("bands"), F.first("sketch").alias("sketch"))
     nodes = checkpointed(grouped.withColumn("nid", F.monotonically_increasing_id()))
     shared = checkpointed(_neighbours(nodes))
     word_texts = lambda asked: _word_texts(rows, nodes, asked)
     chained = shared.filter("before IS NOT NULL").select(F.least("nid", "before").alias("a"), F.greatest("nid", "before").alias("b")).distinct()
-    hopeful = checkpointed(_hopeful(chained, nodes))
+    hopeful = checkpointed(_hopeful(chained, nodes, rule))
     asked = hopeful.select(F.col("a").alias("nid")).unionByName(hopeful.select(F.col("b").alias("nid"))).distinct()
-    first = checkpointed(_confirmed(hopeful, word_texts(asked)))
+    first = checkpointed(_confirmed(hopeful, word_texts(asked), rule))
     joined = components(first)
     named = nodes.select("nid").join(joined.withColumnRenamed("node", "nid"), "nid", "left").select("nid", F.coalesce("label", "nid").alias("label"))
-    second = checkpointed(_across(shared, named, nodes, word_texts))
-    found = prints.select("id", "node", "n").join(nodes.select("node", "nid", "least"), "node", "left")
+    second = checkpointed(_across(shared, named, nodes, word_texts, rule))
+    found = prints.drop("bands", "sketch").join(nodes.select("node", "nid", "least"), "node", "left")
     return found, first.unionByName(second)
 
 

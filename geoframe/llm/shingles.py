@@ -1,163 +1,38 @@
-"""Near copies by shingle sets: texts whose sets of five-word shingles are alike to JACCARD or more.
-
-MinHash signatures in BANDS bands of ROWS values propose pairs, which are then
-checked by the similarity of their whole sets of 64-bit shingle hashes.  A pair of similarity 0.8
-shares a band with probability 1 - (1 - 0.8**5)**20 = 0.9996.
-
-Rows of all bands are put in one order, by (band's value, next band's value,
-node), dealt by range, and each is paired with the NEXT rows of the same value.
-A group of n near copies so makes at most NEXT * BANDS * n pairs, and none of
-them is ever in one task alone; the order differs from band to band, so that a
-text meets other partners in each.
-
-SimHash links (simhash.py) are kept beside these.  Work is on distinct sequences
-of lower-cased words.  Defined results are those of simhash.py.
+"""Near copies: texts whose sets of five-word shingles are alike to four fifths or more, or whose SimHash prints are near.
+
+Sets are linked as in odd_sketch.py, by a rule of its own.  Every pair of sets that
+share a band and are not joined yet is looked at, in groups of any size: no band has
+a number of partners beyond which others are left out.  A pair of similarity 0.8
+shares none of the 38 bands of 5 with probability (1 - 0.8**5)**38, less than 3 in
+ten million, and is dropped by its sketches, at an estimate of five standard
+deviations under 0.8, with about as small a one.  What is left is compared on the
+full sets of words.
+
+SimHash links (simhash.py) are kept beside these.  Copies of a set or of a print are
+one node before anything is compared.  Defined results are those of simhash.py.
 """
 
 from __future__ import annotations
 
-from collections.abc import Iterator
-
-import numpy as np
-import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from geoframe.llm import simhash
-from geoframe.llm._shared import checkpointed, mixed, partitions, renamed
-from geoframe.llm.quality import text_slices, word_hashes, word_spans
-
-SHINGLE_WORDS, JACCARD, BANDS, ROWS, NEXT = 5, 0.8, 20, 5, 3
-_FOLD = np.uint64(0x9E3779B97F4A7C15)
-_FACTORS = np.random.default_rng(7).integers(0, 2**64, BANDS * ROWS, np.uint64) | np.uint64(1)
-
-
-def shingles(raw: np.ndarray, offsets: np.ndarray, words: int = SHINGLE_WORDS) -> tuple[np.ndarray, np.ndarray]:
-    """Hashes of the shingles of concatenated lower-case texts, in the texts' order, and their number in each; fewer words than a shingle are one."""
-    starts, ends = word_spans(raw, offsets)
-    hashes = word_hashes(raw, starts, ends)
-    first = np.searchsorted(starts, offsets)
-    owner = np.repeat(np.arange(len(offsets) - 1), np.diff(first))
-    run, out, of = hashes, [], []
-    with np.errstate(over="ignore"):
-        for n in range(1, words + 1):
-            run = hashes if n == 1 else run[:-1] * _FOLD + hashes[n - 1 :]
-            size = np.diff(first)
-            at = first[:-1][size == n] if n < words else np.flatnonzero(owner[: len(run)] == owner[n - 1 :])
-            out.append(run[at] + np.uint64(n))
-            of.append(owner[at])
-            if len(run) < 2:
-                break
-    values, of = np.concatenate(out), np.concatenate(of)
-    return mixed(values)[np.argsort(of, kind="stable")], np.bincount(of, minlength=len(offsets) - 1)
-
-
-def bands(hashes: np.ndarray, sizes: np.ndarray) -> list[np.ndarray]:
-    """The bands' values of every text; none for a text without words."""
-    full = np.flatnonzero(sizes)
-    out = [np.zeros(0, np.int64)] * len(sizes)
-    if len(full):
-        begin = (np.cumsum(sizes) - sizes)[full]
-        keys = np.empty((len(full), BANDS), np.uint64)
-        with np.errstate(over="ignore"):
-            for b in range(BANDS):
-                key = np.full(len(full), b, np.uint64)
-                for factor in _FACTORS[b * ROWS : (b + 1) * ROWS]:
-                    key = mixed(key * _FOLD + np.minimum.reduceat(hashes * factor, begin))
-                keys[:, b] = key
-        for k, row in zip(full.tolist(), keys.view(np.int64), strict=True):
-            out[k] = row
-    return out
-
-
-def _lower(raw: np.ndarray, at: np.ndarray) -> tuple[np.ndarray, list[bytes]]:
-    body = raw.tobytes().lower()
-    return np.frombuffer(body, np.uint8), [body[a:b] for a, b in zip(at[:-1].tolist(), at[1:].tolist(), strict=True)]
-
-
-def _nodes(texts: list[bytes]) -> np.ndarray:
-    """Hashes of the texts' sequences of words."""
-    import xxhash
-
-    return np.array([xxhash.xxh64_intdigest(b" ".join(t.split()), 42) for t in texts], np.uint64).view(np.int64)
-
-
-def _prints(rows: DataFrame) -> DataFrame:
-    def compute(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            for first, last, raw, at in text_slices(batch, 1):
-                raw, texts = _lower(raw, at)
-                fp = simhash._fingerprints(texts, simhash.SHINGLE_WORDS)
-                yield pa.RecordBatch.from_arrays(
-                    [batch.column(0)[first:last], pa.array(_nodes(texts)), pa.array(fp.view(np.int64)), pa.array(bands(*shingles(raw, at)), pa.list_(pa.int64()))], names=["id", "node", "fp", "bands"]
-                )
-
-    return rows.mapInArrow(compute, "id long, node long, fp long, bands array<long>")
-
-
-def _candidates(nodes: DataFrame) -> DataFrame:
-    """Pairs (a, b) of nodes that share a band."""
-    turn = F.explode(F.expr(f"transform(sequence(0, {BANDS - 1}), k -> struct(bands[k] AS key, bands[(k + 1) % {BANDS}] AS tie))"))
-    rows = nodes.filter("size(bands) > 0").select("node", turn.alias("at")).select("at.*", "node")
-    order = ["key", "tie", "node"]
-
-    def pair(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        held = np.zeros((2, 0), np.int64)
-        for batch in batches:
-            old = held.shape[1]
-            held = np.concatenate([held, [batch.column(0).to_numpy(), batch.column(2).to_numpy()]], axis=1)
-            a, b = [], []
-            for w in range(1, NEXT + 1):
-                j = np.arange(max(old, w), held.shape[1])
-                j = j[held[0, j] == held[0, j - w]]
-                a.append(held[1, j - w])
-                b.append(held[1, j])
-            held = held[:, -NEXT:]
-            yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(a)), pa.array(np.concatenate(b))], names=["a", "b"])
-
-    pairs = rows.repartitionByRange(partitions(nodes.sparkSession), *order).sortWithinPartitions(*order).mapInArrow(pair, "a long, b long")
-    return pairs.filter("a != b").select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct()
-
-
-def _sets(rows: DataFrame) -> DataFrame:
-    """Every row's node and its set of shingle hashes, sorted."""
-
-    def compute(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            for _, _, raw, at in text_slices(batch, 1):
-                raw, texts = _lower(raw, at)
-                hashes, sizes = shingles(raw, at)
-                parts = np.split(hashes, np.cumsum(sizes)[:-1])
-                yield pa.RecordBatch.from_arrays([pa.array(_nodes(texts)), pa.array([np.unique(x).tobytes() for x in parts], pa.binary())], names=["node", "shingles"])
-
-    return rows.mapInArrow(compute, "node long, shingles binary")
-
+from geoframe.llm import odd_sketch, simhash
+from geoframe.llm._shared import checkpointed, renamed
+from geoframe.llm.odd_sketch import shingles as shingles
 
-def _alike(pairs: DataFrame, sets: DataFrame) -> DataFrame:
-    """The pairs whose sets have a Jaccard similarity of JACCARD at least."""
-    both = pairs.join(sets.select(F.col("node").alias("a"), F.col("shingles").alias("x")), "a").join(sets.select(F.col("node").alias("b"), F.col("shingles").alias("y")), "b").select("a", "b", "x", "y")
+NEAR = odd_sketch.Rule(percent=80, bands=38, rows=5, least=0.60)
 
-    def check(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            keep = []
-            for x, y in zip(batch.column(2), batch.column(3), strict=True):
-                x, y = (np.frombuffer(v.as_py(), np.uint64) for v in (x, y))
-                shared = len(np.intersect1d(x, y, assume_unique=True))
-                keep.append(shared >= JACCARD * (len(x) + len(y) - shared))
-            yield batch.select(["a", "b"]).filter(pa.array(keep, pa.bool_()))
 
-    return both.mapInArrow(check, "a long, b long")
+def _fingerprints(texts: list[bytes]):  # noqa: ANN202
+    return simhash._fingerprints(texts, simhash.SHINGLE_WORDS)
 
 
 def drop_near_copies(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """docs with one document of each group: the one with the least id."""
-    rows = docs.select(F.col(id_col).cast("long").alias("id"), F.coalesce(F.col(text_col), F.lit("")).alias("text"))
-    nodes = checkpointed(_prints(rows).groupBy("node").agg(F.min("id").alias("least"), F.first("fp").alias("fp"), F.first("bands").alias("bands")))
-    pairs = checkpointed(_candidates(nodes))
-    asked = pairs.select(F.col("a").alias("node")).unionByName(pairs.select(F.col("b").alias("node"))).distinct()
-    ids = nodes.join(asked, "node", "left_semi").select(F.col("least").alias("__id")).distinct()
-    sets = _sets(rows.join(ids, F.col("id").eqNullSafe(F.col("__id")), "left_semi")).join(asked, "node", "left_semi")
-    near = _alike(pairs, checkpointed(sets.groupBy("node").agg(F.first("shingles").alias("shingles"))))
+    found, near = odd_sketch.similar_sets(docs, id_col, text_col, NEAR, _fingerprints)
+    set_ = F.coalesce("nid", F.lit(-1)).alias("node")  # texts without words have no set, and meet by their print alone
+    nodes = checkpointed(found.groupBy(set_, "fp").agg(F.min("id").alias("least")))
     prints = checkpointed(nodes.groupBy("fp").agg(F.min("node").alias("rep")))
     same = nodes.join(prints, "fp").filter("node != rep").select(F.col("node").alias("a"), F.col("rep").alias("b"))
     close = simhash.links(prints.select("fp")).toDF("x", "y")
