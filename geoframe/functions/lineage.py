@@ -54,5 +54,9 @@ def by_group(df: DataFrame, groups: DataFrame, by: str, how: str = "inner") -> D
 
 def by_written_group(df: DataFrame, groups: DataFrame, by: str, how: str = "inner") -> DataFrame:
     """by_group() of groups that are cheap to read again."""
-    few = groups.limit(FEW + 1).count() <= FEW
-    return df.join(F.broadcast(groups) if few else groups, by, how)
+    return df.join(sent_if_few(groups), by, how)
+
+
+def sent_if_few(groups: DataFrame) -> DataFrame:
+    """Written groups, to be sent to all tasks where they are few."""
+    return F.broadcast(groups) if groups.limit(FEW + 1).count() <= FEW else groups

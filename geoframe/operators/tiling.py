@@ -12,6 +12,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from geoframe.functions.draws import uniform
+from geoframe.functions.lineage import by_group
 
 
 def _count(n: Column) -> Column:
@@ -134,7 +135,7 @@ def sweep(spark: SparkSession, **params: list) -> DataFrame:
 
 def drop_margin(df: DataFrame, extents: DataFrame, frac: float = 0.1, by: str = "image_id") -> DataFrame:
     """Points strictly inside the middle of their image's range of line and samp (line0, line1, samp0, samp1)."""
-    j = df.join(extents, by)
+    j = by_group(df, extents, by)
     inside = F.lit(True)
     for a in ("line", "samp"):
         low, high = F.col(f"{a}0"), F.col(f"{a}1")

@@ -9,7 +9,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from geoframe.functions import geo
-from geoframe.functions.lineage import checkpointed, partitions
+from geoframe.functions.lineage import by_group, checkpointed, partitions, sent_if_few
 from geoframe.operators import fit, metrics, neighbors, overlap, raster, sensor, tiles, tiling
 
 Predictor = Callable[[pd.DataFrame], pd.DataFrame]
@@ -64,9 +64,14 @@ def predict_ground(patches: DataFrame, grids: DataFrame, predictor: Predictor, b
     return geo.warp_by_poly(plain.mapInPandas(predict, fields), grids, by)
 
 
+def _models_of(models: DataFrame, patches: DataFrame) -> DataFrame:
+    """The models of the images that have patches: where they are few, patches stay where they are, and no task gets all those of an image."""
+    return sent_if_few(checkpointed(models.join(patches.select("image_id").distinct(), "image_id", "left_semi")))
+
+
 def _as_correspondences(predicted: DataFrame, models: DataFrame) -> DataFrame:
-    """Patches with predicted ground positions to pairs of where they are and where the model puts the prediction."""
-    local = predicted.withColumnsRenamed({"line": "l_line", "samp": "l_samp"})
+    """Patches with predicted ground positions to pairs of where they are and where the model puts the prediction, without features."""
+    local = predicted.drop("feature").withColumnsRenamed({"line": "l_line", "samp": "l_samp"})
     return sensor.mercator_to_image(local, models).withColumnsRenamed({"line": "t_line", "samp": "t_samp"})
 
 
@@ -79,13 +84,13 @@ def _update_affine(models: DataFrame, fitted: DataFrame) -> DataFrame:
 
 def adjust_images(patches: DataFrame, grids: DataFrame, predictor: Predictor, models: DataFrame, **options: object) -> DataFrame:
     """models with their affine corrections refitted to the grids' predictions of all images."""
-    return _update_affine(models, fit.robust_affine(_as_correspondences(predict_ground(patches, grids, predictor), models), **options))
+    return _update_affine(models, fit.robust_affine(_as_correspondences(predict_ground(patches, grids, predictor), _models_of(models, patches)), **options))
 
 
-def cross_element_pairs(patches: DataFrame, grids: DataFrame, predictor: Predictor) -> DataFrame:
-    """Patches of every image of a grid with the predictions of every other image of that grid (columns other, x, y, h)."""
+def cross_element_pairs(patches: DataFrame, grids: DataFrame, predictor: Predictor, placed: DataFrame | None = None) -> DataFrame:
+    """Patches (or those placed alone) of every image of a grid with the predictions of every other image of that grid (columns other, x, y, h)."""
     images = patches.select("grid_id", F.col("image_id").alias("other")).distinct()
-    crossed = patches.join(images, "grid_id").filter(overlap.exclude_self("image_id", "other"))
+    crossed = by_group(patches if placed is None else placed, images, "grid_id").filter(overlap.exclude_self("image_id", "other"))
     return predict_ground(crossed, grids, predictor)
 
 
@@ -106,9 +111,9 @@ def element_correspondences(positions: DataFrame, patches: DataFrame, elements:
     extents = patches.groupBy("image_id").agg(*(f(a).alias(f"{a}{k}") for a in ("line", "samp") for k, f in enumerate((F.min, F.max))))
     placed = tiling.drop_margin(positions.join(means, [*own, "query_id"]), extents, margin).filter(F.col("conf") > conf_thr)
     others = patches.select("grid_id", F.col("image_id").alias("other")).distinct()
-    crossed = placed.join(others, "grid_id").filter(overlap.exclude_self("image_id", "other"))
+    crossed = by_group(placed, others, "grid_id").filter(overlap.exclude_self("image_id", "other"))
     predicted = predict_ground(crossed, elements.withColumnRenamed("image_id", "other"), predictor, "other")
-    return _as_correspondences(predicted, models)
+    return _as_correspondences(predicted, _models_of(models, patches))
 
 
 def adjust_elements(patches: DataFrame, grids: DataFrame, predictor: Predictor, models: DataFrame, margin: float = 0.1, conf_thr: float = 0.5, seed: int = 0, positions: DataFrame | None = None, elements: DataFrame | None = None) -> tuple[DataFrame, DataFrame]:
@@ -120,12 +125,12 @@ def adjust_elements(patches: DataFrame, grids: DataFrame, predictor: Predictor,
     if positions is not None:
         corr = element_correspondences(positions, patches, elements, predictor, models, margin=margin, conf_thr=conf_thr)
     else:
-        pairs = cross_element_pairs(patches, grids, predictor)
         extents = patches.groupBy("image_id").agg(*(f(a).alias(f"{a}{k}") for a in ("line", "samp") for k, f in enumerate((F.min, F.max))))
-        corr = _as_correspondences(tiling.drop_margin(pairs, extents, margin), models)
+        pairs = cross_element_pairs(patches, grids, predictor, tiling.drop_margin(patches, extents, margin))
+        corr = _as_correspondences(pairs, _models_of(models, patches))
     maps = fit.centre_transforms(fit.robust_affine(corr, "image_id", conf_thr, 0.0, seed=seed))
     adjusted = _update_affine(models, maps)
-    return adjusted, sensor.image_to_mercator(patches.drop("x", "y"), adjusted)
+    return adjusted, sensor.image_to_mercator(patches.drop("x", "y"), _models_of(adjusted, patches))
 
 
 def image_patches(pixels: DataFrame, dem: DataFrame, models: DataFrame, grids: DataFrame, footprints: DataFrame, shape: tuple[int, int], size: int = 16, value: str = "value") -> DataFrame:
@@ -158,7 +163,7 @@ def adjust_from_images(pixels: DataFrame, dem: DataFrame, models: DataFrame, gri
 
     predictor gives x, y, h and conf for image_patches(); grids has its polynomials too.
     """
-    patches = image_patches(pixels, dem, models, grids, footprints, shape, size, value).withColumnRenamed("h", "height")
+    patches = checkpointed(image_patches(pixels, dem, models, grids, footprints, shape, size, value).withColumnRenamed("h", "height"))
     return adjust_images(patches, grids, predictor, models, **options)
 
 
