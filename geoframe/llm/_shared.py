@@ -21,6 +21,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 BLOCK_BYTES = 8 << 20
+FILTER_WORDS = 1 << 18
 BLOCK_SCHEMA = "block long, ids array<long>, flags binary, sizes binary, body binary"
 
 
@@ -74,6 +75,25 @@ def id_remainder(id_col: str, by: int) -> Column:
     return F.crc32(F.coalesce(F.col(id_col).cast("string"), F.lit("")).cast("binary")) % by
 
 
+def _filter_bits(id_: Column) -> tuple[Column, Column]:
+    """The word of a Bloom filter that an id (null too) falls on, and its three bits there."""
+    key = F.xxhash64(id_.cast("long"))
+    one = lambda k: F.call_function("shiftleft", F.lit(1).cast("long"), F.shiftright(key, k).bitwiseAND(F.lit(63)).cast("int"))
+    return F.pmod(key, F.lit(FILTER_WORDS)), one(20).bitwiseOR(one(30)).bitwiseOR(one(40))
+
+
+def id_filter(ids: DataFrame) -> DataFrame:
+    """A Bloom filter of the column id, as rows (word, bits): at most FILTER_WORDS, which any task can hold. With more ids it only lets more others pass."""
+    word, bits = _filter_bits(F.col("id"))
+    return checkpointed(ids.select(word.alias("__word"), bits.alias("bits")).groupBy("__word").agg(F.bit_or("bits").alias("__bits")))
+
+
+def perhaps(rows: DataFrame, id_col: str, bloom: DataFrame, how: str = "left_semi") -> DataFrame:
+    """The rows whose id may be in the filter, all that are among them; left_anti: the others. No row is shuffled."""
+    word, bits = _filter_bits(F.col(id_col))
+    return rows.join(F.broadcast(bloom), (word == F.col("__word")) & (F.col("__bits").bitwiseAND(bits) == bits), how)
+
+
 def buffers(column: pa.Array | pa.ChunkedArray) -> tuple[np.ndarray, np.ndarray]:
     """Bytes and offsets (one more than rows) of a string or binary column without nulls."""
     if isinstance(column, pa.ChunkedArray):

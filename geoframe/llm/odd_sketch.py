@@ -40,7 +40,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from geoframe.llm._shared import checkpointed, mixed, partitions
+from geoframe.llm._shared import checkpointed, id_filter, mixed, partitions, perhaps
 from geoframe.llm.quality import text_slices, word_hashes, word_spans
 from geoframe.llm.simhash import components
 
@@ -209,9 +209,10 @@ def _hopeful(pairs: DataFrame, nodes: DataFrame, rule: Rule) -> DataFrame:
 
 
 def _word_texts(docs: DataFrame, nodes: DataFrame, asked: DataFrame) -> DataFrame:
-    """nid and the words of one text of each asked node, lower-case, one space between."""
-    wanted = nodes.join(asked, "nid", "left_semi").select("nid", "node", "least")
-    rows = docs.join(wanted.select(F.col("least").alias("__id")).distinct(), F.col("id").eqNullSafe(F.col("__id")), "left_semi")
+    """nid and the words of one text of each asked node, lower-case, one space between. Texts of other nodes are passed over before the shuffle."""
+    wanted = checkpointed(nodes.join(asked, "nid", "left_semi").select("nid", "node", "least"))
+    ids = wanted.select(F.col("least").alias("id")).distinct()
+    rows = perhaps(docs, "id", id_filter(ids)).join(ids.toDF("__id"), F.col("id").eqNullSafe(F.col("__id")), "left_semi")
 
     def compute(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:

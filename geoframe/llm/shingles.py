@@ -18,7 +18,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from geoframe.llm import odd_sketch, simhash
-from geoframe.llm._shared import checkpointed, renamed
+from geoframe.llm._shared import checkpointed, id_filter, perhaps, renamed
 from geoframe.llm.odd_sketch import shingles as shingles
 
 NEAR = odd_sketch.Rule(percent=80, bands=38, rows=5, least=0.60)
@@ -41,4 +41,8 @@ def drop_near_copies(docs: DataFrame, id_col: str = "doc_id", text_col: str = "t
     named = nodes.select("node", "least").join(labels, "node", "left").select("least", F.coalesce("label", "node").alias("label"))
     winners = named.groupBy("label").agg(F.min("least").alias("id")).select("id").distinct()
     own, (at,) = renamed(docs, id_col)
-    return own.join(winners, F.col(at).eqNullSafe(F.col("id")), "left_semi").toDF(*docs.columns)
+    ids = own.select(F.col(at).cast("long").alias("own")).distinct()
+    losers = checkpointed(ids.join(winners, F.col("own").eqNullSafe(F.col("id")), "left_anti").select(F.col("own").alias("id")))
+    bloom = id_filter(losers)
+    doubtful = perhaps(own, at, bloom).join(losers, F.col(at).eqNullSafe(F.col("id")), "left_anti")
+    return perhaps(own, at, bloom, "left_anti").unionByName(doubtful).toDF(*docs.columns)

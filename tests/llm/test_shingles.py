@@ -6,7 +6,7 @@ from collections import Counter
 import numpy as np
 
 import corpus_pipeline
-from geoframe.llm import shingles
+from geoframe.llm import _shared, shingles
 from tests.llm.test_documents import plain_fingerprint, plain_words
 
 
@@ -83,3 +83,39 @@ def test_no_partner_of_a_band_is_passed_over(spark):
     docs = spark.createDataFrame([(k, t, "en", "s", 1) for k, t in enumerate(texts)], "doc_id long, text string, lang string, source string, n_chars long").repartition(3)
     assert 20 < len(set(label)) < len(texts) - 20
     assert sorted(r.doc_id for r in corpus_pipeline.near_copies(spark, docs, "").collect()) == sorted(set(label))
+
+
+def shuffled_bytes(spark, first=0):
+    """Bytes of shuffle written by the stages from number `first` on, and the next stage's number."""
+    context = spark.sparkContext
+    context._jsc.sc().listenerBus().waitUntilEmpty(30_000)
+    gateway = context._gateway
+    stages = context._jsc.sc().statusStore().stageList(None, False, False, gateway.new_array(gateway.jvm.double, 0), gateway.jvm.java.util.ArrayList())
+    found = [stages.apply(k) for k in range(stages.size())]
+    return sum(s.shuffleWriteBytes() for s in found if s.stageId() >= first), max((s.stageId() for s in found), default=-1) + 1
+
+
+def near_of(spark, docs):
+    return sorted((r.doc_id is None, r.doc_id or 0, r.text) for r in shingles.drop_near_copies(docs).collect())
+
+
+def test_texts_are_not_shuffled_to_be_looked_up(spark, monkeypatch):
+    """The check's disk: all texts were dealt by id three times, to fetch the few that have a candidate and to drop the few that are copies."""
+    rng = random.Random(17)
+    texts = [" ".join(f"{rng.getrandbits(60):x}" for _ in range(1500)) for _ in range(150)]
+    rows = list(enumerate([*texts, edited(rng, texts[3], 20), edited(rng, texts[7], 20)])) + [(None, texts[9] + " end"), (4, "the id of another row")]
+    docs = spark.createDataFrame(rows, "doc_id long, text string").repartition(3).checkpoint()
+    _, first = shuffled_bytes(spark)
+    left = near_of(spark, docs)
+    assert shuffled_bytes(spark, first)[0] < 0.5 * sum(len(t) for t in texts)
+    assert left == sorted((k is None, k or 0, t) for k, t in rows if k not in (150, 151, None))
+    monkeypatch.setattr(_shared, "FILTER_WORDS", 1)  # a full filter lets all ids pass: the exact joins after it decide
+    assert near_of(spark, docs) == left
+
+
+def test_a_filter_loses_no_id(spark):
+    ids = spark.range(0, 20_000, 7).union(spark.sql("SELECT CAST(NULL AS LONG)"))
+    bloom, rows = _shared.id_filter(ids), spark.range(20_000).union(spark.sql("SELECT CAST(NULL AS LONG)"))
+    passed = {r.id for r in _shared.perhaps(rows, "id", bloom).collect()}
+    assert passed >= {None, *range(0, 20_000, 7)} and len(passed) < 1.05 * 2859
+    assert {r.id for r in _shared.perhaps(rows, "id", bloom, "left_anti").collect()} == {None, *range(20_000)} - passed
