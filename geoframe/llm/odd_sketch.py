@@ -40,7 +40,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from geoframe.llm._shared import checkpointed, id_filter, mixed, partitions, perhaps
+from geoframe.llm._shared import checkpointed, drop_unused_shuffles, id_filter, mixed, partitions, perhaps
 from geoframe.llm.quality import text_slices, word_hashes, word_spans
 from geoframe.llm.simhash import components
 
@@ -317,6 +317,7 @@ def _across(shared: DataFrame, named: DataFrame, nodes: DataFrame, word_texts: C
                 yield pa.RecordBatch.from_arrays([pa.array(np.full(len(nid), x)) for x in (key, i, j)] + [pa.array(nid)], names=["key", "i", "j", "nid"])
 
     asked = checkpointed(group(dealt).filter("size(sets) > 1").mapInArrow(ask, "key long, i long, j long, nid long"))
+    drop_unused_shuffles(nodes.sparkSession)
     words = word_texts(asked.select("nid").distinct())
     full = asked.join(named, "nid").join(nodes.select("nid", "n", "sketch", "bands"), "nid").join(words, "nid")
     full = full.join(open_.select("key", chunks.alias("chunks")), "key").withColumn("own", F.pmod(F.xxhash64("nid"), "chunks"))
@@ -337,14 +338,18 @@ def similar_sets(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text"
     grouped = prints.filter("node IS NOT NULL").groupBy("node").agg(F.min("id").alias("least"), F.first("n").alias("n"), F.first("bands").alias("bands"), F.first("sketch").alias("sketch"))
     nodes = checkpointed(grouped.withColumn("nid", F.monotonically_increasing_id()))
     shared = checkpointed(_neighbours(nodes))
+    drop_unused_shuffles(docs.sparkSession)  # here and below: else the files of all steps stay until the driver happens to collect its garbage
     word_texts = lambda asked: _word_texts(rows, nodes, asked)
     chained = shared.filter("before IS NOT NULL").select(F.least("nid", "before").alias("a"), F.greatest("nid", "before").alias("b")).distinct()
     hopeful = checkpointed(_hopeful(chained, nodes, rule))
     asked = hopeful.select(F.col("a").alias("nid")).unionByName(hopeful.select(F.col("b").alias("nid"))).distinct()
     first = checkpointed(_confirmed(hopeful, word_texts(asked), rule))
+    drop_unused_shuffles(docs.sparkSession)
     joined = components(first)
+    drop_unused_shuffles(docs.sparkSession)
     named = nodes.select("nid").join(joined.withColumnRenamed("node", "nid"), "nid", "left").select("nid", F.coalesce("label", "nid").alias("label"))
     second = checkpointed(_across(shared, named, nodes, word_texts, rule))
+    drop_unused_shuffles(docs.sparkSession)
     found = prints.drop("bands", "sketch").join(nodes.select("node", "nid", "least"), "node", "left")
     return found, first.unionByName(second)
 

@@ -18,7 +18,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from geoframe.llm import odd_sketch, simhash
-from geoframe.llm._shared import checkpointed, id_filter, perhaps, renamed
+from geoframe.llm._shared import checkpointed, drop_unused_shuffles, id_filter, perhaps, renamed
 from geoframe.llm.odd_sketch import shingles as shingles
 
 NEAR = odd_sketch.Rule(percent=80, bands=38, rows=5, least=0.60)
@@ -38,6 +38,7 @@ def drop_near_copies(docs: DataFrame, id_col: str = "doc_id", text_col: str = "t
     close = simhash.links(prints.select("fp")).toDF("x", "y")
     close = close.join(prints.toDF("x", "a"), "x").join(prints.toDF("y", "b"), "y").select("a", "b")
     labels = simhash.components(near.unionByName(same).unionByName(close))
+    drop_unused_shuffles(docs.sparkSession)
     named = nodes.select("node", "least").join(labels, "node", "left").select("least", F.coalesce("label", "node").alias("label"))
     winners = named.groupBy("label").agg(F.min("least").alias("id")).select("id").distinct()
     own, (at,) = renamed(docs, id_col)
