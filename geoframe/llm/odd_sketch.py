@@ -312,15 +312,14 @@ def _across(shared: DataFrame, named: DataFrame, nodes: DataFrame, word_texts: C
     def ask(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for key, i, j, sets in zip(*(c.to_pylist() for c in batch.columns[:3]), batch.column(3), strict=True):
-                of = _Sets(rule, key, i, j, sets)
-                nid = of.nid[np.unique(of.hopeful())]
-                yield pa.RecordBatch.from_arrays([pa.array(np.full(len(nid), x)) for x in (key, i, j)] + [pa.array(nid)], names=["key", "i", "j", "nid"])
+                found = sets.values.take(pa.array(np.unique(_Sets(rule, key, i, j, sets).hopeful())))
+                yield pa.RecordBatch.from_arrays([pa.array(np.full(len(found), x, np.int64)) for x in (key, i, j)] + [found.field(c) for c in columns], names=["key", "i", "j", *columns])
 
-    asked = checkpointed(group(dealt).filter("size(sets) > 1").mapInArrow(ask, "key long, i long, j long, nid long"))
+    # whole rows, which only lack their words then: nothing has to be joined to them again
+    asked = checkpointed(group(dealt).filter("size(sets) > 1").mapInArrow(ask, "key long, i long, j long, nid long, label long, own long, n long, sketch array<long>, bands array<long>"))
     drop_unused_shuffles(nodes.sparkSession)
     words = word_texts(asked.select("nid").distinct())
-    full = asked.join(named, "nid").join(nodes.select("nid", "n", "sketch", "bands"), "nid").join(words, "nid")
-    full = full.join(open_.select("key", chunks.alias("chunks")), "key").withColumn("own", F.pmod(F.xxhash64("nid"), "chunks"))
+    full = asked.join(words, "nid")
 
     def confirm(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -332,7 +331,7 @@ def _across(shared: DataFrame, named: DataFrame, nodes: DataFrame, word_texts: C
 
 
 def similar_sets(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", rule: Rule = RULE, more: Fingerprint | None = None) -> tuple[DataFrame, DataFrame]:
-    """(id, node, n, nid, least, and fp if more is given) of every document, nid null for an empty set, and links (a, b) between nids, enough to connect each group."""
+    """(id, node, n, nid, least, and fp if more is given) of every document, nid null for an empty set, and links (a, b) between nids that connect each group: from every node of a group of the first round to its least, and those of the second."""
     rows = _texts(docs, id_col, text_col)
     prints = checkpointed(_prints(rows, rule, more))
     grouped = prints.filter("node IS NOT NULL").groupBy("node").agg(F.min("id").alias("least"), F.first("n").alias("n"), F.first("bands").alias("bands"), F.first("sketch").alias("sketch"))
@@ -342,16 +341,16 @@ def similar_sets(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text"
     word_texts = lambda asked: _word_texts(rows, nodes, asked)
     chained = shared.filter("before IS NOT NULL").select(F.least("nid", "before").alias("a"), F.greatest("nid", "before").alias("b")).distinct()
     hopeful = checkpointed(_hopeful(chained, nodes, rule))
+    drop_unused_shuffles(docs.sparkSession)
     asked = hopeful.select(F.col("a").alias("nid")).unionByName(hopeful.select(F.col("b").alias("nid"))).distinct()
     first = checkpointed(_confirmed(hopeful, word_texts(asked), rule))
     drop_unused_shuffles(docs.sparkSession)
     joined = components(first)
-    drop_unused_shuffles(docs.sparkSession)
     named = nodes.select("nid").join(joined.withColumnRenamed("node", "nid"), "nid", "left").select("nid", F.coalesce("label", "nid").alias("label"))
     second = checkpointed(_across(shared, named, nodes, word_texts, rule))
     drop_unused_shuffles(docs.sparkSession)
     found = prints.drop("bands", "sketch").join(nodes.select("node", "nid", "least"), "node", "left")
-    return found, first.unionByName(second)
+    return found, joined.toDF("a", "b").unionByName(second)  # the stars of the first round are not linked up anew
 
 
 def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:

@@ -27,10 +27,10 @@ from itertools import combinations
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from geoframe.llm._shared import checkpointed, renamed, written
+from geoframe.llm._shared import checkpointed, drop_unused_shuffles, renamed, written
 
 SHINGLE_WORDS, MAX_BITS, BLOCKS, PIECE, SLICE = 3, 3, 6, 1 << 18, 1 << 16
 _SPACE = re.compile(rb"[ \t-\r]")
@@ -161,6 +161,8 @@ def components(edges: DataFrame) -> DataFrame:
 
     Alternating stars: each node's links are moved to the least node it knows of,
     which ends in stars around each component's least node after few rounds.
+    A round deals links by node twice and once more to drop repeats, with no joins
+    between; the driver has to keep an account of every task of every such step.
     Each round is written to the shared folder, where only the last one stays; the
     rounds end when nothing moved.
     """
@@ -171,17 +173,17 @@ def components(edges: DataFrame) -> DataFrame:
     def seen(pairs: DataFrame) -> tuple:
         return tuple(pairs.agg(F.count("*"), F.sum(F.xxhash64("a", "b").cast("decimal(38,0)"))).first())
 
+    least = F.min("b").over(Window.partitionBy("a"))
     now, delete = written(one_way(edges))
     state = seen(now)
     while True:
-        both = now.unionByName(now.select(F.col("b").alias("a"), F.col("a").alias("b")))
-        least = both.groupBy("a").agg(F.min("b").alias("m")).withColumn("m", F.least("a", "m"))
-        large = one_way(both.filter("b > a").join(least, "a").select(F.col("b").alias("a"), F.col("m").alias("b")).unionByName(now.join(least, "a").select("a", F.col("m").alias("b"))))
-        low = large.groupBy("a").agg(F.min("b").alias("m"))
-        small = one_way(large.join(low, "a").select(F.col("b").alias("a"), F.col("m").alias("b")).unionByName(low.select("a", F.col("m").alias("b"))))
+        both = now.unionByName(now.select(F.col("b").alias("a"), F.col("a").alias("b"))).withColumn("m", F.least("a", least))
+        large = both.select(F.greatest("a", "b").alias("a"), F.col("m").alias("b")).withColumn("m", least)
+        small = large.select(F.when(F.col("b") == F.col("m"), F.col("a")).otherwise(F.col("b")).alias("a"), F.col("m").alias("b")).distinct()
         now, used = written(small)
         delete()
         delete = used
+        drop_unused_shuffles(now.sparkSession)
         before, state = state, seen(now)
         if state == before:
             return now.select(F.col("a").alias("node"), F.col("b").alias("label"))

@@ -6,7 +6,7 @@ from collections import Counter
 import numpy as np
 
 import corpus_pipeline
-from geoframe.llm import _shared, shingles
+from geoframe.llm import _shared, odd_sketch, shingles, simhash
 from tests.llm.test_documents import plain_fingerprint, plain_words
 
 
@@ -119,3 +119,38 @@ def test_a_filter_loses_no_id(spark):
     passed = {r.id for r in _shared.perhaps(rows, "id", bloom).collect()}
     assert passed >= {None, *range(0, 20_000, 7)} and len(passed) < 1.05 * 2859
     assert {r.id for r in _shared.perhaps(rows, "id", bloom, "left_anti").collect()} == {None, *range(20_000)} - passed
+
+
+def steps_run(spark, first=0):
+    """Stages that ran from number `first` on, and the next stage's number."""
+    context = spark.sparkContext
+    context._jsc.sc().listenerBus().waitUntilEmpty(30_000)
+    gateway = context._gateway
+    stages = context._jsc.sc().statusStore().stageList(None, False, False, gateway.new_array(gateway.jvm.double, 0), gateway.jvm.java.util.ArrayList())
+    found = [stages.apply(k) for k in range(stages.size())]
+    return sum(s.stageId() >= first and s.numCompleteTasks() > 0 for s in found), max((s.stageId() for s in found), default=-1) + 1
+
+
+def test_a_round_of_components_is_few_steps(spark):
+    """The check's driver memory: a round of stars took nine shuffles, with as many tasks each as a shuffle has, which the driver keeps account of."""
+    rows = [(k, k + 1) for k in range(9)] + [(50, 40), (40, 45), (60, 60)]
+    links = spark.createDataFrame(rows, "a long, b long").checkpoint()
+    _, first = steps_run(spark)
+    labels = {r.node: r.label for r in simhash.components(links).collect()}
+    steps = steps_run(spark, first)[0]
+    assert labels == {**{k: 0 for k in range(1, 10)}, 45: 40, 50: 40}
+    assert steps < 45, steps
+
+
+def test_asked_sets_come_with_all_columns(spark, monkeypatch):
+    """The step that compares what the first round left joined sets to their labels, sketches and bands twice."""
+    rng = random.Random(23)
+    bases = [" ".join(f"w{rng.randrange(3000)}" for _ in range(150)) for _ in range(12)]
+    texts = [edited(rng, base, rng.randint(1, 12)) for base in bases for _ in range(12)]
+    docs = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string").repartition(3).checkpoint()
+    _, first = steps_run(spark)
+    left = near_of(spark, docs)
+    steps = steps_run(spark, first)[0]
+    monkeypatch.setattr(odd_sketch, "CHUNK", 3)  # a band in pairs of chunks, each with its own numbers
+    assert near_of(spark, docs) == left
+    assert steps < 128, steps
