@@ -38,13 +38,13 @@ def s1_s3_model_files(t: Tables) -> DataFrame:
 
 @query("SELECT image_id, " + r(*sensor.NORMALIZERS, *_whole(sensor.DIRECT)) + " FROM sensor_models")
 def s2_model_files(t: Tables) -> DataFrame:
-    """The key = value layout, whose lists are in brackets."""
+    """The key = value layout, whose lists are in brackets. Inverse arrays, which its files do not hold, are not asked for and not fitted."""
     folder = shared_folder(t.spark, "rpb")
     values = [F.concat(F.lit(f"{key} = "), F.col(c).cast("string"), F.lit(";")) for c, key in zip(files.ORDER, files.RPB_NAMES, strict=True)]
     lists = [F.concat(F.lit(f"{key} = (\n"), F.concat_ws(",\n", F.transform(c, lambda v: v.cast("string"))), F.lit(");")) for c, key in files.RPB_ARRAYS.items()]
     text = F.concat_ws("\n", F.lit("BEGIN_GROUP = IMAGE"), *values, *lists, F.lit("END_GROUP = IMAGE"))
-    t.sensor_models.select("image_id", text.alias("value")).write.partitionBy("image_id").text(folder)
-    return files.read_sensor_models(t.spark, folder, "rpb").select("image_id", *sensor.NORMALIZERS, *_elements(tuple(sensor.DIRECT)))
+    files.write_texts(sensor.spread_models(t.sensor_models).select("image_id", text.alias("value")), folder)
+    return files.read_sensor_models(t.spark, folder, "rpb", fitted=False).select("image_id", *sensor.NORMALIZERS, *_elements(tuple(sensor.DIRECT)))
 
 
 @query("SELECT image_id, CAST(row_number() OVER (PARTITION BY image_id ORDER BY point_id) - 1 AS BIGINT) AS point_id, line, samp FROM tie_points")

@@ -57,8 +57,8 @@ def _numbered(df: DataFrame) -> DataFrame:
     return df.join(numbers.hint("merge"), "path")
 
 
-def read_sensor_models(spark: SparkSession, path: str, layout: str = "keyed") -> DataFrame:
-    """Camera models from text files, by sorted name; inverse arrays that a file lacks are fitted.
+def read_sensor_models(spark: SparkSession, path: str, layout: str = "keyed", fitted: bool = True) -> DataFrame:
+    """Camera models from text files, by sorted name; inverse arrays that a file lacks are fitted, or null if not fitted, for readers of direct ones alone.
 
     Files are read once: what they hold is written down before it is numbered and looked at.
     """
@@ -77,6 +77,8 @@ def read_sensor_models(spark: SparkSession, path: str, layout: str = "keyed") ->
         df = sensor.corrections_to_affine(df)
     df = checkpointed(df)
     df = _numbered(df).select("image_id", *df.columns[1:])
+    if not fitted:
+        return df
     missing = df.filter("latnum IS NULL")
     return df if missing.isEmpty() else df.filter("latnum IS NOT NULL").unionByName(fit.inverse_models(missing))
 
@@ -95,8 +97,12 @@ def _keyed_text() -> Column:
 
 def write_sensor_models(models: DataFrame, path: str) -> None:
     """One keyed text file a model, in a folder for its image; the correction block only where there is a correction."""
-    texts = sensor.affine_to_corrections(models).select("image_id", _keyed_text().alias("value"))
-    texts.repartition("image_id").write.mode("overwrite").partitionBy("image_id").option("lineSep", "\n").text(path)
+    write_texts(sensor.affine_to_corrections(sensor.spread_models(models)).select("image_id", _keyed_text().alias("value")), path)
+
+
+def write_texts(texts: DataFrame, path: str) -> None:
+    """A text file a row (image_id, value), in a folder for its image. A file takes as long as a thousand rows: the rows are to be dealt to all tasks."""
+    texts.write.mode("overwrite").partitionBy("image_id").option("lineSep", "\n").text(path)
 
 
 def read_tie_points(spark: SparkSession, path: str, sep: str = " ") -> DataFrame:
