@@ -8,6 +8,7 @@ broadcasts them where they are small, by its own size check.
 
 from __future__ import annotations
 
+import numpy as np
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -97,6 +98,32 @@ def to_image(df: DataFrame, lat: str = "lat", lon: str = "lon", h: str = "h", li
     return df.withColumns({line: a, samp: b}).drop("__line", "__samp")
 
 
+def image_places(model: dict, lat: np.ndarray, lon: np.ndarray, h: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """to_image() in arrays, within a task: line and samp by one model. The same steps in the same order, so that the results are the same doubles; finite heights only."""
+    plh = [(v - model[f"{name}_off"]) / model[f"{name}_scale"] for name, v in (("lat", lat), ("lon", lon), ("h", h))]
+    terms: dict[int, np.ndarray] = {}
+
+    def term(k: int) -> np.ndarray:
+        if k not in terms:
+            made = np.ones_like(plh[0])
+            for x in (x for x, n in zip(plh, POWERS[k], strict=True) for _ in range(n)):
+                made = made * x
+            terms[k] = made
+        return terms[k]
+
+    def total(coefs: list) -> np.ndarray:
+        made = np.zeros_like(plh[0])
+        for k, c in enumerate(coefs):
+            if c != 0:
+                made = made + c * term(k)
+        return made
+
+    raw = {u: total(model[f"{u[0]}num"]) / total(model[f"{u[0]}den"]) * model[f"{u}_scale"] + model[f"{u}_off"] for u in ("line", "samp")}
+    a = [model[c] for c in geo.AFFINE]
+    det, dl, ds = a[0] * a[4] - a[1] * a[3], raw["line"] - a[2], raw["samp"] - a[5]
+    return (a[4] * dl - a[1] * ds) / det, (a[0] * ds - a[3] * dl) / det
+
+
 def image_to_object(points: DataFrame, models: DataFrame, line: str = "line", samp: str = "samp", h: str = "h", lat: str = "lat", lon: str = "lon") -> DataFrame:
     """Adds lat and lon: the affine correction first, then the inverse model."""
     df = to_object(with_model(points, models, (*NORMALIZERS, *INVERSE, *geo.AFFINE)), line, samp, h, lat, lon)

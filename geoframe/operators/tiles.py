@@ -90,9 +90,9 @@ def bilinear(points: DataFrame, tiles: DataFrame, by: str = "image_id", values:
     height, width = (F.lit(n) for n in shape) if shape else (F.col("height"), F.col("width"))
     clamp = lambda v, n: F.least(F.greatest(v, F.lit(0)), n - 1).cast("int")
     r, c = F.floor("row"), F.floor("col")
-    placed = points.withColumns({"__r0": clamp(r, height), "__r1": clamp(r + 1, height), "__c0": clamp(c, width), "__c1": clamp(c + 1, width), "__dr": F.col("row") - r, "__dc": F.col("col") - c})
+    placed = points.withColumns({"__r0": clamp(r, height), "__r1": clamp(r + 1, height), "__c0": clamp(c, width), "__c1": clamp(c + 1, width)})
     j = _beside(placed, tiles, by, values, F.col("__r0"), F.col("__c0"), size)
-    dr, dc = F.col("__dr"), F.col("__dc")
+    dr, dc = F.col("row") - r, F.col("col") - c  # reckoned after the join: shuffled, they would take as much as the place itself
     weights = [(1 - dr) * (1 - dc), (1 - dr) * dc, dr * (1 - dc), dr * dc]
     at = [(F.col(a), F.col(b)) for a in ("__r0", "__r1") for b in ("__c0", "__c1")]
     # the four parts are columns of their own, so that they are read once and not again in every expression after
@@ -111,6 +111,25 @@ def bilinear(points: DataFrame, tiles: DataFrame, by: str = "image_id", values:
     return found.withColumns({v: F.when(inside, F.col(v)).otherwise(F.lit(float(fill))) for v in values})
 
 
+def beside_lines(lines: DataFrame, tiles: DataFrame, by: str = "image_id", value: str = "value", size: int = SIZE) -> DataFrame:
+    """Lines at a fractional row of a raster (columns height and width hold its extent) to a row a tile that they pass.
+
+    Adds first (the tile's first column), and upper and lower: the tile's cells, its halo
+    too, in the two rows that bilinear() reads, or null where it has none.  Lines meet
+    tiles instead of points, and the tiles' arrays go no further.  Dealt to as many tasks as
+    a shuffle has, by tile.
+    """
+    c = F.col
+    clamp = lambda v: F.least(F.greatest(v, F.lit(0)), c("height") - 1).cast("int")
+    across = lines.withColumns({"__r0": clamp(F.floor("row")), "__r1": clamp(F.floor("row") + 1)})
+    across = across.withColumn("__tile_tr", tile_of(c("__r0"), size)).withColumn("__tile_tc", F.explode(F.sequence(F.lit(0), tile_of(c("width") - 1, size))))
+    key = [by, "__tile_tr", "__tile_tc"]
+    j = across.repartition(partitions(lines.sparkSession), *key).join(_named(tiles, by, (value,)), key, "left")
+    at = {name: c(r) - c("__tile_row0") for name, r in (("upper", "__r0"), ("lower", "__r1"))}
+    cut = {name: F.when((r >= 0) & (r < c("__tile_height")), F.slice(f"__tile_{value}", (r * c("__tile_width") + 1).cast("int"), c("__tile_width"))) for name, r in at.items()}
+    return j.select(*lines.columns, (c("__tile_tc") * size).cast("int").alias("first"), *(x.alias(name) for name, x in cut.items()))
+
+
 def cells_in(tiles: DataFrame, boxes: DataFrame, by: str = "image_id", values: tuple = ("value",), size: int = SIZE) -> DataFrame:
     """Cells with row0 <= row < row1 and col0 <= col < col1 of each raster's box, read from the tiles that the boxes touch. boxes may have more columns."""
     c = F.col

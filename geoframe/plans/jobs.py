@@ -4,12 +4,15 @@ from __future__ import annotations
 
 from collections.abc import Callable, Iterator
 
+import numpy as np
 import pandas as pd
+import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from geoframe.functions import geo
-from geoframe.functions.lineage import by_group, checkpointed, partitions, sent_if_few
+from geoframe.functions.lineage import by_group, by_written_group, checkpointed, sent_if_few
 from geoframe.operators import fit, metrics, neighbors, overlap, raster, sensor, tiles, tiling
 
 Predictor = Callable[[pd.DataFrame], pd.DataFrame]
@@ -167,8 +170,82 @@ def adjust_from_images(pixels: DataFrame, dem: DataFrame, models: DataFrame, gri
     return adjust_images(patches, grids, predictor, models, **options)
 
 
+#: Cells of an ortho image that a task places at a time.
+_AT_ONCE = 1 << 16
+
+
+def _places_in_image(batches: Iterator[pa.RecordBatch], size: int = tiles.SIZE) -> Iterator[pa.RecordBatch]:
+    """Lines of an ortho image (tiles.beside_lines(), with box and model) to where their cells are seen.
+
+    A cell within the image is a row with its place (seen); the others between them are a
+    row a run, tcol to last, so that what is shuffled grows with the image and not with its
+    box.  A run's place says nothing, and spreads runs over the image's tiles.
+    """
+    for batch in batches:
+        column = {name: batch.column(name) for name in batch.schema.names}
+        images, trow, rows, first = (column[name].to_numpy(zero_copy_only=False) for name in ("image_id", "trow", "row", "first"))
+        held = []
+        for name in ("upper", "lower"):
+            flat, counts = column[name].flatten(), pc.fill_null(pc.list_value_length(column[name]), 0).to_numpy(zero_copy_only=False)
+            # one more cell, unknown, stands for all that the tile does not hold
+            values = np.append(pc.fill_null(flat, 0.0).to_numpy(zero_copy_only=False).astype(np.float64), 0.0)
+            held.append((values, np.append(flat.is_valid().to_numpy(zero_copy_only=False), False), np.cumsum(counts) - counts, counts))
+        for image in np.unique(images):
+            own = np.flatnonzero(images == image)
+            model = {name: v[int(own[0])].as_py() for name, v in column.items() if name not in ("upper", "lower")}
+            lat0, lat1, lon0, lon1, dlat, dlon, height, width, cols = (model[x] for x in ("lat0", "lat1", "lon0", "lon1", "dlat", "dlon", "height", "width", "cols"))
+            low = np.nan if model["low"] is None else model["low"]
+            step = (width - 1) * dlon / (lon1 - lon0)
+            # cells by line and tile; one more on both sides, as the exact ones are told by their column below
+            start = np.zeros(len(own), np.int64) if step == 0 else np.maximum(np.floor(first[own] / step).astype(np.int64) - 2, 0)
+            end = np.full(len(own), cols) if step == 0 else np.where(first[own] + size >= width, cols, np.minimum(np.ceil((first[own] + size) / step).astype(np.int64) + 2, cols))
+            spans = [(k, a, min(a + _AT_ONCE, b)) for k, s, b in zip(own, start.tolist(), end.tolist(), strict=True) for a in range(s, b, _AT_ONCE)]
+            while spans:
+                n = 1 + int(np.searchsorted(np.cumsum([b - a for _, a, b in spans[1 : _AT_ONCE]]), _AT_ONCE - (spans[0][2] - spans[0][1]), "right"))
+                part, spans = spans[:n], spans[n:]
+                lengths = np.array([b - a for _, a, b in part])
+                line = np.repeat(np.array([k for k, _, _ in part]), lengths)
+                tcol = np.arange(lengths.sum()) - np.repeat(np.cumsum(lengths) - lengths - np.array([a for _, a, _ in part]), lengths)
+                lon = lon0 + tcol * dlon
+                col = (width - 1) * (lon - lon0) / (lon1 - lon0)
+                c = np.floor(col)
+                c0, c1 = (np.clip(x, 0, width - 1).astype(np.int64) for x in (c, c + 1))
+                mine = c0 // size * size == first[line]
+                line, tcol, lon, col, c, c0, c1 = (x[mine] for x in (line, tcol, lon, col, c, c0, c1))
+                lat, row = lat1 - trow[line] * dlat, rows[line]
+                dr, dc = row - np.floor(row), col - c
+                h, known = np.zeros(len(line)), np.zeros(len(line), bool)
+                for (values, valid, offset, count), across in zip(held, ((1 - dr), dr), strict=True):
+                    for at, w in ((c0, across * (1 - dc)), (c1, across * dc)):
+                        place = np.where(at - first[line] < count[line], offset[line] + at - first[line], len(values) - 1)
+                        there = valid[place] & (w != 0)
+                        h = h + np.where(there, w * values[place], 0.0)
+                        known |= there
+                h = np.where((row <= height - 1) & (col <= width - 1), np.where(known, h, np.nan), low)
+                known = np.isfinite(h)
+                with np.errstate(all="ignore"):
+                    y, x = sensor.image_places(model, lat, lon, np.where(known, h, 0.0))
+                seen = known & (y >= 0) & (y <= height - 1) & (x >= 0) & (x <= width - 1)
+                # rows: each cell that is seen, and each run of others within a line
+                if not len(line):
+                    continue
+                begins = np.flatnonzero(seen | np.append(True, seen[:-1] | (line[1:] != line[:-1])))
+                ends, shown = np.append(begins[1:], len(line)) - 1, seen[begins]
+                place = (np.where(shown, y[begins], np.clip(row[begins], 0, height - 1)), np.where(shown, x[begins], 0.0))
+                ints = (trow[line[begins]], tcol[begins], tcol[ends])
+                yield pa.RecordBatch.from_arrays(
+                    [pa.array(np.full(len(begins), image), column["image_id"].type), *(pa.array(v, pa.int32()) for v in ints), *(pa.array(v, pa.float64()) for v in place), pa.array(shown)],
+                    names=["image_id", "trow", "tcol", "last", "row", "col", "seen"],
+                )
+
+
 def orthorectify(pixels: DataFrame, dem: DataFrame, models: DataFrame, resolution: float = 0.5, value: str = "value") -> DataFrame:
-    """Cells (row, col) of a north-up raster of each image: image_id, lat, lon, value (cut to whole numbers; 0 off the image)."""
+    """Cells (row, col) of a north-up raster of each image: image_id, lat, lon, value (cut to whole numbers; 0 off the image).
+
+    The raster may be far larger than the image, if that lies askew.  Its lines meet
+    the heights' tiles, its cells are made and placed there, and only those within the image
+    are shuffled, to read it; the others stay runs until the end.
+    """
     c = F.col
     shape = pixels.groupBy("image_id").agg((F.max("row") + 1).alias("height"), (F.max("col") + 1).alias("width"))
     low = dem.groupBy("image_id").agg(F.min("value").alias("low"), F.max("value").alias("high"))
@@ -178,16 +255,18 @@ def orthorectify(pixels: DataFrame, dem: DataFrame, models: DataFrame, resolutio
     box = ground.groupBy("image_id").agg(F.min("lat").alias("lat0"), F.max("lat").alias("lat1"), F.min("lon").alias("lon0"), F.max("lon").alias("lon1"))
     box = box.join(info, "image_id").withColumns({"dlat": F.lit(resolution / 111320.0), "dlon": F.lit(resolution) / (F.lit(40075000.0) * F.cos(F.radians((c("lat1") + c("lat0")) / 2)) / 360.0)})
     box = box.withColumns({"rows": F.ceil((c("lat1") - c("lat0")) / c("dlat")).cast("int"), "cols": F.ceil((c("lon1") - c("lon0")) / c("dlon")).cast("int")})
-    lines = box.withColumn("trow", F.explode(F.sequence(F.lit(0), c("rows") - 1))).repartition(partitions(pixels.sparkSession), "image_id", "trow")  # the images are few rows: their lines are made in all tasks
-    cells = lines.withColumn("tcol", F.explode(F.sequence(F.lit(0), c("cols") - 1)))
-    cells = cells.withColumns({"lat": c("lat1") - c("trow") * c("dlat"), "lon": c("lon0") + c("tcol") * c("dlon")})
-    cells = cells.withColumns({"row": (c("height") - 1) * (c("lat1") - c("lat")) / (c("lat1") - c("lat0")), "col": (c("width") - 1) * (c("lon") - c("lon0")) / (c("lon1") - c("lon0"))})
-    heights = raster.sample_bilinear(cells.select("image_id", "trow", "tcol", "lat", "lon", "row", "col", "height", "width", "low"), dem, fill=0.0)
-    inside = (c("row") <= c("height") - 1) & (c("col") <= c("width") - 1)
-    heights = heights.withColumn("h", F.when(inside, c("value")).otherwise(c("low"))).drop("value", "row", "col")
-    image = sensor.object_to_image(heights, models, line="row", samp="col")
-    read = raster.gather(image, pixels.select("image_id", "row", "col", F.col(value).alias("value")))
-    return read.select("image_id", F.col("trow").alias("row"), F.col("tcol").alias("col"), "lat", "lon", c("value").cast("int").alias("value"))
+    direct = models.select("image_id", *sensor.NORMALIZERS, *sensor.DIRECT, *geo.AFFINE)
+    box = checkpointed(box.filter("rows > 0 AND cols > 0").join(direct, "image_id"))
+    lines = box.withColumn("trow", F.explode(F.sequence(F.lit(0), c("rows") - 1)))
+    lines = lines.withColumn("row", (c("height") - 1) * (c("lat1") - (c("lat1") - c("trow") * c("dlat"))) / (c("lat1") - c("lat0")))
+    pieces = tiles.beside_lines(lines.select("image_id", "trow", "row", "height", "width"), tiles.from_cells(dem)).drop("height", "width")
+    kind = dict(box.dtypes)["image_id"]
+    placed = by_written_group(pieces, box, "image_id").mapInArrow(_places_in_image, f"image_id {kind}, trow int, tcol int, last int, row double, col double, seen boolean")
+    extent = box.select("image_id", "height", "width")
+    read = raster.gather(by_written_group(placed, extent, "image_id"), pixels.select("image_id", "row", "col", F.col(value).alias("value")))
+    ends = by_written_group(read.select("image_id", "trow", "tcol", "last", F.when(c("seen"), c("value").cast("int")).otherwise(F.lit(0)).alias("value")), box.select("image_id", "lat1", "lon0", "dlat", "dlon"), "image_id")
+    cells = ends.withColumn("tcol", F.explode(F.sequence("tcol", "last")))
+    return cells.select("image_id", c("trow").alias("row"), c("tcol").alias("col"), (c("lat1") - c("trow") * c("dlat")).alias("lat"), (c("lon0") + c("tcol") * c("dlon")).alias("lon"), "value")
 
 
 def prepare_heights(points: DataFrame, dem: DataFrame, geoid: DataFrame, rasters: DataFrame, models: DataFrame, geoid_id: str, rounds: int = 3) -> DataFrame:
