@@ -75,7 +75,7 @@ def read_sensor_models(spark: SparkSession, path: str, layout: str = "keyed", fi
         array = lambda k: F.slice("v", 11 + 20 * k, 20)
         df = df.select("path", "name", *(F.col("v")[k].alias(n) for k, n in enumerate(ORDER)), *((array(k) if k < 4 else F.when(F.size("v") >= 170, array(k))).alias(n) for k, n in enumerate(ARRAYS)), *(F.coalesce(F.get("p", F.lit(k)), F.lit(0.0)).alias(f"p{k}") for k in range(6)))
         df = sensor.corrections_to_affine(df)
-    df = checkpointed(df)
+    df = checkpointed(df.coalesce(partitions(spark)))  # small files make very many tasks, which every later step would repeat
     df = _numbered(df).select("image_id", *df.columns[1:])
     if not fitted:
         return df
