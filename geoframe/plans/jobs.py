@@ -196,7 +196,7 @@ def _places_in_image(batches: Iterator[pa.RecordBatch], size: int = tiles.SIZE)
             lat0, lat1, lon0, lon1, dlat, dlon, height, width, cols = (model[x] for x in ("lat0", "lat1", "lon0", "lon1", "dlat", "dlon", "height", "width", "cols"))
             low = np.nan if model["low"] is None else model["low"]
             step = (width - 1) * dlon / (lon1 - lon0)
-            # cells by line and tile; one more on both sides, as the exact ones are told by their column below
+            # cells by line and tile; some more on both sides, as the exact ones are told by their column below
             start = np.zeros(len(own), np.int64) if step == 0 else np.maximum(np.floor(first[own] / step).astype(np.int64) - 2, 0)
             end = np.full(len(own), cols) if step == 0 else np.where(first[own] + size >= width, cols, np.minimum(np.ceil((first[own] + size) / step).astype(np.int64) + 2, cols))
             spans = [(k, a, min(a + _AT_ONCE, b)) for k, s, b in zip(own, start.tolist(), end.tolist(), strict=True) for a in range(s, b, _AT_ONCE)]
